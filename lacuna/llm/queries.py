@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lacuna.llm import language_id, toxicity
 from lacuna.llm.byte_bpe import encode_and_decode
 from lacuna.llm.packing import pack
 from lacuna.llm.quality_rules import compression_bands
@@ -22,6 +23,18 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), n_shards=16)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = language_id.remainder("doc_id", 3) == 1
+    return language_id.predict(docs, language_id.train(docs, ~held_out), held_out)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = language_id.remainder("doc_id", 5) == 0
+    return toxicity.score(docs, toxicity.train(docs, labels, ~held_out), held_out)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
