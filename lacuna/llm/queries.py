@@ -5,12 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lacuna.llm import language_id, toxicity
 from lacuna.llm.byte_bpe import encode_and_decode
+from lacuna.llm.fingerprints import fingerprint
 from lacuna.llm.packing import pack
 from lacuna.llm.quality_rules import compression_bands
 from lacuna.llm.sharding import shard_documents
+from lacuna.llm.token_attribution import count_tokens
+
+#: Characters of a section in the token counts.
+SECTION = 1000
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +25,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = documents(spark, sf_dir)
+    at = F.sequence(F.lit(0), F.greatest(F.length(F.coalesce("text", F.lit(""))) - 1, F.lit(0)), F.lit(SECTION))
+    docs = docs.withColumn("sections", F.transform(at, lambda x: F.struct(x.alias("start"), (x + SECTION).alias("end"))))
+    return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, rule="majority", sections_col="sections")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), n_shards=16)
 
@@ -51,6 +66,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
