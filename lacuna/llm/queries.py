@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lacuna.llm import language_id, toxicity
 from lacuna.llm.byte_bpe import encode_and_decode
 from lacuna.llm.fingerprints import fingerprint
+from lacuna.llm.near_dedup import near_duplicates
 from lacuna.llm.packing import pack
 from lacuna.llm.quality_rules import compression_bands
 from lacuna.llm.sharding import shard_documents
@@ -50,6 +51,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, labels, ~held_out), held_out)
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
