@@ -14,6 +14,7 @@ from lacuna.llm.near_dedup import near_duplicates
 from lacuna.llm.packing import pack
 from lacuna.llm.quality_rules import compression_bands
 from lacuna.llm.sharding import shard_documents
+from lacuna.llm.suffix_dedup import repeated_spans
 from lacuna.llm.token_attribution import count_tokens
 
 #: Characters of a section in the token counts.
@@ -45,6 +46,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.train(docs, ~held_out), held_out)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(documents(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = language_id.remainder("doc_id", 5) == 0
