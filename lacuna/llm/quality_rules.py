@@ -39,8 +39,12 @@ class Band:
     high: float
 
 
-#: Short texts hardly compress; of long ones even random letters do a little, and prose of few words a lot.
-BANDS = (Band(256, 0.5, 3.0), Band(1024, 1.15, 2.8), Band(4096, 1.4, 3.2), Band(16384, 1.7, 3.5), Band(float("inf"), 1.9, 3.8))
+#: Short texts hardly compress, and the longer a text the more of it has been seen before.  The upper limits lie
+#: about two standard deviations above the largest ratio of 3,000 texts labelled as good.
+BANDS = (
+    Band(256, 0.5, 2.2), Band(512, 1.1, 2.2), Band(1024, 1.2, 2.2), Band(2048, 1.3, 2.25), Band(4096, 1.4, 2.35),
+    Band(8192, 1.5, 2.45), Band(16384, 1.6, 2.52), Band(32768, 1.7, 2.68), Band(float("inf"), 1.8, 2.95),
+)
 CHUNKS = Band(float("inf"), 1.5, 3.3)
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, chunk_low double, chunk_high double"
