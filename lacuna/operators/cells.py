@@ -46,7 +46,7 @@ def pick_column(names: list[str], wanted: list[str], what: str) -> str:
 def panel(long: DataFrame, unit: list[str], time: list[str], value: list[str], keys=KEYS) -> DataFrame:
     """Cells from a long table: units as strings, periods as whole numbers; rows that do not parse are left out."""
     u, t, v = (pick_column(long.columns, w, n) for w, n in ((unit, "unit"), (time, "time"), (value, "value")))
-    rows = long.select(*keys, F.col(u).cast("string").alias("row_key"), F.expr(f"cast(try_cast(`{t}` as double) as bigint)").alias("col_key"), F.expr(f"try_cast(`{v}` as double)").alias("value"), "ordinal")
+    rows = long.select(*keys, F.col(f"`{u}`").cast("string").alias("row_key"), F.expr(f"cast(try_cast(`{t}` as double) as bigint)").alias("col_key"), F.expr(f"try_cast(`{v}` as double)").alias("value"), "ordinal")
     return from_triplets(rows.dropna(subset=["row_key", "col_key", "value"]), keys)
 
 

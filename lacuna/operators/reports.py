@@ -68,8 +68,16 @@ def pr_auc_alias(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c.replace("average_precision", "pr_auc"): F.col(c) for c in rows.columns if c.startswith("downstream_average_precision_")})
 
 
+#: Names of methods that are not simply their words.
+PRETTY = {"tab_impute": "TabImpute", "tab_impute_constraints": "TabImputeConstraints", "TabImputeConstraints": "TabImputeConstraints"}
+
+
 def pretty(name: Column) -> Column:
-    return F.initcap(F.regexp_replace(name, "_", " "))
+    """A method's name for readers."""
+    out = F.initcap(F.trim(F.regexp_replace(name, "_", " ")))
+    for key, value in PRETTY.items():
+        out = F.when(name == key, value).otherwise(out)
+    return out
 
 
 def all_keys(parts: list[DataFrame]) -> DataFrame:

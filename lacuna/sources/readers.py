@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from lacuna.operators.cells import finite, from_triplets, panel
 from lacuna.operators.encode import encode
 
-#: Accepted names of panel columns, in the order they are tried.
-PANELS = {
-    "prop99_smoking": (("state", "unit"), ("year", "time", "period"), ("cigsale", "outcome", "value")),
-    "basque_gdpcap": (("regionname", "region", "unit"), ("year", "time", "period"), ("gdpcap", "outcome", "value")),
-}
+# Accepted names of panel columns, in the order they are tried.
+UNIT = ("state", "regionname", "region", "unit")
+TIME = ("year", "time", "period")
+VALUE = {"prop99_smoking": ("cigsale", "cig.sales", "outcome"), "basque_gdpcap": ("gdpcap", "gdp.cap", "outcome")}
+OTHER_VALUE = ("outcome", "value")
 
 
 def first_path(spark: SparkSession, paths: list[str], read) -> DataFrame:
@@ -75,9 +75,8 @@ def ratings(spark: SparkSession, path: str, layout: str, run_id: str = "r") -> D
 
 
 def panel_csv(spark: SparkSession, path: str, dataset: str, run_id: str = "r") -> DataFrame:
-    unit, time, value = PANELS[dataset]
     long = spark.read.csv(path, header=True).withColumn("ordinal", F.monotonically_increasing_id()).withColumn("run_id", F.lit(run_id))
-    return panel(long, list(unit), list(time), list(value))
+    return panel(long, list(UNIT), list(TIME), list(VALUE.get(dataset, OTHER_VALUE)))
 
 
 def largest_csv(spark: SparkSession, folder: str) -> str:
@@ -95,6 +94,7 @@ def tabular(spark: SparkSession, folder: str, hot: bool = False) -> DataFrame:
     return encode(table, ["row_id"], hot=hot)
 
 
+# Ids of data sets with a reader.
 READERS = {
     "movielens_100k": lambda spark, path: ratings(spark, path, "tab"),
     "movielens_1m": lambda spark, path: ratings(spark, path, "double_colon"),
@@ -114,11 +114,11 @@ def read_dataset(spark: SparkSession, dataset: str, path: str) -> DataFrame:
 
 
 def eval_results(spark: SparkSession, path: str) -> DataFrame:
-    """(file, method, metric, value) of evaluation files: downstream, multiple-imputation and cell metrics, later ones winning."""
+    """(file, method, task, metric, value) of evaluation files: downstream, multiple-imputation and cell metrics, later ones winning."""
     one = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     kind = "map<string,double>"
-    x = one.select("file", *[F.coalesce(F.from_json(F.get_json_object("value", f"$.{k}"), kind), F.from_json(F.lit("{}"), kind)).alias(k) for k in ("downstream_metrics", "mi_metrics", "imputation_metrics")], F.get_json_object("value", "$.prediction_paths[0]").alias("first"))
+    x = one.select("file", *[F.coalesce(F.from_json(F.get_json_object("value", f"$.{k}"), kind), F.from_json(F.lit("{}"), kind)).alias(k) for k in ("downstream_metrics", "multiple_imputation_metrics", "imputation_metrics")], F.get_json_object("value", "$.prediction_paths[0]").alias("first"), F.coalesce(F.get_json_object("value", "$.task"), F.lit("unknown")).alias("task"))
     method = F.coalesce(F.try_element_at(F.split("first", "/"), F.lit(-2)), F.regexp_extract("file", r"([^/]+?)(?:\.\w+)?$", 1))
     later = lambda a, b: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
-    merged = later(later(F.col("downstream_metrics"), F.col("mi_metrics")), F.col("imputation_metrics"))
-    return x.select("file", method.alias("method"), F.explode(merged).alias("metric", "value"))
+    merged = later(later(F.col("downstream_metrics"), F.col("multiple_imputation_metrics")), F.col("imputation_metrics"))
+    return x.select("file", method.alias("method"), "task", F.explode(merged).alias("metric", "value"))
