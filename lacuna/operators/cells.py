@@ -19,9 +19,15 @@ def finite(value: Column) -> Column:
 
 
 def complete_grid(known: DataFrame, keys=KEYS) -> DataFrame:
-    """The full grid of each run's rows and columns, null where `known` has no value."""
-    rows, cols = known.select(*keys, "row_id").distinct(), known.select(*keys, "col_id").distinct()
-    return rows.join(cols, list(keys)).join(known.withColumn("value", finite(F.col("value"))), [*keys, *AT], "left").select(*keys, *AT, "value")
+    """The full grid of each run's rows and columns, null where `known` has no value.
+
+    The rows of a run are dealt over `parts` and meet its columns in each, so that a
+    large run is not built in one task.
+    """
+    parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = known.select(*keys, "row_id").distinct().withColumn("__part", F.pmod(F.hash("row_id"), F.lit(parts)))
+    cols = known.select(*keys, "col_id").distinct().withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return rows.join(cols, [*keys, "__part"]).drop("__part").join(known.withColumn("value", finite(F.col("value"))), [*keys, *AT], "left").select(*keys, *AT, "value")
 
 
 def from_triplets(triplets: DataFrame, keys=KEYS) -> DataFrame:
@@ -89,5 +95,5 @@ def split_rows(cells: DataFrame, test_share: float, seed: int, keys=KEYS) -> Dat
 
     rows = cells.select(*keys, "row_id").distinct()
     n = rows.groupBy(*keys).agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * F.lit(test_share), 0).cast("bigint")).alias("n"))
-    rows = flag_least(rows.join(n, list(keys)).withColumn("u", uniform("row_id", seed=seed, tag="split")), "u", "n", "test", keys, ("row_id",))
+    rows = flag_least(rows.join(F.broadcast(n), list(keys)).withColumn("u", uniform("row_id", seed=seed, tag="split")), "u", "n", "test", keys, ("row_id",))
     return rows.select(*keys, "row_id", F.when(F.col("test"), "test").otherwise("train").alias("split"))

@@ -15,7 +15,7 @@ KEYS = ("series_id",)
 def hankelize(series: DataFrame, window: int, on: str = "value", keys=KEYS) -> DataFrame:
     """Cells (keys, row_id, col_id, value) with ``value[i, j] = x[i + j]`` and `window` rows."""
     n = series.groupBy(*keys).agg((F.max("t") + 1).alias("n"))
-    x = series.join(n, list(keys)).withColumn("row_id", F.explode(F.sequence(F.lit(0), F.lit(window - 1))))
+    x = series.join(F.broadcast(n), list(keys)).withColumn("row_id", F.explode(F.sequence(F.lit(0), F.lit(window - 1))))
     x = x.withColumn("col_id", F.col("t") - F.col("row_id"))
     return x.filter(F.col("col_id").between(0, F.col("n") - window) & F.lit(window).between(2, F.col("n") - 1)).select(*keys, F.col("row_id").cast("long").alias("row_id"), F.col("col_id").cast("long").alias("col_id"), F.col(on).alias("value"))
 
@@ -37,7 +37,7 @@ def hide_points(series: DataFrame, kind: str, share: float, seed: int, burst_max
     The last two start before the end, so the last point is never in a run of theirs.
     """
     n = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("len"), F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * F.lit(share), 0).cast("bigint")).alias("n"))
-    x = series.join(n, list(keys))
+    x = series.join(F.broadcast(n), list(keys))
     u = uniform("t", seed=seed, tag="point")
     if kind == "uniform":
         x = x.withColumn("place", u)

@@ -15,17 +15,18 @@ from lacuna.operators.cells import AT, KEYS
 
 
 def _overall(cells: DataFrame, keys) -> DataFrame:
+    """A row per run, so it may be sent out whole: runs are the experiments of a grid, not data."""
     return cells.groupBy(*keys).agg(F.avg("value").alias("__all"))
 
 
 @IMPUTERS.register("global_mean")
 def global_mean(cells: DataFrame, keys=KEYS) -> DataFrame:
-    return cells.join(_overall(cells, keys), list(keys)).withColumn("pred", F.coalesce("value", "__all")).drop("__all")
+    return cells.join(F.broadcast(_overall(cells, keys)), list(keys)).withColumn("pred", F.coalesce("value", "__all")).drop("__all")
 
 
 def _line_mean(cells: DataFrame, line: str, keys) -> DataFrame:
     own = cells.groupBy(*keys, line).agg(F.avg("value").alias("__own"))
-    filled = cells.join(own, [*keys, line]).join(_overall(cells, keys), list(keys))
+    filled = cells.join(own, [*keys, line]).join(F.broadcast(_overall(cells, keys)), list(keys))
     return filled.withColumn("pred", F.coalesce("value", "__own", "__all")).drop("__own", "__all")
 
 
@@ -46,7 +47,7 @@ def col_mode(cells: DataFrame, keys=KEYS) -> DataFrame:
     """The most frequent value of the column, of equal ones the smallest."""
     n = cells.filter("value IS NOT NULL").groupBy(*keys, "col_id", "value").agg(F.count(F.lit(1)).alias("n"))
     mode = n.groupBy(*keys, "col_id").agg(F.max(F.struct("n", (-F.col("value")).alias("low"))).alias("best")).select(*keys, "col_id", (-F.col("best.low")).alias("__own"))
-    filled = cells.join(mode, [*keys, "col_id"], "left").join(_overall(cells, keys), list(keys))
+    filled = cells.join(mode, [*keys, "col_id"], "left").join(F.broadcast(_overall(cells, keys)), list(keys))
     return filled.withColumn("pred", F.coalesce("value", "__own", "__all")).drop("__own", "__all")
 
 
@@ -60,7 +61,7 @@ def knn(cells: DataFrame, keys=KEYS, n_neighbors: int = 5, weights: str = "unifo
         raise ValueError("weights must be uniform or distance")
     overall = _overall(cells, keys)
     have = cells.groupBy(*keys, "col_id").agg(F.count("value").alias("n"))
-    base = cells.join(have, [*keys, "col_id"]).join(overall, list(keys)).withColumn("x", F.when(F.col("n") == 0, F.col("__all")).otherwise(F.col("value"))).select(*keys, *AT, "x")
+    base = cells.join(have, [*keys, "col_id"]).join(F.broadcast(overall), list(keys)).withColumn("x", F.when(F.col("n") == 0, F.col("__all")).otherwise(F.col("value"))).select(*keys, *AT, "x")
     known = base.filter("x IS NOT NULL")
     short = base.filter("x IS NULL").select(*keys, "row_id").distinct()
     width = cells.groupBy(*keys).agg(F.count_distinct("col_id").alias("n_cols"))
@@ -68,7 +69,7 @@ def knn(cells: DataFrame, keys=KEYS, n_neighbors: int = 5, weights: str = "unifo
     right = known.select(*keys, F.col("row_id").alias("b"), "col_id", F.col("x").alias("xb"))
     sums = left.join(right, [*keys, "col_id"]).filter("a <> b").groupBy(*keys, "a", "b").agg(F.sum((F.col("xa") - F.col("xb")) ** 2).alias("ss"), F.count(F.lit(1)).alias("shared"))
     # Rounded, so that the order of a sum does not decide between equal distances.
-    distance = sums.join(width, list(keys)).select(*keys, "a", "b", F.round(F.sqrt(F.col("ss") * F.col("n_cols") / F.col("shared")), 9).alias("distance"))
+    distance = sums.join(F.broadcast(width), list(keys)).select(*keys, "a", "b", F.round(F.sqrt(F.col("ss") * F.col("n_cols") / F.col("shared")), 9).alias("distance"))
     wanted = base.filter("x IS NULL").select(*keys, F.col("row_id").alias("a"), "col_id")
     donors = wanted.join(distance, [*keys, "a"]).join(right, [*keys, "b", "col_id"])
     rank = F.row_number().over(Window.partitionBy(*keys, "a", "col_id").orderBy("distance", "b"))
@@ -80,7 +81,7 @@ def knn(cells: DataFrame, keys=KEYS, n_neighbors: int = 5, weights: str = "unifo
         near = near.withColumn("w", F.lit(1.0))
     fill = near.groupBy(*keys, F.col("a").alias("row_id"), "col_id").agg((F.sum(F.col("w") * F.col("xb")) / F.sum("w")).alias("__near"))
     own = cells.groupBy(*keys, "col_id").agg(F.avg("value").alias("__own"))
-    filled = cells.join(fill, [*keys, *AT], "left").join(own, [*keys, "col_id"]).join(overall, list(keys))
+    filled = cells.join(fill, [*keys, *AT], "left").join(own, [*keys, "col_id"]).join(F.broadcast(overall), list(keys))
     return filled.withColumn("pred", F.coalesce("value", "__near", "__own", "__all")).drop("__near", "__own", "__all")
 
 
@@ -101,7 +102,7 @@ def scaled_bounds(bounds: DataFrame, cells: DataFrame) -> DataFrame:
 @IMPUTERS.register("col_median")
 def col_median(cells: DataFrame, keys=KEYS) -> DataFrame:
     own = cells.groupBy(*keys, "col_id").agg(F.percentile("value", 0.5).alias("__own"))
-    filled = cells.join(own, [*keys, "col_id"]).join(_overall(cells, keys), list(keys))
+    filled = cells.join(own, [*keys, "col_id"]).join(F.broadcast(_overall(cells, keys)), list(keys))
     return filled.withColumn("pred", F.coalesce("value", "__own", "__all")).drop("__own", "__all")
 
 

@@ -1,6 +1,7 @@
 """Which known cells to hide: exactly `max(1, round(known * share))` of each run, but for censoring.
 
 Each kind gives every known cell a place in [0, 1); the least ones are hidden.
+What is broadcast has a row per run.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ def wanted(cells: DataFrame, share: float, keys=KEYS) -> DataFrame:
 
 def _hide(cells: DataFrame, placed: DataFrame, share: float, keys, tie=AT) -> DataFrame:
     """Known cells by their place; the others are never hidden."""
-    chosen = flag_least(placed.join(wanted(cells, share, keys), list(keys)), "place", "n", "hidden", keys, tie).filter("hidden").select(*keys, *AT, "hidden")
+    chosen = flag_least(placed.join(F.broadcast(wanted(cells, share, keys)), list(keys)), "place", "n", "hidden", keys, tie).filter("hidden").select(*keys, *AT, "hidden")
     return cells.join(chosen, [*keys, *AT], "left").withColumn("hidden", F.coalesce("hidden", F.lit(False)))
 
 
@@ -47,10 +48,10 @@ def mar_logistic(cells: DataFrame, share: float, seed: int, driver: int | None =
     """
     known = _known(cells)
     first = cells.groupBy(*keys).agg(F.min("col_id").alias("driver")) if driver is None else cells.select(*keys).distinct().withColumn("driver", F.lit(driver))
-    x = cells.join(first, list(keys)).filter("col_id = driver").select(*keys, "row_id", F.col("value").alias("x"))
+    x = cells.join(F.broadcast(first), list(keys)).filter("col_id = driver").select(*keys, "row_id", F.col("value").alias("x"))
     stats = x.groupBy(*keys).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.count("x").alias("n_x"))
     z = F.when(F.col("x").isNull(), 0.0).otherwise(zscore(F.col("x"), F.col("mean"), F.col("sd")))
-    rows = x.join(stats, list(keys)).filter("n_x > 0").withColumn("w", sigmoid(1.2 * z + 0.2 * normal("row_id", seed=seed, tag="mar")))
+    rows = x.join(F.broadcast(stats), list(keys)).filter("n_x > 0").withColumn("w", sigmoid(1.2 * z + 0.2 * normal("row_id", seed=seed, tag="mar")))
     # Running totals by chunks of rows: no window holds more than a chunk, or the chunks of a run.
     rows = rows.withColumn("chunk", F.floor(F.col("row_id") / 4096))
     sums = rows.groupBy(*keys, "chunk").agg(F.sum("w").alias("in_chunk"))
@@ -78,7 +79,7 @@ def mnar_self_logistic(cells: DataFrame, share: float, seed: int, keys=KEYS) ->
     stats = cells.groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
     weight = sigmoid(zscore(F.col("value"), F.col("mean"), F.col("sd")) + 0.15 * normal(*AT, seed=seed, tag="mnar"))
     place = 1 - F.exp(F.ln(uniform(*AT, seed=seed, tag="pick")) / weight)
-    return _hide(cells, _known(cells).join(stats, list(keys)).withColumn("place", place).drop("mean", "sd"), share, keys)
+    return _hide(cells, _known(cells).join(F.broadcast(stats), list(keys)).withColumn("place", place).drop("mean", "sd"), share, keys)
 
 
 def block(cells: DataFrame, share: float, seed: int, axis: str = "rows", keys=KEYS) -> DataFrame:
@@ -89,7 +90,7 @@ def block(cells: DataFrame, share: float, seed: int, axis: str = "rows", keys=KE
     length = F.least(F.col("n_what"), F.greatest(F.lit(1), F.bround(F.col("n") / F.col("n_other"), 0).cast("bigint")))
     sizes = sizes.withColumn("length", length).withColumn("start", F.floor(uniform(F.lit("block"), seed=seed, tag="start") * (F.col("n_what") - F.col("length") + 1)))
     inside = F.col("place_of").between(F.col("start"), F.col("start") + F.col("length") - 1)
-    placed = _known(cells).join(at.withColumnRenamed("place", "place_of"), [*keys, what]).join(sizes.select(*keys, "start", "length"), list(keys))
+    placed = _known(cells).join(at.withColumnRenamed("place", "place_of"), [*keys, what]).join(F.broadcast(sizes.select(*keys, "start", "length")), list(keys))
     u = uniform(*AT, seed=seed, tag="trim")
     return _hide(cells, placed.withColumn("place", F.when(inside, u / 2).otherwise(0.5 + u / 2)).drop("start", "length", "place_of"), share, keys)
 
