@@ -46,7 +46,8 @@ from lacuna.llm.common import mix64
 SPAN, GRAM = 50, 20
 #: Bytes of text in a block of documents, and for a bucket of triggers.
 BLOCK, BUCKET = 6 << 20, 4 << 20
-STEP = 1 << 20
+#: Positions hashed at a time: few enough for a core's cache.
+STEP = 1 << 15
 LAST = np.int64(2**63 - 1)
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -158,9 +159,12 @@ def _report(buckets: int):
 def _shared(key: tuple, table: pa.Table) -> pa.Table:
     """Step 1, a bucket: for each block its triggers that two documents hold."""
     once, several = ([np.frombuffer(x, np.uint32) for x in table.column(c).to_pylist()] for c in ("once", "several"))
-    every = np.sort(np.concatenate([*once, *several]))
+    alone = np.concatenate(once)
+    every = np.sort(np.concatenate([alone, *several]))
     many = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *several]))
-    out = [np.concatenate([o[np.isin(o, many)], s]) for o, s in zip(once, several, strict=True)]
+    hit = many[np.minimum(np.searchsorted(many, alone), len(many) - 1)] == alone if len(many) else np.zeros(len(alone), bool)
+    ends = np.cumsum([len(o) for o in once])
+    out = [np.concatenate([o[h], s]) for o, h, s in zip(once, np.split(hit, ends[:-1]), several, strict=True)]
     keep = [i for i, x in enumerate(out) if len(x)]
     blocks = table.column("block").to_pylist()
     return pa.table([pa.array([blocks[i] for i in keep], pa.int64()), pa.array([key[0].as_py()] * len(keep), pa.int64()), pa.array([out[i].tobytes() for i in keep], pa.binary())], names=["block", "bucket", "triggers"])
@@ -217,21 +221,35 @@ def _distinct(text: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, pa.Arra
 
 
 def suffix_order(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The spans that begin at `at`, in order, and which of them differ from the one before."""
-    padded = np.append(data, np.zeros(8, np.uint8)).astype(np.uint64)
+    """The spans that begin at `at`, in order, and which of them differ from the one before.
+
+    A refinement: sorted by their first bytes, then by some more within those
+    that are still equal.  A number holds where a span's group begins, its next
+    bytes and its place, so that plain integer sorts do.
+    """
+    padded = np.append(data, np.zeros(16, np.uint8)).astype(np.uint64)
     two = (padded[:-1] << np.uint64(8)) | padded[1:]
     four = (two[:-2] << np.uint64(16)) | two[2:]
     eight = (four[:-4] << np.uint64(32)) | four[4:]
-    order, rank = np.arange(len(at)), np.zeros(len(at), np.uint64)
-    # Prefixes of 8 bytes first, then 4 more at a time within equal ones: what is unique is done.
-    key = eight[at]
-    order = np.argsort(key)
-    changed = np.append(True, key[order][1:] != key[order][:-1])
-    for depth in [*range(8, SPAN - 3, 4), *([SPAN - 4] if (SPAN - 8) % 4 else [])]:
-        rank[order] = np.cumsum(changed, dtype=np.uint64)
-        key = (rank << np.uint64(32)) | four[at + depth]
-        order = np.argsort(key)
-        changed = np.append(True, key[order][1:] != key[order][:-1])
+    bits = max(1, int(len(at)).bit_length())
+    low = np.uint64((1 << bits) - 1)
+    order, start = np.arange(len(at)), np.zeros(len(at), np.uint64)
+    changed = np.zeros(len(at), bool)
+    changed[:1] = True
+    slots, depth = np.arange(len(at)), 0
+    while depth < SPAN and len(slots):
+        n = min((64 - bits - (bits if depth else 0)) // 8, 8, SPAN - depth)
+        spans = order[slots]
+        key = (start[slots] << np.uint64(64 - bits)) if depth else np.zeros(len(slots), np.uint64)
+        key = key | ((eight[at[spans] + depth] >> np.uint64(64 - 8 * n)) << np.uint64(bits)) | np.arange(len(slots), dtype=np.uint64)
+        key.sort()
+        order[slots] = spans[(key & low).astype(np.int64)]
+        key >>= np.uint64(bits)
+        changed[slots[1:]] = key[1:] != key[:-1]
+        start[slots] = np.maximum.accumulate(np.where(changed[slots], slots, 0)).astype(np.uint64)
+        here = changed[slots]
+        slots = slots[~(here & np.append(here[1:], True))]  # what is alone in its group is done
+        depth += n
     return order, changed
 
 
