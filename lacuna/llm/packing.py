@@ -24,6 +24,7 @@ import math
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,7 +54,9 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.code = "H" if self.kind is np.uint16 else "I"
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}  # the last full store; what is met again moves on
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as integers of `kind`."""
@@ -64,15 +67,16 @@ class WordTokenizer:
                 data = _STOP.sub(rb" \1", data.lower())  # the tokenizer lowers anyway, and parts letters from stops
             cut.append(data.split())
         new = {w for words in cut for w in words} - self.known.keys()
-        if len(self.known) + len(new) > STORE:
-            self.known = {}
-            new = {w for words in cut for w in words}
-        if new:
-            fresh = list(new)
+        known, before = self.known, self.before
+        known.update((w, before[w]) for w in new & before.keys())
+        fresh = list(new - before.keys())
+        if fresh:
             found = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(fresh, found, strict=True))
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in cut]
+            known.update((w, array(self.code, e.ids).tobytes()) for w, e in zip(fresh, found, strict=True))
+        out = [b"".join([known[w] for w in words]) for words in cut]
+        if len(known) > STORE:
+            self.before, self.known = known, {}
+        return out
 
 
 _HELD: dict[str, WordTokenizer] = {}
