@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 14
@@ -173,20 +173,19 @@ def train(docs: DataFrame, teaches: Column, per_language: int = 1500, id_col: st
     """A model from rows that `teaches` holds for; `per_language` bounds the sample."""
     df, total = document_frequencies(docs, text_col)
     idf = np.log((1 + total) / (1 + df)) + 1
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id", F.xxhash64("text"))
-    sample = (
-        docs.filter(teaches & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-        .select(F.col(lang_col).alias("lang"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        .withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language)
-    )
+    rows = docs.filter(teaches & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    sample = least_hashes(rows, "lang", rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), per_language)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [counts(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.list_(pa.int64()))], names=["lang", "place", "at", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.list_(pa.int64()))], names=["lang", "draw", "at", "n"])
 
-    rows = sample.select("lang", "place", "text").mapInArrow(featurise, "lang string, place int, at array<long>, n array<long>").toArrow()
-    rows = sorted((lang, place, np.array(at, np.int64), np.array(n, np.int64)) for lang, place, at, n in zip(*(rows.column(c).to_pylist() for c in ("lang", "place")), (x.values.to_numpy() for x in _lists(rows, "at")), (x.values.to_numpy() for x in _lists(rows, "n")), strict=True) if len(at))
+    rows = sample.select("lang", "draw", "text").mapInArrow(featurise, "lang string, draw double, at array<long>, n array<long>").toArrow()
+    rows = sorted(zip(*(rows.column(c).to_pylist() for c in ("lang", "draw")), *([x.values.to_numpy() for x in _lists(rows, c)] for c in ("at", "n")), strict=True), key=lambda r: (r[0], r[1], len(r[2])))
+    place: dict[str, int] = {}
+    rows = [(lang, k, at, n) for lang, _, at, n in rows if len(at) and (k := place.setdefault(lang, 0)) < per_language and not place.update({lang: k + 1})]
     languages = sorted({r[0] for r in rows})
     model = Model(languages, idf, np.zeros((len(languages), 1 << BITS)), np.zeros(len(languages)))
     if not languages:
@@ -207,6 +206,17 @@ def _lists(table: pa.Table, name: str) -> Iterator[pa.Scalar]:
         yield from chunk
 
 
+def least_hashes(rows: DataFrame, group: str, counts: DataFrame, most: int) -> DataFrame:
+    """The rows whose hash of `doc_id`, as a `draw` from 0 to 1, lies in the share that leaves about `most` of each group.
+
+    `counts`: (group, n).  No group meets in one task; a few more than `most` may come.
+    """
+    share = counts.select(F.col(group), (F.lit(1.0) * most + 4 * most**0.5).alias("want"), "n")
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "doc_id"), 11) / F.lit(float(2**53))
+    rows = rows.withColumn("draw", draw).join(F.broadcast(share), group)  # a row per group
+    return rows.filter(F.col("draw") <= F.col("want") / F.col("n")).drop("want", "n")
+
+
 def predict(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document; see `SCHEMA`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BITS and the languages bound it
