@@ -28,10 +28,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import Words, chunked, distinct_in_text
+from lacuna.llm.common import Words, chunked
+from lacuna.llm.language_id import least_hashes
 
 BITS, RANK = 18, 8
 PREFIXES = (4, 5, 6)
@@ -114,12 +115,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, least_texts: int = 4, least_
     return Machine(float(bias), w.astype(np.float32), v)
 
 
-def train(docs: DataFrame, labels: DataFrame, teaches: Column, per_label: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
+def train(docs: DataFrame, labels: DataFrame, teaches: Column, per_label: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """A machine from the labelled rows that `teaches` (of the id) holds for; `per_label` bounds the sample."""
     marks = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     marks = marks.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))  # an id labelled twice counts once
-    order = Window.partitionBy("label").orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id")
-    chosen = marks.filter(teaches).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_label)
+    marks = marks.filter(teaches)
+    chosen = least_hashes(marks, "label", marks.groupBy("label").agg(F.count(F.lit(1)).alias("n")), per_label)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sample = texts.join(F.broadcast(chosen), "doc_id")  # two labels x per_label rows
 
@@ -127,10 +128,11 @@ def train(docs: DataFrame, labels: DataFrame, teaches: Column, per_label: int =
         for batch in batches:
             bins, at = features(batch.column(2).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(bins, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["label", "place", "bins"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["label", "draw", "bins"])
 
-    table = sample.select("label", "place", "text").mapInArrow(featurise, "label int, place int, bins array<int>").toArrow()
-    rows = sorted(zip(table.column("label").to_pylist(), table.column("place").to_pylist(), (x.values.to_numpy() for c in table.column("bins").chunks for x in c), strict=True), key=lambda r: (r[0], r[1], len(r[2])))
+    table = sample.select("label", "draw", "text").mapInArrow(featurise, "label int, draw double, bins array<int>").toArrow()
+    rows = sorted(zip(table.column("label").to_pylist(), table.column("draw").to_pylist(), (x.values.to_numpy() for c in table.column("bins").chunks for x in c), strict=True), key=lambda r: (r[0], r[1], len(r[2])))
+    rows = [r for label in (0, 1) for r in [x for x in rows if x[0] == label][:per_label]]
     return fit([r[2] for r in rows], np.array([r[0] for r in rows], np.int64))
 
 
