@@ -30,7 +30,7 @@ from lacuna.llm.common import chunked, mix64
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Pieces in store, and the most cells of one matrix.
-STORE, CELLS = 400_000, 1 << 21
+STORE, CELLS = 300_000, 1 << 20
 WIDTHS = (2, 4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64)
 _NONE = np.int32(2**31 - 1)
 
@@ -95,6 +95,7 @@ class ByteBPE:
         for token, rank in ranks.items():
             self.token[rank] = token
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # the last full store; what is met again moves on
 
     def merge_rows(self, ids: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """`ids`: a row per piece, -1 beyond its `length`.  The merged rows and lengths."""
@@ -168,14 +169,15 @@ class ByteBPE:
         """The ids of each text."""
         cut = [self.find(t) for t in texts]
         new = {p for pieces in cut for p in pieces} - self.known.keys()
-        if len(self.known) + len(new) > STORE:
-            self.known = {}
-            new = {p for pieces in cut for p in pieces}
-        if new:
-            fresh = list(new)
-            self.known.update(zip(fresh, self.encode_pieces([p.encode("utf-8", "replace") for p in fresh]), strict=True))
-        known = self.known
-        return [np.frombuffer(b"".join([known[p] for p in pieces]), np.int32) for pieces in cut]
+        known, before = self.known, self.before
+        known.update((p, before[p]) for p in new & before.keys())
+        fresh = list(new - before.keys())
+        if fresh:
+            known.update(zip(fresh, self.encode_pieces([p.encode("utf-8", "replace") for p in fresh]), strict=True))
+        out = [np.frombuffer(b"".join([known[p] for p in pieces]), np.int32) for pieces in cut]
+        if len(known) > STORE:
+            self.before, self.known = known, {}
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         token = self.token
