@@ -41,7 +41,7 @@ from lacuna.llm.components import components
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 15, 3
-BITS, FLOOR = 17, 0.02
+BITS, FLOOR = 17, 0.05
 #: Members that are compared with each other, or with one other document, in one task.
 BLOCK = 256
 SIGNATURE = "doc_id long, text_key binary, bands array<long>"
@@ -198,8 +198,9 @@ def _compare_with_one(pairs: DataFrame, texts: DataFrame, of_bin) -> DataFrame:
 
 def _compare_all(groups: DataFrame, texts: DataFrame, least: float, of_bin) -> DataFrame:
     """Links (a, b) within groups (key, doc, label) between members of different labels, block by block."""
-    n = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc") % 1_000_000_007).alias("sum"))
-    once = n.groupBy("n", "sum").agg(F.min("key").alias("key")).drop("sum")  # the same members in several bands
+    sums = [F.sum(F.xxhash64(F.lit(k), "doc") % 1_000_000_007).alias(f"sum{k}") for k in (1, 2, 3)]
+    n = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"), *sums)
+    once = n.groupBy("n", "first", "last", "sum1", "sum2", "sum3").agg(F.min("key").alias("key")).select("key", "n")  # the same members in several bands
     dealt = groups.join(once, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("against")
     tasks = dealt.select("key", "doc", "label", "block", other).select("key", "doc", "label", "block", F.least("block", "against").alias("low"), F.greatest("block", "against").alias("high"))
