@@ -311,11 +311,11 @@ def impute_bounds_clamp(spark, sf):
 
 
 @query(f"""WITH {HOUR}, {_N}, {_MCAR}, {_SPLIT.replace('n AS', 'n2 AS').replace('FROM n)', 'FROM n2)')}, x AS (SELECT o.row_id, o.col_id, o.value AS keep, CASE WHEN s.split = 'train' OR o.col_id <> 0 THEN o.value END AS value, s.split FROM obs o JOIN splits s USING (row_id))
-SELECT row_id, col_id, split, round(CASE WHEN col_id = 0 THEN keep ELSE coalesce(value, avg(value) OVER (PARTITION BY split, col_id), avg(value) OVER (PARTITION BY split)) END, 6) AS pred FROM x""")
+SELECT row_id, col_id, split, round(CASE WHEN col_id = 0 THEN keep ELSE coalesce(value, avg(value) OVER (PARTITION BY split, col_id), avg(value) OVER (PARTITION BY split)) END, 8) AS pred FROM x""")
 def impute_row_disjoint(spark, sf):
     x = observed(spark, sf, X.user_hour)
     out = impute.row_disjoint(x, C.split_rows(x, SHARE, SEED), "col_mean", target=0)
-    return rounded(out.select("row_id", "col_id", "split", "pred"), "pred")
+    return rounded(out.select("row_id", "col_id", "split", "pred"), "pred", digits=8)  # means of few short decimals end in halves
 
 
 @query(f"""WITH {HOUR}, {_N}, {_MCAR}, p AS (SELECT col_id, avg(value) AS m, greatest(stddev_pop(value), 1e-6) AS sd, min(value) AS lo, max(value) AS hi FROM obs GROUP BY 1)
