@@ -19,7 +19,7 @@ across partitions.
 
 Defined results: a null text is empty; a text without lexicon terms gets zeros;
 equal texts have equal fingerprints; null ids come last and repeated ids stand
-in the order of their texts; a single document is followed by itself; an empty
+in a fixed order of their texts; a single document is followed by itself; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,13 +145,20 @@ def fingerprint(docs: DataFrame, low: float = LOW, high: float = HIGH, id_col: s
     spark = docs.sparkSession
     lexicon = spark.sparkContext.broadcast(Lexicon(build_lexicon(docs, text_col, low, high)))  # at most MOST_TERMS
 
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts compressed one by one: they are shuffled whole."""
+        press = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press(t.as_py().encode("utf-8", "replace")) for t in batch.column(1)], pa.binary())], names=["doc_id", "packed"])
+
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All rows but the last of a partition finished; its first and last row as edges."""
         from pyspark import TaskContext
 
         part, last = TaskContext.get().partitionId(), None
+        undo = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
+            ids, texts = batch.column(0).to_pylist(), [undo(x).decode() for x in batch.column(1).to_pylist()]
             for a, b in chunked(texts):
                 marks = [_hex(p, t) for p, t in zip(lexicon.value.places(texts[a:b]), texts[a:b], strict=True)]
                 rows = list(zip(ids[a:b], texts[a:b], marks, strict=True))
@@ -171,7 +179,7 @@ def fingerprint(docs: DataFrame, low: float = LOW, high: float = HIGH, id_col: s
 
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .repartitionByRange(F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"), "text")
+        .mapInArrow(squeeze, "doc_id long, packed binary").repartitionByRange(F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"), "packed")
     )
     done = written(ordered.mapInArrow(within, _EDGES), "fingerprints")
     edges = done.filter("edge IS NOT NULL")
