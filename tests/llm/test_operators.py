@@ -366,6 +366,19 @@ def test_bands_reject_repeats_and_noise(spark):
     assert not out[1].kept and not out[2].kept and not out[1].base_failed
 
 
+def test_bands_reject_poor_wording(spark):
+    """Texts over few words compress better than good texts of their length, if by less than repeats do."""
+    poor = {}
+    for i, (vocabulary, n) in enumerate([(300, 150), (200, 150)]):
+        rng = random.Random(9)
+        words = ["".join(rng.choices("etaoinshrdlucmfwypvbgk", range(22, 0, -1), k=rng.randint(1, 9))) for _ in range(vocabulary)]
+        poor[i] = " ".join(rng.choices(words, [1 / (k + 3) for k in range(vocabulary)], k=n))
+    out = got(quality_rules.compression_bands(frame(spark, list(poor.items()))))
+    for i in poor:
+        assert 512 <= len(poor[i]) < 1024 and 1.95 < out[i].ratio < 2.1
+        assert not out[i].base_failed and not out[i].kept
+
+
 # 9. Byte-level BPE.
 
 
