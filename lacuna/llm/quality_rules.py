@@ -3,7 +3,8 @@
 A ratio is bytes before over bytes after compression.  Repetitive text has a
 high one, random text one near 1; both depend on the length, so each length
 band has limits of its own, for the whole text and for its chunks.  A text is
-kept if its own ratio and those of all its full chunks lie within the limits.
+kept if its own ratio and those of all its chunks lie within the limits; the last
+chunk is the final bytes, overlapping its predecessor, so that none is unmeasured.
 
 Besides, counts that plain rules need: words, symbols, repeated lines and
 words in repeated three-word windows.
@@ -93,7 +94,10 @@ def measure(text: str | None, compress) -> tuple:
     if not data:
         return n, chars, symbols, 0, repeats, failed, False, 0.0, 0.0, 0.0
     ratio = len(data) / len(compress(data))
-    parts = [CHUNK / len(compress(data[i : i + CHUNK])) for i in range(0, len(data) - CHUNK + 1, CHUNK)]
+    at = [*range(0, len(data) - CHUNK + 1, CHUNK)]
+    if at and len(data) % CHUNK:
+        at.append(len(data) - CHUNK)  # the rest, with as much before it as makes it full
+    parts = [CHUNK / len(compress(data[i : i + CHUNK])) for i in at]
     low, high = (min(parts), max(parts)) if parts else (ratio, ratio)
     band = next(b for b in BANDS if len(data) < b.below)
     kept = not failed and band.low <= ratio <= band.high and all(CHUNKS.low <= p <= CHUNKS.high for p in parts)

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from lacuna.llm import byte_bpe, fingerprints, language_id, near_dedup, packing, quality_rules, sharding, suffix_dedup, token_attribution, toxicity
@@ -379,6 +380,22 @@ def test_bands_reject_poor_wording(spark):
         assert not out[i].base_failed and not out[i].kept
 
 
+def test_bands_measure_the_last_bytes(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("etaoinshrdlucmfwypvbgk", range(22, 0, -1), k=rng.randint(1, 9))) for _ in range(2000)]
+    good = [" ".join(rng.choices(words, [1 / (k + 3) for k in range(2000)], k=n)) for n in (3000, 5000)]
+    noise = base64.b64encode(rng.randbytes(3000)).decode()
+    rows = [(i, t[: 4096 * k]) for i, t, k in ((1, good[0], 1), (2, good[1], 4))]
+    rows += [(i + 2, t + noise) for i, t in rows] + [(5, good[1][:10_000])]
+    out = got(quality_rules.compression_bands(frame(spark, rows)))
+    assert all(out[i].chunk_low > 1.5 for i in (1, 2, 5))
+    for i in (3, 4):
+        assert out[i].chunk_low < 1.5 and not out[i].base_failed and not out[i].kept
+    press = zstandard.ZstdCompressor(level=quality_rules.LEVEL).compress
+    parts = [4096 / len(press(rows[4][1][k : k + 4096].encode())) for k in (0, 4096, 10_000 - 4096)]
+    assert (out[5].chunk_low, out[5].chunk_high) == (min(parts), max(parts))
+
+
 # 9. Byte-level BPE.
 
 
