@@ -4,9 +4,10 @@ The lexicon holds the terms whose share of documents lies within a band, that
 is, whose inverse document frequency does.  As a document has a bounded number
 of distinct terms on average, at most (that number / the band's lower end) terms
 can be that frequent, however large the corpus: the lexicon is of bounded size
-and its size is checked before it is sent out.  Each of `SUBSETS` random
-lexicons keeps one in `ONE_IN` of its terms.  A fingerprint is the hash of a
-text's distinct terms, sorted, for each of these lexicons; a lexicon without a
+and its size is checked before it is sent out.  Its terms are dealt at random
+to `SUBSETS` lexicons, each to one, so that none is left out and a text with a
+term of the lexicon has a place that is not empty.  A fingerprint is the hash of
+a text's distinct terms, sorted, for each of these lexicons; a lexicon without a
 term of the text gives an empty place, written as zeros.
 
 Likeness of two fingerprints: the share of places that agree among those where
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lacuna.llm.common import Words, chunked, distinct_in_text, mix64, written
 
-SUBSETS, ONE_IN = 64, 160
+SUBSETS = 128
 #: The band: terms in at least one of 2,000 and at most one of 5 documents.
 LOW, HIGH = 1 / 2000, 1 / 5
 #: Terms a lexicon may have; beyond that `build_lexicon` asks for a narrower band.
@@ -68,17 +69,12 @@ def build_lexicon(docs: DataFrame, text_col: str, low: float, high: float) -> np
 
 
 class Lexicon:
-    """The terms, and for each the random lexicons that keep it."""
+    """The terms, and for each the random lexicon that it is dealt to."""
 
-    def __init__(self, terms: np.ndarray, subsets: int = SUBSETS, one_in: int = ONE_IN, seed: int = 5):
+    def __init__(self, terms: np.ndarray, subsets: int = SUBSETS, seed: int = 5):
         self.terms, self.subsets = terms, subsets
-        keys = mix64(np.arange(seed, seed + subsets, dtype=np.uint64))
-        keep = [np.flatnonzero(mix64(terms + key) % np.uint64(one_in) == 0) for key in keys]
-        flat = np.concatenate(keep) if keep else np.zeros(0, np.int64)
-        which = np.repeat(np.arange(subsets), [len(k) for k in keep])
-        order = np.lexsort((which, flat))
-        self.which = which[order]
-        self.first = np.searchsorted(flat[order], np.arange(len(terms) + 1))
+        key = mix64(np.array([seed], np.uint64))
+        self.which = (mix64(terms + key) % np.uint64(subsets)).astype(np.int64)
 
     def places(self, texts: list[str]) -> np.ndarray:
         """For each text and random lexicon the hash of the sorted distinct terms; 0 where there is none."""
@@ -90,10 +86,7 @@ class Lexicon:
         hit = self.terms[at] == words.hash
         pairs = np.unique(words.of()[hit] * len(self.terms) + at[hit])  # by text, then term: sorted and distinct
         text, term = pairs // len(self.terms), pairs % len(self.terms)
-        n = self.first[term + 1] - self.first[term]
-        index = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[term], n)
-        cell = np.repeat(text, n) * self.subsets + self.which[index]
-        value = np.repeat(self.terms[term], n)
+        cell, value = text * self.subsets + self.which[term], self.terms[term]
         order = np.argsort(cell, kind="stable")  # within a place the terms stay sorted
         cell, value = cell[order], value[order]
         if not len(cell):
@@ -108,7 +101,8 @@ class Lexicon:
 
 def _hex(places: np.ndarray, text: str) -> str:
     whole = hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest() if not places.any() else ""
-    return (places >> np.uint64(32)).astype(">u4").tobytes().hex() + whole
+    short = np.maximum(places >> np.uint64(32), (places != 0).astype(np.uint64))  # zeros are for empty places
+    return short.astype(">u4").tobytes().hex() + whole
 
 
 def likeness(a: str, b: str, subsets: int = SUBSETS) -> float:

@@ -441,6 +441,18 @@ def test_fingerprints(spark, odd, empty):
     assert len(one) == 1 and one[0].near_next == 1
 
 
+def test_every_lexicon_term_is_in_a_fingerprint():
+    from lacuna.llm.common import Words
+
+    words = [f"term{k}" for k in range(500)]
+    lexicon = fingerprints.Lexicon(np.sort(Words(words).hash[: len(words)]))
+    assert lexicon.places(words).any(axis=1).all()
+    text = " ".join(words)
+    without = [" ".join(words[:k] + words[k + 1 :]) for k in range(len(words))]
+    places = lexicon.places([text, *without])
+    assert ((places[1:] != places[0]).sum(axis=1) == 1).all()
+
+
 def test_lexicon_is_the_band(spark):
     from lacuna.llm.common import Words
 
