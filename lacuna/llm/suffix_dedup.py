@@ -9,11 +9,14 @@ next, with the rest of its last span: phrases overlap so that every span lies
 whole in one, and equal spans have equal triggers, at the same place.
 
 1. Blocks of documents report which triggers they hold; only triggers that two
-   documents hold can belong to a repeated span.  Four bytes for a trigger.
+   documents hold can belong to a repeated span.  Four bytes for a trigger, and
+   four for its phrases in the block where these are more than one.
 2. For those, each block sends its distinct phrases and the least id of each,
    by trigger.  A document that repeats a phrase of a smaller id in its own
    block is answered on the spot, so a passage that many documents share is
-   sent once by each block.
+   sent once by each block.  Triggers with more than `HOT` phrases, such as that at
+   the edge of a common passage, are not kept together: their spans are sent one by
+   one, by a hash of their bytes, so equal ones still meet.
 3. A task has all phrases of some triggers.  Their distinct strings are the
    dictionary.  Its suffix array, sorted to the depth of a span, puts equal
    spans side by side; each entry stands for all places of its phrase in the
@@ -46,6 +49,8 @@ from lacuna.llm.common import mix64
 SPAN, GRAM = 50, 20
 #: Bytes of text in a block of documents, and for a bucket of triggers.
 BLOCK, BUCKET = 6 << 20, 4 << 20
+#: Phrases of a trigger beyond which its spans are dealt by their own bytes.
+HOT = 1 << 13
 #: Positions hashed at a time: few enough for a core's cache.
 STEP = 1 << 15
 LAST = np.int64(2**63 - 1)
@@ -150,15 +155,36 @@ def _report(buckets: int):
         new = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
         several = np.minimum.reduceat(d, new) != np.maximum.reduceat(d, new) if len(new) else np.zeros(0, bool)
         t = t[new]
-        rows = [(b, _low(t[at][~several[at]]).tobytes(), _low(t[at][several[at]]).tobytes()) for b, at in _by_bucket(_bucket(t, buckets))]
-        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([key[0].as_py()] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], names=["bucket", "block", "once", "several"])
+        phrases = _phrase_counts(data, parse, order, new)
+        rows = [(b, _low(t[at][~several[at]]).tobytes(), _low(t[at][several[at]]).tobytes(), phrases[at][several[at]].tobytes()) for b, at in _by_bucket(_bucket(t, buckets))]
+        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([key[0].as_py()] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=["bucket", "block", "once", "several", "phrases"])
 
     return run
 
 
-def _shared(key: tuple, table: pa.Table) -> pa.Table:
-    """Step 1, a bucket: for each block its triggers that two documents hold."""
-    once, several = ([np.frombuffer(x, np.uint32) for x in table.column(c).to_pylist()] for c in ("once", "several"))
+def _phrase_counts(data: np.ndarray, parse: Parse, order: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """How many phrases each trigger has; `order` sorts by trigger, whose runs begin at `new`.  From eight on, equal ones count once."""
+    n = np.diff(np.append(new, len(order)))
+    many = np.flatnonzero(n >= 8)
+    if len(many):
+        at = order[np.repeat(n >= 8, n)]
+        code, _ = _distinct(cut_out(data, parse.first[at], parse.spans[at] + SPAN - 1), parse.spans[at] + SPAN - 1)
+        pairs = np.unique((np.repeat(np.arange(len(many)), n[many]) << 32) | code)
+        n[many] = np.bincount(pairs >> 32, minlength=len(many))
+    return n.astype(np.uint32)
+
+
+def _hot(every: np.ndarray, several: np.ndarray, phrases: np.ndarray, hot: int) -> np.ndarray:
+    """The triggers with more than `hot` phrases; `every` has each once per block, sorted."""
+    some, code = np.unique(several, return_inverse=True)
+    more = np.bincount(code, phrases.astype(np.float64) - 1, minlength=len(some))
+    total = more + np.searchsorted(every, some, "right") - np.searchsorted(every, some)
+    return np.union1d(some[total > hot], every[hot:][every[hot:] == every[: len(every) - hot]] if len(every) > hot else every[:0])
+
+
+def _shared(key: tuple, table: pa.Table, hot: int = HOT) -> pa.Table:
+    """Step 1, a bucket: for each block its triggers that two documents hold, and those of them with many phrases."""
+    once, several, phrases = ([np.frombuffer(x, np.uint32) for x in table.column(c).to_pylist()] for c in ("once", "several", "phrases"))
     alone = np.concatenate(once)
     every = np.sort(np.concatenate([alone, *several]))
     many = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *several]))
@@ -166,8 +192,10 @@ def _shared(key: tuple, table: pa.Table) -> pa.Table:
     ends = np.cumsum([len(o) for o in once])
     out = [np.concatenate([o[h], s]) for o, h, s in zip(once, np.split(hit, ends[:-1]), several, strict=True)]
     keep = [i for i, x in enumerate(out) if len(x)]
+    crowded = _hot(every, np.concatenate(several), np.concatenate(phrases), hot)
+    hots = [x[np.isin(x, crowded)] for x in out]
     blocks = table.column("block").to_pylist()
-    return pa.table([pa.array([blocks[i] for i in keep], pa.int64()), pa.array([key[0].as_py()] * len(keep), pa.int64()), pa.array([out[i].tobytes() for i in keep], pa.binary())], names=["block", "bucket", "triggers"])
+    return pa.table([pa.array([blocks[i] for i in keep], pa.int64()), pa.array([key[0].as_py()] * len(keep), pa.int64()), *(pa.array([x[i].tobytes() for i in keep], pa.binary()) for x in (out, hots))], names=["block", "bucket", "triggers", "hot"])
 
 
 _PHRASES = "bucket long, block long, row binary, start binary, spans binary, least binary, bytes binary, own binary"
@@ -184,10 +212,15 @@ def _send(buckets: int):
             _, ids, data, ends = _documents(docs)
             parse = Parse(data, ends)
             bucket = _bucket(parse.trigger, buckets)
-            found = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(t, np.uint32).astype(np.uint64) for b, t in zip(shared.column("bucket").to_pylist(), shared.column("triggers").to_pylist(), strict=True)]))
+            found, hot = (
+                np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(t, np.uint32).astype(np.uint64) for b, t in zip(shared.column("bucket").to_pylist(), shared.column(c).to_pylist(), strict=True)]))
+                for c in ("triggers", "hot")
+            )
             mine = (bucket.astype(np.uint64) << np.uint64(32)) | _low(parse.trigger).astype(np.uint64)
             hit = found[np.minimum(np.searchsorted(found, mine), len(found) - 1)] == mine
             first, spans, doc, bucket = parse.first[hit], parse.spans[hit], parse.doc[hit], bucket[hit]
+            if len(hot):
+                first, spans, doc, bucket = _split(data, first, spans, doc, bucket, np.isin(mine[hit], hot), buckets)
             begin = np.append(0, ends[:-1])
             block = docs.column("block")[0].as_py()
             press = zstandard.ZstdCompressor(level=3).compress
@@ -212,6 +245,19 @@ def _send(buckets: int):
     return run
 
 
+def _split(data, first, spans, doc, bucket, hot, buckets: int):
+    """The same phrases, but the hot ones as single spans, dealt by their bytes; in order of place."""
+    n = np.where(hot, spans, 1)
+    at = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    single, to = np.repeat(hot, n), np.repeat(bucket, n)
+    begins = at[single]
+    h = np.zeros(len(begins), np.uint64)
+    for k in range(SPAN):
+        h = h * _ODD[0] + _BYTE[data[begins + k]]
+    to[single] = _bucket(mix64(h), buckets)
+    return at, np.where(single, 1, np.repeat(spans, n)), np.repeat(doc, n), to
+
+
 def _distinct(text: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """The number of each string among the distinct ones, and these."""
     offsets = np.append(0, np.cumsum(length)).astype(np.int32)
@@ -323,22 +369,22 @@ def _measure(docs: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table([docs.column("doc_id").take(pa.array(order)), *(pa.array([r[k] for r in rows], kinds[k]) for k in range(4))], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
 
-def _answers(docs: DataFrame, id_col: str, text_col: str, extra: dict | None = None) -> tuple[DataFrame, DataFrame]:
+def _answers(docs: DataFrame, id_col: str, text_col: str, extra: dict | None = None, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """The documents by block, and what each block has to cut."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
     blocks, buckets = max(1, math.ceil(total / BLOCK)), max(1, math.ceil(total / BUCKET))
     block = F.pmod(F.xxhash64(F.lit("block"), F.col(id_col)), F.lit(blocks))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), block.alias("block"), *[F.col(c).alias(n) for n, c in (extra or {}).items()])
-    reported = plain.groupBy("block").applyInArrow(_report(buckets), "bucket long, block long, once binary, several binary")
-    shared = reported.groupBy("bucket").applyInArrow(_shared, "block long, bucket long, triggers binary")
+    reported = plain.groupBy("block").applyInArrow(_report(buckets), "bucket long, block long, once binary, several binary, phrases binary")
+    shared = reported.groupBy("bucket").applyInArrow(lambda key, table: _shared(key, table, hot), "block long, bucket long, triggers binary, hot binary")
     sent = plain.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send(buckets), _PHRASES)
     return plain, sent.groupBy("bucket").applyInArrow(_answer, "block long, row binary, start binary, bits binary")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row per document; see `SCHEMA`."""
-    plain, answers = _answers(docs, id_col, text_col)
+    plain, answers = _answers(docs, id_col, text_col, hot=hot)
     return plain.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_measure, SCHEMA)
 
 

@@ -459,3 +459,24 @@ def test_lexicon_is_the_band(spark):
     docs = frame(spark, [(k, "common " + ("half " if k % 2 else "") + f"rare{k}") for k in range(100)])
     terms = fingerprints.build_lexicon(docs, "text", 0.1, 0.6)
     assert terms.tolist() == Words(["half"]).hash.tolist()
+
+
+def test_a_common_passage_is_dealt_over_buckets(spark):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    passage = "".join(rng.choices(letters, k=70))
+    texts = [("".join(rng.choices(letters, k=40)) + passage + "".join(rng.choices(letters, k=40))).encode() for _ in range(12_000)]
+    docs = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.binary()), "block": pa.array([0] * len(texts), pa.int64())})
+    buckets = 64
+    reported = suffix_dedup._report(buckets)((pa.scalar(0),), docs)
+    rows = [suffix_dedup._shared((pa.scalar(b),), reported.filter(pc.equal(reported.column("bucket"), b))) for b in set(reported.column("bucket").to_pylist())]
+    sent = suffix_dedup._send(buckets)(docs, pa.concat_tables(rows))
+    held = [len(x) for x in sent.column("spans").to_pylist()]
+    assert len(held) > buckets / 2 and max(held) < sum(held) / 8
+
+    few = frame(spark, [(i % 250, t.decode()) for i, t in enumerate(texts[:300])] + [(900 + i, t[7:130].decode()) for i, t in enumerate(texts[:40])])
+    plain, split = (sorted((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.repeated_spans(few, hot=h).collect()) for h in (1 << 40, 3))
+    assert plain == split and sum(r[2] for r in plain) > 0
