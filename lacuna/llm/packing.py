@@ -10,8 +10,9 @@ none has, the roomiest takes what fits and the remainder is placed again.  So a
 group leaves less than one sequence of padding.
 
 Tokenizing: the tokenizer drops white space and never looks across it, so a
-text's ids are those of its words in turn; words met before are kept in a store
-of bounded size.
+text's ids are those of its words in turn.  The distinct words of a batch of
+texts are looked up once, and words met before are kept in a store of bounded
+size.
 
 Defined results: a null or empty text has the end id alone; repeated rows are
 packed as documents of their own; an empty table gives no rows; other columns
@@ -42,7 +43,21 @@ GROUP = 2048
 #: Cost of a piece of n ids: n + QUADRATIC * n * n.
 QUADRATIC = 1 / 4096
 
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?=\s)")
+#: Words whose ids are found without the tokenizer's own preparation: lower-case ASCII and Latin-1 letters, which it
+#: leaves as they are, digits and signs; its contractions begin with an apostrophe, which is none of them.
+_PLAIN = re.compile(r"[!-&(-@\[-`a-z{-~\u00e0-\u00f6\u00f8-\u00ff]+").fullmatch
+#: How the tokenizer cuts such words.
+_PARTS = re.compile(r"[a-z\u00e0-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00e0-\u00f6\u00f8-\u00ff0-9]+").findall
+#: Kinds of bytes: blanks 0, lower-case ASCII letters 2, stops 3, all others 1.
+_KIND = np.ones(256, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]], _KIND[97:123], _KIND[[44, 46]] = 0, 2, 3
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves, others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 class WordTokenizer:
@@ -53,31 +68,69 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.code = "H" if self.kind is np.uint16 else "I"
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}  # the last full store; what is met again moves on
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as integers of `kind`."""
-        cut = []
-        for t in texts:
-            data = t.encode("utf-8", "replace")
-            if b"<|" not in data:  # else a special token's name might arise
-                data = _STOP.sub(rb" \1", data.lower())  # the tokenizer lowers anyway, and parts letters from stops
-            cut.append(data.split())
-        new = {w for words in cut for w in words} - self.known.keys()
-        known, before = self.known, self.before
-        known.update((w, before[w]) for w in new & before.keys())
-        fresh = list(new - before.keys())
-        if fresh:
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-            known.update((w, array(self.code, e.ids).tobytes()) for w, e in zip(fresh, found, strict=True))
-        out = [b"".join([known[w] for w in words]) for words in cut]
-        if len(known) > STORE:
-            self.before, self.known = known, {}
+    def _part(self, part: str) -> bytes:
+        """The ids of one of `_PARTS`."""
+        key = part.encode()
+        found = self.known.get(key) or self.before.get(key)
+        if found is None:
+            letters = part if part.isascii() else key.decode("latin-1").translate(self.letters)
+            found = array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+        self.known[key] = found
+        return found
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of the distinct `words`."""
+        known, before, rest = self.known, self.before, []
+        out = [known.get(w) for w in words]
+        for k, w in enumerate(words):
+            if out[k] is not None:
+                continue
+            if (found := before.get(w)) is not None:
+                known[w] = out[k] = found
+            elif b"<|" not in w and _PLAIN(x := w.decode()):
+                parts = _PARTS(x)
+                known[w] = out[k] = self._part(x) if len(parts) == 1 else b"".join([self._part(p) for p in parts])
+            else:
+                rest.append(k)
+        if rest:
+            found = self.tokenizer.encode_batch_fast([words[k].decode() for k in rest], add_special_tokens=False)
+            for k, e in zip(rest, found, strict=True):
+                known[words[k]] = out[k] = array(self.code, e.ids).tobytes()
         return out
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, as integers of `kind`."""
+        parts = [t.encode("utf-8", "replace") for t in texts]
+        # The tokenizer lowers anyway; only a special token's name might arise.
+        parts = [p if b"<|" in p else p.lower() for p in parts]
+        data = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        kind = _KIND[data]
+        mark = kind != 0
+        first = mark.copy()
+        first[1:] &= kind[:-1] == 0
+        # The tokenizer parts letters from stops, so a word's last stop is a word of its own.
+        first[1:-1] |= (kind[1:-1] == 3) & (kind[:-2] == 2) & (kind[2:] == 0)
+        offsets = np.append(np.flatnonzero(first[mark]), np.count_nonzero(mark)).astype(np.int32)
+        words = pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[mark])]).dictionary_encode()
+        which = words.indices.to_numpy()
+        found = self._ids(words.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(found), self.kind)
+        length = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.kind).itemsize
+        start, n = (np.cumsum(length) - length)[which], length[which]
+        upto = np.append(0, np.cumsum(n))
+        ids = flat[np.repeat(start - upto[:-1], n) + np.arange(upto[-1])]
+        if len(self.known) > STORE:
+            self.before, self.known = self.known, {}
+        return np.split(ids, upto[np.searchsorted(np.flatnonzero(first), ends[:-1])])
+
 
 _HELD: dict[str, WordTokenizer] = {}
 
@@ -97,13 +150,13 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
-        end = np.array([end_id], tokenizer.kind).tobytes()
+        end = np.array([end_id], tokenizer.kind)
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-            for low, high in chunked(texts):
+            for low, high in chunked(texts, 2 << 20):
                 rows = []
                 for doc_id, data in zip(doc_ids[low:high], tokenizer.encode(texts[low:high]), strict=True):
-                    ids = np.frombuffer(data + end, tokenizer.kind)
+                    ids = np.append(data, end)
                     for start in range(0, len(ids), capacity):
                         part = ids[start : start + capacity]
                         full = len(part) == capacity
