@@ -1,15 +1,16 @@
 """Hierarchical weighted hash tree: region -> rack -> shard, DataFrame functions only.
 
-Every shard has a weight, and each row draws one exponential per shard,
-``-ln(u) / weight`` with ``u`` from a hash of the row's key and the shard's
-number.  A node of the tree (a region or a rack) draws the least of what the
-shards below it drew, which is again an exponential whose rate is the node's
-whole weight.  A row descends from the root: it takes the region with the least
-draw, in it the rack, in that the shard, so each level is a weighted hash draw.
-
-Because a subtree's draw depends on nothing outside it, a changed weight moves
-rows only into or out of the subtree that changed, and an added shard takes
-rows only into itself.  Placement needs no shuffle and no state.
+A row descends from the root.  At each level every child of the node it stands
+in draws an exponential, ``-ln(u) / weight``, with ``u`` from a hash of the
+row's key, the level and the child's number, and `weight` the sum of the shards
+below; the least draw wins.  So a child is taken with its share of the node's
+weight, and a row costs the children along one path, not all shards.
+
+A draw depends on nothing but the child's own number and weight.  A change of
+weights inside a subtree whose whole weight stays moves rows only inside it; a
+heavier or lighter subtree takes rows from its siblings, or gives them up, only
+at the levels where a weight changed.  An added shard in a region of its own
+takes rows only into itself (`grown`).  Placement needs no shuffle and no state.
 
 Slots are dealt in two steps: rows of a shard fall into hash buckets whose
 counts (shards x buckets, a bound fixed by configuration) are summed up into
@@ -24,6 +25,7 @@ ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,26 +47,44 @@ def even_tree(n_shards: int, per_rack: int = 4, racks_per_region: int = 2) -> li
     return [Shard(i // (per_rack * racks_per_region), i // per_rack, i) for i in range(n_shards)]
 
 
-def _least(draws: list[Column]) -> Column:
-    return draws[0] if len(draws) == 1 else F.least(*draws)
+def grown(leaves: list[Shard], weight: float = 1.0) -> list[Shard]:
+    """The tree with one more shard, in a region of its own, so that no other draw changes."""
+    new = Shard(*(max((getattr(x, f) for x in leaves), default=-1) + 1 for f in ("region", "rack", "shard")), weight)
+    return [*leaves, new]
 
 
-def _choose(options: list[tuple[Column, Column]]) -> Column:
-    """The value of the option with the least draw; the first of equal ones."""
-    best = _least([d for d, _ in options])
-    out = options[-1][1]
-    for draw, value in reversed(options[:-1]):
-        out = F.when(draw == best, value).otherwise(out)
-    return out
+LEVELS = ("region", "rack", "shard")
 
 
-def _descend(leaves: list[Shard], draw: dict[int, Column], levels=("region", "rack")) -> Column:
-    if not levels:
-        return _choose([(draw[x.shard], F.lit(x.shard)) for x in leaves])
-    below: dict[int, list[Shard]] = {}
+def _children(leaves: list[Shard]) -> list[dict[tuple[int, ...], dict[int, float]]]:
+    """For each level: the children of every node (its path from the root), with their weights."""
+    out: list[dict] = [{} for _ in LEVELS]
     for x in leaves:
-        below.setdefault(getattr(x, levels[0]), []).append(x)
-    return _choose([(_least([draw[x.shard] for x in part]), _descend(part, draw, levels[1:])) for part in below.values()])
+        path = tuple(getattr(x, f) for f in LEVELS)
+        for k in range(len(LEVELS)):
+            node = out[k].setdefault(path[:k], {})
+            node[path[k]] = node.get(path[k], 0.0) + x.weight
+    return out
+
+
+def _drawn(key: Column, salt: str, level: str) -> Callable[[Column], Column]:
+    """What a child draws, and its number."""
+
+    def draw(kid: Column) -> Column:
+        u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(salt), F.lit(level), kid["child"]), 11) + F.lit(0.5)) / F.lit(float(2**53))
+        return F.struct((-F.ln(u) / kid["weight"]).alias("draw"), kid["child"].alias("child"))
+
+    return draw
+
+
+def _descend(key: Column, salt: str, leaves: list[Shard]) -> Column:
+    """The shard of a row: the child of least draw at each level; of equal ones the one with the least number."""
+    path = F.lit("")
+    for level, nodes in zip(LEVELS, _children(leaves), strict=True):
+        table = F.create_map(*[x for at, kids in nodes.items() for x in (F.lit("/".join(map(str, at))), F.array(*[F.struct(F.lit(i).alias("child"), F.lit(w).alias("weight")) for i, w in sorted(kids.items())]))])
+        child = F.array_min(F.transform(F.element_at(table, path), _drawn(key, salt, level)))["child"]
+        path = child.cast("string") if level == LEVELS[0] else F.concat(path, F.lit("/"), child.cast("string"))
+    return child
 
 
 def place(df: DataFrame, key: str, trees: dict[str, list[Shard]], salt: str = "shard") -> DataFrame:
@@ -74,19 +94,7 @@ def place(df: DataFrame, key: str, trees: dict[str, list[Shard]], salt: str = "s
         raise ValueError("a tree needs a shard of positive weight")
     if any(len({x.shard for x in t}) < len(t) for t in trees.values()):
         raise ValueError("shard numbers repeat")
-    kept = df.columns
-    drawn: dict[tuple[int, float], str] = {}
-    for leaves in trees.values():
-        for x in leaves:
-            drawn.setdefault((x.shard, x.weight), f"__draw_{len(drawn)}")
-
-    def draw(shard: int, weight: float) -> Column:
-        u = (F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(salt), F.lit(shard)), 11) + F.lit(0.5)) / F.lit(float(2**53))
-        return -F.ln(u) / F.lit(float(weight))
-
-    df = df.select("*", *(draw(*k).alias(name) for k, name in drawn.items()))
-    picks = [_descend(t, {x.shard: F.col(drawn[x.shard, x.weight]) for x in t}).alias(name) for name, t in trees.items()]
-    return df.select(*kept, *picks)
+    return df.select("*", *[_descend(F.col(key), salt, t).alias(name) for name, t in trees.items()])
 
 
 def number_slots(df: DataFrame, shard: str, key: str, order: list[str], slot: str = "slot", buckets: int | None = None) -> DataFrame:
@@ -114,7 +122,7 @@ def number_slots(df: DataFrame, shard: str, key: str, order: list[str], slot: st
 def shard_documents(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law ('key'), shard, slot, grown_shard."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    placed = place(docs, id_col, {"__at": even_tree(n_shards), "__grown": even_tree(n_shards + 1)})
+    placed = place(docs, id_col, {"__at": even_tree(n_shards), "__grown": grown(even_tree(n_shards))})
     rows = placed.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
