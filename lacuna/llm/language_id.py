@@ -2,7 +2,8 @@
 
 Features are hashed n-grams (1 to 3 characters) of the lower-cased text, runs
 of anything but letters read as one blank.  Document frequencies are counted
-over all texts; a text's vector is ``(1 + ln tf) * idf``, scaled to length 1.
+over all rows that teach (labelled, not held out), and over no others; a text's
+vector is ``(1 + ln tf) * idf``, scaled to length 1.
 
 The weights are learned by follow-the-regularised-leader with elastic-net
 penalties (L1 keeps them sparse) from a bounded sample: the `per_language`
@@ -21,6 +22,7 @@ ignored.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,9 +39,9 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
 def _classes() -> np.ndarray:
-    """For each code point of the basic plane: its lower case if it is a letter, else a blank."""
-    out = np.full(1 << 16, 32, np.uint32)
-    for c in range(1 << 16):
+    """For each code point of all planes: its lower case if it is a letter, else a blank."""
+    out = np.full(sys.maxunicode + 1, 32, np.uint32)
+    for c in range(len(out)):
         x = chr(c)
         if x.isalpha():
             low = x.lower()
@@ -55,7 +57,7 @@ def bins(text: str) -> np.ndarray:
     if not _FOLD:
         _FOLD.append(_classes())
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    codes = np.where(codes < 1 << 16, _FOLD[0][np.minimum(codes, (1 << 16) - 1)], codes)
+    codes = _FOLD[0][codes]
     letter = codes != 32
     if not letter.any():
         return np.zeros(0, np.uint32)
@@ -171,9 +173,9 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def train(docs: DataFrame, teaches: Column, per_language: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from rows that `teaches` holds for; `per_language` bounds the sample."""
-    df, total = document_frequencies(docs, text_col)
-    idf = np.log((1 + total) / (1 + df)) + 1
     rows = docs.filter(teaches & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    df, total = document_frequencies(rows, text_col)
+    idf = np.log((1 + total) / (1 + df)) + 1
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sample = least_hashes(rows, "lang", rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), per_language)
 

@@ -2,7 +2,9 @@
 
 import base64
 import collections
+import dataclasses
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -101,13 +103,57 @@ def test_shards_slots_and_growth(spark, odd, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def brute_place(key, leaves, salt="shard"):
+    """The descent, one row at a time, over the hashes that Spark gives."""
+    nodes, out = [x for x in leaves if x.weight > 0], None
+    for level in ("region", "rack", "shard"):
+        weights = collections.defaultdict(float)
+        for x in nodes:
+            weights[getattr(x, level)] += x.weight
+        out = min((-math.log(((key[level, child] % 2**64 >> 11) + 0.5) / 2**53) / w, child) for child, w in weights.items())[1]
+        nodes = [x for x in nodes if getattr(x, level) == out]
+    return out
+
+
+def test_placement_equals_brute_force(spark):
+    tree = [sharding.Shard(0, 0, 0, 2.0), sharding.Shard(0, 0, 1, 0.5), sharding.Shard(0, 1, 2), sharding.Shard(1, 2, 3, 3.0), sharding.Shard(1, 3, 4, 0.0)]
+    hashes = [F.xxhash64("doc_id", F.lit("shard"), F.lit(level), F.lit(child)).alias(f"{level}_{child}") for level in ("region", "rack", "shard") for child in range(5)]
+    for r in sharding.place(spark.range(300).withColumnRenamed("id", "doc_id"), "doc_id", {"to": tree}).select("to", *hashes).collect():
+        assert r.to == brute_place({(level, child): r[f"{level}_{child}"] for level in ("region", "rack", "shard") for child in range(5)}, tree)
+
+
+def moves(spark, before, after):
+    rows = sharding.place(spark.range(20_000).withColumnRenamed("id", "doc_id"), "doc_id", {"a": before, "b": after}).groupBy("a", "b").count().collect()
+    return {(r.a, r.b): r["count"] for r in rows if r.a != r.b}, collections.Counter({r.b: 0 for r in rows}) + sum((collections.Counter({r.b: r["count"]}) for r in rows), collections.Counter())
+
+
 def test_only_changed_subtrees_move(spark):
-    ids = spark.range(20_000).withColumnRenamed("id", "doc_id")
     before = sharding.even_tree(16)
-    heavier = [sharding.Shard(s.region, s.rack, s.shard, 3.0 if s.shard == 5 else 1.0) for s in before]
-    rows = sharding.place(ids, "doc_id", {"a": before, "b": heavier}).groupBy("a", "b").count().collect()
-    assert all(r.a == r.b or r.b == 5 for r in rows)
-    assert abs(sum(r["count"] for r in rows if r.b == 5) / 20_000 - 3 / 18) < 0.02
+    heavier = [dataclasses.replace(s, weight=3.0 if s.shard == 5 else 1.0) for s in before]
+    moved, held = moves(spark, before, heavier)
+    of = {s.shard: s for s in before}
+    # Into the region, inside the region into the rack, inside the rack into the shard.
+    for a, b in moved:
+        x, y = of[a], of[b]
+        assert y.region == 0 if x.region != y.region else y.rack == 1 if x.rack != y.rack else b == 5
+    assert abs(held[5] / 20_000 - 3 / 18) < 0.02 and abs(held[0] / 20_000 - 1 / 18) < 0.01
+
+
+def test_a_swap_inside_a_region_stays_inside(spark):
+    before = sharding.even_tree(16)
+    swapped = [dataclasses.replace(s, weight={0: 2.0, 1: 0.5}.get(s.rack, 1.0)) for s in before]
+    swapped = [dataclasses.replace(s, weight=s.weight * (8 / 10 if s.region == 0 else 1)) for s in swapped]
+    moved, _ = moves(spark, before, swapped)
+    of = {s.shard: s for s in before}
+    assert moved and all(of[a].region == of[b].region == 0 and of[a].rack == 1 and of[b].rack == 0 for a, b in moved)
+    inner = [dataclasses.replace(s, weight={4: 1.5, 5: 0.5}.get(s.shard, 1.0)) for s in before]
+    assert all({a, b} <= {4, 5, 6, 7} and (a == 5 or b == 4) for a, b in moves(spark, before, inner)[0])
+
+
+def test_a_grown_tree_takes_rows_only_into_the_new_shard(spark):
+    for n in (1, 5, 11, 16):
+        moved, held = moves(spark, sharding.even_tree(n), sharding.grown(sharding.even_tree(n)))
+        assert moved and {b for _, b in moved} == {n} and abs(held[n] / 20_000 - 1 / (n + 1)) < 0.02
 
 
 # 3 and 5. Language and toxicity.
@@ -136,6 +182,27 @@ def test_language_held_out_and_edges(spark, odd, empty):
     assert sorted(r.doc_id for r in language_id.keep_known(docs.unionByName(frame(spark, [(900, "123 ..."), (901, None)])), ~held).collect()) == [k for k, *_ in rows]
 
 
+def test_letters_of_all_planes(spark):
+    rows = tongues(60)
+    docs = frame(spark, [(k, t) for k, t, _ in rows], [lang for *_, lang in rows])
+    model = language_id.train(docs, F.lit(True))
+    odd = frame(spark, [(1, "\U0001f600 \U0001f680 123"), (2, "\U00010400\U00010401"), (3, "\u2014\u00a0\u0301"), (4, "ein ich\U0001f600")])
+    out = got(language_id.predict(odd, model, F.lit(False)))
+    assert (out[1].lang_pred, out[1].score) == (out[3].lang_pred, out[3].score) == ("und", 0.0) and out[4].lang_pred == "aa"
+    assert out[2].lang_pred in ("aa", "bb", "cc")
+    assert language_id.bins("\U00010400").tolist() == language_id.bins("\U00010428").tolist()  # an upper and its lower case
+
+
+def test_only_teaching_rows_teach(spark):
+    """Held-out texts and rows without a language change nothing in the model."""
+    rows = tongues(90)
+    docs = frame(spark, [(k, t) for k, t, _ in rows], [lang for *_, lang in rows])
+    held = language_id.remainder("doc_id", 3) == 1
+    others = frame(spark, [(k, "zzz qqq " + prose(30)) for k in range(1000, 1060)], [["aa", None][zlib.crc32(str(k).encode()) % 3 != 1] for k in range(1000, 1060)])
+    a, b = language_id.train(docs, ~held), language_id.train(docs.unionByName(others), ~held)
+    assert np.array_equal(a.idf, b.idf) and np.array_equal(a.weights, b.weights) and a.temperature == b.temperature
+
+
 def test_temperature_and_sample_bound(spark):
     logits = np.random.default_rng(0).normal(size=(500, 3)) * 9
     labels = np.array([np.random.default_rng(k).choice(3, p=language_id.softmax(z / 4)) for k, z in enumerate(logits)])
