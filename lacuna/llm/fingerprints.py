@@ -3,12 +3,18 @@
 The lexicon holds the terms whose share of documents lies within a band, that
 is, whose inverse document frequency does.  As a document has a bounded number
 of distinct terms on average, at most (that number / the band's lower end) terms
-can be that frequent, however large the corpus: the lexicon is of bounded size
-and its size is checked before it is sent out.  Its terms are dealt at random
-to `SUBSETS` lexicons, each to one, so that none is left out and a text with a
-term of the lexicon has a place that is not empty.  A fingerprint is the hash of
-a text's distinct terms, sorted, for each of these lexicons; a lexicon without a
-term of the text gives an empty place, written as zeros.
+can be that frequent, however large the corpus: the lexicon is of bounded size.
+Where it would still have more than `MOST_TERMS`, the lower end is doubled until
+it has not.  A fingerprint is the hash of a text's distinct terms, sorted, under
+
+* the whole lexicon (one place): equal only for equal sets of terms;
+* `LARGE` random lexicons that keep each term with probability `KEEP`: any of
+  them still agrees where the terms that differ are not in it;
+* `SMALL` random lexicons to which the terms are dealt, each to one, so that a
+  few changed terms change a few places.
+
+So no term is left out, and a text with a term of the lexicon has a place that
+is not empty; one without a term of the text is written as zeros.
 
 Likeness of two fingerprints: the share of places that agree among those where
 either is not empty; where all are empty, 1 if the fingerprints are equal.  A
@@ -37,16 +43,17 @@ from pyspark.sql import functions as F
 
 from lacuna.llm.common import Words, chunked, distinct_in_text, mix64, written
 
-SUBSETS = 128
+LARGE, KEEP, SMALL = 8, 3 / 4, 119
+SUBSETS = 1 + LARGE + SMALL
 #: The band: terms in at least one of 2,000 and at most one of 5 documents.
 LOW, HIGH = 1 / 2000, 1 / 5
-#: Terms a lexicon may have; beyond that `build_lexicon` asks for a narrower band.
+#: Terms a lexicon may have; for that `build_lexicon` raises the band's lower end.
 MOST_TERMS = 4_000_000
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _EDGES = SCHEMA + ", edge string, part int, text string"
 
 
-def build_lexicon(docs: DataFrame, text_col: str, low: float, high: float) -> np.ndarray:
+def build_lexicon(docs: DataFrame, text_col: str, low: float, high: float, most: int = MOST_TERMS) -> np.ndarray:
     """The sorted hashes of all terms within the band, from counts over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,20 +68,22 @@ def build_lexicon(docs: DataFrame, text_col: str, low: float, high: float) -> np
 
     total = docs.count()
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    kept = counted.filter(F.col("n").between(max(2.0, low * total), max(2.0, high * total))).select("term").limit(MOST_TERMS + 1)
-    terms = kept.toArrow().column("term").to_numpy().view(np.uint64)
-    if len(terms) > MOST_TERMS:
-        raise ValueError(f"more than {MOST_TERMS} terms lie within the band; raise its lower end")
-    return np.sort(terms)
+    kept = written(counted.filter(F.col("n").between(max(2.0, low * total), max(2.0, high * total))), "lexicon")
+    while kept.count() > most:
+        low *= 2
+        kept = kept.filter(F.col("n") >= low * total)
+    return np.sort(kept.select("term").toArrow().column("term").to_numpy().view(np.uint64))  # at most `most`
 
 
 class Lexicon:
-    """The terms, and for each the random lexicon that it is dealt to."""
+    """The terms, and for each the random lexicons that it is in."""
 
-    def __init__(self, terms: np.ndarray, subsets: int = SUBSETS, seed: int = 5):
-        self.terms, self.subsets = terms, subsets
-        key = mix64(np.array([seed], np.uint64))
-        self.which = (mix64(terms + key) % np.uint64(subsets)).astype(np.int64)
+    def __init__(self, terms: np.ndarray, large: int = LARGE, small: int = SMALL, seed: int = 5):
+        self.terms, self.large, self.small = terms, large, small
+        self.subsets = 1 + large + small
+        keys = mix64(np.arange(seed, seed + large + 1, dtype=np.uint64))
+        self.which = (mix64(terms + keys[0]) % np.uint64(small)).astype(np.int64)
+        self.inside = [mix64(terms + k) < np.uint64(int(KEEP * 2**64)) for k in keys[1:]]
 
     def places(self, texts: list[str]) -> np.ndarray:
         """For each text and random lexicon the hash of the sorted distinct terms; 0 where there is none."""
@@ -86,17 +95,25 @@ class Lexicon:
         hit = self.terms[at] == words.hash
         pairs = np.unique(words.of()[hit] * len(self.terms) + at[hit])  # by text, then term: sorted and distinct
         text, term = pairs // len(self.terms), pairs % len(self.terms)
-        cell, value = text * self.subsets + self.which[term], self.terms[term]
+        out[:, 0] = _hashes(text, self.terms[term], len(texts))
+        for k, inside in enumerate(self.inside):
+            kept = inside[term]
+            out[:, 1 + k] = _hashes(text[kept], self.terms[term[kept]], len(texts))
+        cell = text * self.small + self.which[term]
         order = np.argsort(cell, kind="stable")  # within a place the terms stay sorted
-        cell, value = cell[order], value[order]
-        if not len(cell):
-            return out
+        out[:, 1 + self.large :] = _hashes(cell[order], self.terms[term[order]], len(texts) * self.small).reshape(-1, self.small)
+        return out
+
+
+def _hashes(cell: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """The hash of each cell's values in their order; 0 where there are none.  `cell` ascends."""
+    out = np.zeros(n, np.uint64)
+    if len(cell):
         new = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-        length = np.diff(np.append(new, len(cell)))
-        rank = np.arange(len(cell)) - np.repeat(new, length)
+        rank = np.arange(len(cell)) - np.repeat(new, np.diff(np.append(new, len(cell))))
         total = np.add.reduceat(mix64(value + mix64(rank.astype(np.uint64) + np.uint64(1))), new)
-        out.reshape(-1)[cell[new]] = mix64(total) | np.uint64(1)
-        return out
+        out[cell[new]] = mix64(total) | np.uint64(1)
+    return out
 
 
 def _hex(places: np.ndarray, text: str) -> str:

@@ -513,11 +513,42 @@ def test_every_lexicon_term_is_in_a_fingerprint():
 
     words = [f"term{k}" for k in range(500)]
     lexicon = fingerprints.Lexicon(np.sort(Words(words).hash[: len(words)]))
-    assert lexicon.places(words).any(axis=1).all()
+    small = 1 + lexicon.large
+    assert lexicon.places(words)[:, small:].any(axis=1).all()
     text = " ".join(words)
     without = [" ".join(words[:k] + words[k + 1 :]) for k in range(len(words))]
     places = lexicon.places([text, *without])
-    assert ((places[1:] != places[0]).sum(axis=1) == 1).all()
+    assert ((places[1:, small:] != places[0, small:]).sum(axis=1) == 1).all()
+    assert (places[1:, 0] != places[0, 0]).all()
+    same = (places[1:, 1:small] == places[0, 1:small]).mean()
+    assert abs(same - (1 - fingerprints.KEEP)) < 0.05
+
+
+def test_fingerprints_equal_brute_force():
+    """Places from sets of terms, one text and one lexicon at a time."""
+    from lacuna.llm.common import Words, mix64
+
+    hash_of = {w: int(Words([w]).hash[0]) for w in VOCABULARY}
+    texts = [prose(90) for _ in range(20)] + ["", "unknown words only", VOCABULARY[0], f"{VOCABULARY[3].upper()}! {VOCABULARY[3]}"]
+    lexicon = fingerprints.Lexicon(np.sort(np.array(list({hash_of[w] for w in VOCABULARY[:200]}), np.uint64)))
+    mix = lambda x: int(mix64(np.array([x % 2**64], np.uint64))[0])
+
+    def place(terms):
+        return mix(sum(mix(t + mix(k + 1)) for k, t in enumerate(sorted(terms)))) | 1 if terms else 0
+
+    found = lexicon.places(texts)
+    for text, row in zip(texts, found, strict=True):
+        terms = {hash_of[w] for w in re.findall(r"[0-9a-z]+", text.lower()) if w in VOCABULARY[:200]}
+        want = [place(terms)] + [place({t for t in terms if mix(t + mix(6 + k)) < 0.75 * 2**64}) for k in range(lexicon.large)]
+        want += [place({t for t in terms if mix(t + mix(5)) % lexicon.small == k}) for k in range(lexicon.small)]
+        assert row.tolist() == want
+
+
+def test_a_large_lexicon_raises_its_lower_end(spark):
+    docs = frame(spark, [(k, " ".join(f"w{j}" for j in range(40) if k % (j + 1) == 0)) for k in range(200)])
+    whole = fingerprints.build_lexicon(docs, "text", 1 / 100, 0.9)
+    fewer = fingerprints.build_lexicon(docs, "text", 1 / 100, 0.9, most=10)
+    assert 0 < len(fewer) <= 10 < len(whole) and set(fewer.tolist()) < set(whole.tolist())
 
 
 def test_lexicon_is_the_band(spark):
