@@ -9,7 +9,10 @@ bytes, in lower case; the latter carry over to compounds.
 Weights are learned on the driver from a bounded sample: the `per_label`
 labelled documents of each label with the least hashes.  Only terms take part
 that stand in `least_texts` texts of the sample and whose chi-square against
-the label is at least `least_chi2`, so chance terms of long texts stay silent.
+the label is at least `least_chi2`, at most `MOST_TERMS` of them, so chance
+terms of long texts stay silent.  The executors count the terms, and send for
+each text of the sample only those that take part: at most
+2 x `per_label` x `MOST_TERMS` numbers, however long the texts are.
 AdaGrad with an L1 penalty on the weights and an L2 penalty on the factors.
 
 Only the model leaves the driver; its size is fixed by `BITS` and `RANK`.
@@ -31,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import Words, chunked
+from lacuna.llm.common import Words, chunked, written
 from lacuna.llm.language_id import least_hashes
 
 BITS, RANK = 18, 8
+#: Terms that may take part; of more, those with the largest chi-square.
+MOST_TERMS = 4096
 PREFIXES = (4, 5, 6)
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -77,7 +82,17 @@ def logistic(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, least_texts: int = 4, least_chi2: float = 15.0, epochs: int = 12, rate: float = 0.1, l1: float = 1e-4, l2: float = 1e-3, seed: int = 11) -> Machine:
+def telling_terms(ones: np.ndarray, zeros: np.ndarray, n1: float, n0: float, least_texts: int = 4, least_chi2: float = 15.0) -> np.ndarray:
+    """The bins that take part, in order, from how many texts of each label they stand in."""
+    if not n1 or not n0:
+        return np.zeros(0, np.int64)
+    rest = np.maximum((ones + zeros) * (n1 + n0 - ones - zeros), 1)
+    chi2 = (n1 + n0) * (ones * (n0 - zeros) - zeros * (n1 - ones)) ** 2 / (rest * n1 * n0)
+    at = np.flatnonzero((ones + zeros >= least_texts) & (chi2 >= least_chi2))
+    return np.sort(at[np.argsort(-chi2[at], kind="stable")[:MOST_TERMS]])
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: float = 0.1, l1: float = 1e-4, l2: float = 1e-3, seed: int = 11) -> Machine:
     """A machine from sets of bins and their 0/1 labels."""
     dims = 1 << BITS
     share = float(labels.mean()) if len(labels) else 0.0
@@ -85,13 +100,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, least_texts: int = 4, least_
     if share in (0.0, 1.0):
         return Machine(float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -40, 40)), w.astype(np.float32), v)
     rng = np.random.default_rng(seed)
-    ones = np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y]), minlength=dims).astype(float)
-    zeros = np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if not y]), minlength=dims).astype(float)
-    n1, n0 = float(labels.sum()), float((1 - labels).sum())
-    rest = np.maximum((ones + zeros) * (n1 + n0 - ones - zeros), 1)
-    often = (ones + zeros >= least_texts) & ((n1 + n0) * (ones * (n0 - zeros) - zeros * (n1 - ones)) ** 2 / (rest * n1 * n0) >= least_chi2)
-    rows = [r[often[r]] for r in rows]
-    used = np.flatnonzero(often)
+    used = np.unique(np.concatenate(rows))
     v[used] = rng.normal(0, 0.01, (len(used), RANK))
     bias, gb, gw, gv = np.log(share / (1 - share)), 1e-6, np.full(dims, 1e-6), np.full((dims, RANK), 1e-6, np.float32)
     weight_of = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))  # both labels count alike
@@ -126,12 +135,32 @@ def train(docs: DataFrame, labels: DataFrame, teaches: Column, per_label: int =
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins, at = features(batch.column(2).to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(bins, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["label", "draw", "bins"])
+            texts = batch.column(2).to_pylist()
+            for a, b in chunked(texts):
+                bins, at = features(texts[a:b])
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(bins, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists], names=["label", "draw", "bins"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, dims + 1), np.int64)  # the last place counts texts
+        for batch in batches:
+            label = batch.column(0).to_numpy()
+            lists = batch.column(1)
+            of = np.repeat(label, np.diff(lists.offsets.to_numpy()))
+            np.add.at(n, (of, lists.values.to_numpy()), 1)
+            np.add.at(n, (label, dims), 1)
+        at, bin_ = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(bin_), pa.array(n[at, bin_])], names=["label", "bin", "n"])
 
-    table = sample.select("label", "draw", "text").mapInArrow(featurise, "label int, draw double, bins array<int>").toArrow()
-    rows = sorted(zip(table.column("label").to_pylist(), table.column("draw").to_pylist(), (x.values.to_numpy() for c in table.column("bins").chunks for x in c), strict=True), key=lambda r: (r[0], r[1], len(r[2])))
+    dims = 1 << BITS
+    held = written(sample.select("label", "draw", "text").mapInArrow(featurise, "label int, draw double, bins array<int>"), "terms")
+    counted = held.select("label", "bins").mapInArrow(count, "label int, bin long, n long").groupBy("label", "bin").agg(F.sum("n").alias("n")).toArrow()  # two rows per bin
+    n = np.zeros((2, dims + 1))
+    n[counted.column("label").to_numpy(), counted.column("bin").to_numpy()] = counted.column("n").to_numpy()
+    terms = telling_terms(n[1, :dims], n[0, :dims], n[1, dims], n[0, dims])
+    part = held.select("label", "draw", F.array_intersect("bins", F.lit(terms.tolist()).cast("array<int>")).alias("bins"))
+    table = part.toArrow()  # per_label texts of each label with at most MOST_TERMS numbers
+    rows = sorted(zip(table.column("label").to_pylist(), table.column("draw").to_pylist(), (np.sort(x.values.to_numpy()).astype(np.int64) for c in table.column("bins").chunks for x in c), strict=True), key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes()))
     rows = [r for label in (0, 1) for r in [x for x in rows if x[0] == label][:per_label]]
     return fit([r[2] for r in rows], np.array([r[0] for r in rows], np.int64))
 
