@@ -1,10 +1,14 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A document is the weighted set of its shingles (five words, lower case): a
-shingle weighs its count times ``1 + ln(1 / max(p, FLOOR))`` where p is the
-share of documents in its hash bin, counted over all documents, so what many
-documents share weighs less.  The share is an upper bound (a bin holds several
-shingles) that stays the same as the corpus grows.
+shingle weighs its count times its inverse document frequency
+``1 + ln(1 / max(p, FLOOR)) / ln(1 / FLOOR)``, which falls from 2 for what at
+most one document in a thousand has to 1 for what all have.  It is scaled so
+that a large group of near copies, whose common shingles are frequent for that
+very reason, still outweighs the few words in which they differ.  The share p is
+counted over all documents in 2 ** BITS bins of shingles, less the mean bin
+(what the bin's other shingles add); its error is a share of the documents, so
+it does not grow with the corpus.
 
 1. Texts with the same words are one; the least id speaks for them.
 2. Improved consistent weighted sampling (Ioffe 2010) draws BANDS x ROWS
@@ -41,7 +45,7 @@ from lacuna.llm.components import components
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 15, 3
-BITS, FLOOR = 17, 0.05
+BITS, FLOOR = 19, 0.001
 #: Members that are compared with each other, or with one other document, in one task.
 BLOCK = 256
 SIGNATURE = "doc_id long, text_key binary, bands array<long>"
@@ -71,9 +75,8 @@ def shared_bins(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
             texts = batch.column(0).to_pylist()
             n += len(texts)
             for a, b in chunked(texts):
-                text, shingle, _, _ = shingles(texts[a:b])
-                pairs = np.unique((text.astype(np.uint64) << np.uint64(BITS)) | (shingle >> np.uint64(64 - BITS)))
-                df += np.bincount((pairs & np.uint64((1 << BITS) - 1)).astype(np.int64), minlength=1 << BITS)
+                _, shingle, _, _ = shingles(texts[a:b])  # distinct in each text
+                df += np.bincount((shingle >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, 1 << BITS)), pa.array(np.append(df[at], n))], names=["bin", "n"])
 
@@ -84,7 +87,8 @@ def shared_bins(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
 
 
 def bin_weights(df: np.ndarray, total: int) -> np.ndarray:
-    return 1 + np.log(1 / np.clip(df / max(1, total), FLOOR, 1))
+    share = np.clip((df - df.mean()) / max(1, total), FLOOR, 1)
+    return 1 + np.log(share) / np.log(FLOOR)
 
 
 def weights(shingle: np.ndarray, count: np.ndarray, of_bin: np.ndarray) -> np.ndarray:
@@ -177,14 +181,19 @@ class Sets:
 
 
 def _compare_with_one(pairs: DataFrame, texts: DataFrame, of_bin) -> DataFrame:
-    """(doc, other, similarity) of unique pairs: those of an `other` are dealt into groups of about BLOCK."""
-    n = pairs.groupBy("other").agg(F.count(F.lit(1)).alias("n"))
-    dealt = pairs.join(n, "other").withColumn("part", F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / BLOCK)).cast("int")).drop("n")
+    """(doc, other, similarity) of unique pairs: those of an `other` are dealt into groups of about BLOCK.
+
+    What is joined has been written, so that a skewed `other` is split at run time.
+    """
+    n = written(pairs.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "heads")
+    dealt = pairs.join(n, "other").withColumn("part", F.pmod(F.xxhash64("doc"), "parts").cast("int")).drop("parts")
     left = dealt.join(texts.withColumnRenamed("doc_id", "doc"), "doc")
-    heads = dealt.select(F.col("other").alias("head"), F.col("part").alias("of_part")).distinct()
+    heads = n.select(F.col("other").alias("head"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("of_part"))
     right = heads.join(texts.select(F.col("doc_id").alias("head"), F.col("text").alias("head_text")), "head")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["doc", "other", "similarity"])
         others = right.column("head_text").to_pylist()
         ids, texts = left.column("doc").to_pylist(), left.column("text").to_pylist()
         out = []
@@ -200,7 +209,7 @@ def _compare_all(groups: DataFrame, texts: DataFrame, least: float, of_bin) -> D
     """Links (a, b) within groups (key, doc, label) between members of different labels, block by block."""
     sums = [F.sum(F.xxhash64(F.lit(k), "doc") % 1_000_000_007).alias(f"sum{k}") for k in (1, 2, 3)]
     n = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"), *sums)
-    once = n.groupBy("n", "first", "last", "sum1", "sum2", "sum3").agg(F.min("key").alias("key")).select("key", "n")  # the same members in several bands
+    once = written(n.groupBy("n", "first", "last", "sum1", "sum2", "sum3").agg(F.min("key").alias("key")).select("key", "n"), "once")  # the same members in several bands
     dealt = groups.join(once, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("against")
     tasks = dealt.select("key", "doc", "label", "block", other).select("key", "doc", "label", "block", F.least("block", "against").alias("low"), F.greatest("block", "against").alias("high"))
@@ -237,9 +246,11 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id
     tied = same.join(several, "a", "left_semi")
 
     members = speakers.filter("speaker IS NOT NULL").select(F.col("speaker").alias("doc"), F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("doc").alias("other"), F.max("doc").alias("most")).filter("other <> most").select("key", "other")
+    # Tables are written between an aggregate and a join by the same key, so that no task holds a band's key whole: the
+    # aggregate starts in each task, and the join of two plain tables is split at run time where a key is skewed.
+    buckets = written(members.groupBy("key").agg(F.min("doc").alias("other"), F.max("doc").alias("most")).filter("other <> most").select("key", "other"), "heads")
     placed = written(members.join(buckets, "key"), "buckets")
-    pairs = placed.filter("doc <> other").select("doc", "other").distinct()
+    pairs = written(placed.filter("doc <> other").select("doc", "other").distinct(), "pairs")
     wanted = placed.select("doc").distinct()
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     # One text for an id: that of its first key, which is the one its bands came from where ids are unique.
@@ -252,13 +263,13 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id
     far = least - (1 - least)
     label = F.coalesce("label", "doc")
     state = placed.filter("doc <> other").join(compared, ["doc", "other"]).join(labels.withColumnRenamed("id", "doc"), "doc", "left").select("key", "doc", "other", "similarity", label.alias("label"))
-    state = state.join(labels.select(F.col("id").alias("other"), F.col("label").alias("of_other")), "other", "left").withColumn("of_other", F.coalesce("of_other", "other"))
+    state = written(state.join(labels.select(F.col("id").alias("other"), F.col("label").alias("of_other")), "other", "left").withColumn("of_other", F.coalesce("of_other", "other")), "state")
     failed = F.col("similarity") < least
     near = failed & (F.col("similarity") >= far) & (F.col("label") != F.col("of_other"))
-    per_key = state.groupBy("key").agg(F.max(F.when(near, F.col("similarity"))).alias("nearest"), F.count_if(failed).alias("n_failed"))
-    open_ = state.join(per_key.filter("n_failed > 0"), "key").filter(failed | (F.col("similarity") <= F.col("nearest") + (1 - least)))
-    mixed = open_.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    open_ = written(open_.join(mixed, "key", "left_semi").select("key", "doc", "label"), "open")
+    per_key = written(state.groupBy("key").agg(F.max(F.when(near, F.col("similarity"))).alias("nearest"), F.count_if(failed).alias("n_failed")).filter("n_failed > 0"), "failed")
+    open_ = written(state.join(per_key, "key").filter(failed | (F.col("similarity") <= F.col("nearest") + (1 - least))).select("key", "doc", "label"), "open")
+    mixed = written(open_.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key"), "mixed")
+    open_ = written(open_.join(mixed, "key"), "open")
     more = written(_compare_all(open_, texts, least, of_bin), "more")
     classes = components(links.unionByName(more).unionByName(tied))
 

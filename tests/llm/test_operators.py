@@ -364,6 +364,59 @@ def test_sets_compare_like_brute_force():
     assert np.isclose(sets.with_one(0)[4], want) and sets.with_one(0)[1] == 0
 
 
+def test_weights_fall_with_document_frequency(spark):
+    """A passage of many documents weighs less than words of one; what all have weighs 1."""
+    shared, common = prose(20), prose(12)
+    rows = [(k, f"{common} {prose(30)} {shared if k % 2 else prose(20)}") for k in range(400)]
+    of_bin = near_dedup.bin_weights(*near_dedup.shared_bins(frame(spark, rows), "text"))
+
+    def mean_weight(text):
+        _, shingle, count, _ = near_dedup.shingles([text])
+        return float(near_dedup.weights(shingle, count, of_bin).mean())
+
+    one = " ".join(rows[0][1].split()[14:40])
+    assert 0.99 < mean_weight(common) < mean_weight(shared) < mean_weight(one) - 0.3 <= 1.7
+    assert np.isclose(mean_weight(shared), 1 + np.log(0.5) / np.log(near_dedup.FLOOR), atol=0.03)
+
+
+def test_recall_against_all_pairs(spark):
+    """Every pair of 0.8 or more under the operator's weights is in one class, and classes are nothing else."""
+    rng = random.Random(12)
+    boiler = prose(25, rng)
+    rows = []
+    for g in range(25):
+        base = (boiler + " " + prose(130, rng)).split()
+        for j in range(rng.randint(2, 7)):
+            words = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3, 5])):
+                words[rng.randrange(25, len(words))] = f"edit{rng.random()}"
+            rows.append((10 * g + j, " ".join(words)))
+    docs = frame(spark, rows)
+    of_bin = near_dedup.bin_weights(*near_dedup.shared_bins(docs, "text"))
+    bags = {}
+    for i, t in rows:
+        words = re.findall(r"[0-9a-z]+", t.lower())
+        bag = collections.Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+        hashes = {g: int(near_dedup.shingles([" ".join(g)])[1][0]) for g in bag}
+        bags[i] = {g: n * of_bin[hashes[g] >> (64 - near_dedup.BITS)] for g, n in bag.items()}
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    pairs = 0
+    for i, a in bags.items():
+        for j, b in bags.items():
+            if i < j and sum(min(w, b.get(g, 0)) for g, w in a.items()) >= 0.8 * sum(max(a.get(g, 0), b.get(g, 0)) for g in a | b):
+                pairs += 1
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    out = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert pairs > 60 and out == {i: root(i) for i in parent}
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 120)] + [(5, 5), (200, 201), (201, 200)]
     out = {r.id: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
