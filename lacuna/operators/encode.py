@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.operators.cells import ranked
+
 #: Strings that stand for a missing value, in lower case.
 MISSING = ("", "na", "n/a", "null", "none", "?", "nan")
 #: Columns that would give a target away.
@@ -31,7 +33,7 @@ def numeric_columns(table: DataFrame, columns: list[str], finite_only: bool = Tr
 def ordinal_codes(table: DataFrame, column: str) -> DataFrame:
     """`<column>_code`: the rank of the value among the sorted distinct ones, from 0."""
     x = table.withColumn("__v", clean(F.col(column)))
-    codes = x.filter("__v IS NOT NULL").select("__v").distinct().withColumn(f"{column}_code", (F.dense_rank().over(Window.orderBy("__v")) - 1).cast("double"))
+    codes = ranked(x.filter("__v IS NOT NULL").select("__v").distinct(), "__v", f"{column}_code", ()).withColumn(f"{column}_code", F.col(f"{column}_code").cast("double"))
     return x.join(codes, "__v", "left").drop("__v")
 
 

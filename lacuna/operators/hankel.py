@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.rand import uniform
 from lacuna.functions.registry import IMPUTERS
-from lacuna.operators.cells import flag_least
+from lacuna.operators.cells import flag_least, part_of
 
 KEYS = ("series_id",)
 
@@ -52,7 +52,7 @@ def hide_points(series: DataFrame, kind: str, share: float, seed: int, burst_max
         x = x.join(first, [*keys, "t"], "left").withColumn("place", F.coalesce(F.col("drawn") / 2, 0.5 + u / 2)).drop("drawn")
     else:
         raise ValueError("kind must be uniform, contiguous or bursty")
-    return flag_least(x, "place", "n", "hidden", keys, ("t",)).drop("place", "n", "len")
+    return flag_least(x, F.col("place"), part_of(share), "hidden", keys, ("t",)).drop("place", "n", "len")
 
 
 def reconstruct(series: DataFrame, window: int, method: str, on: str = "observed", keys=KEYS, **params) -> DataFrame:

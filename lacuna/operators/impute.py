@@ -25,8 +25,10 @@ def global_mean(cells: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def _line_mean(cells: DataFrame, line: str, keys) -> DataFrame:
-    own = cells.groupBy(*keys, line).agg(F.avg("value").alias("__own"))
-    filled = cells.join(own, [*keys, line]).join(F.broadcast(_overall(cells, keys)), list(keys))
+    sums = cells.groupBy(*keys, line).agg(F.sum("value").alias("__sum"), F.count("value").alias("__n"))
+    overall = sums.groupBy(*keys).agg(F.try_divide(F.sum("__sum"), F.sum("__n")).alias("__all"))  # the lines' sums, not the cells again
+    own = sums.select(*keys, line, F.try_divide("__sum", "__n").alias("__own")).join(F.broadcast(overall), list(keys))
+    filled = cells.join(own, [*keys, line])
     return filled.withColumn("pred", F.coalesce("value", "__own", "__all")).drop("__own", "__all")
 
 
@@ -99,11 +101,29 @@ def scaled_bounds(bounds: DataFrame, cells: DataFrame) -> DataFrame:
     return bounds.join(stats, "col_id").select("col_id", z("lower").alias("lower"), z("upper").alias("upper"))
 
 
+def medians(cells: DataFrame, keys=KEYS) -> DataFrame:
+    """(keys, col_id, median) of each column's values, exactly.
+
+    A sketch of bounded size brackets the middle; only what lies in the bracket is ranked,
+    by its distinct values.
+    """
+    by = [*keys, "col_id"]
+    known = cells.filter("value IS NOT NULL").select(*by, "value")
+    bracket = known.groupBy(*by).agg(F.percentile_approx("value", [0.4998, 0.5002], 10_000).alias("q"), F.count(F.lit(1)).alias("n"))
+    x = known.join(bracket.select(*by, "n", F.col("q")[0].alias("low"), F.col("q")[1].alias("high")), by)
+    below = x.groupBy(*by).agg(F.count_if(F.col("value") < F.col("low")).alias("below"))
+    middle = x.filter(F.col("value").between(F.col("low"), F.col("high"))).groupBy(*by, "value").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"))
+    upto = F.sum("m").over(Window.partitionBy(*by).orderBy("value")) + F.col("below")
+    middle = middle.join(below, by).withColumn("upto", upto)
+    at = [F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)]  # the middle ranks, from 0
+    here = [F.max(F.when((F.col("upto") - F.col("m") <= k) & (k < F.col("upto")), F.col("value"))) for k in at]
+    return middle.groupBy(*by).agg(((here[0] + here[1]) / 2).alias("median"))
+
+
 @IMPUTERS.register("col_median")
 def col_median(cells: DataFrame, keys=KEYS) -> DataFrame:
-    own = cells.groupBy(*keys, "col_id").agg(F.percentile("value", 0.5).alias("__own"))
-    filled = cells.join(own, [*keys, "col_id"]).join(F.broadcast(_overall(cells, keys)), list(keys))
-    return filled.withColumn("pred", F.coalesce("value", "__own", "__all")).drop("__own", "__all")
+    filled = cells.join(medians(cells, keys), [*keys, "col_id"], "left").join(F.broadcast(_overall(cells, keys)), list(keys))
+    return filled.withColumn("pred", F.coalesce("value", "median", "__all")).drop("median", "__all")
 
 
 def standardised(cells: DataFrame, on: str = "pred", keys=KEYS) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.rand import normal, sigmoid, uniform
-from lacuna.operators.cells import AT, KEYS, flag_least, index_of
+from lacuna.operators.cells import AT, KEYS, flag_least, index_of, part_of
 
 KINDS = ("mcar", "mar_logistic", "mnar_self_logistic", "block", "bursty", "censor_above_threshold")
 
@@ -23,10 +23,12 @@ def wanted(cells: DataFrame, share: float, keys=KEYS) -> DataFrame:
     return cells.groupBy(*keys).agg(known.alias("known")).filter("known >= 2").select(*keys, F.greatest(F.lit(1), F.bround(F.col("known") * F.lit(float(share)), 0).cast("bigint")).alias("n"))
 
 
-def _hide(cells: DataFrame, placed: DataFrame, share: float, keys, tie=AT) -> DataFrame:
+def _hide(placed: DataFrame, place: Column, share: float, keys, tie=AT) -> DataFrame:
     """Known cells by their place; the others are never hidden."""
-    chosen = flag_least(placed.join(F.broadcast(wanted(cells, share, keys)), list(keys)), "place", "n", "hidden", keys, tie).filter("hidden").select(*keys, *AT, "hidden")
-    return cells.join(chosen, [*keys, *AT], "left").withColumn("hidden", F.coalesce("hidden", F.lit(False)))
+    if not 0 < share < 1:
+        raise ValueError("the share must lie between 0 and 1")
+    of = part_of(share)
+    return flag_least(placed, F.when(F.col("value").isNotNull(), place), lambda n: F.when(n >= 2, of(n)).otherwise(0), "hidden", keys, tie)
 
 
 def _known(cells: DataFrame) -> DataFrame:
@@ -34,7 +36,7 @@ def _known(cells: DataFrame) -> DataFrame:
 
 
 def mcar(cells: DataFrame, share: float, seed: int, keys=KEYS) -> DataFrame:
-    return _hide(cells, _known(cells).withColumn("place", uniform(*AT, seed=seed, tag="mcar")), share, keys)
+    return _hide(cells, uniform(*AT, seed=seed, tag="mcar"), share, keys)
 
 
 def zscore(value: Column, mean: Column, sd: Column) -> Column:
@@ -71,7 +73,7 @@ def mar_logistic(cells: DataFrame, share: float, seed: int, driver: int | None =
     hit = hit.join(sizes, [*keys, "row_id"]).withColumn("k", F.floor(uniform("draw", seed=seed, tag="cell") * F.col("in_row")).cast("int"))
     chosen = hit.join(ranked.drop("in_row"), [*keys, "row_id", "k"]).groupBy(*keys, *AT).agg(F.min(F.col("draw") / F.col("draws")).alias("drawn"))
     place = F.coalesce(F.col("drawn") / 2, 0.5 + uniform(*AT, seed=seed, tag="mcar") / 2)
-    return _hide(cells, known.join(chosen, [*keys, *AT], "left").withColumn("place", place).drop("drawn"), share, keys)
+    return _hide(cells.join(chosen, [*keys, *AT], "left"), place, share, keys).drop("drawn")
 
 
 def mnar_self_logistic(cells: DataFrame, share: float, seed: int, keys=KEYS) -> DataFrame:
@@ -79,7 +81,7 @@ def mnar_self_logistic(cells: DataFrame, share: float, seed: int, keys=KEYS) ->
     stats = cells.groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
     weight = sigmoid(zscore(F.col("value"), F.col("mean"), F.col("sd")) + 0.15 * normal(*AT, seed=seed, tag="mnar"))
     place = 1 - F.exp(F.ln(uniform(*AT, seed=seed, tag="pick")) / weight)
-    return _hide(cells, _known(cells).join(F.broadcast(stats), list(keys)).withColumn("place", place).drop("mean", "sd"), share, keys)
+    return _hide(cells.join(F.broadcast(stats), list(keys)), place, share, keys).drop("mean", "sd")
 
 
 def block(cells: DataFrame, share: float, seed: int, axis: str = "rows", keys=KEYS) -> DataFrame:
@@ -90,9 +92,9 @@ def block(cells: DataFrame, share: float, seed: int, axis: str = "rows", keys=KE
     length = F.least(F.col("n_what"), F.greatest(F.lit(1), F.bround(F.col("n") / F.col("n_other"), 0).cast("bigint")))
     sizes = sizes.withColumn("length", length).withColumn("start", F.floor(uniform(F.lit("block"), seed=seed, tag="start") * (F.col("n_what") - F.col("length") + 1)))
     inside = F.col("place_of").between(F.col("start"), F.col("start") + F.col("length") - 1)
-    placed = _known(cells).join(at.withColumnRenamed("place", "place_of"), [*keys, what]).join(F.broadcast(sizes.select(*keys, "start", "length")), list(keys))
+    placed = cells.join(at.withColumnRenamed("place", "place_of"), [*keys, what]).join(F.broadcast(sizes.select(*keys, "start", "length")), list(keys), "left")
     u = uniform(*AT, seed=seed, tag="trim")
-    return _hide(cells, placed.withColumn("place", F.when(inside, u / 2).otherwise(0.5 + u / 2)).drop("start", "length", "place_of"), share, keys)
+    return _hide(placed, F.when(inside, u / 2).otherwise(0.5 + u / 2), share, keys).drop("start", "length", "place_of")
 
 
 def bursty(cells: DataFrame, share: float, seed: int, burst_max: int = 6, keys=KEYS) -> DataFrame:
@@ -110,9 +112,9 @@ def bursty(cells: DataFrame, share: float, seed: int, burst_max: int = 6, keys=K
     col = F.when(F.col("along_row"), F.col("start") + F.col("k")).otherwise(F.col("line"))
     first = b.select(*keys, row.alias("row_at"), col.alias("col_at"), ((F.col("burst") * burst_max + F.col("k")) / ((F.col("n") + 1) * burst_max)).alias("drawn")).groupBy(*keys, "row_at", "col_at").agg(F.min("drawn").alias("drawn"))
     rows, cols = index_of(cells, "row_id", keys).withColumnRenamed("place", "row_at"), index_of(cells, "col_id", keys).withColumnRenamed("place", "col_at")
-    placed = _known(cells).join(rows, [*keys, "row_id"]).join(cols, [*keys, "col_id"]).join(first, [*keys, "row_at", "col_at"], "left")
+    placed = cells.join(rows, [*keys, "row_id"]).join(cols, [*keys, "col_id"]).join(first, [*keys, "row_at", "col_at"], "left")
     place = F.coalesce(F.col("drawn") / 2, 0.5 + uniform(*AT, seed=seed, tag="mcar") / 2)
-    return _hide(cells, placed.withColumn("place", place).drop("row_at", "col_at", "drawn"), share, keys)
+    return _hide(placed, place, share, keys).drop("row_at", "col_at", "drawn")
 
 
 def censor_above_threshold(cells: DataFrame, threshold: float = 100.0, column: int = 0, keys=KEYS) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.registry import METRICS
-from lacuna.operators.cells import finite
+from lacuna.operators.cells import finite, running
 
 
 def scored(cells: DataFrame, truth: str = "truth", pred: str = "pred", flag: str | None = "is_eval") -> DataFrame:
@@ -66,10 +66,9 @@ def balanced_accuracy(rows: DataFrame, keys: list[str], label: str = "label", pr
 
 
 def _by_score(rows: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
-    """Per distinct score: positives, negatives, and both at higher scores.  Windows see distinct scores, not rows."""
+    """Per distinct score: positives, negatives, and both at higher scores."""
     n = rows.groupBy(*keys, score).agg(F.sum(F.col(label).cast("bigint")).alias("pos"), F.sum(1 - F.col(label).cast("bigint")).alias("neg"))
-    above = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    return n.withColumn("pos_above", F.coalesce(F.sum("pos").over(above), F.lit(0))).withColumn("neg_above", F.coalesce(F.sum("neg").over(above), F.lit(0)))
+    return running(n, F.desc(score), {"pos_above": F.col("pos"), "neg_above": F.col("neg")}, keys)
 
 
 def roc_auc(rows: DataFrame, keys: list[str], label: str = "label", score: str = "score") -> DataFrame:

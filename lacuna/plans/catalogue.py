@@ -11,6 +11,7 @@ from lacuna.functions.rand import uniform
 from lacuna.operators import cells as C
 from lacuna.operators import encode, hankel, impute, lowrank, masks, models, reports, scores, simulate
 from lacuna.plans import fixtures as X
+from lacuna.sources.tables import cut_lineage
 from lacuna.plans.fixtures import DAILY, HOUR, LABELLED, RUNS, SUP, u_sql, z_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,9 +169,9 @@ _OBS = f"{SUP}, {_N}, {_MCAR}"
 
 
 def observed(spark, sf, grid=X.sup_month) -> DataFrame:
-    """A holdout: `truth`, `value` without the hidden cells, `is_eval`."""
+    """A holdout: `truth`, `value` without the hidden cells, `is_eval`; written, as a bundle is."""
     x = C.hide(masks.mcar(grid(spark, sf), SHARE, SEED))
-    return x.select("run_id", "row_id", "col_id", F.col("value").alias("truth"), F.col("observed").alias("value"), F.col("hidden").alias("is_eval"))
+    return cut_lineage(x.select("run_id", "row_id", "col_id", F.col("value").alias("truth"), F.col("observed").alias("value"), F.col("hidden").alias("is_eval")))
 
 
 @query(f"WITH {_OBS} SELECT row_id, col_id, value FROM obs")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.operators.cells import complete_grid
+from lacuna.sources.tables import cut_lineage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +20,13 @@ def sup_known(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sup_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return complete_grid(sup_known(spark, sf_dir))
+    return cut_lineage(complete_grid(sup_known(spark, sf_dir)))
 
 
 def user_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user x hour of day: the mean event value."""
     known = table(spark, sf_dir, "events").groupBy(F.lit("r").alias("run_id"), F.col("user_id").alias("row_id"), F.hour("ts").cast("bigint").alias("col_id")).agg(F.round(F.avg("value"), 9).alias("value"))
-    return complete_grid(known)
+    return cut_lineage(complete_grid(known))
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import re
 import tempfile
 import uuid
 
@@ -15,12 +17,36 @@ SUMMARY = ("preset_id", "algorithm", "noise_sigma", "noise_type", "num_runs", "r
 BUNDLE = ("run_id", "row_id", "col_id", "truth", "observed", "is_eval")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """`df` by way of a checkpoint in the folder the session names; one of our own only where it names none."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; in local mode, where it is unset, one of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lacuna-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """`df` as a table in the shared folder, read again: what it comes from is computed once, and it outlives an executor.
+
+    The table is removed when the driver ends.
+    """
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lacuna-"))
-    return df.checkpoint()
+    path = f"{shared_dir(spark)}/lacuna-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the JVM may have gone first
+        return
 
 
 def save_cells(cells: DataFrame, path: str, by: tuple[str, ...] = ("run_id",), mode: str = "error") -> None:
