@@ -32,6 +32,8 @@ class Registry(dict[str, Callable]):
 IMPUTERS = Registry()
 #: aggregate columns over scored cells: f(truth, pred, **params)
 METRICS = Registry()
+#: metrics that need whole tables: f(cells with `truth`, `pred` and `split`, keys, **params) -> keys and the metric
+TABLE_METRICS = Registry()
 
 
 def load_plugins(modules: list[str]) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -10,9 +12,13 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.functions.registry import IMPUTERS, TABLE_METRICS
 from lacuna.operators import scores
+from lacuna.operators.cells import AT, KEYS
 
 MODELS = ("linear", "random_forest", "xgboost")
+#: Columns that a wide table may have.
+MOST_COLUMNS = 2000
 
 
 def wide(cells: DataFrame, target: int, n_cols: int, on: str = "pred") -> DataFrame:
@@ -59,6 +65,80 @@ def downstream(predictions: DataFrame, keys: list[str], task: str = "classificat
     return out
 
 
+CLASS_SCORES, NUMBER_SCORES = ("accuracy", "balanced_accuracy", "f1", "roc_auc", "average_precision"), ("r2",)
+
+
+def pooled(predictions: DataFrame, keys: list[str], task: str = "classification") -> DataFrame:
+    """One prediction per row from those of all imputations: of classes the label most give and the mean score, else the mean."""
+    label = predictions.groupBy(*keys, "row_id").agg(F.first("label").alias("label"))
+    if task == "regression":
+        return predictions.groupBy(*keys, "row_id").agg(F.first("label").alias("label"), F.avg("pred").alias("pred"), F.avg("score").alias("score"))
+    return scores.mi_vote(predictions, keys).join(label, [*keys, "row_id"])
+
+
+def mi_downstream(predictions: DataFrame, keys: list[str], task: str = "classification") -> DataFrame:
+    """(keys, metric, mi_mean, mi_std, mi_pooled) from (keys, imputation_id, row_id, label, pred, score).
+
+    Mean and population sd over the imputations where the metric is defined, and the metric of the pooled predictions.
+    """
+    metrics = list(CLASS_SCORES if task == "classification" else NUMBER_SCORES)
+    each = downstream(predictions, [*keys, "imputation_id"], task).unpivot([*keys, "imputation_id"], metrics, "metric", "value").filter("value IS NOT NULL AND NOT isnan(value)")
+    over = each.groupBy(*keys, "metric").agg(F.avg("value").alias("mi_mean"), F.stddev_pop("value").alias("mi_std"))
+    one = downstream(pooled(predictions, keys, task), keys, task).unpivot(keys, metrics, "metric", "mi_pooled")
+    return over.join(one, [*keys, "metric"], "left")
+
+
+def mi_wide(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A row per `keys` with `downstream_<metric>_<model>_mi_<mean, std or pooled>`, from `mi_downstream` over keys and model."""
+    names = [(m, k) for m in (*CLASS_SCORES, *NUMBER_SCORES) for k in MODELS]
+    pick = lambda m, k, c: F.max(F.when((F.col("metric") == m) & (F.col("model") == k), F.col(c))).alias(f"downstream_{m}_{k}_{c}")
+    return rows.groupBy(*keys).agg(*[pick(m, k, c) for m, k in names for c in ("mi_mean", "mi_std", "mi_pooled")])
+
+
+def _downstream_metric(model: str):
+    def metric(cells: DataFrame, keys: list[str], target_col: int | None = None, task: str = "classification", **sizes) -> DataFrame:
+        """A row per run: accuracy, or R2 in regression, of the model on the test rows."""
+        if target_col is None or "split" not in cells.columns:
+            raise ValueError("target_col and a split of the rows are needed")
+        x = cells.withColumn("pred", F.when(F.col("col_id") == target_col, F.col("truth")).otherwise(F.col("pred")))
+        cols = sorted(r.col_id for r in x.select("col_id").distinct().limit(MOST_COLUMNS + 1).collect())
+        if len(cols) > MOST_COLUMNS:
+            raise ValueError(f"more than {MOST_COLUMNS} columns")
+        parts = []
+        for run in x.select(*keys).distinct().collect():  # a model is fitted for each run
+            one = x.filter(reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(run[k]) for k in keys]))
+            p = predict(wide(one, target_col, max(cols) + 1), [f"f{c}" for c in cols if c != target_col], model, task, **sizes)
+            parts.append(downstream(p.withColumns({k: F.lit(run[k]) for k in keys}), keys, task).select(*keys, F.col("accuracy" if task == "classification" else "r2").alias(f"downstream_accuracy_{model}")))
+        return reduce(DataFrame.unionByName, parts)
+
+    return metric
+
+
+for _model in MODELS:
+    TABLE_METRICS.register(f"downstream_accuracy_{_model}")(_downstream_metric(_model))
+
+
+def missforest(cells: DataFrame, keys=KEYS, rounds: int = 2, trees: int = 20, depth: int = 8) -> DataFrame:
+    """Chained forests over the cells of each run; a column without values gets the mean of the column means."""
+    parts = []
+    for run in cells.select(*keys).distinct().collect():  # forests are fitted for each run
+        one = cells.filter(reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(run[k]) for k in keys]))
+        means = {r.col_id: r.mean for r in one.groupBy("col_id").agg(F.avg("value").alias("mean")).limit(MOST_COLUMNS + 1).collect()}
+        if len(means) > MOST_COLUMNS:
+            raise ValueError(f"more than {MOST_COLUMNS} columns")
+        known = [m for m in means.values() if m is not None]
+        overall = sum(known) / len(known) if known else 0.0
+        table = one.groupBy("row_id").pivot("col_id", sorted(means)).agg(F.first("value"))
+        table = table.select("row_id", *[(F.col(str(c)) if means[c] is not None else F.lit(overall)).alias(f"f{c}") for c in sorted(means)])
+        names = [f"f{c}" for c in sorted(means)]
+        done = chained(table, names, rounds, "random_forest", trees, depth).unpivot("row_id", names, "name", "pred").select("row_id", F.substring("name", 2, 20).cast("bigint").alias("col_id"), "pred")
+        parts.append(one.join(done, list(AT)).withColumn("pred", F.coalesce("value", "pred")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+IMPUTERS.register("missforest")(missforest)
+
+
 def feature_ranking(table: DataFrame, features: list[str], k: int = 20) -> DataFrame:
     """Features by the size of their logistic coefficient after median fill and scaling."""
     if table.select("label").distinct().limit(3).count() > 2:

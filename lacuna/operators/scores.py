@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions.registry import METRICS
+from lacuna.functions.registry import METRICS, TABLE_METRICS
 from lacuna.operators.cells import finite, running
 
 
@@ -46,10 +46,14 @@ def max_abs_error(truth: Column, pred: Column) -> Column:
 
 
 def score(cells: DataFrame, metrics: list[str], keys: list[str], truth: str = "truth", pred: str = "pred", flag: str | None = "is_eval", params: dict | None = None) -> DataFrame:
-    """One row per run with a column for each metric and `n_scored`."""
+    """One row per run with a column for each metric and `n_scored`; metrics of whole tables are joined to it."""
     params = params or {}
-    columns = [METRICS.named(m)(F.col(truth), F.col(pred), **params.get(m, {})).alias(m) for m in metrics]
-    return scored(cells, truth, pred, flag).groupBy(*keys).agg(*columns, F.count(F.lit(1)).alias("n_scored"))
+    columns = [METRICS.named(m)(F.col(truth), F.col(pred), **params.get(m, {})).alias(m) for m in metrics if m not in TABLE_METRICS]
+    out = scored(cells, truth, pred, flag).groupBy(*keys).agg(*columns, F.count(F.lit(1)).alias("n_scored"))
+    for m in metrics:
+        if m in TABLE_METRICS:
+            out = out.join(TABLE_METRICS[m](cells.withColumnsRenamed({truth: "truth", pred: "pred"}), keys, **params.get(m, {})), keys, "left")
+    return out
 
 
 def accuracy_f1(rows: DataFrame, keys: list[str], label: str = "label", pred: str = "pred") -> DataFrame:

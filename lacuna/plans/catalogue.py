@@ -377,7 +377,7 @@ def hankel_enforce(spark, sf):
 
 
 def _holes(spark, sf) -> DataFrame:
-    x = hankel.hide_points(X.daily(spark, sf).withColumnRenamed("value", "clean"), "contiguous", 0.2, SEED)
+    x = hankel.hide_points(X.daily(spark, sf).withColumnRenamed("value", "clean"), "contiguous_block", 0.2, SEED)
     return x.withColumn("observed", F.when(~F.col("hidden"), F.col("clean")))
 
 
@@ -505,6 +505,42 @@ def impute_chained(spark, sf):
     return models.chained(x, _F[:5], rounds=1, model="linear")
 
 
+_SCORE3 = "(CAST(floor(o_totalprice / 1000) AS BIGINT) + 7 * i.i) % 50"
+_PRED3 = f"x AS (SELECT o_orderpriority AS method, o_orderkey AS row_id, i.i AS imp, CAST(o_custkey % 2 AS INTEGER) AS label, CASE WHEN {_SCORE3} > 25 THEN 1 ELSE 0 END AS pred, CAST({_SCORE3} AS DOUBLE) AS score FROM orders CROSS JOIN (SELECT unnest([0, 1, 2])::INTEGER AS i) i)"
+
+
+def _three_predictions(spark, sf) -> DataFrame:
+    """Three imputations' predictions of every order."""
+    x = X.table(spark, sf, "orders").withColumn("imputation_id", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    score = (F.floor(F.col("o_totalprice") / 1000) + 7 * F.col("imputation_id")) % 50
+    return x.select(F.col("o_orderpriority").alias("method"), F.col("o_orderkey").alias("row_id"), "imputation_id", (F.col("o_custkey") % 2).cast("int").alias("label"), F.when(score > 25, 1).otherwise(0).alias("pred"), score.cast("double").alias("score"))
+
+
+_FIVE = """SELECT {k}, 'accuracy' AS metric, avg((label = pred)::INT) AS value FROM {t} GROUP BY {k}
+UNION ALL SELECT {k}, 'f1', coalesce(2.0 * sum((label = 1 AND pred = 1)::INT) / (2 * sum((label = 1 AND pred = 1)::INT) + sum((label <> pred)::INT)), 0) FROM {t} GROUP BY {k}
+UNION ALL SELECT {k}, 'balanced_accuracy', avg(r) FROM (SELECT {k}, label, avg((label = pred)::INT) AS r FROM {t} GROUP BY {k}, label) GROUP BY {k}
+UNION ALL SELECT {k}, 'roc_auc', sum(neg * (pa + pos / 2)) / (sum(pos) * sum(neg)) FROM {t}_c GROUP BY {k} HAVING sum(pos) * sum(neg) > 0
+UNION ALL SELECT {k}, 'average_precision', sum(pos * (pa + pos) / (pa + pos + na + neg)) / sum(pos) FROM {t}_c GROUP BY {k} HAVING sum(pos) * sum(neg) > 0"""
+_CUM = "{t}_c AS (SELECT *, coalesce(sum(pos) OVER w, 0) AS pa, coalesce(sum(neg) OVER w, 0) AS na FROM (SELECT {k}, score, sum(label) AS pos, sum(1 - label) AS neg FROM {t} GROUP BY {k}, score) WINDOW w AS (PARTITION BY {k} ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
+
+
+@query(f"""WITH {_PRED3}, p AS (SELECT method, row_id, any_value(label) AS label, (sum(pred) >= 2)::INT AS pred, sum(score) / 3 AS score FROM x GROUP BY 1, 2),
+{_CUM.format(t='x', k='method, imp')}, {_CUM.format(t='p', k='method')}, e AS ({_FIVE.format(t='x', k='method, imp')}), o AS ({_FIVE.format(t='p', k='method')})
+SELECT e.method, e.metric, round(avg(e.value), 6) AS mi_mean, round(stddev_pop(e.value), 6) AS mi_std, round(any_value(o.value), 6) AS mi_pooled FROM e LEFT JOIN o ON o.method = e.method AND o.metric = e.metric GROUP BY 1, 2""")
+def mi_downstream(spark, sf):
+    return rounded(models.mi_downstream(_three_predictions(spark, sf), ["method"]), "mi_mean", "mi_std", "mi_pooled")
+
+
+@query("""WITH x AS (SELECT o_orderpriority AS method, o_orderkey AS row_id, i.i AS imp, o_totalprice AS label, o_totalprice * (1 + 0.1 * i.i) + o_custkey AS pred FROM orders CROSS JOIN (SELECT unnest([0, 1, 2])::INTEGER AS i) i),
+e AS (SELECT method, imp, 1 - sum((label - pred) * (label - pred)) / (count(*) * var_pop(label)) AS r2 FROM x GROUP BY 1, 2), p AS (SELECT method, row_id, any_value(label) AS label, avg(pred) AS pred FROM x GROUP BY 1, 2)
+SELECT e.method, 'r2' AS metric, round(avg(e.r2), 6) AS mi_mean, round(stddev_pop(e.r2), 6) AS mi_std, round(any_value(o.r2), 6) AS mi_pooled FROM e JOIN (SELECT method, 1 - sum((label - pred) * (label - pred)) / (count(*) * var_pop(label)) AS r2 FROM p GROUP BY 1) o ON o.method = e.method GROUP BY 1""")
+def mi_downstream_r2(spark, sf):
+    x = X.table(spark, sf, "orders").withColumn("imputation_id", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    pred = F.col("o_totalprice") * (1 + F.lit(0.1) * F.col("imputation_id")) + F.col("o_custkey")
+    x = x.select(F.col("o_orderpriority").alias("method"), F.col("o_orderkey").alias("row_id"), "imputation_id", F.col("o_totalprice").alias("label"), pred.alias("pred"), pred.alias("score"))
+    return rounded(models.mi_downstream(x, ["method"], "regression"), "mi_mean", "mi_std", "mi_pooled")
+
+
 # Encoding: part names and event properties as text.
 
 

@@ -72,3 +72,27 @@ def evaluate(cells: DataFrame, runs: list, methods: tuple[str, ...], target: int
         parts.append(s.join(reduce(DataFrame.unionByName, rows), "run_id", "left") if rows else s)
     info = cells.sparkSession.createDataFrame(runs, "run_id string, pattern string, missing_fraction double, seed long")
     return reports.pr_auc_alias(reports.all_keys(parts).join(F.broadcast(info), "run_id"))  # a row per run
+
+
+def evaluate_multiple(cells: DataFrame, target: int, n_cols: int, task: str = "classification", model_names: tuple[str, ...] = models.MODELS, sizes: dict | None = None) -> DataFrame:
+    """A row per run of cells with several imputations (`imputation_id`, `truth`, `pred`, `is_eval`, `split`).
+
+    `<metric>_mi_mean`, `_mi_std` and `_mi_between_var` of the cells, and `downstream_<metric>_<model>_mi_mean`, `_mi_std`
+    and `_mi_pooled`.  A model is fitted once per run and imputation.
+    """
+    names = ["rmse", "mae", "nrmse", "nmae"]
+    cells = cut_lineage(cells)
+    runs = cells.select("run_id", "imputation_id").distinct().orderBy("run_id", "imputation_id").collect()  # the fits to make
+    if len(runs) < 2 * len({r.run_id for r in runs}):
+        raise ValueError("two imputations or more are needed")
+    features, predictions = [f"f{c}" for c in range(n_cols) if c != target], []
+    for r in runs:
+        table = models.wide(cells.filter((F.col("run_id") == r.run_id) & (F.col("imputation_id") == r.imputation_id)), target, n_cols).persist()
+        for model in model_names:
+            p = models.predict(table, features, model, task, **(sizes or {}).get(model, {}))
+            predictions.append(cut_lineage(p.withColumns({"run_id": F.lit(r.run_id), "imputation_id": F.lit(r.imputation_id), "model": F.lit(model)})))
+        table.unpersist()
+    own = scores.mi_cells(cells, names, ["run_id"])
+    own = own.withColumnsRenamed({f"{m}_{a}": f"{m}_mi_{b}" for m in names for a, b in (("mean", "mean"), ("std", "std"), ("between", "between_var"))})
+    down = models.mi_downstream(reduce(DataFrame.unionByName, predictions), ["run_id", "model"], task)
+    return own.join(models.mi_wide(down, ["run_id"]), "run_id", "left")

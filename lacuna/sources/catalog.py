@@ -15,14 +15,14 @@ SYNTHETIC = {
     "sim_lr_gaussian_sigma_0p3": {"dgp_type": "low_rank_gaussian", "noise_type": "gaussian", "params": {**_SWEEP, "sigma": 0.3}},
     "sim_lr_gaussian_sigma_1p0": {"dgp_type": "low_rank_gaussian", "noise_type": "gaussian", "params": {**_SWEEP, "sigma": 1.0}},
     "sim_lr_gaussian_sigma_3p0": {"dgp_type": "low_rank_gaussian", "noise_type": "gaussian", "params": {**_SWEEP, "sigma": 3.0}},
-    "sim_orthogonal_student_t": {"dgp_type": "low_rank_orthogonal", "noise_type": "student_t", "params": {"n_rows": 500, "n_cols": 350, "rank": 12, "observed_fraction": 0.3, "eval_fraction": 0.2, "decay": 0.82, "df": 3.0, "scale": 0.2}},
-    "sim_block_sparse_corrupt": {"dgp_type": "block_low_rank", "noise_type": "sparse_corruption", "params": {"n_rows": 360, "n_cols": 280, "rank": 8, "observed_fraction": 0.32, "eval_fraction": 0.25, "row_groups": 6, "col_groups": 5, "group_noise": 0.08, "corruption_fraction": 0.06, "corruption_scale": 2.5}},
+    "sim_orthogonal_student_t": {"dgp_type": "low_rank_orthogonal", "noise_type": "student_t", "params": {"n_rows": 500, "n_cols": 350, "rank": 12, "observed_fraction": 0.3, "eval_fraction": 0.2, "singular_decay": 0.82, "df": 3.0, "scale": 0.2}},
+    "sim_block_sparse_corrupt": {"dgp_type": "block_low_rank", "noise_type": "sparse_corruption", "params": {"n_rows": 360, "n_cols": 280, "rank": 8, "observed_fraction": 0.32, "eval_fraction": 0.25, "n_row_groups": 6, "n_col_groups": 5, "group_noise": 0.08, "corruption_fraction": 0.06, "corruption_scale": 2.5}},
 }
 HANKEL = {
-    "hankel_gaussian_sigma_0p01": {"signal_model": "undamped", "mask_type": "uniform", "params": {"n": 256, "rank": 8, "window": 128, "missing_fraction": 0.5, "sigma": 0.01}},
-    "hankel_gaussian_sigma_0p05": {"signal_model": "undamped", "mask_type": "uniform", "params": {"n": 256, "rank": 8, "window": 128, "missing_fraction": 0.5, "sigma": 0.05}},
-    "hankel_gaussian_sigma_0p10": {"signal_model": "undamped", "mask_type": "uniform", "params": {"n": 256, "rank": 8, "window": 128, "missing_fraction": 0.5, "sigma": 0.1}},
-    "hankel_damped_block_missing": {"signal_model": "damped", "mask_type": "contiguous", "params": {"n": 320, "rank": 10, "window": 160, "missing_fraction": 0.4, "sigma": 0.04}},
+    "hankel_gaussian_sigma_0p01": {"signal_model": "spectrally_sparse_complex", "mask_type": "uniform_random", "params": {"n": 256, "rank": 8, "window_length": 128, "noise_sigma": 0.01, "missing_fraction": 0.5}},
+    "hankel_gaussian_sigma_0p05": {"signal_model": "spectrally_sparse_complex", "mask_type": "uniform_random", "params": {"n": 256, "rank": 8, "window_length": 128, "noise_sigma": 0.05, "missing_fraction": 0.5}},
+    "hankel_gaussian_sigma_0p10": {"signal_model": "spectrally_sparse_complex", "mask_type": "uniform_random", "params": {"n": 256, "rank": 8, "window_length": 128, "noise_sigma": 0.10, "missing_fraction": 0.5}},
+    "hankel_damped_block_missing": {"signal_model": "damped_spectrally_sparse", "mask_type": "contiguous_block", "params": {"n": 320, "rank": 10, "window_length": 160, "noise_sigma": 0.04, "missing_fraction": 0.4}},
 }
 DEFAULT = {"datasets": {}, "noisy_benchmarks": {}, "synthetic_noisy_benchmarks": SYNTHETIC, "hankel_benchmarks": HANKEL}
 

@@ -6,6 +6,7 @@ import atexit
 import json
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +82,29 @@ def save_json(spark: SparkSession, value: dict, path: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def keep_run(filled: DataFrame, path: str, method: str, begin: float) -> DataFrame:
+    """The fills of a method under `path`/runs, and a row of `path`/log with the seconds since `begin`; read again."""
+    spark = filled.sparkSession
+    at = f"{path}/runs/method={method}"
+    filled.write.mode("overwrite").parquet(at)
+    row = [(run_id(), method, "ok", round(time.time() - begin, 3))]
+    spark.createDataFrame(row, "log_id string, method string, status string, seconds double").coalesce(1).write.mode("append").parquet(f"{path}/log")
+    return spark.read.parquet(at)
+
+
+def run_log(spark: SparkSession, path: str) -> DataFrame:
+    """(method, status, seconds) of the runs kept under `path`."""
+    return spark.read.parquet(f"{path}/log").drop("log_id")
+
+
+def saved_runs(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
+    """The fills kept under `path`, with `method`; of runs that begin with `prefix`, none is an error."""
+    out = spark.read.option("basePath", f"{path}/runs").parquet(f"{path}/runs").filter(F.col("run_id").startswith(prefix))
+    if out.isEmpty():
+        raise ValueError(f"no run in {path} begins with {prefix!r}")
+    return out
+
+
 def pending(grid: DataFrame, log: DataFrame, keys: list[str]) -> DataFrame:
     """Runs of the grid that the log does not have as ok yet."""
     return grid.join(log.filter("status = 'ok'").select(*keys).distinct(), keys, "left_anti")

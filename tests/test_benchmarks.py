@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lacuna import cli
 from lacuna.plans import benchmarks
-from lacuna.sources import catalog
+from lacuna.sources import catalog, tables
 
 SMALL = {"n_rows": 60, "n_cols": 40, "rank": 3, "observed_fraction": 0.6, "eval_fraction": 0.2, "sigma": 0.05}
 
@@ -21,7 +21,7 @@ def test_denoise_orders_methods_and_keeps_failures(spark):
 
 
 def test_hankel_benchmark(spark):
-    presets = {"h": {"signal_model": "undamped", "mask_type": "uniform", "params": {"n": 64, "rank": 2, "window": 32, "missing_fraction": 0.3, "sigma": 0.01}}}
+    presets = {"h": {"signal_model": "spectrally_sparse_complex", "mask_type": "uniform_random", "params": {"n": 64, "rank": 2, "window_length": 32, "missing_fraction": 0.3, "noise_sigma": 0.01}}}
     rows = {r.algorithm: r for r in benchmarks.hankel_benchmark(spark, presets, {"global_mean": {}, "cadzow": {"max_iters": 60, "rank": 4}}).collect()}
     assert rows["cadzow"].rmse_missing < 0.5 * rows["global_mean"].rmse_missing
 
@@ -47,3 +47,26 @@ def test_commands(spark, tmp_path, capsys):
     assert spark.read.parquet(str(tmp_path / "mi")).select(F.count_distinct("imputation_id")).first()[0] == 2
     run("list-algorithms")
     assert "soft_impute" in capsys.readouterr().out
+
+
+def test_presets_of_a_file_run(spark, tmp_path):
+    """One preset of each kind, with the published keys."""
+    (tmp_path / "c.yaml").write_text("""
+noisy_benchmarks:
+  noisy: {base_dataset: m, noise_type: gaussian, params: {sigma: 0.2, clip_min: 0.0, clip_max: 1.0}}
+synthetic_noisy_benchmarks:
+  blocks: {dgp_type: block_low_rank, noise_type: sparse_corruption, params: {n_rows: 20, n_cols: 15, rank: 2, observed_fraction: 0.5, eval_fraction: 0.25, n_row_groups: 3, n_col_groups: 2, group_noise: 0.1, corruption_fraction: 0.1, corruption_scale: 2.5}}
+  orthogonal: {dgp_type: low_rank_orthogonal, noise_type: student_t, params: {n_rows: 20, n_cols: 15, rank: 3, observed_fraction: 0.5, eval_fraction: 0.2, singular_decay: 0.5, df: 3.0, scale: 0.2}}
+hankel_benchmarks:
+  damped: {signal_model: damped_spectrally_sparse, mask_type: contiguous_block, params: {n: 40, rank: 2, window_length: 20, noise_sigma: 0.04, missing_fraction: 0.3}}
+""")
+    read = catalog.load_catalog(str(tmp_path / "c.yaml"))
+    rows = benchmarks.denoise(spark, read["synthetic_noisy_benchmarks"], (0,), ("global_mean", "row_mean"), artifacts=str(tmp_path / "kept")).collect()
+    assert len(rows) == 4 and all(r.status == "ok" and r.rmse > 0 for r in rows)
+    assert tables.saved_runs(spark, str(tmp_path / "kept"), "blocks").select("method").distinct().count() == 2
+    assert all(r.seconds > 0 for r in tables.run_log(spark, str(tmp_path / "kept")).collect())
+    assert benchmarks.hankel_benchmark(spark, read["hankel_benchmarks"], {"global_mean": {}}).first().signal_model == "damped_spectrally_sparse"
+    cells = spark.createDataFrame([("r", 0, k, float(k % 2)) for k in range(50)] + [("r", 0, 50, None)], "run_id string, row_id long, col_id long, value double")
+    out = [r.value for r in benchmarks.noisy(cells, read["noisy_benchmarks"]["noisy"], 1).orderBy("col_id").collect()]
+    assert out[50] is None and all(0 <= v <= 1 for v in out[:50]) and len(set(out)) > 10
+    assert catalog.HANKEL["hankel_damped_block_missing"]["params"]["window_length"] == 160

@@ -135,7 +135,7 @@ def test_hankel_round_trip(spark):
 def test_last_point_is_never_in_a_run(spark):
     s = spark.createDataFrame([("s", t) for t in range(30)], "series_id string, t int")
     for seed in range(5):
-        got = hankel.hide_points(s, "contiguous", 0.3, seed).filter("hidden")
+        got = hankel.hide_points(s, "contiguous_block", 0.3, seed).filter("hidden")
         assert got.count() == 9 and got.filter("t = 29").count() == 0
 
 
