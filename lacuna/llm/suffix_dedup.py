@@ -40,6 +40,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ from lacuna.llm.common import mix64
 
 SPAN, GRAM = 50, 20
 #: Bytes of text in a block of documents, and for a bucket of triggers.
-BLOCK, BUCKET = 6 << 20, 4 << 20
+BLOCK, BUCKET = 4 << 20, 3 << 20
 #: Phrases of a trigger beyond which its spans are dealt by their own bytes.
 HOT = 1 << 13
 #: Positions hashed at a time: few enough for a core's cache.
@@ -123,10 +124,17 @@ def cut_out(data: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarr
 def _documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(order of the rows, their ids, all bytes, where each text ends), rows by id and text."""
     ids = table.column("doc_id").fill_null(LAST).to_numpy()
-    texts = table.column("text").to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
-    texts = [texts[i] for i in order]
-    return np.array(order, np.int64), ids[order], np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts], dtype=np.int64)
+    order = np.argsort(ids, kind="stable")
+    same = np.flatnonzero(ids[order][1:] == ids[order][:-1])
+    if len(same):  # rows that share an id stand in the order of their texts
+        texts = table.column("text")
+        for at in np.split(same, np.flatnonzero(np.diff(same) > 1) + 1):
+            part = order[at[0] : at[-1] + 2]
+            order[at[0] : at[-1] + 2] = sorted(part.tolist(), key=lambda i: texts[i].as_py())
+    texts = pc.cast(table.column("text").combine_chunks().take(pa.array(order)), pa.large_binary())
+    _, offsets, data = texts.buffers()  # the bytes where Arrow holds them, without a copy as Python objects
+    ends = np.frombuffer(offsets, np.int64)[: len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    return order, ids[order], np.frombuffer(data, np.uint8)[: ends[-1]] if ends[-1] else np.zeros(0, np.uint8), ends[1:]
 
 
 def _bucket(trigger: np.ndarray, buckets: int) -> np.ndarray:
@@ -273,55 +281,66 @@ def suffix_order(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     that are still equal.  A number holds where a span's group begins, its next
     bytes and its place, so that plain integer sorts do.
     """
-    padded = np.append(data, np.zeros(16, np.uint8)).astype(np.uint64)
-    two = (padded[:-1] << np.uint64(8)) | padded[1:]
-    four = (two[:-2] << np.uint64(16)) | two[2:]
-    eight = (four[:-4] << np.uint64(32)) | four[4:]
+    # The eight bytes from each place on, as one number: a big-endian view of the bytes at each of eight shifts.
+    padded = np.append(data, np.zeros(16, np.uint8))
+    eight = np.empty(len(data) + 8, np.uint64)
+    for k in range(8):
+        part = padded[k : k + (len(padded) - k) // 8 * 8].view(">u8")
+        n = len(eight[k::8])
+        eight[k::8] = part[:n]
     bits = max(1, int(len(at)).bit_length())
     low = np.uint64((1 << bits) - 1)
-    order, start = np.arange(len(at)), np.zeros(len(at), np.uint64)
+    order, start = np.arange(len(at), dtype=np.int32), np.zeros(len(at), np.uint32)
     changed = np.zeros(len(at), bool)
     changed[:1] = True
-    slots, depth = np.arange(len(at)), 0
+    slots, depth = np.arange(len(at), dtype=np.int32), 0
     while depth < SPAN and len(slots):
         n = min((64 - bits - (bits if depth else 0)) // 8, 8, SPAN - depth)
         spans = order[slots]
-        key = (start[slots] << np.uint64(64 - bits)) if depth else np.zeros(len(slots), np.uint64)
+        key = (start[slots].astype(np.uint64) << np.uint64(64 - bits)) if depth else np.zeros(len(slots), np.uint64)
         key = key | ((eight[at[spans] + depth] >> np.uint64(64 - 8 * n)) << np.uint64(bits)) | np.arange(len(slots), dtype=np.uint64)
         key.sort()
         order[slots] = spans[(key & low).astype(np.int64)]
         key >>= np.uint64(bits)
         changed[slots[1:]] = key[1:] != key[:-1]
-        start[slots] = np.maximum.accumulate(np.where(changed[slots], slots, 0)).astype(np.uint64)
+        start[slots] = np.maximum.accumulate(np.where(changed[slots], slots, 0)).astype(np.uint32)
         here = changed[slots]
         slots = slots[~(here & np.append(here[1:], True))]  # what is alone in its group is done
         depth += n
     return order, changed
 
 
+def spans_bytes(strings: pa.Array) -> int:
+    """All bytes of an array of strings that begins at its buffer's start."""
+    return int(np.frombuffer(strings.buffers()[1], np.int32)[len(strings)]) if len(strings) else 0
+
+
 def _answer(key: tuple, table: pa.Table) -> pa.Table:
     """Step 3, a bucket: for each block (row, start, bits): the spans that a smaller document has."""
     undo = zstandard.ZstdDecompressor().decompress
     numbers = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
     spans_of = numbers("spans", np.uint8)
     n = [len(s) for s in spans_of]
-    spans = np.concatenate(spans_of).astype(np.int64)
+    spans = np.concatenate(spans_of).astype(np.int32)
     least = np.frombuffer(b"".join(undo(x) for x in table.column("least").to_pylist()), np.int64)
     text = np.frombuffer(b"".join(undo(x) for x in table.column("bytes").to_pylist()), np.uint8)
     code, dictionary = _distinct(text, spans + SPAN - 1)
-    data = np.frombuffer(b"".join(dictionary.to_pylist()), np.uint8)
-    held = np.zeros(len(dictionary), np.int64)  # spans of each entry
+    del text
+    data = np.frombuffer(dictionary.buffers()[2], np.uint8)[: spans_bytes(dictionary)]
+    held = np.zeros(len(dictionary), np.int32)  # spans of each entry
     held[code] = spans
-    first_byte = np.cumsum(held + SPAN - 1) - (held + SPAN - 1)
+    first_byte = (np.cumsum(held + SPAN - 1) - (held + SPAN - 1)).astype(np.int32)
     of_entry = np.full(len(dictionary), LAST)
     np.minimum.at(of_entry, code, least)
-    entry = np.repeat(np.arange(len(dictionary)), held)
-    first_span = np.cumsum(held) - held
-    at = np.arange(len(entry)) - first_span[entry] + first_byte[entry]
+    entry = np.repeat(np.arange(len(dictionary), dtype=np.int32), held)
+    first_span = (np.cumsum(held) - held).astype(np.int32)
+    at = np.arange(len(entry), dtype=np.int32) + (first_byte - first_span)[entry]
     order, changed = suffix_order(data, at)
+    del at, data, dictionary
     lowest = np.minimum.reduceat(of_entry[entry[order]], np.flatnonzero(changed))
     of_span = np.empty(len(entry), np.int64)
-    of_span[order] = lowest[np.cumsum(changed) - 1]
+    of_span[order] = np.repeat(lowest, np.diff(np.append(np.flatnonzero(changed), len(entry))))
+    del order, changed, entry, lowest
     bits = np.zeros(len(spans), np.uint32)
     for k in range(int(spans.max())):
         has = np.flatnonzero(spans > k)
