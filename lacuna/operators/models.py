@@ -58,10 +58,9 @@ def downstream(predictions: DataFrame, keys: list[str], task: str = "classificat
     """All scores of one model's test rows from one set of predictions."""
     if task == "regression":
         return scores.r2(predictions.withColumnRenamed("label", "truth"), keys)
-    parts = [scores.accuracy_f1(predictions, keys), scores.balanced_accuracy(predictions, keys), scores.roc_auc(predictions, keys), scores.average_precision(predictions, keys)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, keys)
+    out = scores.accuracy_f1(predictions, keys)
+    for part in (scores.balanced_accuracy(predictions, keys), scores.ranked_scores(predictions, keys)):
+        out = out.join(part, keys)
     return out
 
 
@@ -81,10 +80,13 @@ def mi_downstream(predictions: DataFrame, keys: list[str], task: str = "classifi
 
     Mean and population sd over the imputations where the metric is defined, and the metric of the pooled predictions.
     """
+    from lacuna.sources.tables import cut_lineage
+
     metrics = list(CLASS_SCORES if task == "classification" else NUMBER_SCORES)
+    predictions = cut_lineage(predictions)
     each = downstream(predictions, [*keys, "imputation_id"], task).unpivot([*keys, "imputation_id"], metrics, "metric", "value").filter("value IS NOT NULL AND NOT isnan(value)")
     over = each.groupBy(*keys, "metric").agg(F.avg("value").alias("mi_mean"), F.stddev_pop("value").alias("mi_std"))
-    one = downstream(pooled(predictions, keys, task), keys, task).unpivot(keys, metrics, "metric", "mi_pooled")
+    one = downstream(cut_lineage(pooled(predictions, keys, task)), keys, task).unpivot(keys, metrics, "metric", "mi_pooled")
     return over.join(one, [*keys, "metric"], "left")
 
 

@@ -75,19 +75,29 @@ def _by_score(rows: DataFrame, keys: list[str], label: str, score: str) -> DataF
     return running(n, F.desc(score), {"pos_above": F.col("pos"), "neg_above": F.col("neg")}, keys)
 
 
+def _auc() -> Column:
+    return F.try_divide(F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") / 2)), F.sum("pos") * F.sum("neg")).alias("roc_auc")
+
+
+def _precision() -> Column:
+    upto = F.col("pos_above") + F.col("pos")
+    part = F.sum(F.col("pos") * upto / (upto + F.col("neg_above") + F.col("neg")))
+    return F.when(F.sum("neg") > 0, F.try_divide(part, F.sum("pos"))).alias("average_precision")
+
+
 def roc_auc(rows: DataFrame, keys: list[str], label: str = "label", score: str = "score") -> DataFrame:
     """Pairs in the right order, ties half; null with one class."""
-    s = _by_score(rows, keys, label, score)
-    right = F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") / 2))
-    return s.groupBy(*keys).agg(F.try_divide(right, F.sum("pos") * F.sum("neg")).alias("roc_auc"))
+    return _by_score(rows, keys, label, score).groupBy(*keys).agg(_auc())
 
 
 def average_precision(rows: DataFrame, keys: list[str], label: str = "label", score: str = "score") -> DataFrame:
     """Precision at each distinct score weighted by the recall it adds; null with one class."""
-    s = _by_score(rows, keys, label, score)
-    upto = F.col("pos_above") + F.col("pos")
-    part = F.sum(F.col("pos") * upto / (upto + F.col("neg_above") + F.col("neg")))
-    return s.groupBy(*keys).agg(F.when(F.sum("neg") > 0, F.try_divide(part, F.sum("pos"))).alias("average_precision"))
+    return _by_score(rows, keys, label, score).groupBy(*keys).agg(_precision())
+
+
+def ranked_scores(rows: DataFrame, keys: list[str], label: str = "label", score: str = "score") -> DataFrame:
+    """`roc_auc` and `average_precision` from one ranking."""
+    return _by_score(rows, keys, label, score).groupBy(*keys).agg(_auc(), _precision())
 
 
 def r2(rows: DataFrame, keys: list[str], truth: str = "truth", pred: str = "pred") -> DataFrame:
