@@ -7,6 +7,12 @@ row looks up the ranks of all its neighbouring pairs in a hash table, merges
 its leftmost pair of least rank, and closes the gap; rows without a known pair
 leave.  As ranks are ids, that gives what the usual encoder gives.
 
+A long piece is first parted where no token of the vocabulary can reach across:
+every token that does would hold the two bytes there alone, or with one more at
+either side, so a table of the three-byte strings in tokens tells.  A part that
+is still long would need a round over its whole width for each merge, so its
+pairs wait in a heap by rank and place, and only the neighbours of a merge change.
+
 Pieces met before are kept in a store of bounded size, which only saves work.
 
 Defined results: a null text is empty; an empty text has no ids (the hash of no
@@ -18,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +38,8 @@ from lacuna.llm.common import chunked, mix64
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Pieces in store, and the most cells of one matrix.
 STORE, CELLS = 300_000, 1 << 20
+#: Bytes of a piece from which it is parted, and beyond which it is not kept in store.
+LONG = 64
 WIDTHS = (2, 4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64)
 _NONE = np.int32(2**31 - 1)
 
@@ -94,6 +103,7 @@ class ByteBPE:
         self.token = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.token[rank] = token
+        self.within: np.ndarray | None = None  # for long pieces, made when the first comes
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}  # the last full store; what is met again moves on
 
@@ -135,10 +145,80 @@ class ByteBPE:
                 rank[every[ok], p[ok]] = self.pairs(rows[every[ok], p[ok]], rows[every[ok], p[ok] + 1])
         return ids, length
 
+    def _prepare_long(self) -> None:
+        """`within`: the three-byte strings in tokens; `two`: two-byte tokens; `merged`: what a pair merges to."""
+        held = self.pairs.key >= 0
+        self.merged = dict(zip(self.pairs.key[held].tolist(), self.pairs.value[held].tolist(), strict=True))
+        self.within, self.two = np.zeros(1 << 24, bool), np.zeros(1 << 16, bool)
+        data = np.frombuffer(b"".join(self.token), np.uint8).astype(np.int64)
+        ends = np.cumsum([len(t) for t in self.token])
+        triple = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:]
+        whole = np.ones(len(triple), bool)
+        for back in (1, 2):  # those that run over the end of a token are none
+            at = ends - back
+            whole[at[(at >= 0) & (at < len(whole))]] = False
+        self.within[triple[whole]] = True
+        pairs = [t[0] << 8 | t[1] for t in self.token if len(t) == 2]
+        self.two[pairs] = True
+
+    def part_long(self, piece: bytes) -> list[bytes]:
+        """`piece` in parts that no merge joins."""
+        if self.within is None:
+            self._prepare_long()
+        data = np.frombuffer(piece, np.uint8).astype(np.int64)
+        crossed = self.two[(data[:-1] << 8) | data[1:]]
+        hit = self.within[(data[:-2] << 16) | (data[1:-1] << 8) | data[2:]]
+        crossed[:-1] |= hit
+        crossed[1:] |= hit
+        cuts = [0, *(np.flatnonzero(~crossed) + 1).tolist(), len(piece)]
+        return [piece[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def merge_long(self, piece: bytes) -> bytes:
+        """The ids of one long part: the leftmost pair of least rank is merged again and again."""
+        first = self.of_byte[np.frombuffer(piece, np.uint8)]
+        rank = self.pairs(first[:-1], first[1:])
+        some = np.flatnonzero(rank != _NONE)
+        heap = np.sort((rank[some].astype(np.int64) << 32) | some).tolist()  # sorted, so a heap
+        ids, rank = first.tolist(), rank.tolist()
+        n, none, merged = len(ids), int(_NONE), self.merged
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank.append(none)
+        while heap:
+            x = heapq.heappop(heap)
+            r, p = x >> 32, x & 0xFFFFFFFF
+            if rank[p] != r:
+                continue  # its pair has changed since
+            gone = after[p]
+            ids[p], rank[gone] = r, none
+            q = after[p] = after[gone]
+            ids[gone] = -1
+            if q < n:
+                before[q] = p
+            for left in (before[p], p):
+                right = after[left] if left >= 0 else n
+                if right < n:
+                    new = rank[left] = merged.get(ids[left] << 32 | ids[right], none)
+                    if new != none:
+                        heapq.heappush(heap, new << 32 | left)
+                elif left >= 0:
+                    rank[left] = none
+        return np.array([i for i in ids if i >= 0], np.int32).tobytes()
+
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece as 32-bit integers."""
         # A piece that is itself a token is that token, whether or not merges lead to it.
         out = [np.int32(self.ranks[p]).tobytes() if p in self.ranks else b"" for p in pieces]
+        long = [i for i, p in enumerate(pieces) if len(p) >= LONG and not out[i]]
+        if long:
+            parts = [self.part_long(pieces[i]) for i in long]
+            short = list({p for x in parts for p in x if len(p) < LONG})
+            found = dict(zip(short, self._by_merges(short, [b""] * len(short)), strict=True))
+            for i, x in zip(long, parts, strict=True):
+                out[i] = b"".join([found.get(p) or self.merge_long(p) for p in x])
+        return self._by_merges(pieces, out)
+
+    def _by_merges(self, pieces: list[bytes], out: list[bytes]) -> list[bytes]:
+        """Fills what is empty in `out`."""
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         order = np.argsort(size, kind="stable")
         order = order[np.fromiter((not x for x in out), bool, len(out))[order]]
@@ -175,6 +255,9 @@ class ByteBPE:
         if fresh:
             known.update(zip(fresh, self.encode_pieces([p.encode("utf-8", "replace") for p in fresh]), strict=True))
         out = [np.frombuffer(b"".join([known[p] for p in pieces]), np.int32) for pieces in cut]
+        for p in fresh:
+            if len(p) > LONG:
+                del known[p]
         if len(known) > STORE:
             self.before, self.known = known, {}
         return out

@@ -539,6 +539,32 @@ def test_bpe_equals_the_library(spark, odd, empty):
     assert byte_bpe.encode_and_decode(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_long_unbroken_pieces_equal_the_library():
+    import time
+
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = byte_bpe.read_ranks(path)
+    ref = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    bpe = byte_bpe.ByteBPE(ranks, public_tokenizers.PATTERN)
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choices("etaoinshrdlucmfwypvbgkéü", k=n))
+    texts = [letters(n) for n in (63, 64, 65, 100, 1000, 20_000)] + ["".join(VOCABULARY * 10), "ab" * 3001, "a" * 4097, "=" * 777, "-=" * 500, "the" * 900 + letters(50)]
+    texts += ["".join(chr(rng.randrange(0x4E00, 0x4F00)) for _ in range(3000)), "".join(rng.choice(["ein", "ung", "tion", "sch", "aaa"]) for _ in range(2000)), "x" + "\u0e01\u0e32\u0e23" * 800, " " * 5000, "\n" * 900]
+    assert [x.tolist() for x in bpe.encode_batch(texts)] == [ref.encode_ordinary(t) for t in texts]
+    data = "".join(texts[:7]).encode()
+    assert b"".join(bpe.part_long(data)) == data
+    # The rounds of a long part agree with the matrix that merges one pair at a time.
+    for t in (texts[3], texts[7][:200], texts[13][:300]):
+        assert bpe.merge_long(t.encode()) == bpe._by_merges([t.encode()], [b""])[0]
+    begin = time.time()
+    for t in (letters(1 << 20), "ab" * (1 << 19), "".join(rng.choices(VOCABULARY, k=170_000))):
+        assert bpe.decode(bpe.encode_batch([t])[0]) == t.encode()
+    assert time.time() - begin < 60
+    assert max(map(len, bpe.known)) <= byte_bpe.LONG
+
+
 # 10. Fingerprints.
 
 
