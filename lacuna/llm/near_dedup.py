@@ -253,8 +253,8 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id
     pairs = written(placed.filter("doc <> other").select("doc", "other").distinct(), "pairs")
     wanted = placed.select("doc").distinct()
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    # One text for an id: that of its first key, which is the one its bands came from where ids are unique.
-    texts = written(plain.join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    # One text for an id.  The same plan at every size: ids of documents are never sent out whole.
+    texts = written(plain.join(wanted.withColumnRenamed("doc", "doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     compared = written(_compare_with_one(pairs, texts, of_bin), "compared")
     links = compared.filter(F.col("similarity") >= least).select(F.col("doc").alias("a"), F.col("other").alias("b"))
     labels = components(links)
