@@ -7,13 +7,11 @@ cuts the rest into sequences.  All but the last return the columns they read.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm import language_id, near_dedup, packing, suffix_dedup, toxicity
-from lacuna.llm.common import shared_dir
+from lacuna.sources.tables import cut_lineage
 
 #: Scores below this are no better than a guess among four languages or more.
 LEAST_LANGUAGE_SCORE = 0.35
@@ -49,10 +47,8 @@ STAGES = [("language_id", language), ("toxicity", civil), ("near_dedup", near_un
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; each stage's rows are written as Parquet and read again."""
+    """The rows of the last stage; each stage's rows are written as Parquet and read again, and removed when the driver ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark).rstrip('/')}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = cut_lineage(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
