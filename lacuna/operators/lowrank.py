@@ -1,8 +1,14 @@
-"""Low-rank completion: one task per run for matrices of catalogue size, Gram matrices for tall ones."""
+"""Low-rank completion: one task per run for matrices of catalogue size, rows as arrays and Gram matrices for tall ones.
+
+A tall run never meets in one task.  Its rows are arrays in a table; every round sums
+their Gram matrix (columns x columns) in each task and then over tasks, factors it on
+the driver, sends the shrinking matrix out, and rewrites the rows.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +17,9 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.registry import IMPUTERS
 from lacuna.operators.cells import AT, KEYS
+from lacuna.sources.tables import cut_lineage
 
-#: A run's grid must stay below this to be handled by one task.
+#: Cells of a run that one task may hold; larger runs are handled by rows.
 MOST_CELLS = 4_000_000
 
 
@@ -124,11 +131,9 @@ def cadzow(x: np.ndarray, rank: int, max_iters: int = 100, tol: float = 1e-6) ->
 
 
 def per_run(cells: DataFrame, solve: Callable[..., np.ndarray], keys=KEYS, **params) -> DataFrame:
-    """Each run's matrix through `solve` in a task of its own; failures are rows with `error`."""
+    """Each run's matrix through `solve` in a task of its own; failures, and runs of more than MOST_CELLS cells, are rows with `error`."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        if table.num_rows > MOST_CELLS:
-            raise ValueError(f"a run has {table.num_rows} cells; use gram_shrink for more than {MOST_CELLS}")
         rows, r = np.unique(table.column("row_id").to_numpy(), return_inverse=True)
         cols, c = np.unique(table.column("col_id").to_numpy(), return_inverse=True)
         x = np.full((len(rows), len(cols)), np.nan)
@@ -145,37 +150,224 @@ def per_run(cells: DataFrame, solve: Callable[..., np.ndarray], keys=KEYS, **par
     return wanted.groupBy(*keys).applyInArrow(run, f"{kinds}, pred double, error string")
 
 
+def as_rows(cells: DataFrame, cols: list[int], on: str = "value") -> DataFrame:
+    """(row_id, x): the rows of one run as arrays in the order of `cols`, NaN where a value is missing."""
+    at = np.array(cols)
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            parts = lists.flatten()
+            n = np.diff(lists.offsets.to_numpy())
+            x = np.full((len(n), len(at)), np.nan)
+            value = parts.field(1).to_numpy(zero_copy_only=False).astype(float)
+            x[np.repeat(np.arange(len(n)), n), np.searchsorted(at, parts.field(0).to_numpy())] = value
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(x)], names=["row_id", "x"])
+
+    grouped = cells.groupBy("row_id").agg(F.collect_list(F.struct(F.col("col_id").cast("long").alias("col_id"), F.col(on).alias("v"))).alias("cells"))
+    return grouped.select(F.col("row_id").cast("long").alias("row_id"), "cells").mapInArrow(dense, "row_id long, x array<double>")
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel()))
+
+
+def _matrix(lists: pa.ListArray, width: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), width)
+
+
+def row_gram(rows: DataFrame, width: int, on: str = "x", more: tuple[str, ...] = ()) -> tuple[np.ndarray, dict[str, float]]:
+    """The Gram matrix of the rows' arrays (columns x columns), summed in each task first, and the sums of the columns `more`."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, sums = np.zeros((width, width)), np.zeros(len(more))
+        for batch in batches:
+            x = np.nan_to_num(_matrix(batch.column(0), width))
+            g += x.T @ x
+            sums += [batch.column(1 + k).to_numpy().sum() for k in range(len(more))]
+        out = np.vstack([g, np.resize(np.append(sums, np.zeros(width)), (1, max(width, len(more))))[:, :width]]) if more else g
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), _lists(out)], names=["i", "g"])
+
+    if len(more) > width:
+        raise ValueError("fewer columns than sums")
+    summed = rows.select(on, *more).mapInArrow(part, "i long, g array<double>").select("i", F.posexplode("g").alias("j", "g")).groupBy("i", "j").agg(F.sum("g").alias("g")).toArrow()  # columns x columns
+    g = np.zeros((width + 1, width))
+    g[summed.column("i").to_numpy(), summed.column("j").to_numpy()] = summed.column("g").to_numpy()
+    return g[:width], {m: float(g[width, k]) for k, m in enumerate(more)}
+
+
+def _factors(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values, descending, and right vectors, from a Gram matrix."""
+    w, v = np.linalg.eigh(g)
+    return np.sqrt(np.maximum(w[::-1], 0)), v[:, ::-1]
+
+
+def _shrinking(s: np.ndarray, v: np.ndarray, by: float, rank: int | None = None) -> np.ndarray:
+    """What a matrix with these factors is multiplied by to shrink its singular values."""
+    kept = np.maximum(s - by, 0) / np.where(s > 0, s, 1)
+    if rank is not None:
+        kept[rank:] = 0
+    return (v * kept) @ v.T
+
+
+def _step(rows: DataFrame, width: int, f: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """(row_id, known, x, low, gap): every row's `f(known, x)` gives the next x, its low-rank part and the square of what is left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known, x = (_matrix(batch.column(k), width) for k in (1, 2))
+            after, low, gap = f(known, x)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(after), _lists(low), pa.array(gap)], names=["row_id", "known", "x", "low", "gap"])
+
+    return cut_lineage(rows.select("row_id", "known", "x").mapInArrow(run, "row_id long, known array<double>, x array<double>, low array<double>, gap double"), "rows")
+
+
+def tall(cells: DataFrame, method: str, most_columns: int = 2000, **params) -> DataFrame:
+    """(row_id, col_id, pred) of one run by `svt`, `soft_impute` or `robust_pca`, however many rows it has.
+
+    The same iterations as the functions of those names over a whole matrix, to the same tolerances.
+    """
+    spark = cells.sparkSession
+    cols = sorted(r.col_id for r in cells.select("col_id").distinct().limit(most_columns + 1).collect())
+    if len(cols) > most_columns:
+        raise ValueError(f"more than {most_columns} columns")
+    d = len(cols)
+    stats = cells.agg(F.count("value").alias("n"), F.sum(F.col("value") * F.col("value")).alias("ss"), F.count_distinct("row_id").alias("rows"), F.avg("value").alias("mean")).first()
+    if not stats.n:
+        raise ValueError("nothing is observed")
+    rows, share = as_rows(cells, cols), spark.sparkContext.broadcast
+    size, eps, result = np.sqrt(stats.ss), params.get("tol", 1e-5), "x"
+    if method == "svt":
+        tau = params.get("tau") or 2.5 * (stats.rows + d)
+        delta, eps, most, result = params.get("delta") or 1.2 * stats.rows * d / stats.n, params.get("eps", 1e-2), params.get("max_iters", 1000), "low"
+        rows = rows.select("row_id", F.col("x").alias("known"), F.transform("x", lambda v: v * 0).alias("x"))
+
+        def plan(s, v, k):
+            w = share(_shrinking(s, v, tau))
+
+            def f(known, x):
+                low = np.nan_to_num(x) @ w.value
+                gap = np.where(np.isfinite(known), known - low, 0.0)
+                return np.nan_to_num(x) + delta * gap, low, (gap * gap).sum(axis=1)
+
+            return f
+
+    elif method == "soft_impute":
+        by, most = params.get("shrinkage"), params.get("max_iters", 100)
+        rows = rows.select("row_id", F.col("x").alias("known"), F.transform("x", lambda v: F.when(F.isnan(v), 0.0).otherwise(v)).alias("x"))
+
+        def plan(s, v, k):
+            nonlocal by, size
+            by = s[0] / 50 if by is None else by
+            size = max(np.sqrt((s * s).sum()), 1e-12)
+            w = share(_shrinking(s, v, by, params.get("rank")))
+
+            def f(known, x):
+                low = x @ w.value
+                after = np.where(np.isfinite(known), known, low)
+                return after, low, ((after - x) ** 2).sum(axis=1)
+
+            return f
+
+    elif method == "robust_pca":
+        own = {r.col_id: r.m for r in cells.groupBy("col_id").agg(F.avg("value").alias("m")).collect()}  # a row per column
+        mean = np.array([stats.mean if own[c] is None else own[c] for c in cols])  # filled columns keep their means
+        rank, most, gamma, result = params.get("n_components") or max(1, min(stats.rows, d) // 10), params.get("max_iters", 100), params.get("gamma", 0.5), "low"
+        beta = params.get("beta") or 1 / (2 * (stats.rows * d) ** 0.25)
+        centre = share(mean)
+        rows = _step(rows.select("row_id", F.col("x").alias("known"), "x"), d, lambda known, x: (np.where(np.isfinite(known), known - centre.value, 0.0),) * 2 + (np.zeros(len(x)),)).select("row_id", F.col("x").alias("known"), "x")
+        first = params.get("beta_init") or 4 * beta
+
+        def plan(s, v, k):
+            nonlocal gamma, size
+            w = share(v[:, :rank] @ v[:, :rank].T)
+            if k == 0:  # the first sparse part comes from the rows themselves
+                size, level = max(np.sqrt((s * s).sum()), 1e-12), first * s[0]
+                return lambda known, x: (np.where(np.abs(known) > level, 0.0, known), known, np.full(len(x), np.inf))
+            level = beta * ((s[rank] if len(s) > rank else 0.0) + gamma * s[0])
+            gamma *= 0.7
+
+            def f(known, x):
+                low = x @ w.value
+                rest = known - low
+                sparse = np.where(np.abs(rest) > level, rest, 0.0)
+                return known - sparse, low, ((rest - sparse) ** 2).sum(axis=1)
+
+            return f
+
+        most += 1
+    else:
+        raise ValueError("method must be svt, soft_impute or robust_pca")
+    rows = cut_lineage(rows, "rows")
+    g, _ = row_gram(rows, d)
+    for k in range(most):
+        rows = _step(rows, d, plan(*_factors(g), k))
+        g, sums = row_gram(rows, d, more=("gap",))
+        if np.sqrt(sums["gap"]) / max(size, 1e-12) < eps:
+            break
+    at = spark.createDataFrame([(k, int(c), float(mean[k]) if method == "robust_pca" else 0.0) for k, c in enumerate(cols)], "pos int, col_id long, shift double")
+    out = rows.select("row_id", F.posexplode(result).alias("pos", "pred")).join(F.broadcast(at), "pos")  # a row per column
+    return out.select("row_id", "col_id", (F.col("pred") + F.col("shift")).alias("pred"))
+
+
+def fill(cells: DataFrame, name: str, solve: Callable[..., np.ndarray], keys=KEYS, **params) -> DataFrame:
+    """Runs of up to MOST_CELLS cells in a task each; larger ones by `tall`, or rows with `error` where that cannot."""
+    wanted = cells.select(*keys, F.col("row_id").cast("long").alias("row_id"), F.col("col_id").cast("long").alias("col_id"), "value")
+    large = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > MOST_CELLS).drop("__n").collect()  # runs are few
+    if not large:
+        return per_run(cells, solve, keys, **params)
+    is_run = lambda r: reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(r[k]) for k in keys])
+    parts = [per_run(wanted.filter(~reduce(lambda a, b: a | b, [is_run(r) for r in large])), solve, keys, **params)]
+    for r in large:
+        one, error = wanted.filter(is_run(r)), F.lit(None).cast("string")
+        try:
+            done = tall(one, name, **params)
+        except ValueError as e:
+            done, error = one.select("row_id", "col_id", F.lit(None).cast("double").alias("pred")), F.lit(str(e))
+        parts.append(one.join(done, list(AT)).select(*keys, *AT, "value", "pred", error.alias("error")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 for _name, _solve in (("svt", svt), ("soft_impute", soft_impute), ("nuclear_norm_minimization", nuclear_norm), ("robust_pca", robust_pca), ("cadzow", cadzow)):
-    IMPUTERS.register(_name)(lambda cells, keys=KEYS, _solve=_solve, **params: per_run(cells, _solve, keys, **params))
+    IMPUTERS.register(_name)(lambda cells, keys=KEYS, _name=_name, _solve=_solve, **params: fill(cells, _name, _solve, keys, **params))
 
 
 def gram(cells: DataFrame, on: str = "value", keys=KEYS) -> DataFrame:
-    """(keys, i, j, g): inner products of the columns, from rows as arrays, pre-aggregated in each task."""
-    x = F.coalesce(F.col(on), F.lit(0.0))
-    a = cells.select(*keys, "row_id", F.col("col_id").alias("i"), x.alias("a"))
-    b = cells.select(*keys, "row_id", F.col("col_id").alias("j"), x.alias("b"))
-    return a.join(b, [*keys, "row_id"]).filter("i <= j").groupBy(*keys, "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("g"))
+    """(keys, i, j, g), i <= j: inner products of the columns, from rows as arrays, summed in each batch first; nulls count as 0."""
+    rows = cells.groupBy(*keys, "row_id").agg(F.collect_list(F.struct(F.col("col_id").cast("long").alias("col_id"), F.col(on).alias("v"))).alias("cells"))  # no nulls
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            run = np.array([hash(tuple(r.values())) for r in batch.select(list(keys)).to_pylist()])
+            for r in np.unique(run):
+                of = np.flatnonzero(run == r)
+                lists = batch.column(len(keys)).take(pa.array(of))
+                cells_ = lists.flatten()
+                cols, c = np.unique(cells_.field(0).to_numpy(), return_inverse=True)
+                x = np.zeros((len(of), len(cols)))
+                x[np.repeat(np.arange(len(of)), np.diff(lists.offsets.to_numpy())), c] = np.nan_to_num(cells_.field(1).to_numpy(zero_copy_only=False).astype(float))
+                i, j = np.triu_indices(len(cols))
+                same = [batch.column(k).take(pa.array(np.full(len(i), of[0]))) for k in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(cols[i]), pa.array(cols[j]), pa.array((x.T @ x)[i, j])], names=[*keys, "i", "j", "g"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*keys).schema.fields)
+    return rows.select(*keys, "cells").mapInArrow(part, f"{kinds}, i long, j long, g double").groupBy(*keys, "i", "j").agg(F.sum("g").alias("g"))
 
 
 def gram_shrink(cells: DataFrame, by: float, run_keys: dict, most_columns: int = 2000) -> DataFrame:
-    """One soft-threshold step for a tall run: the Gram matrix of at most `most_columns` columns is factored on the driver.
+    """One soft-threshold step for a tall run; missing values count as 0.
 
-    The shrinking matrix (columns x columns) goes out as a table and is joined by column.
+    The Gram matrix of at most `most_columns` columns is factored on the driver, and the shrinking matrix goes out as one array.
     """
-    spark = cells.sparkSession
     one = cells
     for k, v in run_keys.items():
         one = one.filter(F.col(k) == v)
     cols = sorted(r.col_id for r in one.select("col_id").distinct().limit(most_columns + 1).collect())
     if len(cols) > most_columns:
         raise ValueError(f"more than {most_columns} columns")
-    at = {c: k for k, c in enumerate(cols)}
-    g = np.zeros((len(cols), len(cols)))
-    for r in gram(one, keys=list(run_keys)).collect():  # columns x columns
-        g[at[r.i], at[r.j]] = g[at[r.j], at[r.i]] = r.g
-    w, v = np.linalg.eigh(g)
-    s = np.sqrt(np.maximum(w, 0))
-    shrink = (v * np.where(s > by, (s - by) / np.where(s > 0, s, 1), 0)) @ v.T
-    table = spark.createDataFrame([(int(cols[i]), int(cols[j]), float(shrink[i, j])) for i in range(len(cols)) for j in range(len(cols))], "col_id long, to_col long, f double")
-    x = one.filter("value IS NOT NULL").join(F.broadcast(table), "col_id")  # at most most_columns squared rows
-    return x.groupBy(*run_keys, "row_id", F.col("to_col").alias("col_id")).agg(F.sum(F.col("value") * F.col("f")).alias("low"))
+    rows = cut_lineage(as_rows(one, cols).withColumn("known", F.col("x")), "rows")
+    w = cells.sparkSession.sparkContext.broadcast(_shrinking(*_factors(row_gram(rows, len(cols))[0]), by))  # at most most_columns squared numbers
+    done = _step(rows, len(cols), lambda known, x: (x, np.nan_to_num(x) @ w.value, np.zeros(len(x))))
+    at = F.array(*[F.lit(c) for c in cols])
+    out = done.select("row_id", F.posexplode("low").alias("pos", "low")).select(*[F.lit(v).alias(k) for k, v in run_keys.items()], "row_id", F.element_at(at, F.col("pos") + 1).cast("long").alias("col_id"), "low")
+    return out

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions.rand import uniform
+from lacuna.functions.registry import IMPUTERS
 from lacuna.operators import cells as C
 from lacuna.operators import encode, hankel, impute, lowrank, masks, models, reports, scores, simulate
 from lacuna.plans import fixtures as X
@@ -332,16 +333,21 @@ def column_profiles(spark, sf):
 
 def _solver(name: str, **params) -> Query:
     def run(spark, sf):
-        x = lowrank.per_run(observed(spark, sf, X.user_hour), getattr(lowrank, name), **params)
+        x = IMPUTERS.named(name)(observed(spark, sf, X.user_hour), **params)
         return rounded(x.select("row_id", "col_id", "pred", "error"), "pred")
 
     return run
 
 
-QUERIES["impute_svt"] = _solver("svt", max_iters=100)
-QUERIES["impute_soft"] = _solver("soft_impute", max_iters=50)
-QUERIES["impute_rpca"] = _solver("robust_pca", max_iters=30)
-QUERIES["impute_nnm"] = _solver("nuclear_norm", max_iters=100, error_tolerance=1e-6)
+QUERIES["impute_svt"] = _solver("svt")
+QUERIES["impute_soft"] = _solver("soft_impute")
+QUERIES["impute_rpca"] = _solver("robust_pca")
+QUERIES["impute_nnm"] = _solver("nuclear_norm_minimization")
+
+
+@query(f"WITH {HOUR} SELECT a.col_id AS i, b.col_id AS j, round(sum(a.value * b.value), 4) AS g FROM cells a JOIN cells b ON a.row_id = b.row_id AND a.col_id <= b.col_id GROUP BY 1, 2")
+def gram_matrix(spark, sf):
+    return rounded(lowrank.gram(X.user_hour(spark, sf)).drop("run_id"), "g", digits=4).withColumn("g", F.coalesce("g", F.lit(0.0)))
 
 
 @query()

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lacuna.functions import registry
+from lacuna.functions.registry import IMPUTERS
 from lacuna.operators import cells as C
 from lacuna.operators import encode, hankel, impute, lowrank, masks, reports, scores, simulate
 from lacuna.sources import readers, tables
@@ -231,3 +232,19 @@ def test_bundles(spark, tmp_path):
     assert tables.bundles(spark, str(tmp_path / "b"), "r").count() == 1
     with pytest.raises(ValueError):
         tables.bundles(spark, str(tmp_path / "b"), "z")
+
+
+def test_tall_runs_equal_whole_matrices(spark, monkeypatch):
+    """Runs by rows and Gram matrices give what one task per run gives."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 3)) @ rng.normal(size=(3, 8))
+    x[rng.random(x.shape) < 0.3] = np.nan
+    cells = spark.createDataFrame([("a", i, j, None if np.isnan(x[i, j]) else float(x[i, j])) for i in range(60) for j in range(8)], "run_id string, row_id long, col_id long, value double").repartition(3)
+    for name, params in (("soft_impute", {}), ("robust_pca", {"max_iters": 15}), ("svt", {"tau": 8.0, "max_iters": 60})):
+        want = {(r.row_id, r.col_id): r.pred for r in lowrank.per_run(cells, getattr(lowrank, name), **params).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(lowrank, "MOST_CELLS", 100)
+            got = {(r.row_id, r.col_id): r.pred for r in IMPUTERS[name](cells, **params).collect()}
+        assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-6, name
+    monkeypatch.setattr(lowrank, "MOST_CELLS", 100)
+    assert {r.error is None for r in IMPUTERS["nuclear_norm_minimization"](cells).collect()} == {False}
