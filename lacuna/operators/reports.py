@@ -14,6 +14,15 @@ def ok(rows: DataFrame) -> DataFrame:
     return rows.filter(F.coalesce(F.col("status"), F.lit("ok")) == "ok") if "status" in rows.columns else rows
 
 
+def chosen(rows: DataFrame, **wanted) -> DataFrame:
+    """Rows that are ok and have one of the wanted values in each named column; an empty or absent choice takes all."""
+    out = ok(rows)
+    for column, values in wanted.items():
+        if values:
+            out = out.filter(F.col(column).isin(*(values if isinstance(values, (list, tuple, set)) else [values])))
+    return out
+
+
 def leaderboard(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Runs, means and population sds of the metrics."""
     return ok(rows).groupBy(*keys).agg(F.count(F.lit(1)).alias("num_runs"), *[e for m in metrics for e in (F.avg(m).alias(m), F.stddev_pop(m).alias(f"{m}_std"))])

@@ -477,13 +477,15 @@ def oracle_scores(spark, sf):
 
 # Models: rows only, as fits differ by solver.
 
+DIMS = 64  # all of an embedding
+
 
 def _table(spark, sf) -> DataFrame:
-    x = X.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.when(F.col("label") == 0, 1.0).otherwise(0.0).alias("label"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(16)])
+    x = X.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.when(F.col("label") == 0, 1.0).otherwise(0.0).alias("label"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(DIMS)])
     return x.withColumn("split", F.when(uniform("row_id", seed=SEED, tag="split") < 0.2, "test").otherwise("train"))
 
 
-_F = [f"f{i}" for i in range(16)]
+_F = [f"f{i}" for i in range(DIMS)]
 
 
 def _downstream(model: str, **sizes) -> Query:
@@ -495,8 +497,8 @@ def _downstream(model: str, **sizes) -> Query:
 
 
 QUERIES["downstream_linear"] = _downstream("linear")
-QUERIES["downstream_forest"] = _downstream("random_forest", trees=40, depth=8)
-QUERIES["downstream_boosted"] = _downstream("xgboost", rounds=10)
+QUERIES["downstream_forest"] = _downstream("random_forest")
+QUERIES["downstream_boosted"] = _downstream("xgboost", rounds=30)
 
 
 @query()
@@ -506,9 +508,17 @@ def feature_ranking(spark, sf):
 
 @query()
 def impute_chained(spark, sf):
-    x = _table(spark, sf).select("row_id", *_F[:5])
-    x = x.select("row_id", *[F.when(uniform("row_id", F.lit(i), seed=SEED, tag="hole") >= 0.2, F.col(c)).alias(c) for i, c in enumerate(_F[:5])])
-    return models.chained(x, _F[:5], rounds=1, model="linear")
+    """Every eighth column has holes and is fitted on all others."""
+    x = _table(spark, sf).select("row_id", *[F.when(uniform("row_id", F.lit(i), seed=SEED, tag="hole") >= 0.2, F.col(c)).alias(c) if i % 8 == 0 else F.col(c) for i, c in enumerate(_F)])
+    return models.chained(x, _F)
+
+
+@query("""WITH x AS (SELECT l_quantity AS f, l_extendedprice AS y, (l_orderkey % 5) = 0 AS test FROM lineitem), w AS (SELECT regr_slope(y, f) AS a, regr_intercept(y, f) AS b FROM x WHERE NOT test)
+SELECT 'linear' AS model, round(1 - sum((y - a * f - b) * (y - a * f - b)) / (count(*) * var_pop(y)), 6) AS r2 FROM x, w WHERE test""")
+def downstream_regression(spark, sf):
+    x = X.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("row_id"), F.col("l_quantity").alias("f0"), F.col("l_extendedprice").alias("label"), F.when(F.col("l_orderkey") % 5 == 0, "test").otherwise("train").alias("split"))
+    p = models.predict(x, ["f0"], "linear", "regression").withColumn("model", F.lit("linear"))
+    return rounded(models.downstream(p, ["model"], "regression"), "r2")
 
 
 _SCORE3 = "(CAST(floor(o_totalprice / 1000) AS BIGINT) + 7 * i.i) % 50"

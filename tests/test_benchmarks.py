@@ -70,3 +70,41 @@ hankel_benchmarks:
     out = [r.value for r in benchmarks.noisy(cells, read["noisy_benchmarks"]["noisy"], 1).orderBy("col_id").collect()]
     assert out[50] is None and all(0 <= v <= 1 for v in out[:50]) and len(set(out)) > 10
     assert catalog.HANKEL["hankel_damped_block_missing"]["params"]["window_length"] == 160
+
+
+def test_tabular_commands(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(80, 2))
+    spark.createDataFrame([(k, float(x[k, 0]), float(x[k, 1]), int(x[k].sum() > 0)) for k in range(80)], "id long, a double, b double, y int").write.parquet(str(tmp_path / "t"))
+    run = lambda *a: cli.main([str(v) for v in a], spark=spark)
+    run("tabular-prepare", "--input", tmp_path / "t", "--row", "id", "--target", "y", "--output", tmp_path / "b", "--patterns", "mcar", "--fractions", 0.2, "--seeds", 0)
+    bundle = spark.read.parquet(str(tmp_path / "b" / "cells"))
+    assert bundle.filter("is_eval").count() == round(64 * 2 * 0.2) + round(16 * 2 * 0.2)
+    for k in (0, 1):
+        bundle.select("run_id", "row_id", "col_id", F.coalesce("value", F.lit(0.1 * k)).alias("pred")).write.parquet(str(tmp_path / f"p{k}"))
+    run("tabular-evaluate", "--bundles", tmp_path / "b" / "cells", "--predictions", tmp_path / "p0", "--target-col", 2, "--models", "linear", "--output", tmp_path / "one")
+    one = spark.read.csv(str(tmp_path / "one"), header=True).first()
+    assert float(one.downstream_accuracy_linear) > 0.6 and float(one.rmse) > 0
+    run("tabular-evaluate", "--bundles", tmp_path / "b" / "cells", "--predictions", tmp_path / "p0", tmp_path / "p1", "--target-col", 2, "--models", "linear", "--output", tmp_path / "two")
+    two = spark.read.csv(str(tmp_path / "two"), header=True).first()
+    assert float(two.downstream_accuracy_linear_mi_pooled) > 0.6 and float(two.rmse_mi_std) >= 0
+    bundle.select(F.lit("m").alias("method"), "col_id", F.col("truth").alias("pred")).write.parquet(str(tmp_path / "v"))
+    (tmp_path / "columns.csv").write_text("col_id,column\n0,a\n1,b\n")
+    (tmp_path / "bounds.csv").write_text("column,lower,upper\na,0.0,1.0\nb,-100.0,100.0\n")
+    run("violations", "--predictions", tmp_path / "v", "--columns", tmp_path / "columns.csv", "--bounds", tmp_path / "bounds.csv", "--output", tmp_path / "vo")
+    found = {r.column: int(r.out_of_bounds_count) for r in spark.read.csv(str(tmp_path / "vo"), header=True).collect()}
+    assert found["a"] == int(((x[:, 0] < 0) | (x[:, 0] > 1)).sum()) == found[None] and found["b"] == 0
+    run("feature-ranking", "--input", tmp_path / "t", "--target", "y", "--output", tmp_path / "f", "--top", 2)
+    assert spark.read.csv(str(tmp_path / "f"), header=True).count() == 2
+
+
+def test_scans_do_not_multiply(spark):
+    """The supplier panel is read from the line items once, however often a query uses it."""
+    from lacuna.plans import catalogue
+
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    catalogue.QUERIES["score_by_method"](spark, "/root/testdata/sf0.001").collect()
+    plans = store.executionsList()
+    scans = sum("lineitem.parquet" in plans.apply(k).physicalPlanDescription() for k in range(before, plans.size()))
+    assert 1 <= scans <= 2
