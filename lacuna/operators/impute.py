@@ -6,12 +6,17 @@ run.  Each function takes cells and returns them with `pred`.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.rand import normal, uniform
 from lacuna.functions.registry import IMPUTERS
 from lacuna.operators.cells import AT, KEYS
+from lacuna.sources.tables import cut_lineage
 
 
 def _overall(cells: DataFrame, keys) -> DataFrame:
@@ -53,27 +58,81 @@ def col_mode(cells: DataFrame, keys=KEYS) -> DataFrame:
     return filled.withColumn("pred", F.coalesce("value", "__own", "__all")).drop("__own", "__all")
 
 
+#: Cells in a block of rows that is compared with another one in a task.
+BLOCK_CELLS = 1 << 16
+
+
+def _nearest(a: np.ndarray, xa: np.ndarray, b: np.ndarray, xb: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(row, column place, neighbour, distance, value): for each missing cell of `xa` the k nearest rows of `xb` with a value there."""
+    total, shared = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
+    for c in range(xa.shape[1]):
+        gap = xa[:, c, None] - xb[None, :, c]
+        both = ~np.isnan(gap)
+        total += np.where(both, gap, 0.0) ** 2
+        shared += both
+    with np.errstate(divide="ignore", invalid="ignore"):
+        # Rounded, so that the order of a sum does not decide between equal distances.
+        distance = np.round(np.sqrt(total * xa.shape[1] / shared), 9)
+    distance[(shared == 0) | (a[:, None] == b[None, :])] = np.inf
+    has, out = ~np.isnan(xb), []
+    for i in range(len(a)):
+        order = np.argsort(distance[i], kind="stable")  # of equal distances the smaller row, as `b` ascends
+        order = order[np.isfinite(distance[i][order])]
+        missing = np.flatnonzero(np.isnan(xa[i]))
+        there = has[np.ix_(order, missing)]
+        at, c = np.nonzero(there & (np.cumsum(there, axis=0) <= k))
+        out.append((np.full(len(at), a[i]), missing[c], b[order[at]], distance[i][order[at]], xb[order[at], missing[c]]))
+    kinds = (np.int64, np.int64, np.int64, float, float)
+    return tuple(np.concatenate([o[j] for o in out]).astype(t) if out else np.zeros(0, t) for j, t in enumerate(kinds))
+
+
 @IMPUTERS.register("knn")
 def knn(cells: DataFrame, keys=KEYS, n_neighbors: int = 5, weights: str = "uniform") -> DataFrame:
     """Mean of the nearest rows that have the column; distances over shared columns, scaled to all of them.
 
-    Quadratic in the rows of a run that lack a value and those that share columns with them.
+    Rows are dealt into blocks, and every pair of blocks is a task of its own that sends the
+    nearest rows it has for each missing cell; the nearest of these are taken.  Work is
+    quadratic in the rows of a run, but no column or row gathers in one task.
     """
     if weights not in ("uniform", "distance"):
         raise ValueError("weights must be uniform or distance")
     overall = _overall(cells, keys)
+    stats = cells.groupBy(*keys).agg(F.count_distinct("row_id").alias("__rows"), F.count_distinct("col_id").alias("__cols"))  # a row per run
     have = cells.groupBy(*keys, "col_id").agg(F.count("value").alias("n"))
-    base = cells.join(have, [*keys, "col_id"]).join(F.broadcast(overall), list(keys)).withColumn("x", F.when(F.col("n") == 0, F.col("__all")).otherwise(F.col("value"))).select(*keys, *AT, "x")
-    known = base.filter("x IS NOT NULL")
-    short = base.filter("x IS NULL").select(*keys, "row_id").distinct()
-    width = cells.groupBy(*keys).agg(F.count_distinct("col_id").alias("n_cols"))
-    left = known.join(short, [*keys, "row_id"], "left_semi").select(*keys, F.col("row_id").alias("a"), "col_id", F.col("x").alias("xa"))
-    right = known.select(*keys, F.col("row_id").alias("b"), "col_id", F.col("x").alias("xb"))
-    sums = left.join(right, [*keys, "col_id"]).filter("a <> b").groupBy(*keys, "a", "b").agg(F.sum((F.col("xa") - F.col("xb")) ** 2).alias("ss"), F.count(F.lit(1)).alias("shared"))
-    # Rounded, so that the order of a sum does not decide between equal distances.
-    distance = sums.join(F.broadcast(width), list(keys)).select(*keys, "a", "b", F.round(F.sqrt(F.col("ss") * F.col("n_cols") / F.col("shared")), 9).alias("distance"))
-    wanted = base.filter("x IS NULL").select(*keys, F.col("row_id").alias("a"), "col_id")
-    donors = wanted.join(distance, [*keys, "a"]).join(right, [*keys, "b", "col_id"])
+    base = cells.join(have, [*keys, "col_id"]).join(F.broadcast(overall), list(keys)).join(F.broadcast(stats), list(keys))
+    blocks = F.ceil(F.col("__rows") * F.col("__cols") / BLOCK_CELLS).cast("int")
+    base = base.select(*keys, F.col("row_id").cast("long").alias("row_id"), F.col("col_id").cast("long").alias("col_id"), F.when(F.col("n") == 0, F.col("__all")).otherwise(F.col("value")).alias("x"), blocks.alias("blocks"))
+    base = base.withColumn("block", F.pmod(F.xxhash64("row_id"), "blocks").cast("int"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*keys).schema.fields)
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        rows, r = np.unique(table.column("row_id").to_numpy(), return_inverse=True)
+        cols, c = np.unique(table.column("col_id").to_numpy(), return_inverse=True)
+        x = np.full((len(rows), len(cols)), np.nan)
+        x[r, c] = table.column("x").to_pandas().to_numpy(float)
+        one = table.slice(0, 1)
+        out = one.select([*keys, "block", "blocks"])
+        for name, value in (("rows", rows), ("cols", cols), ("x", x)):
+            out = out.append_column(name, pa.array([value.tobytes()], pa.binary()))
+        return out.append_column("short", pa.array([bool(np.isnan(x).any())]))
+
+    packed = cut_lineage(base.groupBy(*keys, "block").applyInArrow(pack, f"{kinds}, block int, blocks int, rows binary, cols binary, x binary, short boolean"), "blocks")
+    left = packed.filter("short").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*keys, F.col("with").alias("block"), *[F.col(c).alias(f"{c}_a") for c in ("rows", "cols", "x")])
+    tasks = left.join(packed.select(*keys, "block", "rows", "x"), [*keys, "block"]).repartition(*keys, "block", F.xxhash64("rows_a"))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                get = lambda name, kind, one=one: np.frombuffer(one.column(one.schema.get_field_index(name))[0].as_py(), kind)
+                a, b, cols = get("rows_a", np.int64), get("rows", np.int64), get("cols_a", np.int64)
+                xa, xb = get("x_a", float).reshape(len(a), -1), get("x", float).reshape(len(b), -1)
+                a, xa = a[np.isnan(xa).any(axis=1)], xa[np.isnan(xa).any(axis=1)]
+                found = _nearest(a, xa, b, xb, n_neighbors)
+                same = [one.column(one.schema.get_field_index(c)).take(pa.array(np.zeros(len(found[0]), np.int64))) for c in keys]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(found[0]), pa.array(cols[found[1]]), pa.array(found[2]), pa.array(found[3]), pa.array(found[4])], names=[*keys, "a", "col_id", "b", "distance", "xb"])
+
+    donors = tasks.mapInArrow(nearest, f"{kinds}, a long, col_id long, b long, distance double, xb double")
     rank = F.row_number().over(Window.partitionBy(*keys, "a", "col_id").orderBy("distance", "b"))
     near = donors.withColumn("rank", rank).filter(F.col("rank") <= n_neighbors)
     if weights == "distance":
