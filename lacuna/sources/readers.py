@@ -6,11 +6,12 @@ import io
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lacuna.operators.cells import finite, from_triplets, panel
 from lacuna.operators.encode import encode
+from lacuna.sources.tables import cut_lineage
 
 # Accepted names of panel columns, in the order they are tried.
 UNIT = ("state", "regionname", "region", "unit")
@@ -37,9 +38,12 @@ def matrix(spark: SparkSession, path: str, run_id: str = "r") -> DataFrame:
     """Cells of a headerless .csv or .tsv, or of .npy files (one matrix each)."""
     if path.endswith((".csv", ".tsv")):
         sep = "," if path.endswith(".csv") else "\t"
-        lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.split("value", sep).alias("x"))
-        order = lines.select("at").rdd.map(lambda r: r.at).zipWithIndex().toDF(["at", "row_id"])  # line numbers need no shuffle
-        x = lines.join(order, "at").select("row_id", F.posexplode("x").alias("col_id", "v"))
+        # Lines are numbered within each partition of the file, and partitions by their counts.
+        lines = cut_lineage(spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.split("value", sep).alias("x")))
+        lines = lines.select(F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("line"), "x")
+        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+        first = lines.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+        x = lines.join(F.broadcast(first), "part").select((F.col("first") + F.col("line")).alias("row_id"), F.posexplode("x").alias("col_id", "v"))
         return x.select(F.lit(run_id).alias("run_id"), "row_id", F.col("col_id").cast("long").alias("col_id"), finite(F.trim("v").try_cast("double")).alias("value"))
     if not path.endswith(".npy"):
         raise ValueError("a matrix is a .npy, .csv or .tsv file")
@@ -56,6 +60,14 @@ def matrix(spark: SparkSession, path: str, run_id: str = "r") -> DataFrame:
     return files.mapInArrow(explode, "row_id long, col_id long, value double").select(F.lit(run_id).alias("run_id"), "*")
 
 
+def typed_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A result table with a header: columns whose values are all blank or finite numbers, one at least, become numbers."""
+    rows = spark.read.option("header", True).csv(path)
+    text = lambda c: F.trim(F.coalesce(F.col(f"`{c}`"), F.lit("")))
+    found = rows.agg(*[e for i, c in enumerate(rows.columns) for e in (F.count_if((text(c) != "") & finite(text(c).try_cast("double")).isNull()).alias(f"bad{i}"), F.count(finite(text(c).try_cast("double"))).alias(f"n{i}"))]).first()
+    return rows.select(*[text(c).try_cast("double").alias(c) if found[f"n{i}"] and not found[f"bad{i}"] else F.col(f"`{c}`") for i, c in enumerate(rows.columns)])
+
+
 def _ratings(rows: DataFrame, run_id: str) -> DataFrame:
     return from_triplets(rows.select(F.lit(run_id).alias("run_id"), F.col("user").cast("long").alias("row_key"), F.col("item").cast("long").alias("col_key"), F.col("rating").cast("double").alias("value"), F.monotonically_increasing_id().alias("ordinal")))
 

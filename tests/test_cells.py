@@ -248,3 +248,10 @@ def test_tall_runs_equal_whole_matrices(spark, monkeypatch):
         assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-6, name
     monkeypatch.setattr(lowrank, "MOST_CELLS", 100)
     assert {r.error is None for r in IMPUTERS["nuclear_norm_minimization"](cells).collect()} == {False}
+
+
+def test_types_of_a_result_table(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("method,rmse,seed,note\na,0.5,1,\nb,,2,inf\nc, 2 ,3,4\n")
+    t = readers.typed_csv(spark, str(tmp_path / "r.csv"))
+    assert dict(t.dtypes) == {"method": "string", "rmse": "double", "seed": "double", "note": "string"}
+    assert [r.rmse for r in t.orderBy("seed").collect()] == [0.5, None, 2.0]
