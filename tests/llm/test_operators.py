@@ -239,6 +239,18 @@ def test_toxicity_held_out_and_edges(spark, odd, empty):
     assert toxicity.keep_civil(docs, labels, ~held).filter("doc_id % 4 = 0").count() <= 4
 
 
+def test_terms_that_take_part_are_bounded(monkeypatch):
+    rng = np.random.default_rng(2)
+    ones, zeros = rng.integers(0, 50, 300).astype(float), rng.integers(0, 50, 300).astype(float)
+    every = toxicity.telling_terms(ones, zeros, 100.0, 100.0)
+    chi2 = {k: 200 * (ones[k] * (100 - zeros[k]) - zeros[k] * (100 - ones[k])) ** 2 / ((ones[k] + zeros[k]) * (200 - ones[k] - zeros[k]) * 1e4) for k in range(300) if 0 < ones[k] + zeros[k] < 200}
+    assert every.tolist() == sorted(k for k, c in chi2.items() if c >= 15 and ones[k] + zeros[k] >= 4)
+    monkeypatch.setattr(toxicity, "MOST_TERMS", 7)
+    few = toxicity.telling_terms(ones, zeros, 100.0, 100.0).tolist()
+    assert len(few) == 7 and min(chi2[k] for k in few) >= max(chi2[k] for k in every.tolist() if k not in few)
+    assert toxicity.telling_terms(ones, zeros, 0.0, 100.0).tolist() == []
+
+
 def test_machine_learns_a_pair():
     """Two terms that are harmless alone and toxic together."""
     rng = np.random.default_rng(3)
@@ -516,6 +528,26 @@ def test_bands_measure_the_last_bytes(spark):
     assert (out[5].chunk_low, out[5].chunk_high) == (min(parts), max(parts))
 
 
+def test_kept_equals_brute_force(spark):
+    """The verdict from the limits and the compressor alone."""
+    rng = random.Random(15)
+    words = ["".join(rng.choices("etaoinshrdlucmfwypvbgk", range(22, 0, -1), k=rng.randint(1, 9))) for _ in range(1500)]
+    rows = [(k, " ".join(rng.choices(words[: rng.choice([20, 150, 1500])], k=rng.choice([10, 60, 150, 400, 900, 2500])))) for k in range(120)]
+    rows += [(1000 + k, t + base64.b64encode(rng.randbytes(rng.choice([100, 3000]))).decode()) for k, t in rows[:20]] + [(2000, None), (2001, "")]
+    out = got(quality_rules.compression_bands(frame(spark, rows)))
+    size = lambda b: len(zstandard.ZstdCompressor(level=quality_rules.LEVEL).compress(b))
+    for i, t in rows:
+        data = (t or "").encode()
+        want = bool(data) and not out[i].base_failed
+        if want:
+            band = [b for b in quality_rules.BANDS if len(data) < b.below][0]
+            starts = set(range(0, len(data) - 4095, 4096)) | ({len(data) - 4096} if len(data) >= 4096 else set())
+            chunks = [4096 / size(data[k : k + 4096]) for k in starts]
+            want = band.low <= len(data) / size(data) <= band.high and all(quality_rules.CHUNKS.low <= c <= quality_rules.CHUNKS.high for c in chunks)
+        assert out[i].kept == want, i
+    assert {r.kept for r in out.values()} == {True, False}
+
+
 # 9. Byte-level BPE.
 
 
