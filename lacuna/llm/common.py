@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from lacuna.sources.tables import cut_lineage as written  # noqa: F401  the operators take it from here
 
 
-def chunked(texts: Iterable[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunked(texts: Iterable[str | None], limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about `limit` characters each; a longer text is a range of its own."""
     start = size = at = 0
     for at, t in enumerate(texts):
@@ -21,6 +24,18 @@ def chunked(texts: Iterable[str | None], limit: int = 1 << 20) -> Iterator[tuple
         yield start, at + 1
 
 
+def text_chunks(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, list[str | None]]]:
+    """As `chunked`, over a column of texts, by their bytes; only one chunk's texts are Python objects at a time."""
+    start = size = 0
+    for at, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if size and size + n > limit:
+            yield start, at, column.slice(start, at - start).to_pylist()
+            start, size = at, 0
+        size += n + 1
+    if size:
+        yield start, len(column), column.slice(start).to_pylist()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of unsigned 64-bit integers whose output bits all depend on all input bits."""
     x = x ^ (x >> np.uint64(32))

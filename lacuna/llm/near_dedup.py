@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import Words, chunked, distinct_in_text, mix64, written
+from lacuna.llm.common import Words, distinct_in_text, mix64, text_chunks, written
 from lacuna.llm.components import components
 
 WORDS, LEAST = 5, 0.8
@@ -72,10 +72,9 @@ def shared_bins(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(1 << BITS, np.int64), 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            n += len(texts)
-            for a, b in chunked(texts):
-                _, shingle, _, _ = shingles(texts[a:b])  # distinct in each text
+            n += batch.num_rows
+            for _, _, texts in text_chunks(batch.column(0)):
+                _, shingle, _, _ = shingles(texts)  # distinct in each text
                 df += np.bincount((shingle >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, 1 << BITS)), pa.array(np.append(df[at], n))], names=["bin", "n"])
@@ -88,7 +87,7 @@ def shared_bins(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
 
 def bin_weights(df: np.ndarray, total: int) -> np.ndarray:
     share = np.clip((df - df.mean()) / max(1, total), FLOOR, 1)
-    return 1 + np.log(share) / np.log(FLOOR)
+    return (1 + np.log(share) / np.log(FLOOR)).astype(np.float32)
 
 
 def weights(shingle: np.ndarray, count: np.ndarray, of_bin: np.ndarray) -> np.ndarray:
@@ -147,9 +146,7 @@ def band_keys(drawn: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def signatures(docs: DataFrame, of_bin, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunked(texts):
-                part = texts[a:b]
+            for a, b, part in text_chunks(batch.column(1)):
                 text, shingle, count, words = shingles(part)
                 keys = band_keys(samples(text, shingle, weights(shingle, count, of_bin.value), b - a, BANDS * ROWS), BANDS, ROWS)
                 some = np.diff(words.at) > 0
@@ -195,10 +192,9 @@ def _compare_with_one(pairs: DataFrame, texts: DataFrame, of_bin) -> DataFrame:
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["doc", "other", "similarity"])
         others = right.column("head_text").to_pylist()
-        ids, texts = left.column("doc").to_pylist(), left.column("text").to_pylist()
-        out = []
-        for a, b in chunked(texts):
-            out.append(Sets([others[0], *texts[a:b]], of_bin.value).with_one(0)[1:])
+        ids, out = left.column("doc").to_pylist(), []
+        for _, _, texts in text_chunks(left.column("text").combine_chunks()):
+            out.append(Sets([others[0], *texts], of_bin.value).with_one(0)[1:])
         similarity = np.concatenate(out) if out else np.zeros(0)
         return pa.table([pa.array(ids, pa.int64()), pa.array(right.column("head").to_pylist()[:1] * len(ids), pa.int64()), pa.array(similarity)], names=["doc", "other", "similarity"])
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import Words, chunked, written
+from lacuna.llm.common import Words, chunked, text_chunks, written
 from lacuna.llm.language_id import least_hashes
 
 BITS, RANK = 18, 8
@@ -135,9 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, teaches: Column, per_label: int =
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in chunked(texts):
-                bins, at = features(texts[a:b])
+            for a, b, texts in text_chunks(batch.column(2)):
+                bins, at = features(texts)
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(bins, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists], names=["label", "draw", "bins"])
 
@@ -171,8 +170,7 @@ def score(docs: DataFrame, machine: Machine, held_out: Column, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            found = np.concatenate([shared.value.scores(texts[a:b]) for a, b in chunked(texts)]) if texts else np.zeros(0)
+            found = np.concatenate([np.zeros(0), *(shared.value.scores(texts) for _, _, texts in text_chunks(batch.column(2)))])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64()), pa.array((found >= 0.5).astype(np.int32))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
