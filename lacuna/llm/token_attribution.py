@@ -8,9 +8,9 @@ allocated by a rule:
 
 ``majority``  to the section that holds most of its characters, of equal ones the first
 ``start``     to the section that holds its first character, if any
-``share``     to every section by the share of its characters there (column `share`)
 
-So with sections that cover the document the counts add up to the document's.
+Besides, the column `share` has every section's sum of the shares of tokens'
+characters in it, whatever the rule.  So with sections that cover the document the counts add up to the document's.
 
 Defined results: a null or empty text has one empty section and no tokens; a
 section is clipped to the text; where sections overlap each counts the tokens
