@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -107,3 +108,27 @@ def distinct_in_text(text_no: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray,
     new[1:] = (keys[1:] != keys[:-1]) | (text_no[1:] != text_no[:-1])
     at = np.flatnonzero(new)
     return text_no[at], keys[at], np.diff(np.append(at, len(keys)))
+
+
+def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[object, pa.RecordBatch, bool]]:
+    """(value, rows, whether a run begins) of each run of equal values in `key`; one that spans batches comes in parts."""
+    last: list = []
+    for batch in batches:
+        ends = pc.run_end_encode(batch.column(key)) if batch.num_rows else None
+        start = 0
+        for end, value in zip(ends.run_ends.to_pylist(), ends.values.to_pylist(), strict=True) if ends else ():
+            yield value, batch.slice(start, end - start), last != [value]
+            start, last = end, [value]
+
+
+def batches_of(make: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], schema: str, size: int = 4096) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches that yields rows, as one that yields batches of at most `size` rows with these columns."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    fields = pa.schema([(name, kinds[kind]) for name, kind in map(str.split, schema.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = make(batches)
+        while part := list(islice(rows, size)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), fields, strict=True)], schema=fields)
+
+    return run

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import language_id, toxicity
+from lacuna.llm import language_id, sql, toxicity
 from lacuna.llm.byte_bpe import encode_and_decode
+from lacuna.llm.conversation_repair import repair
 from lacuna.llm.fingerprints import fingerprint
 from lacuna.llm.near_dedup import near_duplicates
 from lacuna.llm.packing import pack
@@ -80,9 +81,25 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint(documents(spark, sf_dir))
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Rows with the faults that a hash of conversation and turn deals out; `copies` is 0 for a dropped row and 2 for a repeated one."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn"))) % 20
+    broken = F.when(fault == 1, "").when(fault == 2, F.translate(text("text"), ".!?", "")).otherwise(text("text"))
+    return rows.select("conv_id", "turn", F.when(fault == 4, "user").otherwise(text("role")).alias("role"), broken.alias("text"), F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1).alias("copies"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(conversations(spark, sf_dir)), copies=F.col("copies"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_conversation_repair": sql.CONVERSATION_REPAIR}
