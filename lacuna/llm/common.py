@@ -123,7 +123,7 @@ def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[object,
 
 def batches_of(make: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], schema: str, size: int = 4096) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function of batches that yields rows, as one that yields batches of at most `size` rows with these columns."""
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
     fields = pa.schema([(name, kinds[kind]) for name, kind in map(str.split, schema.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lacuna.llm import language_id, sql, toxicity
@@ -13,6 +13,8 @@ from lacuna.llm.conversation_repair import repair
 from lacuna.llm.fingerprints import fingerprint
 from lacuna.llm.near_dedup import near_duplicates
 from lacuna.llm.packing import pack
+from lacuna.llm.prefix_trie import prefix_trie, turn_lists
+from lacuna.llm.projection_forest import nearest
 from lacuna.llm.quality_rules import compression_bands
 from lacuna.llm.sharding import shard_documents
 from lacuna.llm.suffix_dedup import repeated_spans
@@ -93,6 +95,23 @@ def damaged(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", F.when(fault == 4, "user").otherwise(text("role")).alias("role"), broken.alias("text"), F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1).alias("copies"))
 
 
+def rebuilt(turns: DataFrame, group: int = 20) -> DataFrame:
+    """(conv_id, turns): each conversation with its first turns, up to three by a hash of its id, from the first of its group."""
+    first = F.max(F.when(F.col("conv_id") == F.col("near"), F.slice("turns", 1, 3))).over(Window.partitionBy("near"))
+    taken = (F.crc32(F.col("conv_id").cast("string")) % 4).cast("int")
+    own = F.slice("turns", taken + 1, F.size("turns"))
+    none = F.slice("turns", 1, 0)
+    return turns.withColumn("head", first).select("conv_id", F.concat(F.coalesce(F.slice("head", 1, taken), none), own).alias("turns"))
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(rebuilt(turn_lists(conversations(spark, sf_dir), near=20)))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damaged(conversations(spark, sf_dir)), copies=F.col("copies"))
 
@@ -102,4 +121,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_conversation_repair": sql.CONVERSATION_REPAIR}
+    return {"op11_prefix_trie": sql.PREFIX_TRIE, "op13_conversation_repair": sql.CONVERSATION_REPAIR}

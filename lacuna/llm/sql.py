@@ -12,6 +12,36 @@ def crc32(text: str) -> str:
 
 WORD = r"[^\x20\x09-\x0D]"
 
+PREFIX_TRIE = rf"""
+WITH turns AS (
+    SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key, len(regexp_extract_all(coalesce(text, ''), '{WORD}+')) AS words,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS k
+    FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+    SELECT conv_id, conv_id - conv_id % 20 AS head, {crc32("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+    SELECT c.conv_id, t.key, t.words, t.k AS place FROM convs c JOIN turns t ON t.conv_id = c.head AND t.k <= c.h
+    UNION ALL
+    SELECT c.conv_id, t.key, t.words, t.k + 1000000000 FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.k > c.h
+), paths AS (
+    SELECT conv_id, words, row_number() OVER w AS depth, string_agg(key, '') OVER w AS path, length(string_agg(key, '') OVER w) AS n FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY place)
+    UNION ALL
+    SELECT conv_id, 0, 0, '', 0 FROM convs
+), members AS (
+    SELECT *, CASE WHEN depth > 0 THEN path[:n - 64] END AS parent, depth = max(depth) OVER (PARTITION BY conv_id) AS is_end FROM paths
+), nodes AS (
+    SELECT path, parent, depth, words, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256
+    FROM members GROUP BY path, parent, depth, words
+), kids AS (SELECT parent AS path, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), full_nodes AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (path)
+), subtrees AS (
+    SELECT m.path, count(*) FILTER (n.n_children = 0) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved_tokens
+    FROM full_nodes n JOIN members m ON m.conv_id = n.conv_id AND m.depth <= n.depth GROUP BY m.path
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN subtrees s USING (path) LEFT JOIN nodes p ON p.path = n.parent
+"""
+
 CONVERSATION_REPAIR = rf"""
 WITH RECURSIVE keyed AS (
     SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
@@ -22,7 +52,7 @@ WITH RECURSIVE keyed AS (
     FROM hit, unnest(CASE fault WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copies(copy)
 ), numbered AS (
     SELECT *, row_number() OVER w AS pos, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, rid) > 1 AS seen, role[1:1] AS initial, lag(role[1:1]) OVER w AS before
-    FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, rid)
+    FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), rid)
 ), faulty AS (
     SELECT *, CASE WHEN NOT regexp_matches(text, '{WORD}') THEN 'b' WHEN seen THEN 'd' WHEN regexp_extract(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '(?s).$') NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault
     FROM numbered

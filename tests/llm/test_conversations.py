@@ -135,11 +135,11 @@ def test_repair_equals_brute_force(spark, tmp_path):
 
 def test_repair_equals_its_sql(spark, tmp_path):
     rng = random.Random(9)
-    rows = [(c, t, rng.choice(["user", "assistant", "system"]), rng.choice(["Yes.", "No", "", "Why?"])) for c in range(80) for t in range(rng.randint(1, 7))]
+    rows = [(1000 + c, t, rng.choice(["user", "assistant", "system"]), rng.choice(["Yes.", "No", "", "Why?"])) for c in range(80) for t in range(rng.randint(1, 7))] + TALKS
     con = table(spark, rows, tmp_path)
     got = queries.op13_conversation_repair(spark, str(tmp_path))
     want = con.execute(sql.CONVERSATION_REPAIR).fetchall()
-    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
 
 
 def test_repair_of_nothing(spark):
@@ -152,3 +152,66 @@ def test_repair_of_nothing(spark):
 def test_faults_of_a_text(spark, text, blank, cut):
     r = repair.repair(frame(spark, [(1, 0, "user", text)])).first()
     assert (r.blank, r.truncated) == (blank, cut)
+
+
+# 11. Prefix trie.
+
+
+def brute_trie(rows, group=20):
+    talk = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            talk.setdefault(c, []).append((turn is not None, turn or 0, role or "", hashlib.sha256((text or "").encode()).digest(), text or ""))
+    talk = {c: [(r[2], r[4]) for r in sorted(part)] for c, part in talk.items()}
+    whole = {}
+    for c, part in talk.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        whole[c] = tuple(talk.get(c - c % group, [])[:h] + part[h:])
+    members = {}
+    for c, part in whole.items():
+        for d in range(len(part) + 1):
+            members.setdefault(part[:d], []).append(c)
+    kids = {}
+    for path in members:
+        if path:
+            kids.setdefault(path[:-1], []).append(path)
+
+    def below(path):
+        leaves, saved = int(path not in kids), (len(members[path]) - 1) * (len(re.findall(r"[^\x20\x09-\x0D]+", path[-1][1])) if path else 0)
+        for kid in kids.get(path, []):
+            more = below(kid)
+            leaves, saved = leaves + more[0], saved + more[1]
+        return leaves, saved
+
+    out = []
+    for path, convs in members.items():
+        ends = ",".join(str(c) for c in sorted(convs) if len(whole[c]) == len(path))
+        out.append((min(convs), len(path), min(members[path[:-1]]) if path else None, len(convs), len(kids.get(path, [])), *below(path), hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_trie_equals_brute_force_and_its_sql(spark, tmp_path):
+    rng = random.Random(7)
+    rows = TALKS + [(200 + c, t, "user", f"shared {t // 2}") for c in range(30) for t in range(4)] + [(400 + c, t, rng.choice("ab"), rng.choice(["x y", "z"])) for c in range(50) for t in range(rng.randint(1, 5))]
+    con = table(spark, rows, tmp_path)
+    got = sorted((tuple(r) for r in queries.op11_prefix_trie(spark, str(tmp_path)).collect()), key=repr)
+    assert got == brute_trie(rows)
+    assert got == sorted(con.execute(sql.PREFIX_TRIE).fetchall(), key=repr)
+
+
+def test_ids_that_end_in_a_node_are_hashed_over_blocks(spark, monkeypatch):
+    from lacuna.llm import prefix_trie
+
+    monkeypatch.setattr(prefix_trie, "BLOCK_BITS", 3)
+    ids = [*range(-20, 90), 10**12]
+    rows = frame(spark, [(c, 0, "user", "same") for c in ids])
+    got = {r.depth: r for r in prefix_trie.prefix_trie(prefix_trie.turn_lists(rows)).collect()}
+    assert got[1].ends_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    assert (got[1].conv_id, got[1].n_convs, got[0].n_children, got[1].saved_tokens) == (-20, len(ids), 1, len(ids) - 1)
+
+
+def test_trie_of_nothing(spark):
+    from lacuna.llm import prefix_trie
+
+    assert prefix_trie.prefix_trie(prefix_trie.turn_lists(frame(spark, []))).collect() == []
+    assert prefix_trie.prefix_trie(prefix_trie.turn_lists(frame(spark, [(None, 1, "user", "x")]))).collect() == []
