@@ -2,15 +2,19 @@
 
 A document is the weighted set of its shingles (five words, lower case): a
 shingle weighs its count times its inverse document frequency
-``1 + ln(1 / max(p, FLOOR)) / ln(1 / FLOOR)``, which falls from 2 for what at
-most one document in a thousand has to 1 for what all have.  It is scaled so
-that a large group of near copies, whose common shingles are frequent for that
-very reason, still outweighs the few words in which they differ.  The share p is
-counted over all documents in 2 ** BITS bins of shingles, less the mean bin
-(what the bin's other shingles add); its error is a share of the documents, so
-it does not grow with the corpus.
-
-1. Texts with the same words are one; the least id speaks for them.
+``1 + ln(n / max(df, floor)) / ln(n / floor)``, which falls from 2 for the rare
+ones to 1 for what all documents have.  It is scaled so that a large group of
+near copies, whose common shingles are frequent for that very reason, still
+outweighs the few words in which they differ.  Document frequencies are counted
+over all documents in two tables of 2 ** BITS bins each, by independent hashes;
+a shingle's is the lesser of its two bins, less the mean bin (what the bin's
+other shingles add).  The floor is what these counts can tell from nothing: one
+document, or FLOOR_ERRORS standard errors of a bin where that is more.  It grows
+as the root of the number of documents, so the share of documents that it stands
+for falls as the corpus grows.
+
+1. Texts with the same words are one, and a node of their own; the least id
+   speaks for them.
 2. Improved consistent weighted sampling (Ioffe 2010) draws BANDS x ROWS
    samples per set; two sets agree in a sample with the probability of their
    weighted Jaccard similarity.  Sets that agree in a whole band share a bucket.
@@ -21,7 +25,8 @@ it does not grow with the corpus.
    that is.  So open are pairs among those that failed, and of those above 0.6
    with the ones that passed, unless they are connected already.  They are
    compared inside tasks in blocks of at most BLOCK members, never as rows.
-5. Links of `least` or more make classes; a class is named by its least id.
+5. Links of `least` or more, and texts of one id, make classes; a class is named
+   by its least id.
 
 Defined results: a null text is a class of its own; texts without words are
 alike if they are equal; texts of fewer than five words have one shingle; rows
@@ -45,10 +50,10 @@ from lacuna.llm.components import components
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 15, 3
-BITS, FLOOR = 19, 0.001
+BITS, FLOOR_ERRORS = 18, 1.0
 #: Members that are compared with each other, or with one other document, in one task.
 BLOCK = 256
-SIGNATURE = "doc_id long, text_key binary, bands array<long>"
+SIGNATURE = "doc_id long, row_hash long, text_key binary, bands array<long>"
 
 
 def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Words]:
@@ -66,32 +71,42 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return text, shingle, count, words
 
 
+def bins(shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A shingle's bin in each of the two tables: its first and its last bits, which are independent."""
+    return (shingle >> np.uint64(64 - BITS)).astype(np.int64), (shingle & np.uint64((1 << BITS) - 1)).astype(np.int64) + (1 << BITS)
+
+
 def shared_bins(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
-    """In how many texts each bin of shingles occurs, and the number of texts."""
+    """In how many texts each bin of shingles occurs, both tables one after the other, and the number of texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(1 << BITS, np.int64), 0
+        df, n = np.zeros(2 << BITS, np.int64), 0
         for batch in batches:
             n += batch.num_rows
             for _, _, texts in text_chunks(batch.column(0)):
                 _, shingle, _, _ = shingles(texts)  # distinct in each text
-                df += np.bincount((shingle >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
+                for at in bins(shingle):
+                    np.add.at(df, at, 1)
         at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, 1 << BITS)), pa.array(np.append(df[at], n))], names=["bin", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, 2 << BITS)), pa.array(np.append(df[at], n))], names=["bin", "n"])
 
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # a row per bin
-    df = np.zeros((1 << BITS) + 1, np.int64)
+    df = np.zeros((2 << BITS) + 1, np.int64)
     df[counted.column("bin").to_numpy()] = counted.column("n").to_numpy()
     return df[:-1], int(df[-1])
 
 
 def bin_weights(df: np.ndarray, total: int) -> np.ndarray:
-    share = np.clip((df - df.mean()) / max(1, total), FLOOR, 1)
-    return (1 + np.log(share) / np.log(FLOOR)).astype(np.float32)
+    """The inverse document frequency that a bin's count stands for; a shingle has the greater of its two."""
+    mean = df.sum() / len(df)
+    floor = min(max(1.0, FLOOR_ERRORS * np.sqrt(mean)), max(1, total) / 2)
+    count = np.clip(df - mean, floor, max(1, total))
+    return (1 + np.log(max(1, total) / count) / np.log(max(2, total) / floor)).astype(np.float32)
 
 
 def weights(shingle: np.ndarray, count: np.ndarray, of_bin: np.ndarray) -> np.ndarray:
-    return count * of_bin[(shingle >> np.uint64(64 - BITS)).astype(np.int64)]
+    first, second = bins(shingle)
+    return count * np.maximum(of_bin[first], of_bin[second])
 
 
 def _gamma2_quantiles(n: int = 1 << 16) -> np.ndarray:
@@ -146,15 +161,20 @@ def band_keys(drawn: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def signatures(docs: DataFrame, of_bin, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, part in text_chunks(batch.column(1)):
+            for a, b, part in text_chunks(batch.column(2)):
                 text, shingle, count, words = shingles(part)
                 keys = band_keys(samples(text, shingle, weights(shingle, count, of_bin.value), b - a, BANDS * ROWS), BANDS, ROWS)
                 some = np.diff(words.at) > 0
                 name = [hashlib.blake2b(words.hash[i:j].tobytes() if j > i else b"-" + (t or "").encode(), digest_size=16).digest() if t is not None else None for t, i, j in zip(part, words.at[:-1], words.at[1:], strict=True)]
                 bands = [row if ok else [] for row, ok in zip(keys, some, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(name, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_key", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(name, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "row_hash", "text_key", "bands"])
+
+    return _rows(docs, id_col, text_col).mapInArrow(run, SIGNATURE)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SIGNATURE)
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, row_hash, text); id and hash name a text, also where an id has several."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row_hash"), F.col(text_col).alias("text"))
 
 
 class Sets:
@@ -233,24 +253,26 @@ def _compare_all(groups: DataFrame, texts: DataFrame, least: float, of_bin) -> D
 def near_duplicates(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (the least id of its class)."""
     spark = docs.sparkSession
-    of_bin = spark.sparkContext.broadcast(bin_weights(*shared_bins(docs, text_col)))  # 2 ** BITS numbers
+    of_bin = spark.sparkContext.broadcast(bin_weights(*shared_bins(docs, text_col)))  # 2 x 2 ** BITS numbers
     signed = written(signatures(docs, of_bin, id_col, text_col), "signatures")
-    speakers = written(signed.filter("text_key IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("speaker"), F.first("bands").alias("bands")), "speakers")
-    # Ids that stand for several texts tie them together.
-    same = signed.filter("text_key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text_key").join(speakers.select("text_key", "speaker"), "text_key").filter("doc_id <> speaker").select(F.col("doc_id").alias("a"), F.col("speaker").alias("b"))
-    several = signed.filter("doc_id IS NOT NULL AND text_key IS NOT NULL").groupBy("doc_id").agg(F.count_distinct("text_key").alias("n")).filter("n > 1").select(F.col("doc_id").alias("a"))
-    tied = same.join(several, "a", "left_semi")
-
-    members = speakers.filter("speaker IS NOT NULL").select(F.col("speaker").alias("doc"), F.explode("bands").alias("key"))
+    named = signed.filter("text_key IS NOT NULL AND doc_id IS NOT NULL")
+    nodes = named.groupBy("text_key").agg(F.min(F.struct("doc_id", "row_hash")).alias("speaker"), F.first("bands").alias("bands"))
+    nodes = written(nodes.select("text_key", "bands", "speaker.*", F.monotonically_increasing_id().alias("node")), "nodes")
+    # Ids that stand for several texts tie these together.
+    several = named.groupBy("doc_id").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).filter("low <> high").select("doc_id")
+    of_several = written(named.join(several, "doc_id", "left_semi").select("doc_id", "text_key").distinct().join(nodes.select("text_key", "node"), "text_key"), "several")
+    tied = of_several.join(of_several.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").filter("node <> b").select(F.col("node").alias("a"), "b")
+
+    members = nodes.select(F.col("node").alias("doc"), F.explode("bands").alias("key"))
     # Tables are written between an aggregate and a join by the same key, so that no task holds a band's key whole: the
     # aggregate starts in each task, and the join of two plain tables is split at run time where a key is skewed.
     buckets = written(members.groupBy("key").agg(F.min("doc").alias("other"), F.max("doc").alias("most")).filter("other <> most").select("key", "other"), "heads")
     placed = written(members.join(buckets, "key"), "buckets")
     pairs = written(placed.filter("doc <> other").select("doc", "other").distinct(), "pairs")
-    wanted = placed.select("doc").distinct()
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    # One text for an id.  The same plan at every size: ids of documents are never sent out whole.
-    texts = written(plain.join(wanted.withColumnRenamed("doc", "doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    wanted = nodes.select("node", "doc_id", "row_hash").join(placed.select(F.col("doc").alias("node")).distinct(), "node", "left_semi")
+    # One text for a node.  The same plan at every size: names of texts are never sent out whole.
+    texts = _rows(docs, id_col, text_col).filter("text IS NOT NULL AND doc_id IS NOT NULL").join(wanted.hint("merge"), ["doc_id", "row_hash"])
+    texts = written(texts.select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts")
     compared = written(_compare_with_one(pairs, texts, of_bin), "compared")
     links = compared.filter(F.col("similarity") >= least).select(F.col("doc").alias("a"), F.col("other").alias("b"))
     labels = components(links)
@@ -267,11 +289,13 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id
     mixed = written(open_.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key"), "mixed")
     open_ = written(open_.join(mixed, "key"), "open")
     more = written(_compare_all(open_, texts, least, of_bin), "more")
-    classes = components(links.unionByName(more).unionByName(tied))
+    labels = components(links.unionByName(more).unionByName(tied))
 
-    named = signed.select("doc_id", "text_key").join(speakers.select("text_key", "speaker"), "text_key", "left")
-    named = named.withColumn("speaker", F.coalesce("speaker", "doc_id"))
-    return named.join(classes.select(F.col("id").alias("speaker"), "label"), "speaker", "left").select("doc_id", F.coalesce("label", "speaker").alias("class_id"))
+    linked = labels.select(F.col("id").alias("node"), "label").join(nodes.select("node", F.col("doc_id").alias("speaker")), "node")
+    least_ids = linked.groupBy("label").agg(F.min("speaker").alias("class_id"))
+    classes = written(linked.join(least_ids, "label").select("node", "class_id"), "classes")
+    nodes = nodes.select("text_key", "node", F.col("doc_id").alias("speaker")).join(classes, "node", "left").select("text_key", F.coalesce("class_id", "speaker").alias("class_id"))
+    return signed.select("doc_id", "text_key").join(nodes, "text_key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -364,7 +364,7 @@ def test_samples_follow_weighted_jaccard():
 def test_sets_compare_like_brute_force():
     texts = [prose(60), "", "a b", prose(60)]
     texts.append(" ".join(texts[0].split()[:40]))
-    of_bin = np.random.default_rng(1).uniform(1, 5, 1 << near_dedup.BITS)
+    of_bin = np.random.default_rng(1).uniform(1, 5, 2 << near_dedup.BITS)
     sets = near_dedup.Sets(texts, of_bin)
 
     def bag(t):
@@ -387,8 +387,8 @@ def test_weights_fall_with_document_frequency(spark):
         return float(near_dedup.weights(shingle, count, of_bin).mean())
 
     one = " ".join(rows[0][1].split()[14:40])
-    assert 0.99 < mean_weight(common) < mean_weight(shared) < mean_weight(one) - 0.3 <= 1.7
-    assert np.isclose(mean_weight(shared), 1 + np.log(0.5) / np.log(near_dedup.FLOOR), atol=0.03)
+    assert 0.99 < mean_weight(common) < mean_weight(shared) < mean_weight(one) - 0.3 < 1.71
+    assert np.isclose(mean_weight(shared), 1 + np.log(2) / np.log(400), atol=0.03)  # the floor is one document here
 
 
 def test_recall_against_all_pairs(spark):
@@ -409,8 +409,7 @@ def test_recall_against_all_pairs(spark):
     for i, t in rows:
         words = re.findall(r"[0-9a-z]+", t.lower())
         bag = collections.Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
-        hashes = {g: int(near_dedup.shingles([" ".join(g)])[1][0]) for g in bag}
-        bags[i] = {g: n * of_bin[hashes[g] >> (64 - near_dedup.BITS)] for g, n in bag.items()}
+        bags[i] = {g: n * float(near_dedup.weights(near_dedup.shingles([" ".join(g)])[1], np.ones(1), of_bin)[0]) for g, n in bag.items()}
     parent = {i: i for i, _ in rows}
 
     def root(x):
@@ -429,6 +428,55 @@ def test_recall_against_all_pairs(spark):
     assert pairs > 40 and out == {i: root(i) for i in parent}
 
 
+def test_texts_of_one_id_tie_their_classes(spark):
+    a, b = prose(120), prose(120)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, prose(120)), (1, a), (5, a), (6, b)]
+    for order in (rows, rows[::-1]):
+        out = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame(spark, order)).collect()}
+        assert out == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1, 6: 1}
+
+
+def test_the_floor_falls_with_the_corpus():
+    """What a bin's count cannot tell from nothing is a smaller share of more documents."""
+    size = 2 << near_dedup.BITS
+    shares = []
+    for n in (10**3, 10**6, 10**8):
+        df = np.full(size, 400 * n / (size / 2))
+        df[0] += n * 1e-4
+        w = near_dedup.bin_weights(df, n)
+        shares.append(float(w[0]))
+        assert w[1] == 2 and 1 < w[0] <= 2
+    assert shares[0] == 2 and shares[0] > shares[1] > shares[2]
+
+
+def test_recall_of_planted_copies(spark):
+    """Copies with a known share of edited words, judged by plain counts of shingles, not by the operator's weights."""
+    rng = random.Random(21)
+    rows, pairs = [], []
+    for g in range(120):
+        base = prose(200, rng).split()
+        size = 40 if g == 0 else 2
+        for j in range(size):
+            words = list(base)
+            for k in rng.sample(range(len(words)), rng.choice([0, 1, 2, 3]) if j else 0):
+                words[k] = f"edit{rng.random()}"
+            rows.append((100 * g + j, " ".join(words)))
+            if j:
+                pairs.append((100 * g, 100 * g + j))
+    rows += [(10**6 + k, prose(200, rng)) for k in range(400)]
+    out = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    text = dict(rows)
+
+    def grams(t):
+        words = re.findall(r"[0-9a-z]+", t.lower())
+        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+    alike = [(i, j) for i, j in pairs if len(grams(text[i]) & grams(text[j])) >= 0.8 * len(grams(text[i]) | grams(text[j]))]
+    assert len(alike) > 100
+    assert sum(out[i] == out[j] for i, j in alike) >= 0.95 * len(alike)
+    assert all(out[i] == i for i in out if i >= 10**6)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 120)] + [(5, 5), (200, 201), (201, 200)]
     out = {r.id: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
