@@ -59,7 +59,15 @@ def hide_points(series: DataFrame, kind: str, share: float, seed: int, burst_max
 
 
 def reconstruct(series: DataFrame, window: int, method: str, on: str = "observed", keys=KEYS, **params) -> DataFrame:
-    """(keys, t, pred): embed, complete by any method, make it Hankel again, and average back."""
+    """(keys, t, pred): embed, complete by any method, make it Hankel again, and average back.
+
+    `cadzow` works on the series itself; a series that cannot be completed has null there.
+    """
+    if method == "cadzow":
+        from lacuna.operators import series as pieces
+
+        done = pieces.complete(series, window, on, keys, **params)
+        return done.select(*keys, F.col("t").cast("int").alias("t"), "pred")
     filled = IMPUTERS.named(method)(hankelize(series, window, on, keys), keys=list(keys), **params)
     return dehankelize(enforce(filled, "pred", keys), "pred", keys).withColumnRenamed("value", "pred")
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.registry import IMPUTERS
 from lacuna.operators.cells import AT, KEYS
-from lacuna.sources.tables import cut_lineage
+from lacuna.sources.tables import Rounds, cut_lineage
 
 #: Cells of a run that one task may hold; larger runs are handled by rows.
 MOST_CELLS = 4_000_000
@@ -67,14 +67,23 @@ def soft_impute(x: np.ndarray, shrinkage: float | None = None, rank: int | None
     return now
 
 
-def nuclear_norm(x: np.ndarray, error_tolerance: float = 1e-8, max_iters: int = 500, step: float | None = None, min_value: float | None = None, max_value: float | None = None) -> np.ndarray:
-    """Least nuclear norm within `error_tolerance` of what is observed, by alternating directions."""
+def nuclear_norm(x: np.ndarray, error_tolerance: float = 1e-8, max_iters: int = 50_000, step: float | None = None, min_value: float | None = None, max_value: float | None = None, require_symmetric_solution: bool = False) -> np.ndarray:
+    """Least nuclear norm within `error_tolerance` of what is observed, by alternating directions.
+
+    A symmetric solution comes from shrinking the symmetric part in each round; what is observed twice must agree.
+    """
     seen = np.isfinite(x)
     known = np.where(seen, x, 0.0)
+    even = (lambda y: (y + y.T) / 2) if require_symmetric_solution else lambda y: y
+    if require_symmetric_solution:
+        if x.shape[0] != x.shape[1]:
+            raise ValueError("a symmetric solution needs as many rows as columns")
+        if np.linalg.norm(np.where(seen & seen.T, known - known.T, 0.0)) > 2 * error_tolerance:
+            raise ValueError("no symmetric matrix is within the tolerance of what is observed")
     step = step or 2.5 / max(np.linalg.norm(known, 2), 1e-12) * np.sqrt(seen.mean() or 1)
     other, dual = known.copy(), np.zeros_like(known)
     for _ in range(max_iters):
-        low = _shrunk(other - dual, 1 / step)
+        low = _shrunk(even(other - dual), 1 / step)
         before, other = other, low + dual
         gap = np.where(seen, other - known, 0.0)
         norm = np.linalg.norm(gap)
@@ -84,50 +93,87 @@ def nuclear_norm(x: np.ndarray, error_tolerance: float = 1e-8, max_iters: int =
         dual += low - other
         if max(np.linalg.norm(low - other), np.linalg.norm(other - before)) < 1e-7 * max(1, np.linalg.norm(known)):
             break
-    return other
+    return even(np.where(seen | ~seen.T, other, other.T)) if require_symmetric_solution else other
+
+
+def levels(n: int, beta: float | None, beta_init: float | None) -> tuple[float, float]:
+    """Shares of the largest singular value over which an entry counts as sparse: in the rounds, and before them."""
+    beta = 1 / (2 * n**0.25) if beta is None else beta
+    return beta, 4 * beta if beta_init is None else beta_init
+
+
+def kept_over(x: np.ndarray, level: float) -> np.ndarray:
+    return np.where(np.abs(x) > level, x, 0.0)
+
+
+def trimmed(factor: np.ndarray, bound: float) -> np.ndarray:
+    """Rows longer than `bound` are cut to it."""
+    length = np.linalg.norm(factor, axis=1, keepdims=True)
+    return factor * np.minimum(1, bound / np.maximum(length, 1e-300))
+
+
+def trim_factors(g: np.ndarray, s: np.ndarray, v: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of a trimmed row factor A with Gram matrix `g`, and column factor `v` to be trimmed: T and V with A T and V the orthonormal factors of what they make."""
+    values, e = np.linalg.eigh(g)
+    root = np.sqrt(np.maximum(values, 1e-300))
+    q, r = np.linalg.qr(trimmed(v, bound))
+    u, _, vt = np.linalg.svd((root[:, None] * e.T * s) @ r.T)
+    return (e / root) @ u, q @ vt.T
+
 
+def robust_pca(x: np.ndarray, n_components: int | None = None, max_iters: int = 100, tol: float = 1e-5, beta: float | None = None, beta_init: float | None = None, gamma: float = 0.5, mu: tuple[float, float] = (5, 5), trim: bool = False, **ignored) -> np.ndarray:
+    """Column means for what is missing, then low rank plus sparse by accelerated alternating projections; the low-rank part.
 
-def robust_pca(x: np.ndarray, n_components: int | None = None, max_iters: int = 100, tol: float = 1e-5, beta: float | None = None, beta_init: float | None = None, gamma: float = 0.5) -> np.ndarray:
-    """Column means for what is missing, then low rank plus sparse by alternating projections; the low-rank part."""
+    Each round projects what is not sparse on the tangent space of the last low-rank part, through thin factors, and
+    cuts the rank there (Cai, Cai and Wei 2019).  With `trim` the factors' rows are first cut to the length that
+    incoherence `mu` (of rows and of columns) allows.
+    """
     seen = np.isfinite(x)
+    if not seen.any():
+        raise ValueError("nothing is observed")
     n = seen.sum(axis=0)
-    overall = x[seen].mean()
-    mean = np.where(n > 0, np.where(seen, x, 0).sum(axis=0) / np.maximum(n, 1), overall)
+    mean = np.where(n > 0, np.where(seen, x, 0).sum(axis=0) / np.maximum(n, 1), x[seen].mean())
     full = np.where(seen, x, mean)
     centre = full.mean(axis=0)
     full = full - centre
-    rank = n_components or max(1, min(full.shape) // 10)
-    beta = 1 / (2 * full.size**0.25) if beta is None else beta
-    level = (4 * beta if beta_init is None else beta_init) * np.linalg.norm(full, 2)
-    sparse = np.where(np.abs(full) > level, full, 0.0)
-    low = np.zeros_like(full)
-    for _ in range(max_iters):
-        u, s, vt = np.linalg.svd(full - sparse, full_matrices=False)
-        low = (u[:, :rank] * s[:rank]) @ vt[:rank]
-        level = beta * ((s[rank] if len(s) > rank else 0.0) + gamma * s[0])
-        gamma *= 0.7
-        sparse = np.where(np.abs(full - low) > level, full - low, 0.0)
-        if np.linalg.norm(full - low - sparse) / max(np.linalg.norm(full), 1e-12) < tol:
+    r = n_components or max(1, min(full.shape) // 10)
+    beta, first = levels(full.size, beta, beta_init)
+    size = max(np.linalg.norm(full), 1e-12)
+    u, s, vt = np.linalg.svd(full - kept_over(full, first * np.linalg.norm(full, 2)), full_matrices=False)
+    u, s, v = u[:, :r], s[:r], vt[:r].T
+    low = (u * s) @ v.T
+    sparse = kept_over(full - low, beta * s[0])
+    for k in range(max_iters):
+        if trim:
+            a = trimmed(u, np.sqrt(mu[0] * r / len(x)))
+            tilt, v = trim_factors(a.T @ a, s, v, np.sqrt(mu[1] * r / x.shape[1]))
+            u = a @ tilt
+        z = full - sparse
+        zu, zv = z.T @ u, z @ v
+        c = u.T @ zv
+        (q1, r1), (q2, r2) = np.linalg.qr(zv - u @ c), np.linalg.qr(zu - v @ c.T)
+        um, sm, vm = np.linalg.svd(np.block([[c, r2.T], [r1, np.zeros((r1.shape[0], r2.shape[0]))]]))
+        u, s, v = np.hstack([u, q1]) @ um[:, :r], sm[:r], np.hstack([v, q2]) @ vm.T[:, :r]
+        low = (u * s) @ v.T
+        sparse = kept_over(full - low, beta * ((sm[r] if len(sm) > r else 0.0) + gamma ** (k + 1) * sm[0]))
+        if np.linalg.norm(full - low - sparse) / size < tol:
             break
     return low + centre
 
 
-def cadzow(x: np.ndarray, rank: int, max_iters: int = 100, tol: float = 1e-6) -> np.ndarray:
-    """Rank cuts and averages over anti-diagonals in turn, for a Hankel matrix; what is observed is restored."""
+def cadzow(x: np.ndarray, rank: int | None = None, max_iters: int = 100, tol: float = 1e-6) -> np.ndarray:
+    """Rank cuts and averages over anti-diagonals in turn, for a Hankel matrix: the work is done on its series.
+
+    The cells of an anti-diagonal are one value; where they differ, their mean.
+    """
+    from lacuna.operators import series
+
+    t = np.add.outer(np.arange(x.shape[0]), np.arange(x.shape[1]))
     seen = np.isfinite(x)
-    diagonal = np.add.outer(np.arange(x.shape[0]), np.arange(x.shape[1]))
-    n = np.bincount(diagonal.ravel())
-    now = np.where(seen, x, x[seen].mean())
-    for _ in range(max_iters):
-        u, s, vt = np.linalg.svd(now, full_matrices=False)
-        low = (u[:, :rank] * s[:rank]) @ vt[:rank]
-        after = (np.bincount(diagonal.ravel(), low.ravel()) / n)[diagonal]
-        after = np.where(seen, x, after)
-        change = np.linalg.norm(after - now) / max(np.linalg.norm(now), 1e-12)
-        now = after
-        if change < tol:
-            break
-    return now
+    n = np.bincount(t[seen], minlength=sum(x.shape) - 1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        known = np.bincount(t[seen], x[seen], sum(x.shape) - 1) / n
+    return series.cadzow(known, x.shape[0], rank, max_iters, tol)[t]
 
 
 def per_run(cells: DataFrame, solve: Callable[..., np.ndarray], keys=KEYS, **params) -> DataFrame:
@@ -210,32 +256,45 @@ def _shrinking(s: np.ndarray, v: np.ndarray, by: float, rank: int | None = None)
     return (v * kept) @ v.T
 
 
-def _step(rows: DataFrame, width: int, f: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
-    """(row_id, known, x, low, gap): every row's `f(known, x)` gives the next x, its low-rank part and the square of what is left."""
+def _step(rows: DataFrame, width: int, f: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]) -> DataFrame:
+    """(row_id, known, x, gap): every row's `f(known, x)` begins with the next x and ends with the square of what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known, x = (_matrix(batch.column(k), width) for k in (1, 2))
-            after, low, gap = f(known, x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(after), _lists(low), pa.array(gap)], names=["row_id", "known", "x", "low", "gap"])
+            after, *_, gap = f(known, x)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(after), pa.array(gap)], names=["row_id", "known", "x", "gap"])
 
-    return cut_lineage(rows.select("row_id", "known", "x").mapInArrow(run, "row_id long, known array<double>, x array<double>, low array<double>, gap double"), "rows")
+    return rows.select("row_id", "known", "x").mapInArrow(run, "row_id long, known array<double>, x array<double>, gap double")
 
 
 def tall(cells: DataFrame, method: str, most_columns: int = 2000, **params) -> DataFrame:
-    """(row_id, col_id, pred) of one run by `svt`, `soft_impute` or `robust_pca`, however many rows it has.
+    """(row_id, col_id, pred) of one run by `svt`, `soft_impute`, `nuclear_norm_minimization` or `robust_pca`, however many rows it has.
 
-    The same iterations as the functions of those names over a whole matrix, to the same tolerances.
+    The same iterations as the functions of those names over a whole matrix, to the same tolerances.  A run of more
+    than `most_columns` columns and fewer rows is turned, but for robust_pca, which takes means of columns.
     """
+    from lacuna.operators import tall as tables
+
     spark = cells.sparkSession
-    cols = sorted(r.col_id for r in cells.select("col_id").distinct().limit(most_columns + 1).collect())
+    named = lambda what: sorted(r[0] for r in cells.select(what).distinct().limit(most_columns + 1).collect())
+    cols = named("col_id")
     if len(cols) > most_columns:
-        raise ValueError(f"more than {most_columns} columns")
+        if method == "robust_pca" or len(named("row_id")) > most_columns:
+            raise ValueError(f"more than {most_columns} columns")
+        turned = cells.withColumns({"row_id": F.col("col_id"), "col_id": F.col("row_id")})
+        return tall(turned, method, most_columns, **params).withColumns({"row_id": F.col("col_id"), "col_id": F.col("row_id")})
     d = len(cols)
     stats = cells.agg(F.count("value").alias("n"), F.sum(F.col("value") * F.col("value")).alias("ss"), F.count_distinct("row_id").alias("rows"), F.avg("value").alias("mean")).first()
     if not stats.n:
         raise ValueError("nothing is observed")
     rows, share = as_rows(cells, cols), spark.sparkContext.broadcast
+    if method == "nuclear_norm_minimization":
+        return _as_cells(tables.nuclear_norm(cut_lineage(rows, "rows"), d, stats, **params), cols)
+    if method == "robust_pca":
+        own = {r.col_id: r.m for r in cells.groupBy("col_id").agg(F.avg("value").alias("m")).collect()}  # a row per column
+        mean = np.array([stats.mean if own[c] is None else own[c] for c in cols])  # filled columns keep their means
+        return _as_cells(tables.robust_pca(rows, d, stats, mean, **params), cols, mean)
     size, eps, result = np.sqrt(stats.ss), params.get("tol", 1e-5), "x"
     if method == "svt":
         tau = params.get("tau") or 2.5 * (stats.rows + d)
@@ -269,49 +328,43 @@ def tall(cells: DataFrame, method: str, most_columns: int = 2000, **params) -> D
 
             return f
 
-    elif method == "robust_pca":
-        own = {r.col_id: r.m for r in cells.groupBy("col_id").agg(F.avg("value").alias("m")).collect()}  # a row per column
-        mean = np.array([stats.mean if own[c] is None else own[c] for c in cols])  # filled columns keep their means
-        rank, most, gamma, result = params.get("n_components") or max(1, min(stats.rows, d) // 10), params.get("max_iters", 100), params.get("gamma", 0.5), "low"
-        beta = params.get("beta") or 1 / (2 * (stats.rows * d) ** 0.25)
-        centre = share(mean)
-        rows = _step(rows.select("row_id", F.col("x").alias("known"), "x"), d, lambda known, x: (np.where(np.isfinite(known), known - centre.value, 0.0),) * 2 + (np.zeros(len(x)),)).select("row_id", F.col("x").alias("known"), "x")
-        first = params.get("beta_init") or 4 * beta
-
-        def plan(s, v, k):
-            nonlocal gamma, size
-            w = share(v[:, :rank] @ v[:, :rank].T)
-            if k == 0:  # the first sparse part comes from the rows themselves
-                size, level = max(np.sqrt((s * s).sum()), 1e-12), first * s[0]
-                return lambda known, x: (np.where(np.abs(known) > level, 0.0, known), known, np.full(len(x), np.inf))
-            level = beta * ((s[rank] if len(s) > rank else 0.0) + gamma * s[0])
-            gamma *= 0.7
-
-            def f(known, x):
-                low = x @ w.value
-                rest = known - low
-                sparse = np.where(np.abs(rest) > level, rest, 0.0)
-                return known - sparse, low, ((rest - sparse) ** 2).sum(axis=1)
-
-            return f
-
-        most += 1
     else:
-        raise ValueError("method must be svt, soft_impute or robust_pca")
-    rows = cut_lineage(rows, "rows")
+        raise ValueError("method must be svt, soft_impute, nuclear_norm_minimization or robust_pca")
+    rounds = Rounds(spark, "rows")
+    rows = rounds.write(rows)
     g, _ = row_gram(rows, d)
     for k in range(most):
-        rows = _step(rows, d, plan(*_factors(g), k))
+        f = plan(*_factors(g), k)
+        before, rows = rows, rounds.write(_step(rows, d, f))
         g, sums = row_gram(rows, d, more=("gap",))
         if np.sqrt(sums["gap"]) / max(size, 1e-12) < eps:
             break
-    at = spark.createDataFrame([(k, int(c), float(mean[k]) if method == "robust_pca" else 0.0) for k, c in enumerate(cols)], "pos int, col_id long, shift double")
-    out = rows.select("row_id", F.posexplode(result).alias("pos", "pred")).join(F.broadcast(at), "pos")  # a row per column
+    if result == "low":  # of the last round, from the rows before it
+        rows = _step(before, d, lambda known, x: (f(known, x)[1], np.zeros(len(x)))).select("row_id", "x")
+    return _as_cells(rows, cols)
+
+
+def _as_cells(rows: DataFrame, cols: list[int], shift: np.ndarray | None = None) -> DataFrame:
+    """(row_id, col_id, pred) of rows as arrays."""
+    shift = np.zeros(len(cols)) if shift is None else shift
+    at = rows.sparkSession.createDataFrame([(k, int(c), float(shift[k])) for k, c in enumerate(cols)], "pos int, col_id long, shift double")
+    out = rows.select("row_id", F.posexplode("x").alias("pos", "pred")).join(F.broadcast(at), "pos")  # a row per column
     return out.select("row_id", "col_id", (F.col("pred") + F.col("shift")).alias("pred"))
 
 
+def _hankel(cells: DataFrame, **params) -> DataFrame:
+    """(row_id, col_id, pred) of a large Hankel run, through its series."""
+    from lacuna.operators import series
+
+    t = F.col("row_id") + F.col("col_id")
+    shape = cells.agg((F.max("row_id") + 1).alias("rows"), (F.max("col_id") + 1).alias("cols")).first()
+    points = cut_lineage(cells.groupBy(t.alias("t")).agg(F.avg("value").alias("value")))
+    done = series.long_cadzow(points, shape.rows + shape.cols - 1, shape.rows, **params)
+    return cells.select("row_id", "col_id", t.alias("t")).join(done, "t").drop("t")
+
+
 def fill(cells: DataFrame, name: str, solve: Callable[..., np.ndarray], keys=KEYS, **params) -> DataFrame:
-    """Runs of up to MOST_CELLS cells in a task each; larger ones by `tall`, or rows with `error` where that cannot."""
+    """Runs of up to MOST_CELLS cells in a task each; larger ones by `tall` or as a series; rows with `error` where a solver says no."""
     wanted = cells.select(*keys, F.col("row_id").cast("long").alias("row_id"), F.col("col_id").cast("long").alias("col_id"), "value")
     large = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > MOST_CELLS).drop("__n").collect()  # runs are few
     if not large:
@@ -321,7 +374,7 @@ def fill(cells: DataFrame, name: str, solve: Callable[..., np.ndarray], keys=KEY
     for r in large:
         one, error = wanted.filter(is_run(r)), F.lit(None).cast("string")
         try:
-            done = tall(one, name, **params)
+            done = _hankel(one, **params) if name == "cadzow" else tall(one, name, **params)
         except ValueError as e:
             done, error = one.select("row_id", "col_id", F.lit(None).cast("double").alias("pred")), F.lit(str(e))
         parts.append(one.join(done, list(AT)).select(*keys, *AT, "value", "pred", error.alias("error")))
@@ -367,7 +420,7 @@ def gram_shrink(cells: DataFrame, by: float, run_keys: dict, most_columns: int =
         raise ValueError(f"more than {most_columns} columns")
     rows = cut_lineage(as_rows(one, cols).withColumn("known", F.col("x")), "rows")
     w = cells.sparkSession.sparkContext.broadcast(_shrinking(*_factors(row_gram(rows, len(cols))[0]), by))  # at most most_columns squared numbers
-    done = _step(rows, len(cols), lambda known, x: (x, np.nan_to_num(x) @ w.value, np.zeros(len(x))))
+    done = _step(rows, len(cols), lambda known, x: (np.nan_to_num(x) @ w.value, np.zeros(len(x)))).withColumnRenamed("x", "low")
     at = F.array(*[F.lit(c) for c in cols])
     out = done.select("row_id", F.posexplode("low").alias("pos", "low")).select(*[F.lit(v).alias(k) for k, v in run_keys.items()], "row_id", F.element_at(at, F.col("pos") + 1).cast("long").alias("col_id"), "low")
     return out

@@ -34,11 +34,30 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
 
     The table is removed when the driver ends.
     """
+    return _written(df, name)[0]
+
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lacuna-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+class Rounds:
+    """The tables of a loop: where a round is written, the one before the last is removed, so there are two at most."""
+
+    def __init__(self, spark: SparkSession, name: str = "round"):
+        self.spark, self.name, self.paths = spark, name, []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """`df`, which may read the last round's table, but none before it."""
+        out, path = _written(df, self.name)
+        self.paths.append(path)
+        while len(self.paths) > 2:
+            _remove(self.spark, self.paths.pop(0))
+        return out
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -247,7 +247,7 @@ def test_tall_runs_equal_whole_matrices(spark, monkeypatch):
             got = {(r.row_id, r.col_id): r.pred for r in IMPUTERS[name](cells, **params).collect()}
         assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-6, name
     monkeypatch.setattr(lowrank, "MOST_CELLS", 100)
-    assert {r.error is None for r in IMPUTERS["nuclear_norm_minimization"](cells).collect()} == {False}
+    assert {r.error is None for r in IMPUTERS["nuclear_norm_minimization"](cells, max_iters=3).collect()} == {True}
 
 
 def test_types_of_a_result_table(spark, tmp_path):
