@@ -127,6 +127,14 @@ def flag_least(df: DataFrame, place: Column, want: Callable[[Column], Column], o
     return x.join(F.broadcast(last), list(keys), "left").withColumn(out, F.coalesce(F.struct("__place", *tie) <= F.col("__last"), F.lit(False)) & F.col("__place").isNotNull()).drop("__place", "__last")
 
 
+def numbered(df: DataFrame, n: Column, out: str, chunk: int = 1 << 16) -> DataFrame:
+    """Each row `n` times, with `out` from 0 to n - 1: by chunks that are dealt over the tasks, so that no array has more than `chunk` entries."""
+    x = df.withColumn("__n", n.cast("bigint")).filter("__n > 0")
+    x = x.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / chunk)))).repartition(*df.columns, "__chunk")
+    begin = F.col("__chunk") * chunk
+    return x.withColumn(out, F.explode(F.sequence(begin, F.least(begin + chunk, F.col("__n")) - 1))).drop("__n", "__chunk")
+
+
 def part_of(share: float, least: int = 1) -> Callable[[Column], Column]:
     """How many of n: the share, rounded half to even, and `least` at least."""
     return lambda n: F.greatest(F.lit(least), F.bround(n * F.lit(float(share)), 0).cast("bigint"))

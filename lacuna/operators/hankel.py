@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.rand import uniform
 from lacuna.functions.registry import IMPUTERS
-from lacuna.operators.cells import flag_least, part_of
+from lacuna.operators.cells import flag_least, numbered, part_of
 
 KEYS = ("series_id",)
 MASKS = ("uniform_random", "contiguous_block", "bursty_random")
@@ -48,7 +48,7 @@ def hide_points(series: DataFrame, kind: str, share: float, seed: int, burst_max
         start = F.floor(uniform(F.lit("run"), seed=seed, tag="start") * F.greatest(F.lit(1), F.col("len") - F.col("n")))
         x = x.withColumn("place", F.when((F.col("t") >= start) & (F.col("t") < start + F.col("n")), u / 2).otherwise(0.5 + u / 2))
     elif kind == "bursty_random":
-        b = n.withColumn("burst", F.explode(F.sequence(F.lit(0), F.col("n")))).withColumn("size", 2 + F.floor(uniform("burst", seed=seed, tag="length") * (burst_max - 2)).cast("int"))
+        b = numbered(n, F.col("n") + 1, "burst").withColumn("size", 2 + F.floor(uniform("burst", seed=seed, tag="length") * (burst_max - 2)).cast("int"))
         b = b.withColumn("start", F.floor(uniform("burst", seed=seed, tag="start") * F.greatest(F.lit(1), F.col("len") - F.col("size"))))
         b = b.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("size") - 1))).withColumn("t", (F.col("start") + F.col("k")).cast("int"))
         first = b.groupBy(*keys, "t").agg(F.min((F.col("burst") * burst_max + F.col("k")) / ((F.col("n") + 1) * burst_max)).alias("drawn"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.rand import normal, sigmoid, uniform
-from lacuna.operators.cells import AT, KEYS, flag_least, index_of, part_of
+from lacuna.operators.cells import AT, KEYS, flag_least, index_of, numbered, part_of
 
 KINDS = ("mcar", "mar_logistic", "mnar_self_logistic", "block", "bursty", "censor_above_threshold")
 
@@ -51,7 +51,7 @@ def mar_logistic(cells: DataFrame, share: float, seed: int, driver: int | None =
     known = _known(cells)
     first = cells.groupBy(*keys).agg(F.min("col_id").alias("driver")) if driver is None else cells.select(*keys).distinct().withColumn("driver", F.lit(driver))
     x = cells.join(F.broadcast(first), list(keys)).filter("col_id = driver").select(*keys, "row_id", F.col("value").alias("x"))
-    stats = x.groupBy(*keys).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.count("x").alias("n_x"))
+    stats = x.groupBy(*keys).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.count("x").alias("n_x"), F.count(F.lit(1)).alias("slices"))
     z = F.when(F.col("x").isNull(), 0.0).otherwise(zscore(F.col("x"), F.col("mean"), F.col("sd")))
     rows = x.join(F.broadcast(stats), list(keys)).filter("n_x > 0").withColumn("w", sigmoid(1.2 * z + 0.2 * normal("row_id", seed=seed, tag="mar")))
     # Running totals by chunks of rows: no window holds more than a chunk, or the chunks of a run.
@@ -60,12 +60,12 @@ def mar_logistic(cells: DataFrame, share: float, seed: int, driver: int | None =
     by_chunk = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*keys, "chunk", F.coalesce(F.sum("in_chunk").over(by_chunk), F.lit(0.0)).alias("before"), F.sum("in_chunk").over(Window.partitionBy(*keys)).alias("total"))
     upto = F.sum("w").over(Window.partitionBy(*keys, "chunk").orderBy("row_id"))
-    rows = rows.withColumn("upto", upto).join(sums, [*keys, "chunk"]).select(*keys, "row_id", ((F.col("before") + F.col("upto") - F.col("w")) / F.col("total")).alias("low"), ((F.col("before") + F.col("upto")) / F.col("total")).alias("high"))
-    # A range join by slices of the unit interval.
-    slices = 1024
-    rows = rows.withColumn("slice", F.explode(F.sequence(F.floor(F.col("low") * slices), F.least(F.floor(F.col("high") * slices), F.lit(slices - 1)))))
-    n = wanted(cells, share, keys)
-    draws = n.select(*keys, F.explode(F.sequence(F.lit(0), 3 * F.col("n") - 1)).alias("draw"), (3 * F.col("n")).alias("draws")).withColumn("u", uniform("draw", seed=seed, tag="draw")).withColumn("slice", F.floor(F.col("u") * slices))
+    rows = rows.withColumn("upto", upto).join(sums, [*keys, "chunk"]).select(*keys, "row_id", "slices", ((F.col("before") + F.col("upto") - F.col("w")) / F.col("total")).alias("low"), ((F.col("before") + F.col("upto")) / F.col("total")).alias("high"))
+    # A range join by slices of the unit interval, as many as the run has rows: a slice meets a few rows and draws at any size.
+    slice_of = lambda u: F.least(F.floor(u * F.col("slices")), F.col("slices") - 1)
+    rows = rows.withColumn("slice", F.explode(F.sequence(slice_of(F.col("low")), slice_of(F.col("high"))))).drop("slices")
+    n = wanted(cells, share, keys).select(*keys, (3 * F.col("n")).alias("draws")).join(F.broadcast(stats.select(*keys, "slices")), list(keys))  # a row per run
+    draws = numbered(n, F.col("draws"), "draw").withColumn("u", uniform("draw", seed=seed, tag="draw")).withColumn("slice", slice_of(F.col("u"))).drop("slices")
     hit = draws.join(rows, [*keys, "slice"]).filter("u >= low AND u < high")
     in_row = Window.partitionBy(*keys, "row_id").orderBy("col_id")
     ranked = known.select(*keys, *AT, (F.row_number().over(in_row) - 1).alias("k"), F.count(F.lit(1)).over(Window.partitionBy(*keys, "row_id")).alias("in_row"))
@@ -102,7 +102,7 @@ def bursty(cells: DataFrame, share: float, seed: int, burst_max: int = 6, keys=K
     if burst_max < 3:
         raise ValueError("burst_max must be at least 3")
     shape = cells.groupBy(*keys).agg(F.count_distinct("row_id").alias("n_rows"), F.count_distinct("col_id").alias("n_cols")).join(wanted(cells, share, keys), list(keys))
-    b = shape.select("*", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("burst"))
+    b = numbered(shape, F.col("n") + 1, "burst")
     u = lambda tag: uniform("burst", seed=seed, tag=tag)
     b = b.withColumn("length", 2 + F.floor(u("length") * (burst_max - 2)).cast("int")).withColumn("along_row", u("side") < 0.5)
     line, span = F.when(F.col("along_row"), F.col("n_rows")).otherwise(F.col("n_cols")), F.when(F.col("along_row"), F.col("n_cols")).otherwise(F.col("n_rows"))

@@ -27,7 +27,7 @@ def simulated(spark: SparkSession, preset: dict, seed: int, run_id: str, overrid
     elif preset["dgp_type"] == "block_low_rank":
         truth = simulate.block_low_rank(grid, p.get("n_row_groups", 5), p.get("n_col_groups", 4), seed, p.get("group_noise", 0.08))
     elif preset["dgp_type"] == "low_rank_orthogonal":
-        truth = simulate.low_rank_orthogonal(spark, p["n_rows"], p["n_cols"], p["rank"], seed, p.get("singular_decay", 0.82), run_id)
+        truth = simulate.low_rank_orthogonal(grid, p["rank"], seed, p.get("singular_decay", 0.82))
     else:
         raise ValueError(f"unknown generator {preset['dgp_type']}")
     noise = {"gaussian": {"sigma": p.get("sigma")}, "student_t": {"df": p.get("df"), "scale": p.get("scale")}, "sparse_corruption": {"fraction": p.get("corruption_fraction"), "scale": p.get("corruption_scale")}}[preset["noise_type"]]

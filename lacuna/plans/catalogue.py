@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -222,6 +223,21 @@ def sim_block(spark, sf):
     return rounded(simulate.block_low_rank(_shape(spark, sf), 6, 5, SEED).select("row_id", "col_id", "value"), "value")
 
 
+@query("""WITH k AS (SELECT unnest(generate_series(0, 4)) AS k)
+SELECT 'factors' AS what, a.k AS i, b.k AS j, (a.k = b.k)::INTEGER::DOUBLE AS value FROM k a, k b
+UNION ALL SELECT 'squares', 0, 0, round(sum(power(0.82, 2 * k)), 8) FROM k UNION ALL SELECT 'fourth powers', 0, 0, round(sum(power(0.82, 4 * k)), 8) FROM k""")
+def sim_orthogonal(spark, sf):
+    """The inner products of the row factors, and the sums of powers of the singular values."""
+    grid = _shape(spark, sf)
+    x = cut_lineage(simulate.low_rank_orthogonal(grid, 5, SEED))
+    u = simulate.orthonormal(grid, "row_id", 5, SEED, "u").select(F.posexplode("factor").alias("i", "a"), "factor").select("i", "a", F.posexplode("factor").alias("j", "b"))
+    parts = [u.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("value")).withColumn("what", F.lit("factors"))]
+    gram = lowrank.gram(x).withColumn("twice", F.when(F.col("i") == F.col("j"), 1).otherwise(2))
+    for what, value in (("squares", F.sum(F.when(F.col("i") == F.col("j"), F.col("g")))), ("fourth powers", F.sum(F.col("twice") * F.col("g") * F.col("g")))):
+        parts.append(gram.agg(value.alias("value")).select(F.lit(0).alias("i"), F.lit(0).alias("j"), "value", F.lit(what).alias("what")))
+    return reduce(DataFrame.unionByName, parts).select("what", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), (F.round("value", 8) + 0.0).alias("value"))
+
+
 @query(f"WITH {SUP} SELECT row_id, col_id, round(value + 0.1 * {z_sql(_AT, SEED, 'noise')}, 6) AS noisy FROM cells WHERE value IS NOT NULL")
 def noise_gaussian(spark, sf):
     return rounded(simulate.add_noise(X.sup_month(spark, sf), "gaussian", SEED).filter("value IS NOT NULL").select("row_id", "col_id", "noisy"), "noisy")

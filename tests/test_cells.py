@@ -148,7 +148,7 @@ def test_signal_has_unit_variance(spark):
 def test_generators(spark):
     x = simulate.low_rank_gaussian(simulate.grid(spark, 12, 9), 2, 4)
     assert np.linalg.matrix_rank(matrix(x, "value"), tol=1e-8) == 2
-    y = matrix(simulate.low_rank_orthogonal(spark, 10, 8, 3, 1), "value")
+    y = matrix(simulate.low_rank_orthogonal(simulate.grid(spark, 10, 8), 3, 1), "value")
     assert np.allclose(np.linalg.svd(y)[1][:3], 0.82 ** np.arange(3))
     b = simulate.denoising_benchmark(x, "sparse_corruption", 1, fraction=0.1)
     row = b.agg(F.count_if("is_observed").alias("o"), F.count_if("is_eval").alias("e"), F.count("observed").alias("n")).first()
@@ -255,3 +255,29 @@ def test_types_of_a_result_table(spark, tmp_path):
     t = readers.typed_csv(spark, str(tmp_path / "r.csv"))
     assert dict(t.dtypes) == {"method": "string", "rmse": "double", "seed": "double", "note": "string"}
     assert [r.rmse for r in t.orderBy("seed").collect()] == [0.5, None, 2.0]
+
+
+def test_orthonormal_factors_over_many_tasks(spark):
+    lines = spark.range(5000).select((F.col("id") * 7).alias("row_id")).repartition(6)
+    u = np.array([r.factor for r in simulate.orthonormal(lines, "row_id", 6, 3, "u").collect()])
+    assert u.shape == (5000, 6) and np.abs(u.T @ u - np.eye(6)).max() < 1e-10
+    x = matrix(simulate.low_rank_orthogonal(simulate.grid(spark, 40, 30), 4, 1, 0.5), "value")
+    assert np.allclose(np.linalg.svd(x)[1][:5], [1, 0.5, 0.25, 0.125, 0], atol=1e-10)
+    with pytest.raises(ValueError, match="as many rows"):
+        simulate.low_rank_orthogonal(simulate.grid(spark, 40, 3), 4, 1)
+
+
+def test_numbers_are_dealt_by_chunks(spark):
+    from lacuna.operators.cells import numbered
+
+    x = numbered(spark.createDataFrame([("a", 10), ("b", 0), ("c", 3)], "run_id string, n long"), F.col("n"), "k", chunk=4)
+    got = sorted((r.run_id, r.k) for r in x.collect())
+    assert got == [("a", k) for k in range(10)] + [("c", k) for k in range(3)]
+
+
+def test_draws_follow_their_weights(spark):
+    """Rows with a high driver lose more cells, at more rows than slices of a fixed number would part."""
+    x = [[float(i), 1.0, 2.0] for i in range(3000)]
+    out = masks.hide_cells(grid(spark, x), "mar_logistic", 0.2, 5, driver=0)
+    by = {r.high: r.n for r in out.filter("hidden").groupBy((F.col("row_id") >= 1500).alias("high")).agg(F.count("*").alias("n")).collect()}
+    assert sum(by.values()) == 1800 and by[True] > 2 * by[False]
