@@ -36,22 +36,29 @@ def complete_grid(known: DataFrame, keys=KEYS) -> DataFrame:
     return rows.join(cols, [*keys, "__part"]).drop("__part").join(known, [*keys, *AT], "left").select(*keys, *AT, "value")
 
 
+#: Rows of all runs up to which a window for each run takes their running sums.
+FEW_ROWS = 1 << 16
+
+
 def running(df: DataFrame, order: Column, sums: dict[str, Column], keys=KEYS) -> DataFrame:
     """Adds for each name the sum of its column over the rows of the run that come before.
 
-    Rows are dealt into ranges of `order`, summed within each, and ranges by their totals:
-    no task sees a run whole.
+    `df` is written first, so its rows can be counted.  Up to FEW_ROWS a window does; more
+    are dealt into ranges of `order`, summed within each, and ranges by their totals: no task
+    sees a large run whole.
     """
     from lacuna.sources.tables import cut_lineage
 
+    x = cut_lineage(df.select("*", *[c.cast("bigint").alias(f"__{k}") for k, c in sums.items()]))
+    upto = lambda *by: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    if x.count() <= FEW_ROWS:
+        return x.withColumns({k: F.coalesce(F.sum(f"__{k}").over(upto(*keys)), F.lit(0)) for k in sums}).drop(*[f"__{k}" for k in sums])
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = df.select("*", *[c.cast("bigint").alias(f"__{k}") for k, c in sums.items()])
     x = cut_lineage(x.repartitionByRange(parts, *[F.col(k) for k in keys], order).withColumn("__range", F.spark_partition_id()))
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     totals = x.groupBy(*keys, "__range").agg(*[F.sum(f"__{k}").alias(f"__of_{k}") for k in sums])  # runs x partitions rows
     totals = totals.select(*keys, "__range", *[F.coalesce(F.sum(f"__of_{k}").over(before), F.lit(0)).alias(f"__from_{k}") for k in sums])
-    within = Window.partitionBy(*keys, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumns({k: F.coalesce(F.sum(f"__{k}").over(within), F.lit(0)) for k in sums}).join(F.broadcast(totals), [*keys, "__range"])
+    x = x.withColumns({k: F.coalesce(F.sum(f"__{k}").over(upto(*keys, "__range")), F.lit(0)) for k in sums}).join(F.broadcast(totals), [*keys, "__range"])
     return x.withColumns({k: F.col(k) + F.col(f"__from_{k}") for k in sums}).drop("__range", *[f"__{k}" for k in sums], *[f"__from_{k}" for k in sums])
 
 

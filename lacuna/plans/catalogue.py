@@ -400,7 +400,7 @@ def hankel_enforce(spark, sf):
 
 def _holes(spark, sf) -> DataFrame:
     x = hankel.hide_points(X.daily(spark, sf).withColumnRenamed("value", "clean"), "contiguous_block", 0.2, SEED)
-    return x.withColumn("observed", F.when(~F.col("hidden"), F.col("clean")))
+    return cut_lineage(x.withColumn("observed", F.when(~F.col("hidden"), F.col("clean"))))
 
 
 _HOLES = f"""{DAILY}, n AS (SELECT count(*) AS len, greatest(1, CAST(round_even(count(*) * CAST(0.2 AS DOUBLE), 0) AS BIGINT)) AS n FROM daily), st AS (SELECT floor({u_sql("'run'", SEED, 'start')} * greatest(1, len - n)) AS s FROM n),
