@@ -514,7 +514,7 @@ def _downstream(model: str, **sizes) -> Query:
 
 QUERIES["downstream_linear"] = _downstream("linear")
 QUERIES["downstream_forest"] = _downstream("random_forest")
-QUERIES["downstream_boosted"] = _downstream("xgboost", rounds=30)
+QUERIES["downstream_boosted"] = _downstream("xgboost")
 
 
 @query()
