@@ -248,4 +248,3 @@ _absent("forest_diffusion", "a boosted-tree diffusion library")
 _absent("tab_impute", "pretrained transformer weights")
 _absent("tab_impute_constraints", "pretrained transformer weights")
 _absent("TabImputeConstraints", "pretrained transformer weights")
-_absent("hyperimpute", "its automatic model search")

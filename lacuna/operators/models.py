@@ -146,6 +146,93 @@ def missforest(cells: DataFrame, keys=KEYS, rounds: int = 2, trees: int = 20, de
 IMPUTERS.register("missforest")(missforest)
 
 
+def _learned(learner: str, train: DataFrame, to: DataFrame, features: list[str], column: str) -> DataFrame:
+    """(row_id, predicted) for the rows `to` by a learner of `column` from the other features."""
+    if learner == "boosting":
+        from lacuna.operators import boosting
+
+        names = lambda x: x.withColumn("label", F.col(column))
+        done = boosting.predict(boosting.fit(names(train), features, task="regression", rounds=60, depth=4, rate=0.1), names(to), features)
+        return done.select("row_id", F.col("pred").alias("predicted"))
+    est = {
+        "linear": lambda: LinearRegression(featuresCol="__x", labelCol=column, regParam=1e-3, predictionCol="predicted"),
+        "forest": lambda: RandomForestRegressor(numTrees=20, maxDepth=8, seed=0, featuresCol="__x", labelCol=column, predictionCol="predicted"),
+    }[learner]()
+    x = VectorAssembler(inputCols=features, outputCol="__x")
+    return est.fit(x.transform(train)).transform(x.transform(to)).select("row_id", "predicted")
+
+
+LEARNERS = ("linear", "forest", "boosting")
+
+
+def searched(table: DataFrame, features: list[str], rounds: int = 5, tol: float = 1e-3, learners: tuple[str, ...] = LEARNERS) -> tuple[DataFrame, list[tuple]]:
+    """`table` (row_id, features) without nulls, and a log (round, column, learner, held-out error, change) of how it was filled.
+
+    Columns with missing values are visited from the least missing share to the largest.  In the first round each
+    learner is fitted on four fifths of a column's known rows, and the one with the least squared error on the others
+    is kept for the column.  A round whose fills differ from the last ones by less than `tol` of the columns' standard
+    deviations, root mean square, is the last.  Columns without any value become the mean of the column means.
+    """
+    from lacuna.sources.tables import Rounds
+
+    stats = table.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}_{c}") for c in features for k, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_pop))]).first()
+    known = [stats[f"mean_{c}"] for c in features if stats[f"n_{c}"]]
+    rest = sum(known) / len(known) if known else 0.0
+    holes = sorted((c for c in features if 0 < stats[f"n_{c}"] < stats["n"]), key=lambda c: (-stats[f"n_{c}"], features.index(c)))
+    spread = {c: stats[f"sd_{c}"] or 1.0 for c in holes}
+    rounds_of = Rounds(table.sparkSession, "columns")
+    x = table.select("row_id", *[F.coalesce(c, F.lit(stats[f"mean_{c}"] if stats[f"n_{c}"] else rest)).alias(c) for c in features], *[F.col(c).isNull().alias(f"__{c}") for c in holes])
+    x, log, choice = rounds_of.write(x), [], {}
+    for k in range(rounds if holes else 0):
+        moved = 0.0
+        for c in holes:
+            others = [f for f in features if f != c]
+            seen, error = x.filter(~F.col(f"__{c}")), None
+            if k == 0:
+                apart = F.pmod(F.xxhash64(F.lit(c), "row_id"), F.lit(5)) == 0
+                tried = {}
+                for name in learners:
+                    done = _learned(name, seen.filter(~apart), seen.filter(apart), others, c).join(seen.select("row_id", F.col(c).alias("truth")), "row_id")
+                    tried[name] = done.agg(F.avg((F.col("predicted") - F.col("truth")) ** 2).alias("e")).first().e
+                tried = {name: e for name, e in tried.items() if e is not None} or {learners[0]: float("nan")}
+                choice[c] = min(tried, key=tried.get)
+                error = tried[choice[c]] ** 0.5
+            fill = _learned(choice[c], seen, x.filter(F.col(f"__{c}")), others, c)
+            after = rounds_of.write(x.join(fill, "row_id", "left").withColumn("__before", F.col(c)).withColumn(c, F.when(F.col(f"__{c}"), F.coalesce("predicted", c)).otherwise(F.col(c))).drop("predicted"))
+            change = after.filter(F.col(f"__{c}")).agg(F.avg((F.col(c) - F.col("__before")) ** 2).alias("m")).first().m ** 0.5 / spread[c]
+            x = after.drop("__before")
+            log.append((k, c, choice[c], error, change))
+            moved = max(moved, change)
+        if moved < tol:
+            break
+    return x.drop(*[f"__{c}" for c in holes]), log
+
+
+LOG = "round int, column string, learner string, error double, change double"
+
+
+def hyperimpute(cells: DataFrame, keys=KEYS, rounds: int = 5, tol: float = 1e-3, learners: tuple[str, ...] = LEARNERS, log_path: str | None = None) -> DataFrame:
+    """Each column of each run by the learner that does best on it (`searched`); the log goes to `log_path`, if given."""
+    parts = []
+    for run in cells.select(*keys).distinct().collect():  # models are fitted for each run
+        one = cells.filter(reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(run[k]) for k in keys]))
+        cols = sorted(r.col_id for r in one.select("col_id").distinct().limit(MOST_COLUMNS + 1).collect())
+        if len(cols) > MOST_COLUMNS:
+            raise ValueError(f"more than {MOST_COLUMNS} columns")
+        names = [f"f{c}" for c in cols]
+        table = one.groupBy("row_id").pivot("col_id", cols).agg(F.first("value")).select("row_id", *[F.col(str(c)).cast("double").alias(f"f{c}") for c in cols])
+        done, log = searched(table, names, rounds, tol, tuple(learners))
+        if log_path:
+            rows = cells.sparkSession.createDataFrame(log, LOG).withColumns({k: F.lit(run[k]) for k in keys})
+            rows.coalesce(1).write.mode("append").parquet(log_path)  # a row per column and round
+        done = done.unpivot("row_id", names, "name", "pred").select("row_id", F.substring("name", 2, 20).cast("bigint").alias("col_id"), "pred")
+        parts.append(one.join(done, list(AT)).withColumn("pred", F.coalesce("value", "pred")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+IMPUTERS.register("hyperimpute")(hyperimpute)
+
+
 def feature_ranking(table: DataFrame, features: list[str], k: int = 20) -> DataFrame:
     """Features by the size of their logistic coefficient after median fill and scaling."""
     if table.select("label").distinct().limit(3).count() > 2:

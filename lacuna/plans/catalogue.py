@@ -529,6 +529,13 @@ def impute_chained(spark, sf):
     return models.chained(x, _F)
 
 
+@query()
+def impute_hyper(spark, sf):
+    """Every sixteenth column has holes and is filled by the learner that does best on it."""
+    x = _table(spark, sf).select("row_id", *[F.when(uniform("row_id", F.lit(i), seed=SEED, tag="hole") >= 0.2, F.col(c)).alias(c) if i % 16 == 0 else F.col(c) for i, c in enumerate(_F)])
+    return models.searched(x, _F, rounds=2)[0]
+
+
 @query("""WITH x AS (SELECT l_quantity AS f, l_extendedprice AS y, (l_orderkey % 5) = 0 AS test FROM lineitem), w AS (SELECT regr_slope(y, f) AS a, regr_intercept(y, f) AS b FROM x WHERE NOT test)
 SELECT 'linear' AS model, round(1 - sum((y - a * f - b) * (y - a * f - b)) / (count(*) * var_pop(y)), 6) AS r2 FROM x, w WHERE test""")
 def downstream_regression(spark, sf):
