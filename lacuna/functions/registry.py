@@ -8,7 +8,10 @@ from collections.abc import Callable
 
 
 class Registry(dict[str, Callable]):
-    """A function for each name; empty names and names taken are refused."""
+    """A function for each name; empty names and names taken are refused.
+
+    A class of a plugin is registered as what it can do: one with `complete` fills, one with `compute` scores.
+    """
 
     def register(self, name: str) -> Callable[[Callable], Callable]:
         if not name.strip():
@@ -17,7 +20,10 @@ class Registry(dict[str, Callable]):
             raise ValueError(f"{name} is registered already")
 
         def add(f: Callable) -> Callable:
-            self[name] = f
+            if isinstance(f, type):
+                _add_class(self, name, f)
+            else:
+                self[name] = f
             return f
 
         return add
@@ -36,6 +42,19 @@ METRICS = Registry()
 TABLE_METRICS = Registry()
 
 
+def _add_class(registry: Registry, name: str, cls: type) -> None:
+    from lacuna.functions import plugins
+
+    if registry is IMPUTERS and hasattr(cls, "complete"):
+        IMPUTERS[name] = plugins.imputer_of(cls)
+    elif any(registry is r for r in (METRICS, TABLE_METRICS)) and hasattr(cls, "compute"):
+        if name in METRICS or name in TABLE_METRICS:
+            raise ValueError(f"{name} is registered already")
+        TABLE_METRICS[name] = plugins.metric_of(cls, name)
+    else:
+        raise TypeError(f"{cls.__name__} has neither `complete` for an imputer nor `compute` for a metric")
+
+
 def load_plugins(modules: list[str]) -> None:
     for module in modules:
         importlib.import_module(module)

@@ -8,12 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacuna.functions import plugins
 from lacuna.functions.rand import uniform
 from lacuna.functions.registry import IMPUTERS
 from lacuna.operators import cells as C
 from lacuna.operators import encode, hankel, impute, lowrank, masks, models, reports, scores, simulate
 from lacuna.plans import fixtures as X
-from lacuna.sources.tables import cut_lineage
+from lacuna.sources.tables import cut_lineage, run_id
 from lacuna.plans.fixtures import DAILY, HOUR, LABELLED, RUNS, SUP, u_sql, z_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -361,6 +362,22 @@ QUERIES["impute_rpca"] = _solver("robust_pca")
 QUERIES["impute_nnm"] = _solver("nuclear_norm_minimization")
 
 
+@query(f"WITH {HOUR} SELECT count(*) AS n_cells, 0.0::DOUBLE AS largest_gap FROM cells")
+def sql_complete(spark, sf):
+    """A per-run method called from SQL, beside the imputer of that name."""
+    x = observed(spark, sf, X.user_hour)
+    plugins.register_table_functions(spark)
+    called = spark.sql("""SELECT row_id, col_id, pred AS called FROM complete(TABLE(SELECT run_id, row_id, col_id, value FROM {x}) PARTITION BY (run_id), 'soft_impute', '{"max_iters": 30}')""".replace("{x}", _view(x)))
+    both = IMPUTERS.named("soft_impute")(x, max_iters=30).join(called, ["row_id", "col_id"])
+    return both.agg(F.count("called").alias("n_cells"), (F.round(F.max(F.abs(F.col("pred") - F.col("called"))), 9) + 0.0).alias("largest_gap"))
+
+
+def _view(df: DataFrame) -> str:
+    name = f"lacuna_{run_id()}"
+    df.createOrReplaceTempView(name)
+    return name
+
+
 @query(f"WITH {HOUR} SELECT a.col_id AS i, b.col_id AS j, round(sum(a.value * b.value), 4) AS g FROM cells a JOIN cells b ON a.row_id = b.row_id AND a.col_id <= b.col_id GROUP BY 1, 2")
 def gram_matrix(spark, sf):
     return rounded(lowrank.gram(X.user_hour(spark, sf)).drop("run_id"), "g", digits=4).withColumn("g", F.coalesce("g", F.lit(0.0)))
@@ -531,8 +548,8 @@ def impute_chained(spark, sf):
 
 @query()
 def impute_hyper(spark, sf):
-    """Every sixteenth column has holes and is filled by the learner that does best on it."""
-    x = _table(spark, sf).select("row_id", *[F.when(uniform("row_id", F.lit(i), seed=SEED, tag="hole") >= 0.2, F.col(c)).alias(c) if i % 16 == 0 else F.col(c) for i, c in enumerate(_F)])
+    """Every thirty-second column has holes and is filled by the learner that does best on it."""
+    x = _table(spark, sf).select("row_id", *[F.when(uniform("row_id", F.lit(i), seed=SEED, tag="hole") >= 0.2, F.col(c)).alias(c) if i % 32 == 0 else F.col(c) for i, c in enumerate(_F)])
     return models.searched(x, _F, rounds=2)[0]
 
 

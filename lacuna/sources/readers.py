@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from lacuna.operators.cells import finite, from_triplets, panel
 from lacuna.operators.encode import encode
-from lacuna.sources.tables import cut_lineage
+from lacuna.sources import files
+from lacuna.sources.tables import cut_lineage, remove_at_end, run_id, shared_dir
 
 # Accepted names of panel columns, in the order they are tried.
 UNIT = ("state", "regionname", "region", "unit")
@@ -35,7 +36,7 @@ def first_path(spark: SparkSession, paths: list[str], read) -> DataFrame:
 
 
 def matrix(spark: SparkSession, path: str, run_id: str = "r") -> DataFrame:
-    """Cells of a headerless .csv or .tsv, or of .npy files (one matrix each)."""
+    """Cells of a headerless .csv or .tsv, or of a .npy file; where only Spark can open that, or there are several, a file a task."""
     if path.endswith((".csv", ".tsv")):
         sep = "," if path.endswith(".csv") else "\t"
         # Lines are numbered within each partition of the file, and partitions by their counts.
@@ -48,6 +49,10 @@ def matrix(spark: SparkSession, path: str, run_id: str = "r") -> DataFrame:
     if not path.endswith(".npy"):
         raise ValueError("a matrix is a .npy, .csv or .tsv file")
 
+    if files.reachable(path):
+        files.register(spark)
+        return spark.read.format("npy_matrix").option("path", path).load().select(F.lit(run_id).alias("run_id"), "*")
+
     def explode(batches):
         for batch in batches:
             for content in batch.column(0).to_pylist():
@@ -56,8 +61,8 @@ def matrix(spark: SparkSession, path: str, run_id: str = "r") -> DataFrame:
                 v = x.ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(c), pa.array(np.where(np.isfinite(v), v, np.nan), from_pandas=True)], names=["row_id", "col_id", "value"])
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(explode, "row_id long, col_id long, value double").select(F.lit(run_id).alias("run_id"), "*")
+    whole = spark.read.format("binaryFile").load(path).select("content")
+    return whole.mapInArrow(explode, "row_id long, col_id long, value double").select(F.lit(run_id).alias("run_id"), "*")
 
 
 def typed_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -91,10 +96,25 @@ def panel_csv(spark: SparkSession, path: str, dataset: str, run_id: str = "r") -
     return panel(long, list(UNIT), list(TIME), list(VALUE.get(dataset, OTHER_VALUE)))
 
 
+def unzipped(spark: SparkSession, path: str, ending: str = ".csv") -> str:
+    """A folder of the shared kind with the lines of the largest member of an archive whose name has this ending."""
+    named = [(size, name) for name, size in files.members(path) if name.lower().endswith(ending)]
+    if not named:
+        raise FileNotFoundError(f"no {ending} in {path}")
+    files.register(spark)
+    out = f"{shared_dir(spark)}/lacuna-unzipped-{run_id()}"
+    lines = spark.read.format("zip_lines").option("path", path).option("members", max(named)[1]).load()
+    lines.select("value").write.text(out)
+    remove_at_end(spark, out)
+    return out
+
+
 def largest_csv(spark: SparkSession, folder: str) -> str:
-    """The path of the largest CSV below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(folder)
-    path = files.agg(F.max_by("path", "length").alias("path")).first().path
+    """The path of the largest CSV below a folder, or in an archive."""
+    if folder.endswith(".zip"):
+        return unzipped(spark, folder)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(folder)
+    path = found.agg(F.max_by("path", "length").alias("path")).first().path
     if path is None:
         raise FileNotFoundError(f"no CSV in {folder}")
     return path

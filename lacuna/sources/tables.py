@@ -41,7 +41,7 @@ def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lacuna-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -60,6 +60,10 @@ class Rounds:
         return out
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    atexit.register(_remove, spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
