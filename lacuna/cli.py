@@ -45,6 +45,7 @@ def parser() -> argparse.ArgumentParser:
     add("make-noisy", ("--benchmark-id", need), ("--input", need), ("--output", need), seed)
     add("tabular-prepare", ("--input", need), ("--row", need), ("--target", need), ("--output", need), ("--exclude", {"nargs": "*", "default": []}), ("--patterns", {"nargs": "*", "default": list(tabular.PATTERNS)}), ("--fractions", {"nargs": "*", "type": float, "default": [0.1, 0.2, 0.4]}), ("--seeds", {"nargs": "*", "type": int, "default": [0, 1, 2]}))
     add("tabular-run", ("--bundles", need), ("--methods", {"nargs": "+", "required": True}), ("--output", need), task, models_)
+    add("tabular-stages", ("--bundles", need), ("--methods", {"nargs": "+", "required": True}), ("--output", need), ("--stage", {"choices": ["impute", "evaluate", "all"], "default": "all"}), task, models_, js)
     add("tabular-evaluate", ("--bundles", need), ("--predictions", {"nargs": "+", "required": True}), ("--output", need), ("--target-col", {"type": int, "required": True}), task, models_)
     add("violations", ("--predictions", need), ("--columns", need), ("--bounds", need), ("--output", need))
     add("feature-ranking", ("--input", need), ("--target", need), ("--output", need), ("--top", {"type": int, "default": 20}))
@@ -116,6 +117,14 @@ def main(args: list[str] | None = None, spark=None) -> None:
         runs = tabular.grid(meta["patterns"], meta["fractions"], meta["seeds"])
         rows = tabular.evaluate(spark.read.parquet(f"{a.bundles}/cells"), runs, tuple(a.methods), meta["target_col"], len(meta["columns"]), a.task, tuple(a.models))
         tables.save_csv(rows, a.output)
+    elif a.command == "tabular-stages":  # what is there already is not done again
+        meta = parameters("\n".join(r.value for r in spark.read.text(f"{a.bundles}/meta").collect()))
+        runs, methods = tabular.grid(meta["patterns"], meta["fractions"], meta["seeds"]), tuple(a.methods)
+        if a.stage in ("impute", "all"):
+            tabular.impute_stage(spark.read.parquet(f"{a.bundles}/cells"), runs, methods, meta["target_col"], a.output, parameters(a.params_json))
+        if a.stage in ("evaluate", "all"):
+            tabular.evaluate_stage(spark, runs, methods, meta["target_col"], len(meta["columns"]), a.output, a.task, tuple(a.models))
+        tables.save_csv(tabular.summary(spark, runs, methods, a.output, a.task), f"{a.output}/summary")
     elif a.command == "tabular-evaluate":
         truth = spark.read.parquet(a.bundles).select("run_id", "row_id", "col_id", "truth", "is_eval", "split")
         given = [truth.join(spark.read.parquet(p).select("run_id", "row_id", "col_id", "pred"), ["run_id", "row_id", "col_id"]).withColumn("imputation_id", F.lit(k)) for k, p in enumerate(a.predictions)]
@@ -131,7 +140,7 @@ def main(args: list[str] | None = None, spark=None) -> None:
         tables.save_csv(reports.violations(spark.read.parquet(a.predictions), read(a.bounds), read(a.columns)), a.output)
     elif a.command == "feature-ranking":
         table = spark.read.parquet(a.input).withColumnRenamed(a.target, "label")
-        tables.save_csv(models.feature_ranking(table, [c for c, t in table.dtypes if c != "label" and t in ("double", "float", "int", "bigint")], a.top), a.output)
+        tables.save_csv(models.feature_ranking(table, [c for c, t in table.dtypes if c not in ("label", "split") and t in ("double", "float", "int", "bigint")], a.top), a.output)
     elif a.command == "rerun-saved":
         x = tables.saved_runs(spark, a.runs, a.prefix).select("run_id", "row_id", "col_id", "value").dropDuplicates(["run_id", "row_id", "col_id"])
         tables.keep_run(IMPUTERS.named(a.algorithm)(x, **parameters(a.params_json)), a.output, a.algorithm, time.time())

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -234,14 +233,30 @@ IMPUTERS.register("hyperimpute")(hyperimpute)
 
 
 def feature_ranking(table: DataFrame, features: list[str], k: int = 20) -> DataFrame:
-    """Features by the size of their logistic coefficient after median fill and scaling."""
-    if table.select("label").distinct().limit(3).count() > 2:
+    """(rank, feature, feature_position, coefficient, size, test_auc): features by the size of their logistic coefficient.
+
+    Missing values become the exact median, features are centred and divided by their population standard deviation,
+    all of the train rows; without a `split` all rows are.  `test_auc` is that of the test rows, null without two classes there.
+    """
+    from lacuna.operators.impute import medians
+
+    table = table if "split" in table.columns else table.withColumn("split", F.lit("train"))
+    train = table.filter("split = 'train'")
+    if train.filter("label IS NOT NULL").select("label").distinct().limit(3).count() != 2:
         raise ValueError("the target must be binary")
-    steps = [Imputer(inputCols=features, outputCols=[f"{f}_m" for f in features], strategy="median"), VectorAssembler(inputCols=[f"{f}_m" for f in features], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
-    fitted = Pipeline(stages=[*steps, LogisticRegression(maxIter=5000, regParam=1.0 / max(1, table.count()), standardization=False)]).fit(table)
-    w = fitted.stages[-1].coefficients.toArray().tolist()
-    rows = table.sparkSession.createDataFrame(list(zip(features, w, strict=True)), "feature string, coefficient double")
-    return rows.withColumn("size", F.abs("coefficient")).orderBy(F.desc("size"), "feature").limit(k)
+    high = train.agg(F.max("label")).first()[0]
+    cells = train.select(F.posexplode(F.array(*[F.col(f).cast("double") for f in features])).alias("col_id", "value"))
+    middle = {r.col_id: r.median for r in medians(cells, []).collect()}  # a row per feature
+    whole = table.select("split", (F.col("label") == high).cast("double").alias("label"), *[F.coalesce(F.col(f).cast("double"), F.lit(middle.get(j, 0.0))).alias(f) for j, f in enumerate(features)])
+    about = whole.filter("split = 'train'").agg(F.count("label").alias("n"), *[g(f).alias(f"{name}_{f}") for f in features for name, g in (("mean", F.avg), ("sd", F.stddev_pop))]).first()
+    scaled = whole.select("split", "label", *[((F.col(f) - about[f"mean_{f}"]) / (about[f"sd_{f}"] or 1.0)).alias(f) for f in features])
+    x = VectorAssembler(inputCols=features, outputCol="features").transform(scaled.filter("label IS NOT NULL"))
+    fitted = LogisticRegression(maxIter=5000, regParam=1.0 / about.n, standardization=False).fit(x.filter("split = 'train'"))
+    tested = fitted.transform(x.filter("split <> 'train'")).select(F.lit(1).alias("one"), "label", vector_to_array("probability")[1].alias("score"))
+    auc = scores.roc_auc(tested, ["one"]).first()
+    w = sorted(((abs(c), j, c) for j, c in enumerate(fitted.coefficients.toArray().tolist())), key=lambda e: (-e[0], features[e[1]]))
+    rows = [(n, features[j], j, c, size, auc.roc_auc if auc else None) for n, (size, j, c) in enumerate(w[:k], 1)]
+    return table.sparkSession.createDataFrame(rows, "rank int, feature string, feature_position int, coefficient double, size double, test_auc double")
 
 
 def chained(table: DataFrame, features: list[str], rounds: int = 2, model: str = "random_forest", trees: int = 20, depth: int = 8) -> DataFrame:
