@@ -3,9 +3,9 @@
 The lexicon holds the terms whose share of documents lies within a band, that
 is, whose inverse document frequency does.  As a document has a bounded number
 of distinct terms on average, at most (that number / the band's lower end) terms
-can be that frequent, however large the corpus: the lexicon is of bounded size.
-Where it would still have more than `MOST_TERMS`, the lower end is doubled until
-it has not.  A fingerprint is the hash of a text's distinct terms, sorted, under
+can be that frequent, however large the corpus: the lexicon is of bounded size, 8 bytes
+a term where it is sent out, and the same terms are in it at every size.  A
+fingerprint is the hash of a text's distinct terms, sorted, under
 
 * the whole lexicon (one place): equal only for equal sets of terms;
 * `LARGE` random lexicons that keep each term with probability `KEEP`: any of
@@ -47,13 +47,13 @@ LARGE, KEEP, SMALL = 8, 3 / 4, 119
 SUBSETS = 1 + LARGE + SMALL
 #: The band: terms in at least one of 2,000 and at most one of 5 documents.
 LOW, HIGH = 1 / 2000, 1 / 5
-#: Terms a lexicon may have; for that `build_lexicon` raises the band's lower end.
-MOST_TERMS = 4_000_000
+#: Terms up to which a task keeps the random lexicons of each term; of more, it works out those of the terms it meets.
+KEPT_TERMS = 4_000_000
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _EDGES = SCHEMA + ", edge string, part int, text string"
 
 
-def build_lexicon(docs: DataFrame, text_col: str, low: float, high: float, most: int = MOST_TERMS) -> np.ndarray:
+def build_lexicon(docs: DataFrame, text_col: str, low: float, high: float) -> np.ndarray:
     """The sorted hashes of all terms within the band, from counts over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,10 +69,7 @@ def build_lexicon(docs: DataFrame, text_col: str, low: float, high: float, most:
     total = docs.count()
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     kept = written(counted.filter(F.col("n").between(max(2.0, low * total), max(2.0, high * total))), "lexicon")
-    while kept.count() > most:
-        low *= 2
-        kept = kept.filter(F.col("n") >= low * total)
-    return np.sort(kept.select("term").toArrow().column("term").to_numpy().view(np.uint64))  # at most `most`
+    return np.sort(kept.select("term").toArrow().column("term").to_numpy().view(np.uint64))  # at most the mean number of distinct terms / low
 
 
 class Lexicon:
@@ -81,9 +78,16 @@ class Lexicon:
     def __init__(self, terms: np.ndarray, large: int = LARGE, small: int = SMALL, seed: int = 5):
         self.terms, self.large, self.small = terms, large, small
         self.subsets = 1 + large + small
-        keys = mix64(np.arange(seed, seed + large + 1, dtype=np.uint64))
-        self.which = (mix64(terms + keys[0]) % np.uint64(small)).astype(np.int64)
-        self.inside = [mix64(terms + k) < np.uint64(int(KEEP * 2**64)) for k in keys[1:]]
+        self.keys = mix64(np.arange(seed, seed + large + 1, dtype=np.uint64))
+        self.kept = (self.dealt_to(terms), [self.inside(terms, k) for k in range(large)]) if len(terms) <= KEPT_TERMS else None
+
+    def dealt_to(self, terms: np.ndarray) -> np.ndarray:
+        """The small lexicon that each term is in."""
+        return (mix64(terms + self.keys[0]) % np.uint64(self.small)).astype(np.int64)
+
+    def inside(self, terms: np.ndarray, k: int) -> np.ndarray:
+        """Whether each term is in the k-th large one."""
+        return mix64(terms + self.keys[1 + k]) < np.uint64(int(KEEP * 2**64))
 
     def places(self, texts: list[str]) -> np.ndarray:
         """For each text and random lexicon the hash of the sorted distinct terms; 0 where there is none."""
@@ -95,13 +99,14 @@ class Lexicon:
         hit = self.terms[at] == words.hash
         pairs = np.unique(words.of()[hit] * len(self.terms) + at[hit])  # by text, then term: sorted and distinct
         text, term = pairs // len(self.terms), pairs % len(self.terms)
-        out[:, 0] = _hashes(text, self.terms[term], len(texts))
-        for k, inside in enumerate(self.inside):
-            kept = inside[term]
-            out[:, 1 + k] = _hashes(text[kept], self.terms[term[kept]], len(texts))
-        cell = text * self.small + self.which[term]
+        value = self.terms[term]
+        out[:, 0] = _hashes(text, value, len(texts))
+        for k in range(self.large):
+            kept = self.kept[1][k][term] if self.kept else self.inside(value, k)
+            out[:, 1 + k] = _hashes(text[kept], value[kept], len(texts))
+        cell = text * self.small + (self.kept[0][term] if self.kept else self.dealt_to(value))
         order = np.argsort(cell, kind="stable")  # within a place the terms stay sorted
-        out[:, 1 + self.large :] = _hashes(cell[order], self.terms[term[order]], len(texts) * self.small).reshape(-1, self.small)
+        out[:, 1 + self.large :] = _hashes(cell[order], value[order], len(texts) * self.small).reshape(-1, self.small)
         return out
 
 
@@ -154,7 +159,7 @@ def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def fingerprint(docs: DataFrame, low: float = LOW, high: float = HIGH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document; see `SCHEMA`."""
     spark = docs.sparkSession
-    lexicon = spark.sparkContext.broadcast(Lexicon(build_lexicon(docs, text_col, low, high)))  # at most MOST_TERMS
+    lexicon = spark.sparkContext.broadcast(Lexicon(build_lexicon(docs, text_col, low, high)))  # at most the mean number of distinct terms / low
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts compressed one by one: they are shuffled whole."""
