@@ -142,8 +142,9 @@ def main(args: list[str] | None = None, spark=None) -> None:
         table = spark.read.parquet(a.input).withColumnRenamed(a.target, "label")
         tables.save_csv(models.feature_ranking(table, [c for c, t in table.dtypes if c not in ("label", "split") and t in ("double", "float", "int", "bigint")], a.top), a.output)
     elif a.command == "rerun-saved":
+        begin = time.time()
         x = tables.saved_runs(spark, a.runs, a.prefix).select("run_id", "row_id", "col_id", "value").dropDuplicates(["run_id", "row_id", "col_id"])
-        tables.keep_run(IMPUTERS.named(a.algorithm)(x, **parameters(a.params_json)), a.output, a.algorithm, time.time())
+        tables.keep_run(IMPUTERS.named(a.algorithm)(x, **parameters(a.params_json)), a.output, a.algorithm, begin)
 
 
 if __name__ == "__main__":

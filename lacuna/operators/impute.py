@@ -60,6 +60,8 @@ def col_mode(cells: DataFrame, keys=KEYS) -> DataFrame:
 
 #: Cells in a block of rows that is compared with another one in a task.
 BLOCK_CELLS = 1 << 16
+#: Blocks that a task holds, at most.
+GROUP = 256
 
 
 def _nearest(a: np.ndarray, xa: np.ndarray, b: np.ndarray, xb: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -86,12 +88,23 @@ def _nearest(a: np.ndarray, xa: np.ndarray, b: np.ndarray, xb: np.ndarray, k: in
     return tuple(np.concatenate([o[j] for o in out]).astype(t) if out else np.zeros(0, t) for j, t in enumerate(kinds))
 
 
+def _least(found: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """Of (row, column place, neighbour, distance, value) the k nearest for each row and place, of equal distances the smaller neighbour."""
+    order = np.lexsort((found[2], found[3], found[1], found[0]))
+    found = [x[order] for x in found]
+    new = np.flatnonzero(np.append(True, (found[0][1:] != found[0][:-1]) | (found[1][1:] != found[1][:-1]))) if len(order) else np.zeros(0, np.int64)
+    place = np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order))))
+    return [x[place < k] for x in found]
+
+
 @IMPUTERS.register("knn")
 def knn(cells: DataFrame, keys=KEYS, n_neighbors: int = 5, weights: str = "uniform") -> DataFrame:
     """Mean of the nearest rows that have the column; distances over shared columns, scaled to all of them.
 
-    Rows are dealt into blocks, and every pair of blocks is a task of its own that sends the
-    nearest rows it has for each missing cell; the nearest of these are taken.  Work is
+    Rows are dealt into blocks, and blocks into groups of about the square root of their number
+    (GROUP at most).  Every pair of groups is a task, which holds the blocks of one and lets those
+    of the other pass, so a block travels once for each group, not for each block.  A task sends
+    the nearest rows it has for each missing cell; the nearest of these are taken.  Work is
     quadratic in the rows of a run, but no column or row gathers in one task.
     """
     if weights not in ("uniform", "distance"):
@@ -117,19 +130,32 @@ def knn(cells: DataFrame, keys=KEYS, n_neighbors: int = 5, weights: str = "unifo
         return out.append_column("short", pa.array([bool(np.isnan(x).any())]))
 
     packed = cut_lineage(base.groupBy(*keys, "block").applyInArrow(pack, f"{kinds}, block int, blocks int, rows binary, cols binary, x binary, short boolean"), "blocks")
-    left = packed.filter("short").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*keys, F.col("with").alias("block"), *[F.col(c).alias(f"{c}_a") for c in ("rows", "cols", "x")])
-    tasks = left.join(packed.select(*keys, "block", "rows", "x"), [*keys, "block"]).repartition(*keys, "block", F.xxhash64("rows_a"))
+    size = F.least(F.lit(GROUP), F.ceil(F.sqrt("blocks"))).cast("int")
+    groups, of = F.ceil(F.col("blocks") / size).cast("int"), F.floor(F.col("block") / size).cast("int")
+    every = F.explode(F.sequence(F.lit(0), groups - 1))
+    held = packed.select(*keys, of.alias("group"), every.alias("with"), F.lit(0).alias("kind"), "block", "rows", "cols", "x")
+    passing = packed.filter("short").select(*keys, every.alias("group"), of.alias("with"), F.lit(1).alias("kind"), "block", "rows", "cols", "x")
+    tasks = held.unionByName(passing).repartition(*keys, "group", "with").sortWithinPartitions(*keys, "group", "with", "kind", "block")
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, blocks = None, []
         for batch in batches:
             for k in range(batch.num_rows):
                 one = batch.slice(k, 1)
-                get = lambda name, kind, one=one: np.frombuffer(one.column(one.schema.get_field_index(name))[0].as_py(), kind)
-                a, b, cols = get("rows_a", np.int64), get("rows", np.int64), get("cols_a", np.int64)
-                xa, xb = get("x_a", float).reshape(len(a), -1), get("x", float).reshape(len(b), -1)
-                a, xa = a[np.isnan(xa).any(axis=1)], xa[np.isnan(xa).any(axis=1)]
-                found = _nearest(a, xa, b, xb, n_neighbors)
-                same = [one.column(one.schema.get_field_index(c)).take(pa.array(np.zeros(len(found[0]), np.int64))) for c in keys]
+                get = lambda name, kind, one=one: np.frombuffer(one.column(name)[0].as_py(), kind)
+                now = tuple(one.column(c)[0].as_py() for c in (*keys, "group", "with"))
+                if now != task:
+                    task, blocks = now, []
+                rows, cols = get("rows", np.int64), get("cols", np.int64)
+                x = get("x", float).reshape(len(rows), -1)
+                if one.column("kind")[0].as_py() == 0:
+                    blocks.append((rows, x))
+                    continue
+                short = np.isnan(x).any(axis=1)
+                a, xa = rows[short], x[short]
+                parts = [_nearest(a, xa, b, xb, n_neighbors) for b, xb in blocks]
+                found = _least([np.concatenate(p) for p in zip(*parts, strict=True)], n_neighbors)
+                same = [one.column(c).take(pa.array(np.zeros(len(found[0]), np.int64))) for c in keys]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(found[0]), pa.array(cols[found[1]]), pa.array(found[2]), pa.array(found[3]), pa.array(found[4])], names=[*keys, "a", "col_id", "b", "distance", "xb"])
 
     donors = tasks.mapInArrow(nearest, f"{kinds}, a long, col_id long, b long, distance double, xb double")

@@ -24,7 +24,22 @@ HANKEL = {
     "hankel_gaussian_sigma_0p10": {"signal_model": "spectrally_sparse_complex", "mask_type": "uniform_random", "params": {"n": 256, "rank": 8, "window_length": 128, "noise_sigma": 0.10, "missing_fraction": 0.5}},
     "hankel_damped_block_missing": {"signal_model": "damped_spectrally_sparse", "mask_type": "contiguous_block", "params": {"n": 320, "rank": 10, "window_length": 160, "noise_sigma": 0.04, "missing_fraction": 0.4}},
 }
-DEFAULT = {"datasets": {}, "noisy_benchmarks": {}, "synthetic_noisy_benchmarks": SYNTHETIC, "hankel_benchmarks": HANKEL}
+# Data sets by name, with their kinds.
+DATASETS = {
+    name: {"kind": kind, "description": description}
+    for kind, names in {
+        "recommender": {
+            "movielens_100k": "film ratings, tab separated", "movielens_1m": "film ratings, double colons", "movielens_latest_small": "film ratings, CSV", "movielens_20m": "film ratings, CSV",
+            "movietweetings": "film ratings from tweets", "yelp_open_dataset": "reviews of businesses", "bookcrossing": "book ratings", "netflix_prize": "film ratings of the prize",
+            "tripadvisor_hotelrec": "hotel reviews", "amazon_electronics_5core": "product reviews, electronics", "amazon_books_5core": "product reviews, books",
+        },
+        "causal_panel": {"prop99_smoking": "cigarette sales by state and year", "basque_gdpcap": "product per head by region and year"},
+        "compressed_sensing": {"fastmri": "magnetic resonance scans", "acdc_cardiac_cine": "heart films"},
+        "tabular": {"uci_repository": "mixed tables", "proteomics_benchmark_collection": "protein abundances", "ckd_ehr_abu_dhabi": "patients' records"},
+    }.items()
+    for name, description in names.items()
+}
+DEFAULT = {"datasets": DATASETS, "noisy_benchmarks": {}, "synthetic_noisy_benchmarks": SYNTHETIC, "hankel_benchmarks": HANKEL}
 
 
 def load_catalog(path: str | None = None) -> dict[str, dict[str, dict]]:

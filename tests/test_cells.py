@@ -281,3 +281,17 @@ def test_draws_follow_their_weights(spark):
     out = masks.hide_cells(grid(spark, x), "mar_logistic", 0.2, 5, driver=0)
     by = {r.high: r.n for r in out.filter("hidden").groupBy((F.col("row_id") >= 1500).alias("high")).agg(F.count("*").alias("n")).collect()}
     assert sum(by.values()) == 1800 and by[True] > 2 * by[False]
+
+
+def test_neighbours_over_groups_of_blocks(spark, monkeypatch):
+    """Many blocks in several groups give what all rows in one task give."""
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(90, 5)), 1)
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[4] = np.nan
+    x = [[None if np.isnan(v) else float(v) for v in r] for r in x]
+    want = matrix(impute.knn(grid(spark, x), n_neighbors=3, weights="distance"), "pred")
+    monkeypatch.setattr(impute, "BLOCK_CELLS", 40)
+    for most in (256, 2):
+        monkeypatch.setattr(impute, "GROUP", most)
+        assert np.allclose(matrix(impute.knn(grid(spark, x), n_neighbors=3, weights="distance"), "pred"), want)
