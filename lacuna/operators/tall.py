@@ -56,17 +56,20 @@ def nuclear_norm(rows: DataFrame, d: int, stats, error_tolerance: float = 1e-8,
     rounds = Rounds(spark, "rows")
     state = {"known": d, "other": d, "dual": d}
     table = rounds.write(mapped(rows, {"x": d}, lambda x: {"known": x, "other": zeroed(x), "dual": np.zeros_like(x)}, list(state), []))
-    for _ in range(max_iters):
-        g = total(table, {"other": d, "dual": d}, lambda other, dual: (other - dual).T @ (other - dual), (d, d))
+    by = 1.0  # the table's duals are for the step before
+    for k in range(max_iters):
+        g = total(table, {"other": d, "dual": d}, lambda other, dual, by=by: (other - dual / by).T @ (other - dual / by), (d, d))
         w = share(lowrank._shrinking(*lowrank._factors(g), 1 / step))  # columns x columns
 
-        def gaps(known, other, dual, w=w):
+        def gaps(known, other, dual, w=w, by=by):
+            dual = dual / by
             gap = np.where(np.isfinite(known), (other - dual) @ w.value + dual - known, 0.0)
             return np.array([[(gap * gap).sum()]])
 
         part = min(1.0, error_tolerance / max(np.sqrt(total(table, state, gaps, (1, 1))[0, 0]), 1e-300))
 
-        def after(known, other, dual, w=w, part=part):
+        def after(known, other, dual, w=w, part=part, by=by):
+            dual = dual / by
             low, seen = (other - dual) @ w.value, np.isfinite(known)
             new = low + dual
             new = np.where(seen, zeroed(known) + part * np.where(seen, new - known, 0.0), new)
@@ -76,8 +79,11 @@ def nuclear_norm(rows: DataFrame, d: int, stats, error_tolerance: float = 1e-8,
 
         table = rounds.write(mapped(table, state, after, list(state), ["apart", "moved"]))
         s = table.agg(F.sum("apart").alias("apart"), F.sum("moved").alias("moved")).first()
-        if np.sqrt(max(s.apart, s.moved)) < 1e-7 * size:
+        apart, moved = np.sqrt(s.apart), np.sqrt(s.moved)
+        if max(apart, moved) < 1e-7 * size:
             break
+        by = lowrank.balance(k, apart, moved)
+        step *= by
     return table.select("row_id", F.col("other").alias("x"))
 
 
