@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.registry import IMPUTERS, METRICS, TABLE_METRICS, load_plugins, parameters
 from lacuna.functions.session import local_session, ship
-from lacuna.operators import encode, impute, lowrank, masks, models, reports, scores  # noqa: F401  they register their methods
+from lacuna.operators import diffusion, encode, impute, lowrank, masks, models, reports, scores  # noqa: F401  they register their methods
 from lacuna.operators.cells import hide
 from lacuna.plans import benchmarks, tabular
 from lacuna.sources import catalog, readers, tables
@@ -38,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
     add("fetch-dataset", ("--dataset-id", need), ("--paths", {"nargs": "+", "required": True}), ("--output", need), ("--skip-existing", {"action": "store_true"}), ("--force", {"action": "store_true"}))
     add("generate-missingness", ("--input", need), ("--output", need), ("--kind", need), ("--fraction", {"type": float}), seed, js)
     add("generate-simulated", ("--preset", need), ("--output", need), seed, js)
-    add("multiple-imputations", ("--bundle", need), ("--output", need), ("--m", {"type": int, "default": 5}), seed)
+    add("multiple-imputations", ("--bundle", need), ("--output", need), ("--m", {"type": int, "default": 5}), ("--method", {"choices": ["gaussian", "forest_diffusion"], "default": "gaussian"}), seed, js)
     add("denoise", ("--output", need), ("--presets", {"nargs": "*"}), ("--seeds", {"nargs": "*", "type": int, "default": [0, 1, 2]}), ("--methods", {"nargs": "*", "default": list(benchmarks.METHODS)}))
     add("noise-sweep", ("--output", need), ("--levels", {"nargs": "*", "type": float, "default": [0.05, 0.1, 0.2, 0.35, 0.5]}))
     add("hankel", ("--output", need))
@@ -90,7 +90,8 @@ def main(args: list[str] | None = None, spark=None) -> None:
         tables.save_cells(benchmarks.simulated(spark, preset, a.seed, f"{a.preset}-{a.seed}", parameters(a.params_json)).withColumnRenamed("value", "truth"), a.output)
     elif a.command == "multiple-imputations":
         x = tables.load_bundle(spark, a.bundle).select("run_id", "row_id", "col_id", F.col("observed").alias("value"))
-        tables.save_cells(impute.mi_gaussian(x, a.m, a.seed), a.output, ("run_id", "imputation_id"))
+        drawn = impute.mi_gaussian(x, a.m, a.seed) if a.method == "gaussian" else diffusion.diffusion_draws(x, k=a.m, seed=a.seed, **parameters(a.params_json))
+        tables.save_cells(drawn, a.output, ("run_id", "imputation_id"))
     elif a.command == "denoise":
         presets = catalog.load_catalog(a.catalog)["synthetic_noisy_benchmarks"]
         rows = tables.cut_lineage(benchmarks.denoise(spark, {k: presets[k] for k in a.presets or presets}, a.seeds, a.methods))

@@ -270,7 +270,6 @@ def _absent(name: str, what: str):
     IMPUTERS.register(name)(fill)
 
 
-_absent("forest_diffusion", "a boosted-tree diffusion library")
 _absent("tab_impute", "pretrained transformer weights")
 _absent("tab_impute_constraints", "pretrained transformer weights")
 _absent("TabImputeConstraints", "pretrained transformer weights")

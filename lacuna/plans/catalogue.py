@@ -12,7 +12,7 @@ from lacuna.functions import plugins
 from lacuna.functions.rand import uniform
 from lacuna.functions.registry import IMPUTERS
 from lacuna.operators import cells as C
-from lacuna.operators import encode, hankel, impute, lowrank, masks, models, reports, scores, simulate
+from lacuna.operators import diffusion, encode, hankel, impute, lowrank, masks, models, reports, scores, simulate
 from lacuna.plans import fixtures as X
 from lacuna.sources.tables import cut_lineage, run_id
 from lacuna.plans.fixtures import DAILY, HOUR, LABELLED, RUNS, SUP, u_sql, z_sql
@@ -553,6 +553,13 @@ def impute_hyper(spark, sf):
     return models.searched(x, _F, rounds=2)[0]
 
 
+@query()
+def impute_diffusion(spark, sf):
+    """Two draws of every hidden cell by boosted-tree diffusion."""
+    x = observed(spark, sf, X.user_hour)
+    return diffusion.diffusion_draws(x, k=2, duplicate_K=4).select("row_id", "col_id", "imputation_id", "pred")
+
+
 @query("""WITH x AS (SELECT l_quantity AS f, l_extendedprice AS y, (l_orderkey % 5) = 0 AS test FROM lineitem), w AS (SELECT regr_slope(y, f) AS a, regr_intercept(y, f) AS b FROM x WHERE NOT test)
 SELECT 'linear' AS model, round(1 - sum((y - a * f - b) * (y - a * f - b)) / (count(*) * var_pop(y)), 6) AS r2 FROM x, w WHERE test""")
 def downstream_regression(spark, sf):

@@ -45,6 +45,7 @@ def test_commands(spark, tmp_path, capsys):
     run("generate-missingness", "--input", tmp_path / "m.csv", "--output", tmp_path / "x", "--kind", "block", "--fraction", 0.2)
     assert spark.read.parquet(str(tmp_path / "x")).filter("hidden").count() == 12
     run("multiple-imputations", "--bundle", tmp_path / "b", "--output", tmp_path / "mi", "--m", 2)
+    run("multiple-imputations", "--bundle", tmp_path / "b", "--output", tmp_path / "drawn", "--m", 2, "--method", "forest_diffusion", "--params-json", '{"n_t": 3, "duplicate_K": 2, "n_estimators": 4}')
     assert spark.read.parquet(str(tmp_path / "mi")).select(F.count_distinct("imputation_id")).first()[0] == 2
     run("list-algorithms")
     assert "soft_impute" in capsys.readouterr().out
