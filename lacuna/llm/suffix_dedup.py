@@ -17,11 +17,13 @@ whole in one, and equal spans have equal triggers, at the same place.
    sent once by each block.  Triggers with more than `HOT` phrases, such as that at
    the edge of a common passage, are not kept together: their spans are sent one by
    one, by a hash of their bytes, so equal ones still meet.
-3. A task has all phrases of some triggers.  Their distinct strings are the
+3. A task has all phrases of some triggers.  Their distinct strings, sorted, are the
    dictionary.  Its suffix array, sorted to the depth of a span, puts equal
-   spans side by side; each entry stands for all places of its phrase in the
-   parse, by their least id.  So the corpus order of spans, and the least
-   document of each, come from the dictionary alone.
+   spans side by side.  The parse's suffix array is the places where phrases were
+   read, by the rank of the phrase, then by id; a span lies whole in one
+   phrase, so a depth of one phrase decides.  Together they are the corpus order
+   of spans: each suffix of the dictionary stands for a range of the parse's
+   array.  The least document of a span is the least of the firsts of its ranges.
 4. Each phrase gets back a bit for each of its spans, and the blocks cut.
 
 Documents are shuffled once, by block, and three steps read that shuffle.  All
@@ -315,6 +317,26 @@ def spans_bytes(strings: pa.Array) -> int:
     return int(np.frombuffer(strings.buffers()[1], np.int32)[len(strings)]) if len(strings) else 0
 
 
+def _ranked(code: np.ndarray, dictionary: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The same strings in order, and their numbers as ranks."""
+    order = pc.array_sort_indices(dictionary).to_numpy()
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return rank[code], dictionary.take(pa.array(order))
+
+
+def parse_order(rank: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the parse by the rank of their phrase, then by id, and where those of each of `n` phrases begin (and the last end)."""
+    order = np.lexsort((ids, rank)).astype(np.int32)
+    return order, np.searchsorted(rank[order], np.arange(n + 1)).astype(np.int32)
+
+
+def corpus_order(order: np.ndarray, changed: np.ndarray, entry: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All spans of the corpus in order: for each suffix of the dictionary where its places begin in the parse's order and how many they are, and the suffixes with which a new span begins."""
+    e = entry[order]
+    return begin[e], begin[e + 1] - begin[e], np.flatnonzero(changed)
+
+
 def _answer(key: tuple, table: pa.Table) -> pa.Table:
     """Step 3, a bucket: for each block (row, start, bits): the spans that a smaller document has."""
     undo = zstandard.ZstdDecompressor().decompress
@@ -326,21 +348,22 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
     text = np.frombuffer(b"".join(undo(x) for x in table.column("bytes").to_pylist()), np.uint8)
     code, dictionary = _distinct(text, spans + SPAN - 1)
     del text
+    code, dictionary = _ranked(code, dictionary)
     data = np.frombuffer(dictionary.buffers()[2], np.uint8)[: spans_bytes(dictionary)]
     held = np.zeros(len(dictionary), np.int32)  # spans of each entry
     held[code] = spans
     first_byte = (np.cumsum(held + SPAN - 1) - (held + SPAN - 1)).astype(np.int32)
-    of_entry = np.full(len(dictionary), LAST)
-    np.minimum.at(of_entry, code, least)
+    parse, begin = parse_order(code, least, len(dictionary))
     entry = np.repeat(np.arange(len(dictionary), dtype=np.int32), held)
     first_span = (np.cumsum(held) - held).astype(np.int32)
     at = np.arange(len(entry), dtype=np.int32) + (first_byte - first_span)[entry]
     order, changed = suffix_order(data, at)
     del at, data, dictionary
-    lowest = np.minimum.reduceat(of_entry[entry[order]], np.flatnonzero(changed))
+    first, _, runs = corpus_order(order, changed, entry, begin)
+    lowest = np.minimum.reduceat(least[parse[first]], runs)
     of_span = np.empty(len(entry), np.int64)
-    of_span[order] = np.repeat(lowest, np.diff(np.append(np.flatnonzero(changed), len(entry))))
-    del order, changed, entry, lowest
+    of_span[order] = np.repeat(lowest, np.diff(np.append(runs, len(entry))))
+    del order, changed, entry, first, lowest
     bits = np.zeros(len(spans), np.uint32)
     for k in range(int(spans.max())):
         has = np.flatnonzero(spans > k)

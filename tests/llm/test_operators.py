@@ -304,6 +304,29 @@ def test_spans_equal_brute_force(spark, odd, empty, monkeypatch):
     assert suffix_dedup.drop_repeats(empty).count() == 0
 
 
+def test_dictionary_and_parse_give_the_corpus_order():
+    """Ranges of the parse's order by the dictionary's suffixes, written out, are all spans of all places, sorted."""
+    rng, span = random.Random(3), suffix_dedup.SPAN
+    phrases = ["".join(rng.choice("ab") for _ in range(rng.randint(50, 60))).encode() for _ in range(8)]
+    phrases += [phrases[0][:52], phrases[0][1:] + b"a", b"a" * 70]  # a prefix, a shifted copy, a phrase that repeats itself
+    places = [(rng.randrange(40), rng.choice(phrases)) for _ in range(60)]
+    ids, texts = np.array([i for i, _ in places]), [p for _, p in places]
+    code, dictionary = suffix_dedup._ranked(*suffix_dedup._distinct(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])))
+    assert dictionary.to_pylist() == sorted(set(texts)) and [dictionary[int(c)].as_py() for c in code] == texts
+    held = np.array([len(t) - span + 1 for t in dictionary.to_pylist()])
+    entry = np.repeat(np.arange(len(held)), held)
+    k = np.arange(len(entry)) - np.repeat(np.cumsum(held) - held, held)
+    data = np.frombuffer(b"".join(dictionary.to_pylist()), np.uint8)
+    order, changed = suffix_dedup.suffix_order(data, (np.repeat(np.cumsum(held + span - 1) - (held + span - 1), held) + k).astype(np.int32))
+    parse, begin = suffix_dedup.parse_order(code, ids, len(held))
+    first, count, runs = suffix_dedup.corpus_order(order, changed, entry, begin)
+    got = [(texts[p][k[s] : k[s] + span], int(ids[p])) for s, a, n in zip(order, first, count, strict=True) for p in parse[a : a + n]]
+    want = [(t[j : j + span], int(i)) for i, t in zip(ids, texts, strict=True) for j in range(len(t) - span + 1)]
+    assert [g[0] for g in got] == sorted(w[0] for w in want) and collections.Counter(got) == collections.Counter(want)
+    lowest = np.minimum.reduceat(ids[parse[first]], runs)
+    assert [int(x) for x in lowest] == [min(i for u, i in want if u == t) for t in sorted({t for t, _ in want})]
+
+
 def test_steps_do_not_matter(monkeypatch):
     data = np.frombuffer(LONG.encode()[:9000], np.uint8)
     ends = np.array([10, 60, 60, 700, 4000, 9000])
