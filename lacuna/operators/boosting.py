@@ -123,27 +123,37 @@ def best_cuts(sums: np.ndarray, s: Settings) -> np.ndarray:
     return np.stack([gain[at, cut], cut, left_g[at, cut], left_h[at, cut], all_g[:, 0], all_h[:, 0]], 1)
 
 
-def grow(tree: Tree, level: int, cuts: dict[int, np.ndarray], s: Settings) -> bool:
-    """Splits the nodes of a level at their best cuts, of equal ones that of the first feature; whether there was one."""
-    first, split = 2**level - 1, False
+def chosen(cuts: dict[int, np.ndarray]) -> np.ndarray:
+    """For each node its best cut of all features', of equal ones that of the first feature: the feature, and what `best_cuts` gives."""
     features = sorted(cuts)
     table = np.stack([cuts[f] for f in features])  # features x nodes x 6
+    best = np.round(table[:, :, 0], 9).argmax(0)
+    return np.column_stack([np.array(features, float)[best], table[best, np.arange(table.shape[1])]])
+
+
+def grow_to(tree: Tree, level: int, found: np.ndarray, s: Settings) -> bool:
+    """Splits the nodes of a level at the cuts that `chosen` found; whether there was one."""
+    first, split = 2**level - 1, False
     for k in range(2**level):
         node = first + k
         if level and tree.feature[(node - 1) // 2] < 0:
             continue
-        best = int(np.round(table[:, k, 0], 9).argmax())
-        gain, cut, left_g, left_h, all_g, all_h = table[best, k]
+        feature, gain, cut, left_g, left_h, all_g, all_h = found[k]
         if not level:
             tree.value[node] = -s.rate * all_g / (all_h + s.l2)
         if gain > 1e-9:
             split = True
-            tree.feature[node], tree.cut[node] = features[best], int(cut)
+            tree.feature[node], tree.cut[node] = int(feature), int(cut)
             tree.value[2 * node + 1] = -s.rate * left_g / (left_h + s.l2)
             tree.value[2 * node + 2] = -s.rate * (all_g - left_g) / (all_h - left_h + s.l2)
     return split
 
 
+def grow(tree: Tree, level: int, cuts: dict[int, np.ndarray], s: Settings) -> bool:
+    """Splits the nodes of a level at their best cuts; whether there was one."""
+    return grow_to(tree, level, chosen(cuts), s)
+
+
 def _boost(booster: Booster, width: int, cuts_of: Callable[[int, Tree, int, np.ndarray], dict[int, np.ndarray]], done: Callable[[], None]) -> None:
     s = booster.settings
     for k in range(s.rounds):

@@ -8,8 +8,9 @@ that fills follow from them, and are kept at the end.
 
 A row is filled on its own, so filling is one pass over the rows with all boosters at hand.  Up to
 `boosting.FEW_ENTRIES` noised entries, tasks of some columns of a level learn from a copy of the table each; beyond
-that every booster is fitted by jobs over all rows.  All noise is a hash of the row's key, so lost tasks draw the
-same again.
+that a job grows a level of a tree of every booster at once, of as many columns as have histograms of so many entries.
+Only where those of one column have more is every booster fitted by jobs of its own.  All noise is a hash of the row's
+key, so lost tasks draw the same again.
 """
 
 from __future__ import annotations
@@ -27,13 +28,15 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.registry import IMPUTERS
 from lacuna.operators import boosting
-from lacuna.operators.boosting import BINS, Booster, Settings, mixed
+from lacuna.operators.boosting import BINS, Booster, Settings, Tree, mixed
 from lacuna.operators.cells import AT, KEYS
 from lacuna.operators.models import MOST_COLUMNS
 from lacuna.sources.tables import Rounds, cut_lineage
 
 #: Columns of a level that a task learns, and rows that meet all trees of a booster at a time.
 COLUMNS, ROWS = 8, 4096
+#: Noised rows that are packed together, at most; `_grown` relies on it.
+PACKED_ROWS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -171,6 +174,174 @@ def _learn_by_jobs(rows: DataFrame, width: int, d: Diffusion) -> dict[tuple[int,
     return out
 
 
+def _rows_of(tree: Tree, x: np.ndarray, known: np.ndarray, depth: int) -> dict[int, np.ndarray]:
+    """The places of the known rows in each node that they end in, `depth` levels down at most; `x` has a line per feature."""
+    at = {0: known}
+    for _ in range(depth):
+        for node in [n for n in at if tree.feature[n] >= 0]:
+            here = at.pop(node)
+            right = x[tree.feature[node]].take(here) > tree.cut[node]
+            at[2 * node + 1], at[2 * node + 2] = here[~right], here[right]
+    return at
+
+
+def _grown(x: np.ndarray, rest: np.ndarray, tree: Tree, level: int) -> np.ndarray:
+    """Sums of gradients and of rows as in `boosting.histograms`, of the rows whose `rest` (label less margin) is known.
+
+    One pass takes both: a gradient is a whole number of 2^-15 and a row 2^37 of them.  As |rest| < 32 and there are at
+    most PACKED_ROWS rows, neither reaches into the other, and sums are exact, whatever their order.
+    """
+    first, n = 2**level - 1, 2**level
+    both = np.zeros((len(x), n, BINS))
+    for node, here in _rows_of(tree, x, np.flatnonzero(~np.isnan(rest)), level).items():
+        if node >= first and len(here):
+            w = np.rint(rest[here].astype(np.float64) * -(2**15)) + 2.0**37
+            for f in range(len(x)):
+                both[f, node - first] = np.bincount(x[f].take(here), w, BINS)
+    count = np.floor((both + 2.0**36) / 2.0**37)
+    return np.stack([(both - count * 2.0**37) / 2**15, count], 1)
+
+
+def _learn_together(rows: DataFrame, width: int, d: Diffusion, n: int, together: int) -> dict[tuple[int, int], Packed]:
+    """The boosters of all levels, `together` columns at a time: a job for each level of their trees.
+
+    Tasks sum over packed rows; the sums of a booster meet in one task, and the driver sees a cut per node.
+    """
+    s, spark = d.boosted(), rows.sparkSession
+    names, noises = [f"f{j}" for j in range(width)], [f"z{j}" for j in range(width)]
+    parts = max(2 * spark.sparkContext.defaultParallelism, n * d.duplicate_K * d.n_t >> 18)
+    rows = rows.repartition(max(1, n * d.duplicate_K // (PACKED_ROWS // 2)), "key")  # so that packs are large, as each costs some calls
+
+    def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        size = max(1, PACKED_ROWS // d.duplicate_K)
+        for batch in batches:
+            for part in (batch.slice(low, size) for low in range(0, batch.num_rows, size)):
+                x, keys = _matrix(part.column("v"), width), part.column("key").to_numpy()
+                for level in range(d.n_t):
+                    x_t, z = d.noised(x, keys, level)
+                    yield level, int(keys[0]), x_t, np.where(np.isnan(x_t), np.nan, z)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for level, _, x_t, z in copies(batches):
+            numbers = [pa.array(a[:, j], from_pandas=True) for a in (x_t, z) for j in range(width)]  # NaN is null
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x_t), level, np.int32)), *numbers], names=["level", *names, *noises])
+
+    fields = "level int, " + ", ".join(f"{name} double" for name in [*names, *noises])
+    places = F.array(*[F.lit(k / BINS) for k in range(1, BINS)])
+    about = rows.mapInArrow(listed, fields).groupBy("level").agg(
+        F.array(*[F.percentile_approx(name, places, 8 * BINS) for name in names]).alias("cuts"), F.array(*[F.avg(name) for name in noises]).alias("base")
+    )
+    cuts, base = np.full((d.n_t, width, BINS - 1), np.inf), np.zeros((d.n_t, width))
+    for r in about.collect():  # a row per level
+        base[r["level"]] = r["base"]
+        for j, q in enumerate(r["cuts"]):
+            distinct = np.unique(q)
+            cuts[r["level"], j, : len(distinct)] = distinct
+    told, out = spark.sparkContext.broadcast((cuts, base)), {}
+    for low in range(0, width, together):
+        columns = list(range(low, min(width, low + together)))
+        out |= _boost_together(_packed(rows, copies, told, columns, s, parts), columns, cuts, base, d, width)
+    return out
+
+
+def _packed(rows: DataFrame, copies, told, columns: list[int], s: Settings, parts: int) -> DataFrame:
+    """(level, tie, x, rest): the bins of packed rows, a line per feature, and label less margin, a line per column; NaN where unknown."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts, base = told.value
+        for level, tie, x_t, z in copies(batches):
+            x, rest = Booster(cuts[level], 0.0, s).binned(x_t).T, (z - base[level]).T[columns].astype(np.float32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([level], pa.int32()), pa.array([tie], pa.int64()), pa.array([x.tobytes()], pa.binary()), pa.array([rest.tobytes()], pa.binary())],
+                names=["level", "tie", "x", "rest"],
+            )
+
+    return rows.mapInArrow(packed, "level int, tie long, x binary, rest binary").repartitionByRange(parts, "level", "tie").sortWithinPartitions("level")
+
+
+def _boost_together(packed: DataFrame, columns: list[int], cuts: np.ndarray, base: np.ndarray, d: Diffusion, width: int) -> dict[tuple[int, int], Packed]:
+    s, spark = d.boosted(), packed.sparkSession
+    each = [(level, j) for level in range(d.n_t) for j in columns]
+    boosters = {at: Booster(cuts[at[0]], float(base[at]), s) for at in each}
+    kept = Rounds(spark, "noised")
+    state = kept.write(packed)
+    tasks = min(len(each), 2 * spark.sparkContext.defaultParallelism)
+
+    def arrays_of(batch: pa.RecordBatch, i: int) -> tuple[int, np.ndarray, np.ndarray]:
+        x, rest = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in (("x", np.uint8), ("rest", np.float32)))
+        return batch.column("level")[i].as_py(), x.reshape(width, -1), rest.reshape(len(columns), -1)
+
+    def cuts_of(trees: dict[tuple[int, int], Tree], depth: int) -> list:
+        sent = spark.sparkContext.broadcast(trees)
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            whole: dict[tuple[int, int], np.ndarray] = {}
+
+            def told() -> Iterator[pa.RecordBatch]:
+                for (level, j), x in whole.items():
+                    yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([j], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["level", "col", "sums"])
+                whole.clear()
+
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    level, x, rest = arrays_of(batch, i)
+                    if whole and next(iter(whole))[0] != level:  # a task holds the sums of one level
+                        yield from told()
+                    for k, j in enumerate(columns):
+                        if (level, j) in sent.value:
+                            part = _grown(x, rest[k], sent.value[level, j], depth)
+                            if (level, j) in whole:
+                                whole[level, j] += part
+                            else:
+                                whole[level, j] = part
+            yield from told()
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            whole: dict[tuple[int, int], np.ndarray] = {}
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    at = batch.column("level")[i].as_py(), batch.column("col")[i].as_py()
+                    part = np.frombuffer(batch.column("sums")[i].as_buffer())
+                    whole[at] = whole[at] + part if at in whole else part
+            for (level, j), x in whole.items():
+                found = boosting.chosen(dict(enumerate(boosting.best_cuts(f, s) for f in x.reshape(width, 2, 2**depth, BINS))))
+                yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([j], pa.int32()), pa.array([found.tobytes()], pa.binary())], names=["level", "col", "found"])
+
+        summed = state.mapInArrow(sums, "level int, col int, sums binary").repartition(tasks, "level", "col")
+        found = summed.mapInArrow(best, "level int, col int, found binary").collect()  # a row per booster
+        sent.unpersist()
+        return found
+
+    for k in range(s.rounds):
+        trees = {at: Tree.of_depth(s.depth) for at in each}
+        growing = trees
+        for depth in range(s.depth):
+            found = cuts_of(growing, depth)
+            growing = {at: trees[at] for r in found if boosting.grow_to(trees[at := (r["level"], r["col"])], depth, np.frombuffer(bytes(r["found"])).reshape(2**depth, 7), s)}
+            if not growing:
+                break
+        for at, tree in trees.items():
+            boosters[at].trees.append(tree)
+        if k == s.rounds - 1:
+            break
+        sent = spark.sparkContext.broadcast(trees)
+
+        def moved(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    level, x, rest = arrays_of(batch, i)
+                    rest = rest.copy()
+                    for c, j in enumerate(columns):
+                        tree = sent.value[level, j]
+                        for node, here in _rows_of(tree, x, np.flatnonzero(~np.isnan(rest[c])), s.depth).items():
+                            rest[c, here] -= tree.value[node]
+                    one = batch.slice(i, 1)
+                    yield one.set_column(one.schema.get_field_index("rest"), "rest", pa.array([rest.tobytes()], pa.binary()))
+
+        state = kept.write(state.mapInArrow(moved, state.schema))
+    return {at: Packed.of(b) for at, b in boosters.items()}
+
+
 def fill(x: np.ndarray, keys: np.ndarray, model: dict[tuple[int, int], Packed], d: Diffusion, imputation: int) -> np.ndarray:
     """Scaled rows with their missing cells drawn."""
     hidden, width = np.isnan(x), x.shape[1]
@@ -218,7 +389,9 @@ def _one_run(one: DataFrame, k: int, d: Diffusion) -> DataFrame:
         rows = cut_lineage(rows.select("row_id", F.xxhash64("row_id").alias("key"), F.array(*scaled).alias("v")))
         width, n = len(live), rows.count()
         few = n * width * d.duplicate_K <= boosting.FEW_ENTRIES
-        model = (_learn_in_tasks if few else _learn_by_jobs)(rows.select("key", "v"), width, d)
+        together = boosting.FEW_ENTRIES // (width * 2**d.max_depth * BINS)  # columns whose histograms a task holds
+        table = rows.select("key", "v")
+        model = _learn_together(table, width, d, n, together) if together and not few else (_learn_in_tasks if few else _learn_by_jobs)(table, width, d)
         sent = spark.sparkContext.broadcast(model)
         low, size = np.array([r.low for r in live], float), np.array([r.high - r.low for r in live], float)
         ids = np.array([r.col_id for r in live])

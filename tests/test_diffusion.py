@@ -118,6 +118,31 @@ def test_jobs_fill_as_well_as_tasks(spark, monkeypatch):
     assert len(seen) == 4 * 3 and jobs < 1.2 * one < 1.2 * rmse(matrices(impute.mi_gaussian(cells, m=2), x.shape, 2), full, x)
 
 
+def test_large_tables_are_learned_by_a_job_a_level_of_all_boosters(spark, monkeypatch):
+    """Over FEW_ENTRIES the jobs do not grow with columns and noise levels; fills are as good as those of tasks."""
+    full, x = low_rank(n=1400, p=4, rank=1)  # 16,800 noised entries
+    cells = cells_of(spark, x)
+    one = rmse(matrices(diffusion.diffusion_draws(cells, k=2, **SMALL), x.shape, 2), full, x)
+    monkeypatch.setattr(boosting, "FEW_ENTRIES", 4 * (4 * 2**3 * boosting.BINS) - 1)  # the histograms of three columns
+    monkeypatch.setattr(boosting, "fit", None)  # no booster has jobs of its own
+    found = []
+    real = diffusion._boost_together
+    monkeypatch.setattr(diffusion, "_boost_together", lambda packed, columns, *rest: found.append(columns) or real(packed, columns, *rest))
+    jobs = rmse(matrices(diffusion.diffusion_draws(cells, k=2, **SMALL), x.shape, 2), full, x)
+    assert found == [[0, 1, 2], [3]] and jobs < 1.1 * one
+
+
+def test_packed_sums_equal_histograms():
+    rng = np.random.default_rng(8)
+    x, rest = rng.integers(0, boosting.BINS, (500, 3)).astype(np.uint8), rng.normal(size=500).astype(np.float32)
+    rest[::7] = np.nan
+    known = np.flatnonzero(~np.isnan(rest))
+    tree = boosting.Tree.of_depth(3)
+    tree.feature[:2], tree.cut[:2] = [1, 2], [40, 90]  # the right half ends at the first level
+    want = boosting.histograms(x[known], -rest[known].astype(float), np.ones(len(known)), tree.node_of(x[known]), 2, np.arange(3), boosting.BINS)
+    assert np.allclose(diffusion._grown(np.ascontiguousarray(x.T), rest, tree, 2), want, atol=1e-3)
+
+
 def test_draws_do_not_depend_on_partitions(spark):
     _, x = low_rank(n=60, p=3, rank=1)
     a, b = (matrices(diffusion.diffusion_draws(cells_of(spark, x, parts=n), k=2, r=2, **SMALL), x.shape, 2) for n in (1, 7))
