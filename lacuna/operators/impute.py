@@ -64,28 +64,66 @@ BLOCK_CELLS = 1 << 16
 GROUP = 256
 
 
-def _nearest(a: np.ndarray, xa: np.ndarray, b: np.ndarray, xb: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(row, column place, neighbour, distance, value): for each missing cell of `xa` the k nearest rows of `xb` with a value there."""
-    total, shared = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
+#: Pairs of rows that are compared exactly at a time.
+PAIRS = 1 << 16
+
+
+def _exact(xa: np.ndarray, xb: np.ndarray) -> np.ndarray:
+    """Distances of pairs of rows, infinite where no column is shared."""
+    total, shared = np.zeros(len(xa)), np.zeros(len(xa))
     for c in range(xa.shape[1]):
-        gap = xa[:, c, None] - xb[None, :, c]
+        gap = xa[:, c] - xb[:, c]
         both = ~np.isnan(gap)
         total += np.where(both, gap, 0.0) ** 2
         shared += both
     with np.errstate(divide="ignore", invalid="ignore"):
         # Rounded, so that the order of a sum does not decide between equal distances.
-        distance = np.round(np.sqrt(total * xa.shape[1] / shared), 9)
-    distance[(shared == 0) | (a[:, None] == b[None, :])] = np.inf
-    has, out = ~np.isnan(xb), []
-    for i in range(len(a)):
-        order = np.argsort(distance[i], kind="stable")  # of equal distances the smaller row, as `b` ascends
-        order = order[np.isfinite(distance[i][order])]
-        missing = np.flatnonzero(np.isnan(xa[i]))
-        there = has[np.ix_(order, missing)]
-        at, c = np.nonzero(there & (np.cumsum(there, axis=0) <= k))
-        out.append((np.full(len(at), a[i]), missing[c], b[order[at]], distance[i][order[at]], xb[order[at], missing[c]]))
+        return np.where(shared > 0, np.round(np.sqrt(total * xa.shape[1] / shared), 9), np.inf)
+
+
+def _nearest(a: np.ndarray, xa: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[np.ndarray]:
+    """(row, column place, neighbour, distance, value): for each missing cell of `xa` the k nearest rows of the blocks with a value there.
+
+    Matrix products bound the distances of all pairs; only pairs that may be among the k nearest of a missing cell, by
+    what has been found so far, are compared exactly.
+    """
     kinds = (np.int64, np.int64, np.int64, float, float)
-    return tuple(np.concatenate([o[j] for o in out]).astype(t) if out else np.zeros(0, t) for j, t in enumerate(kinds))
+    found = [np.zeros(0, t) for t in kinds]
+    hidden, width = np.isnan(xa), xa.shape[1]
+    n = np.maximum((~hidden).sum(0), 1)
+    middle = np.where(hidden, 0.0, xa).sum(0) / n  # differences stay, and products lose fewer digits
+    za, ma = np.where(hidden, 0.0, xa - middle), (~hidden).astype(float)
+    left, size_a = np.hstack([za**2, za, ma]), (za**2).sum(1)
+    within, short, chunk = np.full(len(a), -np.inf), hidden.astype(float), 32
+    for b, xb in blocks:
+        low = 0
+        while low < len(b):
+            ids, x = b[low : low + chunk], xb[low : low + chunk]
+            low, chunk = low + chunk, 2 * chunk
+            mb = (~np.isnan(x)).astype(float)
+            zb = np.where(np.isnan(x), 0.0, x - middle)
+            total, shared = left @ np.hstack([mb, -2 * zb, zb**2]).T, ma @ mb.T
+            slack = 1e-12 * width * (size_a[:, None] + (zb**2).sum(1)[None])
+            near = (total - slack) * width <= np.square(np.maximum(within, 0) + 2e-9)[:, None] * shared
+            near[within == -np.inf] = False
+            near |= short @ mb.T > 0  # a cell that has less than k yet takes any
+            near &= (shared > 0) & (a[:, None] != ids[None])
+            i, j = np.nonzero(near)
+            for at in range(0, len(i), PAIRS):
+                p, q = i[at : at + PAIRS], j[at : at + PAIRS]
+                distance = _exact(xa[p], x[q])
+                e, c = np.nonzero(hidden[p] & ~np.isnan(x[q]))
+                new = (a[p[e]], c, ids[q[e]], distance[e], x[q[e], c])
+                found = _least([np.concatenate(f).astype(t) for f, t in zip(zip(found, new, strict=True), kinds, strict=True)], k)
+            if len(i):
+                row = np.searchsorted(a, found[0])
+                count = np.zeros(hidden.shape, np.int64)
+                np.add.at(count, (row, found[1]), 1)
+                short = (hidden & (count < k)).astype(float)
+                whole = count[row, found[1]] >= k
+                within = np.full(len(a), -np.inf)
+                np.maximum.at(within, row[whole], found[3][whole])
+    return found
 
 
 def _least(found: list[np.ndarray], k: int) -> list[np.ndarray]:
@@ -105,7 +143,7 @@ def knn(cells: DataFrame, keys=KEYS, n_neighbors: int = 5, weights: str = "unifo
     (GROUP at most).  Every pair of groups is a task, which holds the blocks of one and lets those
     of the other pass, so a block travels once for each group, not for each block.  A task sends
     the nearest rows it has for each missing cell; the nearest of these are taken.  Work is
-    quadratic in the rows of a run, but no column or row gathers in one task.
+    quadratic in the rows of a run, by matrix products, but no column or row gathers in one task.
     """
     if weights not in ("uniform", "distance"):
         raise ValueError("weights must be uniform or distance")
@@ -153,8 +191,7 @@ def knn(cells: DataFrame, keys=KEYS, n_neighbors: int = 5, weights: str = "unifo
                     continue
                 short = np.isnan(x).any(axis=1)
                 a, xa = rows[short], x[short]
-                parts = [_nearest(a, xa, b, xb, n_neighbors) for b, xb in blocks]
-                found = _least([np.concatenate(p) for p in zip(*parts, strict=True)], n_neighbors)
+                found = _nearest(a, xa, blocks, n_neighbors)
                 same = [one.column(c).take(pa.array(np.zeros(len(found[0]), np.int64))) for c in keys]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(found[0]), pa.array(cols[found[1]]), pa.array(found[2]), pa.array(found[3]), pa.array(found[4])], names=[*keys, "a", "col_id", "b", "distance", "xb"])
 

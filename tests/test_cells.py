@@ -295,3 +295,31 @@ def test_neighbours_over_groups_of_blocks(spark, monkeypatch):
     for most in (256, 2):
         monkeypatch.setattr(impute, "GROUP", most)
         assert np.allclose(matrix(impute.knn(grid(spark, x), n_neighbors=3, weights="distance"), "pred"), want)
+
+
+def test_few_pairs_are_compared_exactly(monkeypatch):
+    """The nearest rows are those of all pairs, ties and columns with few values included, but most pairs are ruled out by products."""
+    import numpy as np
+
+    from lacuna.operators import impute
+
+    rng = np.random.default_rng(6)
+    x = np.round(100 + 3 * rng.normal(size=(1200, 6)), 1)
+    x[600:] = x[:600]  # ties
+    x[rng.random(x.shape) < 0.25] = np.nan
+    x[3:, 5] = np.nan  # three values
+    ids, k = np.arange(1200) * 2, 5
+    pairs, real = [], impute._exact
+    monkeypatch.setattr(impute, "_exact", lambda a, b: pairs.append(len(a)) or real(a, b))
+    some = np.flatnonzero(np.isnan(x[:300]).any(1))
+    got = impute._nearest(ids[some], x[some], [(ids[i : i + 400], x[i : i + 400]) for i in (800, 0, 400)], k)
+    rows = sorted(zip(*(c.tolist() for c in got), strict=True))
+    want = []
+    for i in some:
+        d = real(np.repeat(x[i][None], 1200, 0), x)
+        d[i] = np.inf
+        for c in np.flatnonzero(np.isnan(x[i])):
+            near = sorted((d[j], ids[j]) for j in range(1200) if np.isfinite(d[j]) and not np.isnan(x[j, c]))[:k]
+            want += [(ids[i], c, j, e, x[j // 2, c]) for e, j in near]
+    assert rows == sorted(want)
+    assert sum(pairs) < 0.3 * len(some) * 1200
