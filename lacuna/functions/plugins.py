@@ -8,6 +8,8 @@ task of its own, so a run has at most `lowrank.MOST_CELLS` cells.
 from __future__ import annotations
 
 import json
+import math
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -78,33 +80,47 @@ class Complete:
         return AnalyzeResult(StructType([*cells.dataType.fields, StructField("pred", DoubleType()), StructField("error", StringType())]))
 
     def __init__(self):
-        self.rows: list = []
+        self.n, self.numbers, self.codes, self.places = 0, {}, {}, {}
         self.told: tuple = ("", None)
 
     def eval(self, cells, method: str, params: str | None = None) -> Iterator[tuple]:
         from lacuna.operators import lowrank
 
         self.told = (method, params)
-        if len(self.rows) > lowrank.MOST_CELLS:
+        if self.n > lowrank.MOST_CELLS:
             raise ValueError(f"a partition has more than {lowrank.MOST_CELLS} cells; call the imputer on the DataFrame")
-        self.rows.append(tuple(cells))
+        self.n += 1
         self.names = list(cells.__fields__)
+        for k, value in enumerate(cells):
+            if self.names[k] == "value":
+                self.numbers.setdefault(k, array("d")).append(math.nan if value is None else value)
+            # Other values are kept once each, and their places: a cell takes eight bytes a column.
+            places = self.places.setdefault(k, {})
+            if self.names[k] != "value" or value is None or not math.isfinite(value):
+                at = places.setdefault(repr(value), (len(places), value))[0]
+                self.codes.setdefault(k, array("i")).append(at)
+            else:
+                self.codes.setdefault(k, array("i")).append(-1)
         return iter(())
 
+    def _cell(self, i: int) -> tuple:
+        return tuple(self.numbers[k][i] if self.codes[k][i] < 0 else self.kept[k][self.codes[k][i]] for k in range(len(self.names)))
+
     def terminate(self) -> Iterator[tuple]:
-        if not self.rows:
+        if not self.n:
             return
+        self.kept = {k: [value for _, value in places.values()] for k, places in self.places.items()}
         row, col, value = (self.names.index(c) for c in ("row_id", "col_id", "value"))
-        (rows, r), (cols, c) = (np.unique([x[k] for x in self.rows], return_inverse=True) for k in (row, col))
+        (rows, r), (cols, c) = (np.unique(np.array(self.kept[k])[np.frombuffer(self.codes[k], np.int32)], return_inverse=True) for k in (row, col))
         x = np.full((len(rows), len(cols)), np.nan)
-        x[r, c] = [np.nan if cell[value] is None else cell[value] for cell in self.rows]
+        x[r, c] = np.frombuffer(self.numbers[value])
         x[~np.isfinite(x)] = np.nan
         try:
-            pred, error = solver(self.told[0])(x, **json.loads(self.told[1] or "{}"))[r, c].tolist(), None
+            pred, error = solver(self.told[0])(x, **json.loads(self.told[1] or "{}"))[r, c], None
         except (ValueError, TypeError, np.linalg.LinAlgError) as e:
-            pred, error = [None] * len(self.rows), str(e)
-        for cell, p in zip(self.rows, pred, strict=True):
-            yield (*cell, None if p is None or p != p else p, error)
+            pred, error = np.full(self.n, np.nan), str(e)
+        for i in range(self.n):
+            yield (*self._cell(i), None if pred[i] != pred[i] else float(pred[i]), error)
 
 
 def solver(name: str) -> Callable[..., np.ndarray]:

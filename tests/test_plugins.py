@@ -67,3 +67,22 @@ def test_methods_from_sql(spark):
     assert [r.error for r in bad] == ["a rank is needed"]
     with pytest.raises(Exception, match="no method of one matrix"):
         spark.sql("SELECT * FROM complete(TABLE(cells_of_runs) PARTITION BY (run_id), 'knn')").collect()
+
+
+def test_the_table_function_holds_few_bytes_a_cell():
+    """Cells are kept in typed columns, not as rows of objects; nulls, NaN and strings come back as they were."""
+    import tracemalloc
+
+    from pyspark.sql import Row
+
+    from lacuna.functions.plugins import Complete
+
+    n, made = 20_000, Complete()
+    tracemalloc.start()
+    for i in range(n):
+        list(made.eval(Row(run_id=str("r" + "x" * 20), row_id=i // 20, col_id=i % 20, value=None if i % 7 == 0 else i * 0.37), "svt", '{"max_iters": 2}'))
+    assert tracemalloc.get_traced_memory()[0] < 60 * n
+    tracemalloc.stop()
+    out = list(made.terminate())
+    assert [o[:4] for o in out] == [("rxxxxxxxxxxxxxxxxxxxxx"[: 1 + 20], i // 20, i % 20, None if i % 7 == 0 else i * 0.37) for i in range(n)]
+    assert all(o[4] is not None and o[5] is None for o in out)
