@@ -96,7 +96,7 @@ class Complete:
                 self.numbers.setdefault(k, array("d")).append(math.nan if value is None else value)
             # Other values are kept once each, and their places: a cell takes eight bytes a column.
             places = self.places.setdefault(k, {})
-            if self.names[k] != "value" or value is None or not math.isfinite(value):
+            if self.names[k] != "value" or type(value) is not float or not math.isfinite(value):
                 at = places.setdefault(repr(value), (len(places), value))[0]
                 self.codes.setdefault(k, array("i")).append(at)
             else:
