@@ -77,6 +77,40 @@ def test_jobs_equal_one_task_with_drawn_rows_and_columns(spark, monkeypatch):
     assert len({tuple(t.feature) for t in out[0].trees}) > 1
 
 
+@pytest.mark.parametrize("task", ["classification", "regression"])
+@pytest.mark.parametrize("sent", [1 << 26, 0])
+def test_trees_are_the_same_to_the_bit_however_rows_are_dealt(spark, monkeypatch, sent, task):
+    """In one task, and by jobs whose sums meet on the driver or by feature, in packs of 20 rows."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3))
+    y = x[:, 0] * x[:, 1] + 0.5 * rng.normal(size=400)
+    train = frame(spark, x, (y > 0).astype(float) if task == "classification" else y)
+    one = boosting.fit(train, FEATURES, task=task, rounds=7, depth=4)
+    monkeypatch.setattr(boosting, "FEW_ENTRIES", 0)
+    monkeypatch.setattr(boosting, "WRITTEN", 3)
+    monkeypatch.setattr(boosting, "PACK", 60)
+    monkeypatch.setattr(boosting, "SENT", sent)
+    jobs = boosting.fit(train, FEATURES, task=task, rounds=7, depth=4)
+    for a, b in zip(one.trees, jobs.trees, strict=True):
+        assert np.array_equal(a.feature, b.feature) and np.array_equal(a.cut, b.cut) and np.array_equal(a.value, b.value)
+
+
+def test_a_level_is_one_stage(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 3))
+    train = frame(spark, x, (x[:, 0] * x[:, 1] > 0).astype(float))
+    monkeypatch.setattr(boosting, "FEW_ENTRIES", 0)
+    sc, seen = spark.sparkContext, []
+    for rounds in (2, 12):
+        sc.setJobGroup(f"boosted {rounds}", "")
+        boosting.fit(train, FEATURES, rounds=rounds, depth=3, rows=2.0)
+        tracker = sc.statusTracker()
+        stages = {i for j in tracker.getJobIdsForGroup(f"boosted {rounds}") for i in tracker.getJobInfo(j).stageIds}
+        seen.append(sum(tracker.getStageInfo(i).numCompletedTasks > 0 for i in stages))  # others were skipped
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert seen[1] - seen[0] <= 10 * 3, seen
+
+
 def test_pairs_are_learned(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1500, 3))
