@@ -23,6 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,9 @@ from lacuna.sources.tables import Rounds, cut_lineage
 #: Columns of a level that a task learns, and rows that meet all trees of a booster at a time.
 COLUMNS, ROWS = 8, 4096
 #: Noised rows that are packed together, at most; `_grown` relies on it.
-PACKED_ROWS = 1 << 16
+PACKED_ROWS = 1 << 17
+#: Rows of a node from which a table of two features' bins is cheaper than two passes.
+MANY_ROWS = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -174,32 +177,54 @@ def _learn_by_jobs(rows: DataFrame, width: int, d: Diffusion) -> dict[tuple[int,
     return out
 
 
-def _rows_of(tree: Tree, x: np.ndarray, known: np.ndarray, depth: int) -> dict[int, np.ndarray]:
-    """The places of the known rows in each node that they end in, `depth` levels down at most; `x` has a line per feature."""
-    at = {0: known}
-    for _ in range(depth):
-        for node in [n for n in at if tree.feature[n] >= 0]:
-            here = at.pop(node)
-            right = x[tree.feature[node]].take(here) > tree.cut[node]
-            at[2 * node + 1], at[2 * node + 2] = here[~right], here[right]
-    return at
+def _nodes(tree: Tree, x: np.ndarray, depth: int) -> np.ndarray:
+    """The node of each row, `depth` levels down at most; `x` has a line per feature.  A split is some passes over bytes."""
+    node = np.zeros(x.shape[1], np.uint8 if depth < 8 else np.int32)
+    for at in range(2**depth - 1):
+        if tree.feature[at] >= 0:
+            right = (x[tree.feature[at]] > int(tree.cut[at])).view(np.uint8)  # a Python number, so that bytes are compared
+            node += (node == at).view(np.uint8) * (right + node.dtype.type(at + 1))
+    return node
 
 
-def _grown(x: np.ndarray, rest: np.ndarray, tree: Tree, level: int) -> np.ndarray:
+def _paired(x: np.ndarray) -> np.ndarray:
+    """The bins of two features as one number, a line per pair; a last feature alone is paired with zeros."""
+    even = x if len(x) % 2 == 0 else np.vstack([x, np.zeros_like(x[:1])])
+    return even[::2] + even[1::2].astype(np.uint16) * np.uint16(BINS)
+
+
+def _grown(x: np.ndarray, rest: np.ndarray, tree: Tree, level: int, right: np.ndarray | None = None, pairs: np.ndarray | None = None) -> np.ndarray:
     """Sums of gradients and of rows as in `boosting.histograms`, of the rows whose `rest` (label less margin) is known.
 
-    One pass takes both: a gradient is a whole number of 2^-15 and a row 2^37 of them.  As |rest| < 32 and there are at
-    most PACKED_ROWS rows, neither reaches into the other, and sums are exact, whatever their order.
+    With `right` only one child of each node above is summed, at its parent's place.  One pass takes both sums: a
+    gradient is a whole number of 2^-12 and a row 2^35 of them.  As |rest| < 32 and there are at most PACKED_ROWS rows,
+    neither reaches into the other, and sums are exact, whatever their order.  In nodes of many rows a pass takes
+    two features as well (`pairs`).
     """
-    first, n = 2**level - 1, 2**level
-    both = np.zeros((len(x), n, BINS))
-    for node, here in _rows_of(tree, x, np.flatnonzero(~np.isnan(rest)), level).items():
-        if node >= first and len(here):
-            w = np.rint(rest[here].astype(np.float64) * -(2**15)) + 2.0**37
-            for f in range(len(x)):
-                both[f, node - first] = np.bincount(x[f].take(here), w, BINS)
-    count = np.floor((both + 2.0**36) / 2.0**37)
-    return np.stack([(both - count * 2.0**37) / 2**15, count], 1)
+    first = 2**level - 1
+    wanted = [first + k for k in range(2**level)] if right is None else [first + 2 * k + int(r) for k, r in enumerate(right)]
+    pairs = _paired(x) if pairs is None else pairs
+    known, node, ones = ~np.isnan(rest), _nodes(tree, x, level), np.ones(BINS)
+    both = np.zeros((2 * len(pairs), len(wanted), BINS))
+    for k, at in enumerate(wanted):
+        here = np.flatnonzero(known & (node == at))
+        w = np.rint(rest.take(here).astype(np.float64) * -(2.0**12)) + 2.0**35
+        if len(here) < MANY_ROWS:
+            for f in range(len(x) if len(here) else 0):
+                both[f, k] = np.bincount(x[f].take(here), w, BINS)
+            continue
+        for f, pair in enumerate(pairs):
+            table = np.bincount(pair.take(here), w, BINS * BINS).reshape(BINS, BINS)
+            both[2 * f, k], both[2 * f + 1, k] = ones @ table, table @ ones
+    both = both[: len(x)]
+    count = np.floor((both + 2.0**34) / 2.0**35)
+    return np.stack([(both - count * 2.0**35) / 2**12, count], 1)
+
+
+def _points(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """At most 8 BINS of the values, evenly spaced in their order, and how many values each stands for."""
+    n = min(len(x), 8 * BINS)
+    return np.sort(x)[((np.arange(n) + 0.5) * len(x) / max(1, n)).astype(int)], len(x) / max(1, n)
 
 
 def _learn_together(rows: DataFrame, width: int, d: Diffusion, n: int, together: int) -> dict[tuple[int, int], Packed]:
@@ -208,137 +233,162 @@ def _learn_together(rows: DataFrame, width: int, d: Diffusion, n: int, together:
     Tasks sum over packed rows; the sums of a booster meet in one task, and the driver sees a cut per node.
     """
     s, spark = d.boosted(), rows.sparkSession
-    names, noises = [f"f{j}" for j in range(width)], [f"z{j}" for j in range(width)]
-    parts = max(2 * spark.sparkContext.defaultParallelism, n * d.duplicate_K * d.n_t >> 18)
-    rows = rows.repartition(max(1, n * d.duplicate_K // (PACKED_ROWS // 2)), "key")  # so that packs are large, as each costs some calls
+    tasks = math.ceil(5 * spark.sparkContext.defaultParallelism / d.n_t)  # of a level, so that few wait for a last one
+    packs = tasks * math.ceil(1.1 * n * d.duplicate_K / PACKED_ROWS / tasks)
+    rows = rows.repartition(packs, "key")
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        size = max(1, PACKED_ROWS // d.duplicate_K)
-        for batch in batches:
-            for part in (batch.slice(low, size) for low in range(0, batch.num_rows, size)):
+        size, waiting = max(1, PACKED_ROWS // d.duplicate_K), []
+
+        def noised() -> Iterator[tuple]:
+            whole = pa.Table.from_batches(waiting).combine_chunks()
+            waiting.clear()
+            for low in range(0, whole.num_rows, size):
+                part = whole.slice(low, size)
+                if part.num_rows < size and not ended:
+                    waiting.extend(part.to_batches())
+                    return
                 x, keys = _matrix(part.column("v"), width), part.column("key").to_numpy()
                 for level in range(d.n_t):
                     x_t, z = d.noised(x, keys, level)
-                    yield level, int(keys[0]), x_t, np.where(np.isnan(x_t), np.nan, z)
+                    yield level, x_t, np.where(np.isnan(x_t), np.nan, z)
+
+        ended = False
+        for batch in batches:
+            waiting.append(batch)
+            if sum(b.num_rows for b in waiting) >= size:
+                yield from noised()
+        ended = True
+        if waiting:
+            yield from noised()
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for level, _, x_t, z in copies(batches):
-            numbers = [pa.array(a[:, j], from_pandas=True) for a in (x_t, z) for j in range(width)]  # NaN is null
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x_t), level, np.int32)), *numbers], names=["level", *names, *noises])
-
-    fields = "level int, " + ", ".join(f"{name} double" for name in [*names, *noises])
-    places = F.array(*[F.lit(k / BINS) for k in range(1, BINS)])
-    about = rows.mapInArrow(listed, fields).groupBy("level").agg(
-        F.array(*[F.percentile_approx(name, places, 8 * BINS) for name in names]).alias("cuts"), F.array(*[F.avg(name) for name in noises]).alias("base")
-    )
+        for level, x_t, z in copies(batches):
+            points, weight = zip(*(_points(a[~np.isnan(a)]) for a in x_t.T), strict=True)
+            known = ~np.isnan(z)
+            numbers = [pa.array(a) for a in (weight, np.where(known, z, 0.0).sum(0), known.sum(0))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(width, level, np.int32)), pa.array(np.arange(width, dtype=np.int32)), pa.array([p.tobytes() for p in points], pa.binary()), *numbers],
+                names=["level", "col", "points", "weight", "z", "n"],
+            )
+
+    def met(key: tuple, table: pa.Table) -> pa.Table:
+        points = [np.frombuffer(p) for p in table.column("points").to_pylist()]
+        x, w = np.concatenate(points), np.repeat(table.column("weight").to_numpy(), [len(p) for p in points])
+        order = np.argsort(x, kind="stable")
+        at = np.searchsorted(np.cumsum(w[order]), np.arange(1, BINS) / BINS * w.sum())
+        base = table.column("z").to_numpy().sum() / max(1, table.column("n").to_numpy().sum())
+        return pa.table({"level": [key[0]], "col": [key[1]], "base": [base], "cuts": [x[order][np.minimum(at, len(x) - 1)]]}, pa.schema([("level", pa.int32()), ("col", pa.int32()), ("base", pa.float64()), ("cuts", pa.list_(pa.float64()))]))
+
+    seen = rows.mapInArrow(listed, "level int, col int, points binary, weight double, z double, n long")
     cuts, base = np.full((d.n_t, width, BINS - 1), np.inf), np.zeros((d.n_t, width))
-    for r in about.collect():  # a row per level
-        base[r["level"]] = r["base"]
-        for j, q in enumerate(r["cuts"]):
-            distinct = np.unique(q)
-            cuts[r["level"], j, : len(distinct)] = distinct
+    for r in seen.groupBy("level", "col").applyInArrow(met, "level int, col int, base double, cuts array<double>").collect():  # a row per booster
+        base[r["level"], r["col"]] = r["base"]
+        distinct = np.unique(r["cuts"])
+        cuts[r["level"], r["col"], : len(distinct)] = distinct
     told, out = spark.sparkContext.broadcast((cuts, base)), {}
     for low in range(0, width, together):
         columns = list(range(low, min(width, low + together)))
-        out |= _boost_together(_packed(rows, copies, told, columns, s, parts), columns, cuts, base, d, width)
+        out |= _boost_together(_packed(rows, copies, told, columns, s, d.n_t, tasks), columns, cuts, base, d, width)
     return out
 
 
-def _packed(rows: DataFrame, copies, told, columns: list[int], s: Settings, parts: int) -> DataFrame:
-    """(level, tie, x, rest): the bins of packed rows, a line per feature, and label less margin, a line per column; NaN where unknown."""
+def _packed(rows: DataFrame, copies, told, columns: list[int], s: Settings, levels: int, tasks: int) -> RDD:
+    """(level, x, rest): the bins of packed rows, a line per feature, and label less margin, a line per column; NaN where unknown.
+
+    Each level has `tasks` partitions of its own.
+    """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts, base = told.value
-        for level, tie, x_t, z in copies(batches):
+        part = TaskContext.get().partitionId() % tasks
+        for level, x_t, z in copies(batches):
             x, rest = Booster(cuts[level], 0.0, s).binned(x_t).T, (z - base[level]).T[columns].astype(np.float32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([level], pa.int32()), pa.array([tie], pa.int64()), pa.array([x.tobytes()], pa.binary()), pa.array([rest.tobytes()], pa.binary())],
-                names=["level", "tie", "x", "rest"],
+                [pa.array([level * tasks + part], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([rest.tobytes()], pa.binary())], names=["part", "x", "rest"]
             )
 
-    return rows.mapInArrow(packed, "level int, tie long, x binary, rest binary").repartitionByRange(parts, "level", "tie").sortWithinPartitions("level")
+    dealt = rows.mapInArrow(packed, "part int, x binary, rest binary").rdd.map(lambda r: (r.part, (r.part // tasks, bytes(r.x), bytes(r.rest))))
+    return dealt.partitionBy(levels * tasks, int).values()
 
 
-def _boost_together(packed: DataFrame, columns: list[int], cuts: np.ndarray, base: np.ndarray, d: Diffusion, width: int) -> dict[tuple[int, int], Packed]:
-    s, spark = d.boosted(), packed.sparkSession
+def _boost_together(packed: RDD, columns: list[int], cuts: np.ndarray, base: np.ndarray, d: Diffusion, width: int) -> dict[tuple[int, int], Packed]:
+    """Packs lie in the executors' storage, as in `boosting.boost_by_jobs`, and so do the sums of the level above."""
+    s, sc = d.boosted(), packed.context
     each = [(level, j) for level in range(d.n_t) for j in columns]
     boosters = {at: Booster(cuts[at[0]], float(base[at]), s) for at in each}
-    kept = Rounds(spark, "noised")
-    state = kept.write(packed)
-    tasks = min(len(each), 2 * spark.sparkContext.defaultParallelism)
+    held = [packed.persist(StorageLevel.MEMORY_AND_DISK)]  # the last two states of the margins
+    tasks = min(len(each), sc.defaultParallelism)
 
-    def arrays_of(batch: pa.RecordBatch, i: int) -> tuple[int, np.ndarray, np.ndarray]:
-        x, rest = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in (("x", np.uint8), ("rest", np.float32)))
-        return batch.column("level")[i].as_py(), x.reshape(width, -1), rest.reshape(len(columns), -1)
+    def opened(pack: tuple) -> tuple[int, np.ndarray, np.ndarray]:
+        level, x, rest = pack
+        return level, np.frombuffer(x, np.uint8).reshape(width, -1), np.frombuffer(rest, np.float32).reshape(len(columns), -1)
 
-    def cuts_of(trees: dict[tuple[int, int], Tree], depth: int) -> list:
-        sent = spark.sparkContext.broadcast(trees)
+    def summed(depth: int, trees: dict[tuple[int, int], Tree], right: dict[tuple[int, int], np.ndarray], above: RDD | None) -> RDD:
+        """((level, column), sums) of the nodes of a depth; beneath the first, of two children the one with fewer rows is summed."""
+        sent = sc.broadcast((trees, right))
 
-        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sums(packs: Iterator[tuple]) -> Iterator[tuple]:
+            trees, right = sent.value
             whole: dict[tuple[int, int], np.ndarray] = {}
-
-            def told() -> Iterator[pa.RecordBatch]:
-                for (level, j), x in whole.items():
-                    yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([j], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["level", "col", "sums"])
-                whole.clear()
-
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    level, x, rest = arrays_of(batch, i)
-                    if whole and next(iter(whole))[0] != level:  # a task holds the sums of one level
-                        yield from told()
-                    for k, j in enumerate(columns):
-                        if (level, j) in sent.value:
-                            part = _grown(x, rest[k], sent.value[level, j], depth)
-                            if (level, j) in whole:
-                                whole[level, j] += part
-                            else:
-                                whole[level, j] = part
-            yield from told()
-
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            whole: dict[tuple[int, int], np.ndarray] = {}
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    at = batch.column("level")[i].as_py(), batch.column("col")[i].as_py()
-                    part = np.frombuffer(batch.column("sums")[i].as_buffer())
-                    whole[at] = whole[at] + part if at in whole else part
-            for (level, j), x in whole.items():
-                found = boosting.chosen(dict(enumerate(boosting.best_cuts(f, s) for f in x.reshape(width, 2, 2**depth, BINS))))
-                yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([j], pa.int32()), pa.array([found.tobytes()], pa.binary())], names=["level", "col", "found"])
-
-        summed = state.mapInArrow(sums, "level int, col int, sums binary").repartition(tasks, "level", "col")
-        found = summed.mapInArrow(best, "level int, col int, found binary").collect()  # a row per booster
-        sent.unpersist()
-        return found
+            for pack in packs:  # of one level
+                level, x, rest = opened(pack)
+                pairs = _paired(x)
+                for k, j in enumerate(columns):
+                    if at := (level, j) if (level, j) in trees else None:
+                        part = _grown(x, rest[k], trees[at], depth, right.get(at), pairs)
+                        whole[at] = whole[at] + part if at in whole else part
+            yield from ((at[0] * width + at[1], (at, False, part.tobytes())) for at, part in whole.items())
+
+        def met(parts: Iterator[tuple]) -> Iterator[tuple]:
+            trees, right = sent.value
+            own, before = {}, {}
+            for _, (at, is_above, raw) in parts:
+                part = np.frombuffer(raw).reshape(width, 2, -1, BINS)
+                if is_above:
+                    before[at] = part
+                else:
+                    own[at] = own[at] + part if at in own else part
+            for at, part in own.items():
+                yield at, boosting.siblings(trees[at], depth, before[at], part, right[at]) if depth else part
+
+        parts = held[-1].mapPartitions(sums)
+        if above is not None:
+            parts = sc.union([parts, above.map(lambda kv: (kv[0][0] * width + kv[0][1], (kv[0], True, kv[1].tobytes())))])
+        return parts.partitionBy(tasks, int).mapPartitions(met).persist(StorageLevel.MEMORY_AND_DISK)
 
     for k in range(s.rounds):
         trees = {at: Tree.of_depth(s.depth) for at in each}
-        growing = trees
+        growing, right, above = trees, {}, None
         for depth in range(s.depth):
-            found = cuts_of(growing, depth)
-            growing = {at: trees[at] for r in found if boosting.grow_to(trees[at := (r["level"], r["col"])], depth, np.frombuffer(bytes(r["found"])).reshape(2**depth, 7), s)}
+            sums = summed(depth, growing, right, above)
+            found = sums.mapValues(lambda x: boosting.chosen(boosting.all_cuts(np.arange(width), x, s))).collect()  # a row per booster
+            if above is not None:
+                above.unpersist()
+            growing = {at: trees[at] for at, cut in found if boosting.grow_to(trees[at], depth, cut, s)}
+            right, above = {at: cut[:, 6] - cut[:, 4] < cut[:, 4] for at, cut in found}, sums
             if not growing:
                 break
+        above.unpersist()
         for at, tree in trees.items():
             boosters[at].trees.append(tree)
         if k == s.rounds - 1:
             break
-        sent = spark.sparkContext.broadcast(trees)
-
-        def moved(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    level, x, rest = arrays_of(batch, i)
-                    rest = rest.copy()
-                    for c, j in enumerate(columns):
-                        tree = sent.value[level, j]
-                        for node, here in _rows_of(tree, x, np.flatnonzero(~np.isnan(rest[c])), s.depth).items():
-                            rest[c, here] -= tree.value[node]
-                    one = batch.slice(i, 1)
-                    yield one.set_column(one.schema.get_field_index("rest"), "rest", pa.array([rest.tobytes()], pa.binary()))
-
-        state = kept.write(state.mapInArrow(moved, state.schema))
+        sent = sc.broadcast(trees)
+
+        def moved(pack: tuple, sent=sent) -> tuple:
+            level, x, rest = opened(pack)
+            rest = rest.copy()
+            for c, j in enumerate(columns):
+                tree = sent.value[level, j]
+                rest[c] -= tree.value.astype(np.float32).take(_nodes(tree, x, s.depth))
+            return level, pack[1], rest.tobytes()
+
+        held.append(held[-1].map(moved).persist(StorageLevel.MEMORY_AND_DISK))
+        while len(held) > 2:
+            held.pop(0).unpersist()
+    for state in held:
+        state.unpersist()
     return {at: Packed.of(b) for at, b in boosters.items()}
 
 

@@ -143,6 +143,31 @@ def test_packed_sums_equal_histograms():
     assert np.allclose(diffusion._grown(np.ascontiguousarray(x.T), rest, tree, 2), want, atol=1e-3)
 
 
+def test_lighter_children_give_the_sums_of_a_level(monkeypatch):
+    """One child of each node is summed, and two features in a pass where a node has many rows; the sums are exact."""
+    rng = np.random.default_rng(9)
+    x, rest = rng.integers(0, boosting.BINS, (5, 3000)).astype(np.uint8), rng.normal(size=3000).astype(np.float32)
+    rest[::5] = np.nan
+    tree = boosting.Tree.of_depth(3)
+    tree.feature[[0, 1]], tree.cut[[0, 1]] = [4, 0], [90, 20]  # node 2 is a leaf
+    above, whole = (diffusion._grown(x, rest, tree, level) for level in (1, 2))
+    right = np.array([False, True])
+    for many in (0, 1 << 20):
+        monkeypatch.setattr(diffusion, "MANY_ROWS", many)
+        assert (diffusion._grown(x, rest, tree, 1) == above).all()
+        part = diffusion._grown(x, rest, tree, 2, right)
+        assert (part[:, :, 0] == whole[:, :, 0]).all() and not part[:, :, 1].any()
+        assert (boosting.siblings(tree, 2, above, part, right) == whole).all()
+
+
+def test_points_stand_for_as_many_values_each():
+    values = np.random.default_rng(2).permutation(50_000).astype(float)
+    points, weight = diffusion._points(values)
+    assert len(points) == 8 * boosting.BINS and np.isclose(weight * len(points), 50_000)
+    assert np.abs(points - (np.arange(len(points)) + 0.5) * weight).max() < 1
+    assert diffusion._points(values[:9])[0].tolist() == sorted(values[:9]) and diffusion._points(values[:9])[1] == 1
+
+
 def test_draws_do_not_depend_on_partitions(spark):
     _, x = low_rank(n=60, p=3, rank=1)
     a, b = (matrices(diffusion.diffusion_draws(cells_of(spark, x, parts=n), k=2, r=2, **SMALL), x.shape, 2) for n in (1, 7))
