@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Cells of a piece of a large run, about.
+PIECE = 1 << 18
+
 
 def imputer_of(cls: type) -> Callable[..., DataFrame]:
     """f(cells, keys, **params) of a class with `complete`; a run it fails on is rows with `error`."""
@@ -63,9 +66,12 @@ def metric_of(cls: type, name: str) -> Callable[..., DataFrame]:
 class Complete:
     """A table function: ``SELECT * FROM complete(TABLE(cells) PARTITION BY (run_id), 'svt', '{"max_iters": 50}')``.
 
-    The table has row_id, col_id and value; each partition is one matrix.  Returns the table's columns, pred and error.
+    The table has row_id, col_id and value; each partition is one matrix, or a piece of one as `in_pieces` makes them.
+    Returns the table's columns, pred and error.
     """
 
+    rounds: dict = {}
+
     @staticmethod
     def analyze(cells, method, params=None):
         from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -88,7 +94,7 @@ class Complete:
 
         self.told = (method, params)
         if self.n > lowrank.MOST_CELLS:
-            raise ValueError(f"a partition has more than {lowrank.MOST_CELLS} cells; call the imputer on the DataFrame")
+            raise ValueError(f"a partition has more than {lowrank.MOST_CELLS} cells; call it on the table that in_pieces makes")
         self.n += 1
         self.names = list(cells.__fields__)
         for k, value in enumerate(cells):
@@ -106,17 +112,34 @@ class Complete:
     def _cell(self, i: int) -> tuple:
         return tuple(self.numbers[k][i] if self.codes[k][i] < 0 else self.kept[k][self.codes[k][i]] for k in range(len(self.names)))
 
+    def _piece(self, method: str, params: dict):
+        """The rounds of the run that this partition is a piece of, if it is one."""
+        run = self.kept[self.names.index("run_id")][0] if "run_id" in self.names else None
+        if getattr(run, "piece", None) is None:
+            return None
+        known, found = self.rounds.get(run.run_id, ((method, params), f"no rounds of run {run.run_id} are known"))
+        if known != (method, params):
+            raise ValueError(f"the rounds of run {run.run_id} are those of {known[0]} with {json.dumps(known[1])}")
+        if isinstance(found, str):
+            raise ValueError(found)
+        return found
+
     def terminate(self) -> Iterator[tuple]:
         if not self.n:
             return
         self.kept = {k: [value for _, value in places.values()] for k, places in self.places.items()}
         row, col, value = (self.names.index(c) for c in ("row_id", "col_id", "value"))
         (rows, r), (cols, c) = (np.unique(np.array(self.kept[k])[np.frombuffer(self.codes[k], np.int32)], return_inverse=True) for k in (row, col))
-        x = np.full((len(rows), len(cols)), np.nan)
-        x[r, c] = np.frombuffer(self.numbers[value])
-        x[~np.isfinite(x)] = np.nan
+        method, params = self.told[0], json.loads(self.told[1] or "{}")
         try:
-            pred, error = solver(self.told[0])(x, **json.loads(self.told[1] or "{}"))[r, c], None
+            if (piece := self._piece(method, params)) is None:
+                fill = lambda x: solver(method)(x, **params)
+            else:
+                cols, c, fill = piece.cols, np.searchsorted(piece.cols, cols)[c], piece.fill
+            x = np.full((len(rows), len(cols)), np.nan)
+            x[r, c] = np.frombuffer(self.numbers[value])
+            x[~np.isfinite(x)] = np.nan
+            pred, error = fill(x)[r, c], None
         except (ValueError, TypeError, np.linalg.LinAlgError) as e:
             pred, error = np.full(self.n, np.nan), str(e)
         for i in range(self.n):
@@ -133,6 +156,35 @@ def solver(name: str) -> Callable[..., np.ndarray]:
     return known[name]
 
 
-def register_table_functions(spark: SparkSession, name: str = "complete") -> None:
-    """Makes the per-run methods callable from SQL in this session."""
-    spark.udtf.register(name, F.udtf(Complete))
+def in_pieces(cells: DataFrame, method: str, **params) -> tuple[DataFrame, dict]:
+    """`cells` for a call of `complete`, and the rounds of its large runs for `register_table_functions`.
+
+    Where a run has more than MOST_CELLS cells, run_id becomes (run_id, piece), so that PARTITION BY (run_id) deals the
+    rows of a large run to pieces of about PIECE cells; a run that fits a task has a null piece.  The rounds of a large
+    run are found by `lowrank.tall` over its table, and each piece goes through them.  `cadzow` has no rounds by rows.
+    """
+    from lacuna.operators import lowrank
+
+    large = cells.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > lowrank.MOST_CELLS).collect()  # runs are few
+    if not large or method == "cadzow":
+        return cells, {}
+    rounds, piece = {}, F.lit(None).cast("long")
+    for run in large:
+        is_run, found = F.col("run_id").eqNullSafe(run.run_id), lowrank.Replay()
+        try:
+            lowrank.tall(cells.filter(is_run), method, replay=found, **params)
+        except ValueError as e:
+            found = str(e)
+        rounds[run.run_id] = (method, params), found
+        piece = F.when(is_run, F.pmod(F.xxhash64("row_id"), F.lit(math.ceil(run.n / PIECE)))).otherwise(piece)
+    return cells.withColumn("run_id", F.struct("run_id", piece.alias("piece"))), rounds
+
+
+def register_table_functions(spark: SparkSession, name: str = "complete", rounds: dict | None = None) -> None:
+    """Makes the per-run methods callable from SQL in this session; `rounds` are those of runs `in_pieces`."""
+
+    class Fitted(Complete):
+        pass
+
+    Fitted.rounds = rounds or {}
+    spark.udtf.register(name, F.udtf(Fitted if rounds else Complete))

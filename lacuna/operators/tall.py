@@ -33,8 +33,9 @@ def total(rows: DataFrame, columns: dict[str, int], f: Callable[..., np.ndarray]
     return out
 
 
-def mapped(rows: DataFrame, columns: dict[str, int], f: Callable[..., dict[str, np.ndarray]], names: list[str], sums: list[str]) -> DataFrame:
-    """(row_id, arrays `names`, numbers `sums`): what `f(*matrices)` makes of each row."""
+def mapped(rows: DataFrame, columns: dict[str, int], f: Callable[..., dict[str, np.ndarray]], names: list[str], sums: list[str], steps: list) -> DataFrame:
+    """(row_id, arrays `names`, numbers `sums`): what `f(*matrices)` makes of each row; `steps` gets it, as in `lowrank.Replay`."""
+    steps.append((tuple(columns), f))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -44,7 +45,7 @@ def mapped(rows: DataFrame, columns: dict[str, int], f: Callable[..., dict[str,
     return rows.select("row_id", *columns).mapInArrow(run, ", ".join(["row_id long", *(f"{n} array<double>" for n in names), *(f"{n} double" for n in sums)]))
 
 
-def nuclear_norm(rows: DataFrame, d: int, stats, error_tolerance: float = 1e-8, max_iters: int = 50_000, step: float | None = None, min_value: float | None = None, max_value: float | None = None, require_symmetric_solution: bool = False) -> DataFrame:
+def nuclear_norm(rows: DataFrame, d: int, stats, steps: list, error_tolerance: float = 1e-8, max_iters: int = 50_000, step: float | None = None, min_value: float | None = None, max_value: float | None = None, require_symmetric_solution: bool = False) -> DataFrame:
     """(row_id, x): the rounds of `lowrank.nuclear_norm` over a table."""
     if require_symmetric_solution:
         raise ValueError("a symmetric run has as many rows as columns, and is solved in one task")
@@ -55,7 +56,7 @@ def nuclear_norm(rows: DataFrame, d: int, stats, error_tolerance: float = 1e-8,
     size = max(1.0, np.sqrt(stats.ss))
     rounds = Rounds(spark, "rows")
     state = {"known": d, "other": d, "dual": d}
-    table = rounds.write(mapped(rows, {"x": d}, lambda x: {"known": x, "other": zeroed(x), "dual": np.zeros_like(x)}, list(state), []))
+    table = rounds.write(mapped(rows, {"x": d}, lambda x: {"known": x, "other": zeroed(x), "dual": np.zeros_like(x)}, list(state), [], steps))
     by = 1.0  # the table's duals are for the step before
     for k in range(max_iters):
         g = total(table, {"other": d, "dual": d}, lambda other, dual, by=by: (other - dual / by).T @ (other - dual / by), (d, d))
@@ -77,17 +78,18 @@ def nuclear_norm(rows: DataFrame, d: int, stats, error_tolerance: float = 1e-8,
                 new = np.where(seen, new, np.clip(new, min_value, max_value))
             return {"known": known, "other": new, "dual": dual + low - new, "apart": ((low - new) ** 2).sum(axis=1), "moved": ((new - other) ** 2).sum(axis=1)}
 
-        table = rounds.write(mapped(table, state, after, list(state), ["apart", "moved"]))
+        table = rounds.write(mapped(table, state, after, list(state), ["apart", "moved"], steps))
         s = table.agg(F.sum("apart").alias("apart"), F.sum("moved").alias("moved")).first()
         apart, moved = np.sqrt(s.apart), np.sqrt(s.moved)
         if max(apart, moved) < 1e-7 * size:
             break
         by = lowrank.balance(k, apart, moved)
         step *= by
+    steps.append((("other",), lambda other: {"x": other}))
     return table.select("row_id", F.col("other").alias("x"))
 
 
-def robust_pca(rows: DataFrame, d: int, stats, mean: np.ndarray, n_components: int | None = None, max_iters: int = 100, tol: float = 1e-5, beta: float | None = None, beta_init: float | None = None, gamma: float = 0.5, mu: tuple[float, float] = (5, 5), trim: bool = False, **ignored) -> DataFrame:
+def robust_pca(rows: DataFrame, d: int, stats, mean: np.ndarray, steps: list, n_components: int | None = None, max_iters: int = 100, tol: float = 1e-5, beta: float | None = None, beta_init: float | None = None, gamma: float = 0.5, mu: tuple[float, float] = (5, 5), trim: bool = False, **ignored) -> DataFrame:
     """(row_id, x): the low-rank part, without the columns' means, by the rounds of `lowrank.robust_pca` over a table.
 
     A row keeps its place in the low-rank part's row factor; the column factor is on the driver.
@@ -97,14 +99,14 @@ def robust_pca(rows: DataFrame, d: int, stats, mean: np.ndarray, n_components: i
     beta, first = lowrank.levels(stats.rows * d, beta, beta_init)
     centre = share(mean)
     rounds = Rounds(rows.sparkSession, "rows")
-    table = rounds.write(mapped(rows, {"x": d}, lambda x: {"full": np.where(np.isfinite(x), x - centre.value, 0.0)}, ["full"], []))
+    table = rounds.write(mapped(rows, {"x": d}, lambda x: {"full": np.where(np.isfinite(x), x - centre.value, 0.0)}, ["full"], [], steps))
     s0, _ = lowrank._factors(total(table, {"full": d}, lambda x: x.T @ x, (d, d)))
     size, level = max(np.sqrt((s0 * s0).sum()), 1e-12), first * s0[0]
-    left = lambda x: x - lowrank.kept_over(x, level)  # noqa: E731  what is not sparse
+    left = lambda x, level=level: x - lowrank.kept_over(x, level)  # noqa: E731  what is not sparse
     s, v = lowrank._factors(total(table, {"full": d}, lambda x: left(x).T @ left(x), (d, d)))
     s, v = s[:r], v[:, :r]
     turn = share(v / np.where(s > 0, s, 1))
-    table = rounds.write(mapped(table, {"full": d}, lambda x: {"full": x, "u": left(x) @ turn.value}, ["full", "u"], []))
+    table = rounds.write(mapped(table, {"full": d}, lambda x, turn=turn: {"full": x, "u": left(x) @ turn.value}, ["full", "u"], [], steps))
     level, state = beta * s[0], {"full": d, "u": r}
     for k in range(max_iters):
         here = share((v * s, level))
@@ -152,8 +154,8 @@ def robust_pca(rows: DataFrame, d: int, stats, mean: np.ndarray, n_components: i
             gap = gap - lowrank.kept_over(gap, level)
             return {"full": full, "u": new, "gap": (gap * gap).sum(axis=1)}
 
-        table = rounds.write(mapped(table, state, after, ["full", "u"], ["gap"]))
+        table = rounds.write(mapped(table, state, after, ["full", "u"], ["gap"], steps))
         if np.sqrt(table.agg(F.sum("gap").alias("gap")).first().gap) / size < tol:
             break
     vs = share(v * s)
-    return mapped(table, {"u": r}, lambda u: {"x": u @ vs.value.T}, ["x"], [])
+    return mapped(table, {"u": r}, lambda u: {"x": u @ vs.value.T}, ["x"], [], steps)

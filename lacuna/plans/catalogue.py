@@ -366,8 +366,9 @@ QUERIES["impute_nnm"] = _solver("nuclear_norm_minimization")
 def sql_complete(spark, sf):
     """A per-run method called from SQL, beside the imputer of that name."""
     x = observed(spark, sf, X.user_hour)
-    plugins.register_table_functions(spark)
-    called = spark.sql("""SELECT row_id, col_id, pred AS called FROM complete(TABLE(SELECT run_id, row_id, col_id, value FROM {x}) PARTITION BY (run_id), 'soft_impute', '{"max_iters": 30}')""".replace("{x}", _view(x)))
+    pieces, rounds = plugins.in_pieces(x, "soft_impute", max_iters=30)
+    plugins.register_table_functions(spark, rounds=rounds)
+    called = spark.sql("""SELECT row_id, col_id, pred AS called FROM complete(TABLE(SELECT run_id, row_id, col_id, value FROM {x}) PARTITION BY (run_id), 'soft_impute', '{"max_iters": 30}')""".replace("{x}", _view(pieces)))
     both = IMPUTERS.named("soft_impute")(x, max_iters=30).join(called, ["row_id", "col_id"])
     return both.agg(F.count("called").alias("n_cells"), (F.round(F.max(F.abs(F.col("pred") - F.col("called"))), 9) + 0.0).alias("largest_gap"))
 

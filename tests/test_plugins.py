@@ -1,6 +1,7 @@
 """Plugin classes and table functions against numpy and the imputers they stand for."""
 
 import importlib.util
+import json
 from pathlib import Path
 
 import numpy as np
@@ -69,6 +70,29 @@ def test_methods_from_sql(spark):
         spark.sql("SELECT * FROM complete(TABLE(cells_of_runs) PARTITION BY (run_id), 'knn')").collect()
 
 
+@pytest.mark.parametrize(("method", "solve", "params"), [
+    ("soft_impute", lowrank.soft_impute, {"max_iters": 20}), ("svt", lowrank.svt, {"max_iters": 15, "tau": 3.0}),
+    ("nuclear_norm_minimization", lowrank.nuclear_norm, {"max_iters": 12}), ("robust_pca", lowrank.robust_pca, {"n_components": 2, "max_iters": 10}),
+])
+def test_large_runs_are_called_by_pieces(spark, monkeypatch, method, solve, params):
+    """No task has a run over MOST_CELLS whole; its pieces are filled as the whole matrix is."""
+    out = runs()
+    monkeypatch.setattr(lowrank, "MOST_CELLS", 60)  # a has 120 cells, b 54
+    monkeypatch.setattr(plugins, "PIECE", 40)
+    pieces, rounds = plugins.in_pieces(cells(spark, out), method, **params)
+    assert list(rounds) == ["a"] and pieces.filter("run_id.piece IS NOT NULL").select("run_id").distinct().count() > 1
+    pieces.createOrReplaceTempView("pieces_of_runs")
+    plugins.register_table_functions(spark, "complete_pieces", rounds)
+    call = "SELECT run_id.run_id AS run, * FROM complete_pieces(TABLE(SELECT run_id, row_id, col_id, value FROM pieces_of_runs) PARTITION BY (run_id), '{}', '{}')"
+    got = spark.sql(call.format(method, json.dumps(params))).collect()
+    assert len(got) == 120 + 54
+    want = {name: solve(x, **params) for name, x in out.items()}
+    for r in got:
+        assert r.error is None and np.isclose(r.pred, want[r.run][r.row_id, r.col_id], atol=1e-7)
+    other = spark.sql(call.format("svt", '{"tau": 9}')).filter("run = 'a'").select("error").distinct().collect()
+    assert len(other) == 1 and other[0].error.startswith("the rounds of run a are those of")
+
+
 def test_the_table_function_holds_few_bytes_a_cell():
     """Cells are kept in typed columns, not as rows of objects; nulls, NaN and strings come back as they were."""
     import tracemalloc
