@@ -7,8 +7,9 @@ anew from what lies between it and their present values.  Observed cells are noi
 that fills follow from them, and are kept at the end.
 
 A row is filled on its own, so filling is one pass over the rows with all boosters at hand.  Up to
-`boosting.FEW_ENTRIES` noised entries, tasks of some columns of a level learn from a copy of the table each; beyond
-that a job grows a level of a tree of every booster at once, of as many columns as have histograms of so many entries.
+`boosting.FEW_ENTRIES` noised entries, tasks of some columns of a level learn from a copy of the table each, and up to
+BINNED_ENTRIES from the bins of a level; beyond that a job grows a level of a tree of every booster at once, of as many
+columns as have histograms of FEW_ENTRIES entries.
 Only where those of one column have more is every booster fitted by jobs of its own.  All noise is a hash of the row's
 key, so lost tasks draw the same again.
 """
@@ -36,6 +37,8 @@ from lacuna.sources.tables import Rounds, cut_lineage
 
 #: Columns of a level that a task learns, and rows that meet all trees of a booster at a time.
 COLUMNS, ROWS = 8, 4096
+#: Bins (bytes) of a level that a task holds, and columns that it learns from them.
+BINNED_ENTRIES, BINNED_COLUMNS = 1 << 26, 4
 #: Noised rows that are packed together, at most; `_grown` relies on it.
 PACKED_ROWS = 1 << 17
 #: Rows of a node from which a table of two features' bins is cheaper than two passes.
@@ -228,13 +231,15 @@ def _points(x: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def _learn_together(rows: DataFrame, width: int, d: Diffusion, n: int, together: int) -> dict[tuple[int, int], Packed]:
-    """The boosters of all levels, `together` columns at a time: a job for each level of their trees.
+    """The boosters of all levels over packed rows.
 
-    Tasks sum over packed rows; the sums of a booster meet in one task, and the driver sees a cut per node.
+    Where the bins of a level fit a task, one learns some columns from all its packs.  Larger tables have a job for each
+    level of the trees of `together` columns: tasks sum over packs, the sums of a booster meet in one task, and the
+    driver sees a cut per node.
     """
     s, spark = d.boosted(), rows.sparkSession
     tasks = math.ceil(5 * spark.sparkContext.defaultParallelism / d.n_t)  # of a level, so that few wait for a last one
-    packs = tasks * math.ceil(1.1 * n * d.duplicate_K / PACKED_ROWS / tasks)
+    packs = tasks * math.ceil(max(1.1 * n * d.duplicate_K / PACKED_ROWS, spark.sparkContext.defaultParallelism) / tasks)
     rows = rows.repartition(packs, "key")
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -287,29 +292,62 @@ def _learn_together(rows: DataFrame, width: int, d: Diffusion, n: int, together:
         distinct = np.unique(r["cuts"])
         cuts[r["level"], r["col"], : len(distinct)] = distinct
     told, out = spark.sparkContext.broadcast((cuts, base)), {}
+    if together >= width and n * width * d.duplicate_K <= BINNED_ENTRIES:
+        groups = [list(range(low, min(width, low + BINNED_COLUMNS))) for low in range(0, width, BINNED_COLUMNS)]
+        return _boost_in_tasks(_packed(rows, copies, told, groups, s, d.n_t, 1), groups, cuts, base, d, width)
     for low in range(0, width, together):
         columns = list(range(low, min(width, low + together)))
-        out |= _boost_together(_packed(rows, copies, told, columns, s, d.n_t, tasks), columns, cuts, base, d, width)
+        out |= _boost_together(_packed(rows, copies, told, [columns], s, d.n_t, tasks), columns, cuts, base, d, width)
     return out
 
 
-def _packed(rows: DataFrame, copies, told, columns: list[int], s: Settings, levels: int, tasks: int) -> RDD:
-    """(level, x, rest): the bins of packed rows, a line per feature, and label less margin, a line per column; NaN where unknown.
+def _packed(rows: DataFrame, copies, told, groups: list[list[int]], s: Settings, levels: int, tasks: int) -> RDD:
+    """(level, x, rest): the bins of packed rows, a line per feature, and label less margin, a line per column of a group; NaN where unknown.
 
-    Each level has `tasks` partitions of its own.
+    Each level has `tasks` partitions of its own for each group of columns.
     """
+    own = len(groups) * tasks
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts, base = told.value
         part = TaskContext.get().partitionId() % tasks
         for level, x_t, z in copies(batches):
-            x, rest = Booster(cuts[level], 0.0, s).binned(x_t).T, (z - base[level]).T[columns].astype(np.float32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([level * tasks + part], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([rest.tobytes()], pa.binary())], names=["part", "x", "rest"]
-            )
-
-    dealt = rows.mapInArrow(packed, "part int, x binary, rest binary").rdd.map(lambda r: (r.part, (r.part // tasks, bytes(r.x), bytes(r.rest))))
-    return dealt.partitionBy(levels * tasks, int).values()
+            x, rest = Booster(cuts[level], 0.0, s).binned(x_t).T.tobytes(), (z - base[level]).T.astype(np.float32)
+            for k, columns in enumerate(groups):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([level * own + k * tasks + part], pa.int32()), pa.array([x], pa.binary()), pa.array([rest[columns].tobytes()], pa.binary())], names=["part", "x", "rest"]
+                )
+
+    dealt = rows.mapInArrow(packed, "part int, x binary, rest binary").rdd.map(lambda r: (r.part, (r.part // own, bytes(r.x), bytes(r.rest))))
+    return dealt.partitionBy(levels * own, int).values()
+
+
+def _boost_in_tasks(packed: RDD, groups: list[list[int]], cuts: np.ndarray, base: np.ndarray, d: Diffusion, width: int) -> dict[tuple[int, int], Packed]:
+    """As `_boost_together`, with the same trees: a partition has all packs of a level, and learns the columns of a group one after another."""
+    s = d.boosted()
+
+    def learn(part: int, packs: Iterator[tuple]) -> Iterator[tuple]:
+        columns, held = groups[part % len(groups)], []
+        for level, raw, rest in packs:
+            x = np.frombuffer(raw, np.uint8).reshape(width, -1)
+            held.append((x, _paired(x), np.frombuffer(rest, np.float32).reshape(len(columns), -1)))
+        for c, j in enumerate(columns if held else []):
+            booster, rests = Booster(cuts[level], float(base[level, j]), s), [rest[c].copy() for _, _, rest in held]
+            for k in range(s.rounds):
+                tree, right, whole = Tree.of_depth(s.depth), None, None
+                for depth in range(s.depth):
+                    sums = sum(_grown(x, rest, tree, depth, right, pairs) for (x, pairs, _), rest in zip(held, rests, strict=True))
+                    whole = boosting.siblings(tree, depth, whole, sums, right) if depth else sums
+                    found = boosting.chosen(boosting.all_cuts(np.arange(width), whole, s))
+                    if not boosting.grow_to(tree, depth, found, s):
+                        break
+                    right = found[:, 6] - found[:, 4] < found[:, 4]
+                booster.trees.append(tree)
+                for (x, _, _), rest in zip(held, rests, strict=True) if k < s.rounds - 1 else ():
+                    rest -= tree.value.astype(np.float32).take(_nodes(tree, x, s.depth))
+            yield (level, j), Packed.of(booster)
+
+    return dict(packed.mapPartitionsWithIndex(learn).collect())  # a row per booster: the model, whose size the parameters give
 
 
 def _boost_together(packed: RDD, columns: list[int], cuts: np.ndarray, base: np.ndarray, d: Diffusion, width: int) -> dict[tuple[int, int], Packed]:

@@ -160,6 +160,24 @@ def test_lighter_children_give_the_sums_of_a_level(monkeypatch):
         assert (boosting.siblings(tree, 2, above, part, right) == whole).all()
 
 
+def test_tables_whose_bins_fit_a_task_have_no_job_a_level(spark, monkeypatch):
+    """The trees are those that the jobs grow; one job learns them all."""
+    _, x = low_rank(n=700, p=5, rank=2)
+    x = 2 * (x - np.nanmin(x, 0)) / (np.nanmax(x, 0) - np.nanmin(x, 0)) - 1
+    table = spark.createDataFrame([(i * 7919, [None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(x)], "key long, v array<double>")
+    d, seen = Diffusion(**SMALL), []
+    real = diffusion._boost_in_tasks
+    monkeypatch.setattr(diffusion, "_boost_in_tasks", lambda *args: seen.append(1) or real(*args))
+    monkeypatch.setattr(diffusion, "_boost_together", None)
+    once = diffusion._learn_together(table, 5, d, 700, 5)
+    assert seen == [1] and len(once) == 4 * 5
+    monkeypatch.undo()
+    monkeypatch.setattr(diffusion, "BINNED_ENTRIES", 0)
+    jobs = diffusion._learn_together(table, 5, d, 700, 5)
+    for at, one in once.items():
+        assert (one.feature == jobs[at].feature).all() and np.allclose(one.limit, jobs[at].limit) and np.allclose(one.value, jobs[at].value, atol=1e-6)
+
+
 def test_points_stand_for_as_many_values_each():
     values = np.random.default_rng(2).permutation(50_000).astype(float)
     points, weight = diffusion._points(values)
