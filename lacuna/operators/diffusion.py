@@ -211,13 +211,14 @@ def _grown(x: np.ndarray, rest: np.ndarray, tree: Tree, level: int, right: np.nd
     both = np.zeros((2 * len(pairs), len(wanted), BINS))
     for k, at in enumerate(wanted):
         here = np.flatnonzero(known & (node == at))
-        w = np.rint(rest.take(here).astype(np.float64) * -(2.0**12)) + 2.0**35
+        of = (lambda line: line) if len(here) == len(rest) else (lambda line, here=here: line.take(here))
+        w = np.rint(of(rest).astype(np.float64) * -(2.0**12)) + 2.0**35
         if len(here) < MANY_ROWS:
             for f in range(len(x) if len(here) else 0):
-                both[f, k] = np.bincount(x[f].take(here), w, BINS)
+                both[f, k] = np.bincount(of(x[f]), w, BINS)
             continue
         for f, pair in enumerate(pairs):
-            table = np.bincount(pair.take(here), w, BINS * BINS).reshape(BINS, BINS)
+            table = np.bincount(of(pair), w, BINS * BINS).reshape(BINS, BINS)
             both[2 * f, k], both[2 * f + 1, k] = ones @ table, table @ ones
     both = both[: len(x)]
     count = np.floor((both + 2.0**34) / 2.0**35)
@@ -330,20 +331,24 @@ def _boost_in_tasks(packed: RDD, groups: list[list[int]], cuts: np.ndarray, base
         columns, held = groups[part % len(groups)], []
         for level, raw, rest in packs:
             x = np.frombuffer(raw, np.uint8).reshape(width, -1)
-            held.append((x, _paired(x), np.frombuffer(rest, np.float32).reshape(len(columns), -1)))
+            held.append((x, np.frombuffer(rest, np.float32).reshape(len(columns), -1)))
         for c, j in enumerate(columns if held else []):
-            booster, rests = Booster(cuts[level], float(base[level, j]), s), [rest[c].copy() for _, _, rest in held]
+            booster, own = Booster(cuts[level], float(base[level, j]), s), []
+            for x, rest in held:  # the rows that the column is known of
+                here = np.flatnonzero(~np.isnan(rest[c]))
+                seen = x.take(here, axis=1)
+                own.append((seen, _paired(seen), rest[c].take(here)))
             for k in range(s.rounds):
                 tree, right, whole = Tree.of_depth(s.depth), None, None
                 for depth in range(s.depth):
-                    sums = sum(_grown(x, rest, tree, depth, right, pairs) for (x, pairs, _), rest in zip(held, rests, strict=True))
+                    sums = sum(_grown(x, rest, tree, depth, right, pairs) for x, pairs, rest in own)
                     whole = boosting.siblings(tree, depth, whole, sums, right) if depth else sums
                     found = boosting.chosen(boosting.all_cuts(np.arange(width), whole, s))
                     if not boosting.grow_to(tree, depth, found, s):
                         break
                     right = found[:, 6] - found[:, 4] < found[:, 4]
                 booster.trees.append(tree)
-                for (x, _, _), rest in zip(held, rests, strict=True) if k < s.rounds - 1 else ():
+                for x, _, rest in own if k < s.rounds - 1 else ():
                     rest -= tree.value.astype(np.float32).take(_nodes(tree, x, s.depth))
             yield (level, j), Packed.of(booster)
 
